@@ -6,10 +6,8 @@ sends the row on to an exact join.  Its size is fixed (8 MB), whatever the input
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 LOG_BITS = 26
@@ -52,22 +50,22 @@ def row_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), text_hash())
 
 
-def parted(docs: DataFrame, bits: Bitmap, inside: bool, key: str = "__key") -> DataFrame:
-    """The rows of ``docs`` with their key ``key``, whose bit is set, or those whose bit is clear."""
-    keyed, test = docs.withColumn(key, row_key()), bits.tester()
+def suspected(df: DataFrame, bits: Bitmap, key: Column, inside: bool = True) -> DataFrame:
+    """The rows of ``df`` whose ``key`` has its bit set, or those whose bit is clear; only the key goes to Python."""
+    test = bits.tester()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield b.filter(pa.array(test(b.column(b.num_columns - 1).to_numpy()) == inside))
+    @F.pandas_udf("boolean")
+    def held(keys: pd.Series) -> pd.Series:
+        return pd.Series(test(keys.to_numpy(np.int64)) == inside)
 
-    return keyed.mapInArrow(run, keyed.schema)
+    # not marked deterministic, or the optimizer would also run it on whatever the key is joined with
+    return df.where(held.asNondeterministic()(key))
 
 
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id and text hash are in ``dropped``; only suspects are shuffled."""
     bits = Bitmap(dropped, F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text_hash"))
     gone = dropped.select(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text_hash").alias("__gone"), F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash"))
-    suspects = parted(docs, bits, True)
-    match = (F.col("__key") == F.col("__gone")) & suspects["doc_id"].cast("long").eqNullSafe(F.col("__gone_id")) & (F.xxhash64(suspects["text"].cast("string")) == F.col("__gone_hash"))
-    return parted(docs, bits, False).drop("__key").unionByName(suspects.join(gone, match, "left_anti").drop("__key"))
+    suspects = suspected(docs, bits, row_key())
+    match = (row_key() == F.col("__gone")) & suspects["doc_id"].cast("long").eqNullSafe(F.col("__gone_id")) & (F.xxhash64(suspects["text"].cast("string")) == F.col("__gone_hash"))
+    return suspected(docs, bits, row_key(), False).unionByName(suspects.join(gone, match, "left_anti"))

@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
+from corvid.llm.arrow import small
+
 
 @dataclass(frozen=True)
 class Plan:
@@ -132,7 +134,7 @@ def packed(docs: DataFrame, plan: Plan = Plan(), json_path: str | None = None, r
             done.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], NAMES)
 
-        for b in batches:
+        for b in small(batches):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = np.append(ids_of(text or ""), np.uint32(plan.separator)).astype("<u4")
                 n, start = len(ids), 0

@@ -16,6 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corvid.llm.arrow import small
 from corvid.llm.textkernel import WordHasher, repeated_words, words
 
 SYMBOLS = "#*$%&|<>"
@@ -87,7 +88,7 @@ def judged(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(bands)
         types = [pa.int64()] * 6 + [pa.bool_(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
-        for b in batches:
+        for b in small(batches):
             found = [judge(t) for t in b.column(1).to_pylist()]
             columns = [b.column(0), *(list(c) for c in zip(*found, strict=True))] if found else [b.column(0), *([] for _ in NAMES[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, list) else c.cast(t) for c, t in zip(columns, types, strict=True)], NAMES)

@@ -6,8 +6,10 @@ A minimizer that only one document has cannot belong to a repeated window: such
 fixed-size bitmap of the others.  Where windows meet, one is repeated if a document of smaller id has it too;
 repeated windows merge into maximal intervals of words to remove.
 
-A minimizer of more than ``hot`` documents is counted window by window with map-side minima and a join that
-Spark can split, so that a passage which a third of all documents share does not meet in one task.
+Of equal windows within a chunk of a task's rows, all but those of the least id are repeated for certain; they
+stay in the task, and only the least goes on.  So a passage that a third of all documents share arrives once a
+chunk.  A minimizer of more than ``hot`` documents is joined by that of longer runs of words, which parts the
+different surroundings of a common passage.
 
 Defined cases: a null text has no words; a text shorter than a window keeps all its words; rows of one doc_id
 never remove each other's words; rows without doc_id count as of the largest id; an empty table gives an empty one.
@@ -18,15 +20,17 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvid.llm.arrow import runs
-from corvid.llm.bitmap import Bitmap, parted, row_key
+from corvid.llm.arrow import runs, small
+from corvid.llm.bitmap import Bitmap, row_key, suspected
 from corvid.llm.scratch import saved
-from corvid.llm.textkernel import WordHasher, covered, mixed, rolling, sliding_min, words
+from corvid.llm.textkernel import WORD, WordHasher, covered, mixed, rolling, sliding_min, words
 
 LAST = (1 << 63) - 1
 
@@ -35,16 +39,14 @@ LAST = (1 << 63) - 1
 class Shape:
     window: int = 50
     gram: int = 12
-    hot: int = 1000
+    long_gram: int = 40
+    hot: int = 200
+    chunk: int = 1_000_000  # windows judged together in a task
 
 
-def _hashes(text: str | None, hasher: WordHasher, s: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, minimizer) of every window of a text, as signed longs."""
-    x = hasher(words(text))
-    if len(x) < s.window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    gram = min(s.gram, s.window)
-    return rolling(x, s.window).view(np.int64), sliding_min(mixed(rolling(x, gram)), s.window - gram + 1).view(np.int64)
+def _minima(x: np.ndarray, gram: int, window: int) -> np.ndarray:
+    gram = min(gram, window)
+    return sliding_min(mixed(rolling(x, gram)), window - gram + 1).view(np.int64)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -56,8 +58,8 @@ def _minimizers(docs: DataFrame, s: Shape) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        for b in batches:
-            found = [np.unique(_hashes(t, hasher, s)[1]) for t in b.column(2).to_pylist()]
+        for b in small(batches):
+            found = [np.unique(_minima(hasher(words(t)), s.gram, s.window)) for t in b.column(2).to_pylist()]
             if found:
                 doc = np.repeat(b.column(0).to_numpy(), [len(x) for x in found])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(doc)], ["m", "doc"])
@@ -65,121 +67,131 @@ def _minimizers(docs: DataFrame, s: Shape) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "m long, doc long")
 
 
-def _stretches(docs: DataFrame, s: Shape, test) -> DataFrame:
-    """(m, doc, row, start, windows): the stretches of windows whose minimizer passes ``test``, their hashes as 8-byte integers."""
+def _repeats(w: np.ndarray, doc: np.ndarray, key: np.ndarray | None = None) -> np.ndarray:
+    """Which windows also belong to a document of smaller id among those given."""
+    order = np.lexsort((doc, w) if key is None else (doc, w, key))
+    change = w[order][1:] != w[order][:-1]
+    if key is not None:
+        change |= key[order][1:] != key[order][:-1]
+    first = np.concatenate([[True], change])
+    out = np.empty(len(w), bool)
+    out[order] = doc[order] > doc[order][first][np.cumsum(first) - 1]
+    return out
+
+
+def _edges(*columns: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of every stretch in which all columns stay equal and ``pos`` rises by one."""
+    new = pos[1:] != pos[:-1] + 1
+    for c in columns:
+        new |= c[1:] != c[:-1]
+    first = np.flatnonzero(np.concatenate([[True], new]))
+    return first, np.append(first[1:], len(pos)) - 1
+
+
+_ROWS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("windows", pa.binary())])
+
+
+def _stretches(docs: DataFrame, s: Shape, shared, hot) -> DataFrame:
+    """Stretches of windows that may be repeated, with their hashes as 8-byte integers; without them, stretches known to be repeated."""
+
+    def out(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        w, key, doc, row, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+        sure = _repeats(w, doc)
+        if sure.any():
+            d, r, p = doc[sure], row[sure], pos[sure]
+            a, z = _edges(r, d, pos=p)
+            yield pa.RecordBatch.from_arrays([pa.array(d[a]), pa.array(d[a]), pa.array(r[a]), pa.array(p[a]), pa.array(p[z]), pa.nulls(len(a), pa.binary())], schema=_ROWS)
+        w, key, doc, row, pos = (c[~sure] for c in (w, key, doc, row, pos))
+        a, z = _edges(key, row, doc, pos=pos)
+        data = w.tobytes()
+        for k in range(0, len(a), 20_000):
+            i, j = a[k : k + 20_000], z[k : k + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(doc[i]), pa.array(row[i]), pa.array(pos[i]), pa.array(pos[j]), pa.array([data[8 * x : 8 * y + 8] for x, y in zip(i.tolist(), j.tolist(), strict=True)], pa.binary())], schema=_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for b in batches:
-            out: list[list] = [[], [], [], [], []]
+        hasher, parts, n = WordHasher(), [], 0
+        for b in small(batches):
             for doc, row, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                run_of, m = _hashes(text, hasher, s)
-                if not len(m):
+                x = hasher(words(text))
+                m = _minima(x, s.gram, s.window)
+                pos = np.flatnonzero(shared(m)) if len(m) else m
+                if not len(pos):
                     continue
-                first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
-                last = np.append(first[1:], len(m))
-                ok = np.flatnonzero(test(m[first]))
-                data = run_of.tobytes()
-                for k in ok.tolist():
-                    a, z = int(first[k]), int(last[k])
-                    for c, v in zip(out, (int(m[a]), doc, row, a, data[8 * a : 8 * z]), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["m", "doc", "row", "start", "windows"])
+                key = m[pos]
+                often = hot(key)
+                if often.any():
+                    key[often] = mixed((key[often] ^ _minima(x, s.long_gram, s.window)[pos[often]]).view(np.uint64)).view(np.int64)
+                parts.append((rolling(x, s.window).view(np.int64)[pos], key, np.full(len(pos), doc), np.full(len(pos), row), pos))
+                n += len(pos)
+                if n >= s.chunk:
+                    yield from out(parts)
+                    parts, n = [], 0
+        if parts:
+            yield from out(parts)
 
-    return _keyed(docs).mapInArrow(run, "m long, doc long, row long, start int, windows binary")
+    return _keyed(docs).mapInArrow(run, "key long, doc long, row long, first long, last long, windows binary")
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intervals of repeated windows (doc, row, first, last window) from stretches sorted by minimizer."""
-    for t in runs(batches, "m"):
+    """Stretches of repeated windows (doc, row, first, last) from stretches sorted by key."""
+    for t in runs(batches, "key"):
         data = t.column("windows").to_pylist()
         n = np.fromiter((len(x) // 8 for x in data), np.int64, len(data))
-        w = np.frombuffer(b"".join(data), np.int64)
-        m, doc, row, start = (t.column(c).to_numpy() for c in ("m", "doc", "row", "start"))
-        at = np.repeat(np.arange(len(n)), n)
-        pos = start[at] + np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
-        order = np.lexsort((doc[at], w, m[at]))
-        first = np.concatenate([[True], (w[order][1:] != w[order][:-1]) | (m[at][order][1:] != m[at][order][:-1])])
-        least = doc[at][order][first][np.cumsum(first) - 1]
-        hit = np.sort(order[doc[at][order] > least])
-        if not len(hit):
-            continue
-        new = np.concatenate([[True], (at[hit][1:] != at[hit][:-1]) | (pos[hit][1:] != pos[hit][:-1] + 1)])
-        head, tail = hit[new], hit[np.append(new[1:], True)]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[at[head]]), pa.array(row[at[head]]), pa.array(pos[head].astype(np.int64)), pa.array(pos[tail].astype(np.int64))], ["doc", "row", "first", "last"])
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(m, w, doc, row, pos) of every window of stretches."""
-    for b in batches:
-        data = b.column(4).to_pylist()
-        if not data:
-            continue
-        n = np.array([len(x) // 8 for x in data])
         at = np.repeat(np.arange(len(n)), n)
-        m, doc, row, start = (b.column(i).to_numpy() for i in range(4))
+        key, doc, row, start = (t.column(c).to_numpy() for c in ("key", "doc", "row", "first"))
         pos = start[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-        yield pa.RecordBatch.from_arrays([pa.array(m[at]), pa.array(np.frombuffer(b"".join(data), np.int64)), pa.array(doc[at]), pa.array(row[at]), pa.array(pos.astype(np.int64))], ["m", "w", "doc", "row", "pos"])
+        hit = np.flatnonzero(_repeats(np.frombuffer(b"".join(data), np.int64), doc[at], key[at]))
+        if len(hit):
+            a, z = _edges(at[hit], pos=pos[hit])
+            of = at[hit[a]]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(row[of]), pa.array(pos[hit[a]]), pa.array(pos[hit[z]])], ["doc", "row", "first", "last"])
 
 
 def repeated(docs: DataFrame, s: Shape = Shape()) -> DataFrame:
     """(doc, row, first, last): windows of each row that also start in a document of smaller id."""
     count = _minimizers(docs, s).groupBy("m").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"))
     shared = saved(count.where("low < high").select("m", "n"), "shared-minimizers")
-    many = shared.where(F.col("n") > s.hot).select("m")
-    bits, hot_bits = Bitmap(shared, F.col("m")), Bitmap(many, F.col("m"))
-    in_bits, in_hot = bits.tester(), hot_bits.tester()
-    schema = "doc long, row long, first long, last long"
-    usual = _stretches(docs, s, lambda m: in_bits(m) & ~in_hot(m)).repartition("m").sortWithinPartitions("m").mapInArrow(_judge, schema)
-    if not many.head(1):
-        return usual
-    each = _stretches(docs, s, in_hot).mapInArrow(_windows, "m long, w long, doc long, row long, pos long")
-    least = saved(each.groupBy("m", "w").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select(F.col("m").alias("lm"), F.col("w").alias("lw"), "low"), "hot-windows")
-    frequent = each.join(least, (F.col("m") == F.col("lm")) & (F.col("w") == F.col("lw")) & (F.col("doc") > F.col("low"))).select("doc", "row", F.col("pos").alias("first"), F.col("pos").alias("last"))
-    return usual.unionByName(frequent)
-
-
-def _spans(flags: np.ndarray, n: int, s: Shape) -> np.ndarray:
-    return covered(flags, s.window, n)
-
-
-def _cleaned(docs: DataFrame, s: Shape, finish, schema, key: str = "__key") -> DataFrame:
-    """``finish(batch, words by row, removed flags by row)`` over all rows; only rows that may lose words are shuffled."""
-    # neighbouring windows of one row become one interval before they are dealt to their row
+    many = shared.where(F.col("n") > s.hot)
+    stretches = saved(_stretches(docs, s, Bitmap(shared, F.col("m")).tester(), Bitmap(many, F.col("m")).tester()), "stretches")
+    left = stretches.where("windows is not null").repartition("key").sortWithinPartitions("key").mapInArrow(_judge, "doc long, row long, first long, last long")
+    return stretches.where("windows is null").select("doc", "row", "first", "last").unionByName(left)
+
+
+def _cleaned(docs: DataFrame, s: Shape, finish, schema) -> DataFrame:
+    """``finish(batch, flags)`` over all rows, ``flags(k)`` giving row k's words to remove (None: none); only rows that may lose words are shuffled."""
     spans = saved(repeated(docs, s), "repeated-windows")
     bits = Bitmap(spans, F.col("row"))
     per_row = spans.groupBy(F.col("row").alias("__row"), F.col("doc").alias("__doc")).agg(F.collect_list(F.struct("first", "last")).alias("__spans"))
-    clear, suspects = parted(docs, bits, False, key), parted(docs, bits, True, key)
-    names = docs.columns
-    same = (F.col(key) == F.col("__row")) & (F.coalesce(suspects["doc_id"].cast("long"), F.lit(LAST)) == F.col("__doc"))
-    joined = suspects.join(per_row, same, "left").drop(key, "__row", "__doc")
-    at = names.index("text")
+    suspects = suspected(docs, bits, row_key()).withColumn("__key", row_key()).withColumn("__of", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+    joined = suspects.join(per_row, (F.col("__key") == F.col("__row")) & (F.col("__of") == F.col("__doc")), "left").drop("__key", "__of", "__row", "__doc")
+    width = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            given = b.column(b.num_columns - 1) if b.num_columns > len(names) else None
-            kept, of = [], [words(t) for t in b.column(at).to_pylist()]
-            for k, w in enumerate(of):
+        for b in small(batches):
+            given = b.column(width) if b.num_columns > width else None
+
+            def flags(k: int, n: int) -> np.ndarray | None:
                 span = given[k].as_py() if given is not None else None
-                flags = None
-                if span:
-                    starts = np.concatenate([np.arange(x["first"], x["last"] + 1) for x in span])
-                    flags = _spans(np.unique(starts), len(w), s)
-                kept.append(flags)
-            yield finish(b.select(list(range(len(names)))), of, kept)
+                if not span:
+                    return None
+                return covered(np.unique(np.concatenate([np.arange(x["first"], x["last"] + 1) for x in span])), s.window, n)
+
+            yield finish(b.select(list(range(width))), flags)
 
-    return clear.drop(key).mapInArrow(run, schema).unionByName(joined.mapInArrow(run, schema))
+    return suspected(docs, bits, row_key(), False).mapInArrow(run, schema).unionByName(joined.mapInArrow(run, schema))
 
 
 def measured(docs: DataFrame, s: Shape = Shape()) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for each row of ``docs``."""
 
-    def finish(b: pa.RecordBatch, of: list, flags: list) -> pa.RecordBatch:
-        n = [len(w) for w in of]
-        gone = [0 if f is None else int(f.sum()) for f in flags]
-        sha = [hashlib.sha256(" ".join(w if f is None else [x for x, y in zip(w, f.tolist(), strict=True) if not y]).encode("utf-8", "surrogatepass")).hexdigest() for w, f in zip(of, flags, strict=True)]
+    def finish(b: pa.RecordBatch, flags) -> pa.RecordBatch:
+        rows = []
+        for k, text in enumerate(b.column(1).to_pylist()):
+            w = words(text)
+            f = flags(k, len(w))
+            kept = w if f is None else list(compress(w, (~f).tolist()))
+            rows.append((len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode("utf-8", "surrogatepass")).hexdigest()))
+        n, gone, sha = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     need = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -193,23 +205,25 @@ def removed(docs: DataFrame, s: Shape = Shape()) -> DataFrame:
     """
     names, schema = docs.columns, docs.schema
 
-    def cut(text: str, flags: np.ndarray) -> str:
-        from corvid.llm.textkernel import WORD
-
+    def cut(text: str, k: int, flags) -> str | None:
+        """The text without its removed words; None if none is left."""
         ends = [m.span() for m in WORD.finditer(text)]
-        edges = np.flatnonzero(np.diff(np.concatenate([[1], flags.astype(np.int8), [1]])))
-        return " ".join(text[ends[a][0] : ends[z - 1][1]] for a, z in edges.reshape(-1, 2).tolist())
+        f = flags(k, len(ends))
+        if f is None:
+            return text
+        edges = np.flatnonzero(np.diff(np.concatenate([[1], f.astype(np.int8), [1]])))
+        return " ".join(text[ends[a][0] : ends[z - 1][1]] for a, z in edges.reshape(-1, 2).tolist()) or None
 
-    def finish(b: pa.RecordBatch, of: list, flags: list) -> pa.RecordBatch:
+    def finish(b: pa.RecordBatch, flags) -> pa.RecordBatch:
         texts = b.column(names.index("text")).to_pylist()
-        new = [t if f is None else cut(t, f) for t, f in zip(texts, flags, strict=True)]
+        new = [t and cut(t, k, flags) for k, t in enumerate(texts)]
         columns = list(b.columns)
         columns[names.index("text")] = pa.array(new, columns[names.index("text")].type)
         if "n_chars" in names:
-            old = columns[names.index("n_chars")].to_pylist()
-            columns[names.index("n_chars")] = pa.array([o if f is None else len(t) for o, t, f in zip(old, new, flags, strict=True)], columns[names.index("n_chars")].type)
-        out = pa.RecordBatch.from_arrays(columns, names)
-        return out.filter(pa.array([f is None or not f.all() for f in flags], pa.bool_()))
+            at = names.index("n_chars")
+            columns[at] = pa.array([o if n == t else n and len(n) for o, n, t in zip(columns[at].to_pylist(), new, texts, strict=True)], columns[at].type)
+        lost = pa.array([bool(t) and n is None for t, n in zip(texts, new, strict=True)], pa.bool_())
+        return pa.RecordBatch.from_arrays(columns, names).filter(pc.invert(lost))
 
     return _cleaned(docs, s, finish, schema)
 

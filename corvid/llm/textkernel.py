@@ -22,20 +22,23 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text) if text else []
 
 
+class _Known(dict):
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
 class WordHasher:
-    """64-bit hashes of words, remembering up to ``limit`` words at a time."""
+    """64-bit hashes of words, remembering up to ``limit`` words between texts."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 200_000):
         self.limit = limit
-        self.known: dict[str, int] = {}
+        self.known = _Known()
 
     def __call__(self, items: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        for w in set(items).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(known.__getitem__, items), np.uint64, len(items))
+        if len(self.known) > self.limit:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, items), np.uint64, len(items))
 
 
 class Powers:
@@ -73,7 +76,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every run of ``width`` values, by doubling."""
+    """Minimum of every run of ``width`` values, by doubling; empty if there are fewer values."""
+    if len(x) < width:
+        return x[:0]
     out, have = x, 1
     while have < width:
         step = min(have, width - have)

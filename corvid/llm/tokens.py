@@ -23,6 +23,7 @@ import tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
+from corvid.llm.arrow import small
 from corvid.llm.scratch import fresh
 
 LIMIT = 2048
@@ -86,7 +87,7 @@ def counted(docs: DataFrame, cache_path: str, path: str | None = None, limit: in
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = Counter(path)
-        for b in batches:
+        for b in small(batches):
             n = [count(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["digest", "tokenizer", "n_tokens"])
 

@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from corvid.llm.arrow import small
+
 # Letters that look like Latin ones, signs that stand for letters, phrases that excuse a hit, and a first lexicon.
 LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "к": "k", "м": "m", "т": "t", "н": "h", "в": "b", "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "κ": "k", "ν": "v", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɡ": "g", "ℓ": "l"}
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
@@ -142,7 +144,7 @@ def learned(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Mod
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_of, bad = Counter(), Counter()
         total = [0, 0]
-        for b in batches:
+        for b in small(batches):
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 f = _features(text, s)
                 total[y > 0] += 1
@@ -173,7 +175,7 @@ def learned(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Mod
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([pa.array([scorer.weight(t) for t in b.column(0).to_pylist()], pa.float64()), b.column(1).cast(pa.int32())], ["x", "y"])
 
     xy = rows.mapInArrow(weigh, "x double, y int").toPandas().sort_values(["x", "y"])
@@ -186,7 +188,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for b in batches:
+        for b in small(batches):
             p = [scorer(t) for t in b.column(1).to_pylist()]
             held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0 for i in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.bool_()), pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
@@ -200,7 +202,7 @@ def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for b in batches:
+        for b in small(batches):
             yield b.filter(pa.array([scorer(t) < limit for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
