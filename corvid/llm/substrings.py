@@ -41,7 +41,7 @@ class Shape:
     gram: int = 12
     long_gram: int = 40
     hot: int = 200
-    chunk: int = 1_000_000  # windows judged together in a task
+    chunk: int = 400_000  # windows judged together in a task
 
 
 def _minima(x: np.ndarray, gram: int, window: int) -> np.ndarray:
