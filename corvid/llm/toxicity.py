@@ -165,8 +165,13 @@ def learned(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Mod
         return fallback
     prior = total.n_toxic / (total.n - total.n_toxic)
     odds = F.log((F.col("n_toxic") + 0.5 * prior) / (F.col("n") - F.col("n_toxic") + 0.5) / F.lit(prior))
-    top = counts.where("feature <> ''").select("feature", odds.alias("w")).where(F.col("w") >= s.least_odds).orderBy(F.desc("w"), "feature").limit(s.entries).collect()
+    top = counts.where("feature <> ''").select("feature", odds.alias("w"), "n_toxic").where(F.col("w") >= s.least_odds).orderBy(F.desc("w"), "feature").limit(s.entries).collect()
     counts.unpersist()
+    further: dict[str, int] = {}
+    for r in top:
+        for k in range(2, len(r.feature)):
+            further[r.feature[:k]] = max(further.get(r.feature[:k], 0), r.n_toxic)
+    top = [r for r in top if further.get(r.feature, 0) < 0.9 * r.n_toxic]  # a beginning that stands for one longer entry alone says less than that
     kept: dict[str, float] = {}
     for r in sorted(top, key=lambda r: (len(r.feature), r.feature)):  # a longer entry stays only if it says clearly more than a beginning of it
         if all(kept.get(r.feature[:k], -9.0) < r.w - 1.0 for k in range(2, len(r.feature))):
