@@ -12,6 +12,8 @@ without doc_id each give a row; an empty table gives an empty one.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
@@ -19,6 +21,7 @@ from pathlib import Path
 import public_tokenizers
 import pyarrow as pa
 import regex
+import tiktoken
 import tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
@@ -28,42 +31,74 @@ from corvid.llm.scratch import fresh
 
 LIMIT = 2048
 #: Texts with any of these go to the library whole: special strings, and characters whose lower case or class depends on more than the character.
+ODD_ASCII = re.compile("<\\||[\x1c-\x1f]")
 ODD = regex.compile("<\\||[\\x1c-\\x1f\\x85Σİ]|[^\\p{L}\\p{N}\\p{P}\\p{S}\\p{M}\\p{Z}\\s]")
+END = b"\xff"  # a byte that no UTF-8 text holds stands for the end of a word
 
 
 def tokenizer_digest(path: str) -> str:
     return hashlib.sha256(Path(path).read_bytes() + f"|tokenizers {tokenizers.__version__}".encode()).hexdigest()
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable Latin-1 for itself, the rest from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+def word_ranks(model: dict) -> dict[bytes, int] | None:
+    """A byte-level vocabulary with word ends as merge ranks, if its ids are in the order of its merges; else None."""
+    if model.get("type", "BPE") != "BPE" or model.get("end_of_word_suffix") != "</w>" or model.get("continuing_subword_prefix") or model.get("dropout"):
+        return None
+    vocab, letters, out = model["vocab"], byte_alphabet(), {}
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    ids = [vocab.get(a + b) for a, b in merges]
+    if None in ids or ids != sorted(ids) or len(set(ids)) < len(ids):
+        return None
+    for token, k in vocab.items():
+        body = token.removesuffix("</w>")
+        if any(c not in letters for c in body):
+            continue
+        out[bytes(letters[c] for c in body) + END * (body != token)] = k
+    return out
+
+
 class Counter:
-    """Counts tokens as the library does; for a tokenizer that splits at a pattern, each distinct piece is encoded once."""
+    """Counts tokens as the library does.
 
-    def __init__(self, path: str, limit: int = 400_000):
-        self.whole = Tokenizer.from_file(path)
-        self.limit, self.known = limit, {}
-        import json
+    Where the tokenizer splits at a pattern and merges within words, each distinct piece is counted once, by the
+    same merges; other tokenizers and texts go to the library itself.
+    """
 
+    def __init__(self, path: str, limit: int = 200_000):
+        self.path, self.limit, self.known, self.whole = path, limit, {}, None
         spec = json.loads(Path(path).read_text())
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-        self.split = regex.compile(splits[0]["pattern"]["Regex"]) if kinds == ["NFC", "Replace", "Lowercase"] and splits[0].get("type") == "Split" and splits[0]["behavior"] == "Removed" and splits[0]["invert"] else None
+        plain = kinds == ["NFC", "Replace", "Lowercase"] and splits[0].get("type") == "Split" and splits[0]["behavior"] == "Removed" and splits[0]["invert"]
+        ranks = word_ranks(spec["model"]) if plain else None
+        self.split = regex.compile(splits[0]["pattern"]["Regex"]) if ranks else None
+        self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece if ranks else None
 
     def library(self, text: str) -> int:
+        if self.whole is None:
+            self.whole = Tokenizer.from_file(self.path)
         return len(self.whole.encode(text, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> int:
-        if self.split is None or ODD.search(text):
+        if self.split is None or (ODD_ASCII if text.isascii() else ODD).search(text):
             return self.library(text)
-        known = self.known
-        pieces = self.split.findall(unicodedata.normalize("NFC", text).lower())
-        new = list(set(pieces).difference(known))
-        if new:
-            if len(known) > self.limit:
-                known.clear()
-                new = list(set(pieces))
-            for p, e in zip(new, self.whole.encode_batch(new, add_special_tokens=False), strict=True):
-                known[p] = len(e.ids)
-        return sum(map(known.__getitem__, pieces))
+        known, merge = self.known, self.merge
+        if len(known) > self.limit:
+            known.clear()
+        n = 0
+        for p in self.split.findall(text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()):
+            k = known.get(p)
+            if k is None:
+                k = known[p] = len(merge(p.encode() + END))
+            n += k
+        return n
 
 
 def normalised(text: Column) -> Column:
