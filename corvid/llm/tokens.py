@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
 from corvid.llm.arrow import small
-from corvid.llm.scratch import fresh
+from corvid.llm.scratch import fresh, saved
 
 LIMIT = 2048
 #: Texts with any of these go to the library whole: special strings, and characters whose lower case or class depends on more than the character.
@@ -127,7 +127,8 @@ def counted(docs: DataFrame, cache_path: str, path: str | None = None, limit: in
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["digest", "tokenizer", "n_tokens"])
 
     missing.mapInArrow(encode, "digest string, tokenizer string, n_tokens long").write.mode("append").parquet(cache_path)
-    out = keyed.drop("content").join(stored(), "digest")
+    # a table of its own, so that both sides of the join are plain exchanges and Spark can split a digest of very many copies
+    out = keyed.drop("content").join(saved(stored(), "counts"), "digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "digest")
 
 
