@@ -1,4 +1,435 @@
 """All queries of the engine by name, and the SQL that checks them."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from corvid.config import Settings
+from corvid.functions import text as T
+from corvid.functions.vectors import cosine
+from corvid.operators import chunks, embed, html, markdown, search, store
+from corvid.operators.ingest import chunked
+from corvid.sources import web
+from corvid.streaming.incremental import run_available
+
+SMALL = Settings(chunk_size=100, chunk_overlap=20)
+WHOLE = Settings()
+DIM = 768
+SP = "[\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{table}.parquet")
+
+
+def pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with the first part of their path as product."""
+    return web.pages(spark, f"{sf}/pages.parquet").select("url", "html", "content_hash", F.element_at(F.split("url", "/"), 4).alias("product"), F.lit(None).cast("string").alias("version"))
+
+
+def paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as pages, each non-empty line a section."""
+    rows = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("url"), F.col("source").alias("product"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return rows.withColumns({"title": F.col("url"), "heading": F.lit("")})
+
+
+def markdown_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as Markdown files: a heading and its text before every third line, a fence around every seventh."""
+    line = F.col("line")
+    made = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("## Part *"), i.cast("string"), F.lit("*\n"), x)).when(i % 7 == 1, F.concat(F.lit("```\n"), x, F.lit("\n```"))).otherwise(F.concat(F.lit("- "), x)))
+    del line
+    return read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("url"), F.concat(F.lit("---\ntitle: \"Doc "), F.col("doc_id").cast("string"), F.lit("\"\ndescription: d"), F.col("source"), F.lit("\n---\n"), F.array_join(made, "\n")).alias("markdown"))
+
+
+# --- vector search
+
+_KNN = """
+with q as (select cast(embedding as double[]) v from embeddings where vec_id = 0),
+s as (select vec_id, label, list_cosine_similarity(cast(embedding as double[]), q.v) score from embeddings, q where embedding is not null {where})
+select vec_id, label, round(score, 6) score from (select * from s order by score desc, vec_id limit {k}) {after}"""
+
+
+def _knn(spark: SparkSession, sf: str, k: int, label: int | None = None, least: float | None = None) -> DataFrame:
+    e = read(spark, sf, "embeddings")
+    q = e.where("vec_id = 0").select("embedding").first()[0]
+    found = search.nearest(e, q, k, label, least, ties=("vec_id",), product_col="label")
+    return found.select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query(_KNN.format(where="", k=10, after=""))
+def knn_topk(spark, sf):
+    return _knn(spark, sf, 10)
+
+
+@query(_KNN.format(where="and label = 3", k=5, after=""))
+def knn_topk_filtered(spark, sf):
+    return _knn(spark, sf, 5, 3)
+
+
+@query(_KNN.format(where="", k=20, after="where score >= 0.3"))
+def knn_min_score(spark, sf):
+    return _knn(spark, sf, 20, least=0.3)
+
+
+@query("""
+with q as (select vec_id query, cast(embedding as double[]) v from embeddings where vec_id < 20),
+s as (select query, e.vec_id, list_cosine_similarity(cast(e.embedding as double[]), q.v) score from embeddings e, q)
+select query, vec_id, round(score, 6) score, cast(r as integer) as rank from (select *, row_number() over (partition by query order by score desc, vec_id) r from s) where r <= 10""")
+def knn_batch(spark, sf):
+    """Twenty queries against all rows, in one pass."""
+    e = read(spark, sf, "embeddings")
+    q = {r.vec_id: r.embedding for r in e.where("vec_id < 20").select("vec_id", "embedding").collect()}
+    return search.nearest_each(e, q, 10).select("query", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("""
+select a.vec_id, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) score
+from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""")
+def cosine_pairs(spark, sf):
+    e = read(spark, sf, "embeddings").select("vec_id", "embedding")
+    n = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(n, "vec_id").select("vec_id", F.round(cosine(F.col("embedding"), F.col("other")), 6).alias("score"))
+
+
+@query()
+def ivf_topk(spark, sf):
+    e = read(spark, sf, "embeddings")
+    q = e.where("vec_id = 0").select("embedding").first()[0]
+    return search.CellIndex(e, lists=100).search(q, 10, probes=20, ties=("vec_id",)).select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+# --- hashes, addresses, sources
+
+@query("select url, sha256(html) content_hash from pages where html <> ''")
+def page_hash(spark, sf):
+    return pages(spark, sf).select("url", "content_hash")
+
+
+@query("select doc_id, sha256(text) content_hash from documents where length(trim(text)) >= 50")
+def doc_hash(spark, sf):
+    return web.sized(read(spark, sf, "documents"), "text").select("doc_id", "content_hash")
+
+
+@query("""
+select distinct url from (select url from pages union all select url || '.pdf' from pages union all select replace(url, '.net/', '.net/assets/') from pages)
+where starts_with(lower(url), 'http://') and not lower(url) like '%.pdf' and not lower(url) like '%.zip' and not contains(lower(url), '/assets/') and not contains(lower(url), '/images/')""")
+def page_url_filter(spark, sf):
+    url = read(spark, sf, "pages").select("url")
+    more = url.select(F.concat("url", F.lit(".pdf")).alias("url")).unionByName(url.select(F.regexp_replace("url", "\\.net/", ".net/assets/").alias("url")))
+    return web.filter_urls(url.unionByName(more), "HTTP://")
+
+
+@query("""
+with l as (select url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) href from pages)
+select url, regexp_replace(case when starts_with(href, '/') then regexp_extract(url, '^(https?://[^/]+)', 1) || href else href end, '#.*', '') link from l""")
+def page_links(spark, sf):
+    return html.parsed(pages(spark, sf)).select("url", F.explode("page.links").alias("link"))
+
+
+@query("""
+with recursive g as (select url src, unnest(list_distinct(list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda h: regexp_extract(url, '^(https?://[^/]+)', 1) || h))) dst from pages),
+r as (select min(url) url from pages union select dst from r join g on g.src = r.url join pages p on p.url = g.dst where regexp_extract(dst, '^(https?://[^/]+)', 1) = regexp_extract((select min(url) from pages), '^(https?://[^/]+)', 1))
+select url from r""")
+def link_bfs(spark, sf):
+    p = pages(spark, sf)
+    start = p.agg(F.min("url")).first()[0]
+    return web.reachable(web.link_graph(html.parsed(p)), start, most=100_000).select("url")
+
+
+@query("select 'https://docs.example.org/v1/' || source || '/' || doc_id || '/' as url, source || ' ' || doc_id as title from documents")
+def file_urls(spark, sf):
+    path = F.concat(F.lit("en/docs/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    named = F.concat(F.lit("x/"), F.col("source"), F.lit("-"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return read(spark, sf, "documents").select(T.doc_url(path, "en/docs", "https://docs.example.org/v1/").alias("url"), T.path_title(named).alias("title"))
+
+
+@query("select url from pages")
+def sitemap(spark, sf):
+    """An index of sitemaps, one for each product, that lists all pages."""
+    p = pages(spark, sf)
+    each = p.groupBy("product").agg(F.concat(F.lit("<urlset xmlns=\"http://www.sitemaps.org/schemas/sitemap/0.9\">"), F.array_join(F.transform(F.collect_list("url"), lambda u: F.concat(F.lit("<url><loc> "), u, F.lit(" </loc></url>"))), ""), F.lit("</urlset>")).alias("xml")).select(F.concat(F.lit("map-"), F.col("product")).alias("url"), "xml")
+    index = p.select("product").distinct().agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.transform(F.collect_list("product"), lambda u: F.concat(F.lit("<sitemap><loc>map-"), u, F.lit("</loc></sitemap>"))), ""), F.lit("</sitemapindex>")).alias("xml")).select(F.lit("index").alias("url"), "xml")
+    return web.sitemap_urls(index.unionByName(each), "index").select("url")
+
+
+@query("""
+select 'docs/' || source || '/' || doc_id || '.md' as path from documents
+where doc_id % 5 not in (1, 2, 3)""")
+def tree_listing(spark, sf):
+    """A repository tree of one file per document, some of them pictures, folders or of skipped folders."""
+    kind = F.col("doc_id") % 5
+    name = F.concat(F.lit("docs/"), F.when(kind == 1, F.lit("assets/")).otherwise(F.lit("")), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.when(kind == 2, F.lit(".png")).otherwise(F.lit(".md")))
+    item = F.struct(name.alias("path"), F.when(kind == 3, F.lit("tree")).otherwise(F.lit("blob")).alias("type"))
+    listing = read(spark, sf, "documents").groupBy("source").agg(F.collect_list(item).alias("tree"))
+    return web.tree_files(listing, "docs").select("path")
+
+
+# --- parsing
+
+_UNTAG = "replace(replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '&quot;', '\"'), '&amp;', '&')"
+_ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+_H1 = f"trim(regexp_replace(regexp_replace({_UNTAG.format(f'''regexp_extract({_ARTICLE}, '(?s)<h1>(.*?)</h1>', 1)''')}, '&amp?', '&', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("select url, trim(regexp_replace(regexp_replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;', '\"'), '&amp;', '&'), '&amp?', '&', 'g'), '\\s+', ' ', 'g')) title, '' as description from pages")
+def page_title(spark, sf):
+    return html.parsed(pages(spark, sf)).select("url", F.regexp_replace("page.title", "\\s+", " ").alias("title"), F.col("page.description").alias("description"))
+
+
+_SECTIONS = f"""
+with a as (select url, {_ARTICLE} x, {_H1} heading from pages),
+p as (select url, heading, list_filter(list_transform(string_split(regexp_replace(x, '(?s)<h1>.*?</h1>', ''), '<p>'),
+  lambda y: trim(regexp_replace(regexp_replace({_UNTAG.format('y')}, '&amp?', '&', 'g'), '\\s+', ' ', 'g'))), lambda y: y <> '') ps from a)
+select url, cast(0 as integer) pos, heading, array_to_string(ps, ' ') as text, cast(1 as integer) as level from p where length(array_to_string(ps, ' ')) > 20"""
+
+
+@query(_SECTIONS)
+def page_sections(spark, sf):
+    return html.sections(html.parsed(pages(spark, sf))).select("url", "pos", "heading", "text", "level")
+
+
+def _duck_clean(c: str) -> str:
+    for a, b in T.CLEAN:
+        a = a.replace(T.SPACE, SP).replace("'", "''")
+        c = f"regexp_replace({c}, '{a}', '{b.replace('$1', chr(92) + '1')}', 'g')"
+    return f"trim(regexp_replace({c}, '{SP}+', ' ', 'g'))"
+
+
+@query(f"""
+with l as (select doc_id, unnest(string_split(text, chr(10))) raw, unnest(range(len(string_split(text, chr(10))))) pos from documents),
+m as (select doc_id, pos, '- **' || raw || '** [a](b) `c` <i>d</i>' as raw from l),
+c as (select doc_id, pos, {_duck_clean('raw')} as text from m)
+select doc_id, cast(pos as integer) pos, text from c where length(text) > 3""")
+def md_clean_lines(spark, sf):
+    lines = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    return lines.select("doc_id", "pos", markdown.clean_line(F.concat(F.lit("- **"), F.col("raw"), F.lit("** [a](b) `c` <i>d</i>"))).alias("text")).where("text is not null")
+
+
+@query(f"""
+with l as (select doc_id, source, unnest(string_split(text, chr(10))) raw, unnest(range(len(string_split(text, chr(10))))) i from documents),
+m as (select *, i - i % 3 as head, case when i % 3 <> 0 and i % 7 = 1 then 1 else 0 end code, regexp_replace(raw, '{SP}+$', '') as line from l),
+t as (select doc_id, head, i, case when code = 1 and trim(line) <> '' then '[code: ' || substr(line, 1, 200) || ']'
+  when code = 1 or line = '' then null
+  else {_duck_clean("case when i % 3 = 0 then line else '- ' || line end")} end x, code from m),
+s as (select doc_id, head, trim(regexp_replace(coalesce(string_agg(x, ' ' order by i) filter (code = 1 or length(x) > 3), ''), '{SP}+', ' ', 'g')) as text from t group by doc_id, head)
+select cast(doc_id as varchar) url, 'Doc ' || doc_id title, 'Part ' || head as heading, text, cast(2 as integer) as level from s where length(text) > 20""")
+def md_sections(spark, sf):
+    return markdown.sections(markdown_files(spark, sf)).where("level = 2").select("url", "title", "heading", "text", "level")
+
+
+# --- chunks
+
+@query(f"""
+with s as (select doc_id, unnest(string_split(regexp_replace(text, '([.!?]){SP}+', '\\1' || chr(1), 'g'), chr(1))) sentence from documents)
+select doc_id, sentence from s where trim(sentence) <> '' and regexp_matches(sentence, '[^\\s]')""")
+def doc_sentences(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.explode(chunks.sentences(F.col("text"))).alias("sentence"))
+
+
+_PARTS = f"""
+with l as (select cast(doc_id as varchar) url, source product, unnest(string_split(text, chr(10))) raw, unnest(range(len(string_split(text, chr(10))))) pos from documents),
+x as (select url, product, pos, regexp_replace(raw, '^{SP}+|{SP}+$', '', 'g') as text from l),
+y as (select * from x where text <> ''),
+o as (select *, coalesce(lag(right(text, 80)) over (partition by url order by pos), '') as lead from y)"""
+
+
+@query(_PARTS + " select url, cast(pos as integer) pos, lead from o")
+def overlap_tail(spark, sf):
+    return chunks.with_overlap(paragraphs(spark, sf), SMALL).select("url", "pos", "lead")
+
+
+_CHUNKS = _PARTS + f""",
+s as (select *, list_filter(string_split(regexp_replace(text, '([.!?]){SP}+', '\\1' || chr(1), 'g'), chr(1)), lambda z: trim(z) <> '') ss from o),
+f as (select *, list_reduce(list_concat([{{'cur': case when lead <> '' then lead || ' ' else '' end, 'out': cast([] as varchar[])}}], list_transform(ss, lambda z: {{'cur': z, 'out': cast([] as varchar[])}})),
+  lambda a, b: case when ceil(length(a.cur || b.cur || ' ') / 4.0) > 100 and trim(a.cur) <> ''
+    then {{'cur': right(a.cur, 80) || ' ' || b.cur || ' ', 'out': list_append(a.out, trim(a.cur))}} else {{'cur': a.cur || b.cur || ' ', 'out': a.out}} end) r from s),
+c as (select url, product, pos, case when ceil(length(text) / 4.0) <= 100 then [case when lead <> '' then lead || ' ' || text else text end]
+  else list_append(r.out, trim(r.cur)) end parts from f),
+e as (select url, product, pos, unnest(parts) content, unnest(range(len(parts))) part from c),
+k as (select *, row_number() over (partition by url order by pos, part) - 1 i from e where ceil(length(content) / 4.0) >= 20)"""
+
+
+@query(_CHUNKS + " select url source_url, product, url title, url section, cast(i as integer) chunk_index, trim(content) as content from k")
+def doc_chunks(spark, sf):
+    return chunks.chunked(paragraphs(spark, sf), SMALL, "product")
+
+
+@query(_CHUNKS + " select url, count(*) chunk_count from k group by url")
+def chunk_counts(spark, sf):
+    return chunks.chunked(paragraphs(spark, sf), SMALL).groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("chunk_count"))
+
+
+# --- embedding and search over pages
+
+
+
+def page_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Page chunks of at most one section each: every page's leading text."""
+    return chunked(pages(spark, sf), WHOLE)
+
+
+_BAG = """
+d as (select source_url, product, 'b' || cast(b as varchar) as b, count(*) n from (select source_url, product, ('0x' || substr(md5(w), 1, 8))::bigint % 768 b from
+  (select source_url, product, unnest(list_filter(regexp_split_to_array(lower(t), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) w from docs)) group by all),
+q as (select 'b' || cast(b as varchar) as b, count(*) n from (select ('0x' || substr(md5(w), 1, 8))::bigint % 768 b from (select unnest(list_filter(regexp_split_to_array(lower({query}), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) w)) group by all),
+aa as (select source_url, sum(n * n) aa from d group by 1),
+s as (select d.source_url, any_value(d.product) product, sum(coalesce(d.n * q.n, 0)) / sqrt(any_value(aa.aa) * (select sum(n * n) from q)) score from d left join q using (b) join aa using (source_url) group by 1)"""
+
+_DOCS = "with docs as (select cast(doc_id as varchar) source_url, source product, text t from documents where text <> ''),"
+_QUESTION = "(select min(text) from benchmark)"
+
+
+def doc_vectors(spark: SparkSession, sf: str, p: embed.Provider) -> DataFrame:
+    """Documents as one chunk each."""
+    d = read(spark, sf, "documents").where("text <> ''")
+    return d.select(F.col("doc_id").cast("string").alias("source_url"), F.col("source").alias("product"), F.lit(0).alias("chunk_index"), p.column(F.col("text")).alias("embedding"))
+
+
+def _ask(spark, sf, text: str, k: int, product: str | None = None) -> DataFrame:
+    p = embed.Hashing(DIM)
+    found = search.nearest(doc_vectors(spark, sf, p), p.embed([text])[0], k, product)
+    return found.select("source_url", "product", F.round("score", 6).alias("score"))
+
+
+def _question(spark, sf) -> str:
+    return read(spark, sf, "benchmark").agg(F.min("text")).first()[0]
+
+
+def _sql(k: int, question: str, where: str = "") -> str:
+    return _DOCS + _BAG.replace("{query}", question) + f" select source_url, product, round(score, 6) score from (select * from s {where} order by score desc, source_url limit {k})"
+
+
+@query(_sql(5, _QUESTION))
+def search_docs(spark, sf):
+    return _ask(spark, sf, _question(spark, sf), 5)
+
+
+@query(_sql(5, f"'Source three: ' || {_QUESTION}", "where product = 'src3'"))
+def guide(spark, sf):
+    return _ask(spark, sf, f"Source three: {_question(spark, sf)}", 5, "src3")
+
+
+@query(_sql(8, _QUESTION))
+def explain(spark, sf):
+    return _ask(spark, sf, _question(spark, sf), 8)
+
+
+@query(_DOCS + _BAG.replace("{query}", "''").split("q as")[0].rstrip().rstrip(",") + " select source_url, cast(sum(n) as bigint) words, cast(sum(n * n) as bigint) squares, count(*) buckets from d group by 1")
+def chunk_embed(spark, sf):
+    """The embedding of every document, as its sum, its squared length and its number of filled buckets."""
+    v = F.transform("embedding", lambda x: x.cast("long"))
+    rows = doc_vectors(spark, sf, embed.Hashing(DIM)).select("source_url", v.alias("v"))
+    total = lambda f: F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + f(x))
+    return rows.select("source_url", total(lambda x: x).alias("words"), total(lambda x: x * x).alias("squares"), total(lambda x: F.when(x > 0, 1).otherwise(0).cast("long")).alias("buckets")).where("words > 0")
+
+
+@query()
+def page_search(spark, sf):
+    """Pages parsed, chunked, embedded and searched."""
+    p = embed.Hashing(DIM)
+    found = search.nearest(embed.embedded(page_rows(spark, sf), p).withColumn("id", F.lit("")), p.embed([_question(spark, sf)])[0], 8)
+    return search.results(found)
+
+
+# --- store
+
+def _old_new(spark, sf):
+    """Two snapshots of the documents: the old one lacks every fifth, and has other text in every third."""
+    d = read(spark, sf, "documents")
+    old = d.where("doc_id % 5 <> 0").select(F.col("doc_id").cast("string").alias("url"), F.sha2(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("page_hash"), F.timestamp_seconds("doc_id").alias("last_crawled"), F.lit(1).alias("chunk_count"))
+    new = d.select(F.col("doc_id").cast("string").alias("url"), F.sha2("text", 256).alias("content_hash"), "text", F.col("source").alias("product"))
+    return old, new
+
+
+def _chunk_rows(d: DataFrame, text) -> DataFrame:
+    blank = {k: F.lit(None).cast("string") for k in ("title", "section", "version", "content_hash")}
+    return d.select(F.col("doc_id").cast("string").alias("source_url"), F.lit(0).alias("chunk_index"), F.col("source").alias("product"), text.alias("content")).withColumns({**blank, "embedding": F.lit(None).cast("array<float>"), "id": F.concat(F.lit("i"), "source_url"), "created_at": F.timestamp_seconds(F.lit(0)), "updated_at": F.timestamp_seconds(F.lit(0))})
+
+
+@query("select cast(doc_id as varchar) url from documents where doc_id % 5 = 0 or doc_id % 3 = 0")
+def changed_pages(spark, sf):
+    old, new = _old_new(spark, sf)
+    return store.changed(new, old).select("url")
+
+
+_STATE = "select cast(doc_id as varchar) url, sha256(text) page_hash from documents"
+
+
+@query(_STATE)
+def crawl_state_upsert(spark, sf):
+    old, new = _old_new(spark, sf)
+    put = store.changed(new, old).select("url", F.col("content_hash").alias("page_hash"), F.lit(2).alias("chunk_count"))
+    return store.state_merged(old, put).select("url", "page_hash")
+
+
+@query("""
+select cast(doc_id as varchar) source_url, case when doc_id % 2 = 0 then text || '!' else text end as content,
+  case when doc_id % 3 = 0 then 'kept' else 'new' end as origin from documents where doc_id % 2 = 0 or doc_id % 3 = 0""")
+def upsert_chunks(spark, sf):
+    """Every third document is stored, every second comes anew: ids survive, contents are replaced."""
+    d = read(spark, sf, "documents")
+    out = store.merged(_chunk_rows(d.where("doc_id % 3 = 0"), F.col("text")), _chunk_rows(d.where("doc_id % 2 = 0"), F.concat("text", F.lit("!"))))
+    return out.select("source_url", "content", F.when(F.col("id") == F.concat(F.lit("i"), "source_url"), "kept").otherwise("new").alias("origin"))
+
+
+@query("select cast(doc_id as varchar) source_url, source product from documents where doc_id % 4 <> 1")
+def replace_pages(spark, sf):
+    """Every fourth page is replaced by nothing, the page after it by new chunks."""
+    d = read(spark, sf, "documents")
+    out = store.replaced(_chunk_rows(d, F.col("text")), _chunk_rows(d.where("doc_id % 4 = 2"), F.col("text")), d.where("doc_id % 4 in (1, 2)").select(F.col("doc_id").cast("string").alias("url")))
+    return out.select("source_url", "product")
+
+
+@query("select source product, count(*) n from documents group by 1")
+def stats_by_product(spark, sf):
+    return store.counts(_chunk_rows(read(spark, sf, "documents"), F.col("text")))
+
+
+@query("select source product, case when doc_id % 5 = 0 or doc_id % 3 = 0 then 'updated' else 'skipped' end status, count(*) n from documents group by all")
+def ingest_report(spark, sf):
+    old, new = _old_new(spark, sf)
+    known = old.select(F.col("url").alias("_u"), F.col("page_hash").alias("_h"))
+    marked = new.join(known, (F.col("url") == F.col("_u")) & (F.col("content_hash") == F.col("_h")), "left")
+    return marked.groupBy("product", F.when(F.col("_u").isNull(), "updated").otherwise("skipped").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("select url, last_crawled from (select cast(doc_id as varchar) url, to_timestamp(doc_id)::timestamp last_crawled from documents where doc_id % 5 <> 0) order by 2 desc")
+def crawl_state_scan(spark, sf):
+    return _old_new(spark, sf)[0].orderBy(F.desc("last_crawled"), "url").select("url", F.col("last_crawled").cast("timestamp_ntz").alias("last_crawled"))
+
+
+@query("select distinct regexp_extract(url, '^https?://[^/]+/([^/]+)', 1) id, upper(regexp_extract(url, '^https?://[^/]+/([^/]+)', 1)) as name from pages")
+def products(spark, sf):
+    return pages(spark, sf).select(F.col("product").alias("id"), F.upper("product").alias("name")).distinct()
+
+
+@query("select url, sha256(html) page_hash from pages where html <> ''")
+def stream_ingest(spark, sf):
+    """Pages through a stream into a store, and the state that it leaves."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    at = f"{shared.rstrip('/')}/corvid-stream-{uuid.uuid4().hex}"
+    kept = store.Store(spark, f"{at}/store", 64)
+    p = embed.Hashing(64)
+
+    def take(rows: DataFrame) -> None:
+        rows = rows.where("html <> ''").select("url", "html", F.sha2("html", 256).alias("content_hash"), F.element_at(F.split("url", "/"), 4).alias("product"), F.lit(None).cast("string").alias("version"))
+        new = store.changed(rows, kept.state())
+        kept.commit(state=store.state_merged(kept.state(), new.select("url", F.col("content_hash").alias("page_hash"), F.lit(0).alias("chunk_count"))))
+        kept.upsert(embed.embedded(chunked(new, WHOLE), p))
+
+    run_available(spark, sf, "page_id long, url string, html string", f"{at}/progress", take, only="pages.parquet")
+    return kept.state().select("url", "page_hash")
