@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvid.llm.arrow import runs
@@ -73,7 +74,35 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return flat.reshape(len(col), -1).astype(np.float64) if len(col) else np.zeros((0, 1))
 
 
-def _judge(first_cell, cells: Cells):
+def _prepared(vectors: DataFrame) -> DataFrame:
+    """(vec_id, key1, key2, v): sound vectors scaled by a power of two, and a 128-bit digest of them; null for others.
+
+    Such a scale leaves cosines as they are and keeps the squares of very large or small components finite.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys: list[list] = [[], []]
+            out = []
+            for v in b.column(1):
+                x = np.array(v.values.to_numpy(zero_copy_only=False), np.float64) if v.is_valid else np.zeros(0)
+                peak = np.abs(x).max(initial=0.0)
+                if not 0 < peak < np.inf:  # NaN compares false
+                    keys[0].append(None)
+                    keys[1].append(None)
+                    out.append(None)
+                    continue
+                x = np.ldexp(x, -int(np.frexp(peak)[1])) + 0.0  # and no negative zeros
+                h = xxhash.xxh3_128_digest(x.tobytes())
+                for k, part in zip(keys, (h[:8], h[8:]), strict=True):
+                    k.append(int.from_bytes(part, "little", signed=True))
+                out.append(x)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(k, pa.int64()) for k in keys), pa.array(out, pa.list_(pa.float64()))], ["vec_id", "key1", "key2", "v"])
+
+    return vectors.mapInArrow(run, "vec_id long, key1 long, key2 long, v array<double>")
+
+
+def _judge(cells: Cells):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "unit"):
             unit = t.column("unit").to_numpy()
@@ -129,15 +158,7 @@ def _judge(first_cell, cells: Cells):
 def deduplicated(vectors: DataFrame, cells: Cells = Cells(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of ``vectors``."""
     spark = vectors.sparkSession
-    v = F.col("v")
-    size = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
-    sound = F.coalesce((F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    # powers of two leave cosines as they are and keep the squares of very large or small vectors finite
-    peak = F.array_max(F.transform(v, F.abs))
-    scaled = F.transform(v, lambda x: x / F.pow(F.lit(2.0), F.floor(F.log2(peak))))
-    rows = rows.withColumn("v", F.when(sound & (peak > 0), scaled)).withColumn("key1", F.when(v.isNotNull(), F.xxhash64("v"))).withColumn("key2", F.when(v.isNotNull(), F.xxhash64(F.lit(1), "v")))
-    del size
+    rows = saved(_prepared(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))), "prepared-vectors")
     groups = saved(rows.where("v is not null").groupBy("key1", "key2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v")).withColumn("gid", F.xxhash64("key1", "key2")), "vectors")
     total = groups.count()
     if total:
@@ -172,7 +193,7 @@ def deduplicated(vectors: DataFrame, cells: Cells = Cells(), id_col: str = "vec_
     dealt = members.join(F.broadcast(count), "cell").withColumn("own", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     unit = F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))
     units = dealt.select(unit.alias("unit"), F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "cell", "gid", "n", "v", "of")
-    found = saved(units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_judge(None, cells), "gid long, root long, links long"), "vector-links")
+    found = saved(units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_judge(cells), "gid long, root long, links long"), "vector-links")
     node = components(found.select(F.col("gid").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("gid").agg(F.sum("links").alias("links"))
     owned = saved(groups.select("gid", "least").join(node, F.col("gid") == F.col("node")).select("gid", "least", "component"), "members")
