@@ -40,12 +40,15 @@ def sitemap_urls(maps: DataFrame, start: str, depth: int = 3) -> DataFrame:
 
     ``maps`` (url, xml) holds the fetched sitemap files.  A file that names further sitemaps counts as an index only.
     """
+    def plain(inner: Column, entity: str, sign: str) -> Column:
+        return F.transform(inner, lambda x: F.replace(x, F.lit(entity), F.lit(sign)))
+
     def loc(of: str) -> Column:
         """Trimmed, non-empty addresses directly in elements of that name; patterns, since real files are not always well-formed."""
         parts = F.regexp_extract_all("xml", F.lit(f"(?is)<{of}(?:\\s[^>]*)?>(.*?)</{of}\\s*>"), F.lit(1))
         inner = F.transform(parts, lambda x: F.regexp_extract(x, "(?is)<loc(?:\\s[^>]*)?>(?:\\s*<!\\[CDATA\\[)?(.*?)(?:\\]\\]>\\s*)?</loc\\s*>", 1))
         for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-            inner = F.transform(inner, lambda x, e=entity, c=sign: F.replace(x, F.lit(e), F.lit(c)))
+            inner = plain(inner, entity, sign)
         return F.filter(F.transform(inner, trim), lambda x: x != "")
 
     read = maps.select("url", loc("sitemap").alias("nested"), loc("url").alias("pages"))
