@@ -6,6 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def light(spark: SparkSession, rows: int = 512) -> None:
+    """Smaller Arrow batches for the session, unless it already has a setting below the default: rows here may be whole long texts,
+    and a batch lies in the executor's memory on either side of the pipe."""
+    if int(spark.conf.get(BATCH)) >= 10_000:
+        spark.conf.set(BATCH, str(rows))
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
-from corvid.llm.arrow import small
+from corvid.llm.arrow import light, small
 
 
 @dataclass(frozen=True)
@@ -162,6 +162,7 @@ def packed(docs: DataFrame, plan: Plan = Plan(), json_path: str | None = None, r
         if done:
             yield out()
 
+    light(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 

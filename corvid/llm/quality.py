@@ -16,7 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvid.llm.arrow import small
+from corvid.llm.arrow import light, small
 from corvid.llm.textkernel import WordHasher, repeated_words, words
 
 SYMBOLS = "#*$%&|<>"
@@ -93,6 +93,7 @@ def judged(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
             columns = [b.column(0), *(list(c) for c in zip(*found, strict=True))] if found else [b.column(0), *([] for _ in NAMES[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, list) else c.cast(t) for c, t in zip(columns, types, strict=True)], NAMES)
 
+    light(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 

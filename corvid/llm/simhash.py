@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvid.llm.arrow import runs, small
+from corvid.llm.arrow import light, runs, small
 from corvid.llm.bitmap import text_hash, without_rows
 from corvid.llm.components import components
 from corvid.llm.scratch import saved
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fp = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
+    light(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 

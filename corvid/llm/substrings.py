@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvid.llm.arrow import runs, small
+from corvid.llm.arrow import light, runs, small
 from corvid.llm.bitmap import Bitmap, row_key, suspected
 from corvid.llm.scratch import saved
 from corvid.llm.textkernel import WORD, WordHasher, covered, mixed, rolling, sliding_min, words
@@ -50,6 +50,7 @@ def _minima(x: np.ndarray, gram: int, window: int) -> np.ndarray:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    light(docs.sparkSession)
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), row_key().alias("row"), F.col("text").cast("string").alias("text"))
 
 

@@ -26,7 +26,7 @@ import tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tokenizers import Tokenizer
 
-from corvid.llm.arrow import small
+from corvid.llm.arrow import light, small
 from corvid.llm.scratch import fresh, saved
 
 LIMIT = 2048
@@ -109,6 +109,7 @@ def normalised(text: Column) -> Column:
 def counted(docs: DataFrame, cache_path: str, path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of ``docs``; appends what the cache lacked."""
     spark = docs.sparkSession
+    light(spark)
     path = path or public_tokenizers.path("word_bpe_49k.json")
     version = tokenizer_digest(path)
     content = normalised(F.col("text").cast("string"))

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corvid.llm.arrow import small
+from corvid.llm.arrow import light, small
 
 # Letters that look like Latin ones, signs that stand for letters, phrases that excuse a hit, and a first lexicon.
 LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "к": "k", "м": "m", "т": "t", "н": "h", "в": "b", "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "κ": "k", "ν": "v", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɡ": "g", "ℓ": "l"}
@@ -133,6 +133,7 @@ def learned(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Mod
     What reaches the driver is bounded: the sample's ids, ``entries`` lexicon lines, and two numbers for each sampled row.
     """
     spark = docs.sparkSession
+    light(spark)
     fallback = Model(tuple((f" {w} ", 3.0) for w in FIRST), 1.5, -2.0, s.length_scale)
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(remainder(F.col("doc_id")) != 0)
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample).collect()
@@ -198,6 +199,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0 for i in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.bool_()), pa.array(p, pa.float64()), pa.array([int(x >= 0.5) for x in p], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
+    light(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
@@ -210,6 +212,7 @@ def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFram
         for b in small(batches):
             yield b.filter(pa.array([scorer(t) < limit for t in b.column(at).to_pylist()], pa.bool_()))
 
+    light(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
