@@ -62,6 +62,19 @@ def suspected(df: DataFrame, bits: Bitmap, key: Column, inside: bool = True) ->
     return df.where(held.asNondeterministic()(key))
 
 
+def which(bitmaps: list[Bitmap], key: Column) -> Column:
+    """The number of the one bitmap that has the key's bit; -1 if several have it, -2 if none."""
+    tests = [b.tester() for b in bitmaps]
+
+    @F.pandas_udf("int")
+    def told(keys: pd.Series) -> pd.Series:
+        hit = np.stack([t(keys.to_numpy(np.int64)) for t in tests])
+        n = hit.sum(axis=0)
+        return pd.Series(np.where(n == 1, hit.argmax(axis=0), np.where(n > 1, -1, -2)).astype(np.int32))
+
+    return told.asNondeterministic()(key)
+
+
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id and text hash are in ``dropped``; only suspects are shuffled."""
     bits = Bitmap(dropped, F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text_hash"))

@@ -115,7 +115,7 @@ def render(role: str, text: str) -> str:
     return f"<|{role}|>\n{text}\n<|end|>\n"
 
 
-SCHEMA = "conv_id long, turn long, role string, n_lines long, rendered string"
+SCHEMA = "conv_id long, turn long, line long, role string, n_lines long, rendered string"
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -133,22 +133,22 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tup
 
 
 def _turns(rows: list[tuple], hmm: Viterbi, before: int | None, end: int | None) -> list[tuple]:
-    lines = [(r[2], *x) for r in rows for x in lines_of(r[3])]
-    states = hmm.decode(hmm.scores([x[1:] for x in lines]), before, end)
+    lines = [(r[2], k, *x) for r in rows for k, x in enumerate(lines_of(r[3]))]
+    states = hmm.decode(hmm.scores([x[2:] for x in lines]), before, end)
     out: list[list] = []
-    for (turn, _, _, text), s in zip(lines, states, strict=True):
+    for (turn, line, _, _, text), s in zip(lines, states, strict=True):
         if s < 3 or not out:
-            out.append([turn, ROLES[s % 3], []])
+            out.append([turn, line, ROLES[s % 3], []])
         out[-1][2].append(text.rstrip(" \t\r"))
-    return [(rows[0][0], turn, role, len(t), render(role, "\n".join(t).strip("\n"))) for turn, role, t in out]
+    return [(rows[0][0], turn, line, role, len(t), render(role, "\n".join(t).strip("\n"))) for turn, line, role, t in out]
 
 
 def parsed(rows: DataFrame, model: Model = Model(), block: int = 4096) -> DataFrame:
-    """One row per recovered turn of the transcripts in ``rows`` (conv_id, turn, text): where its first line stood, its role and its rendering.
+    """One row per recovered turn of the transcripts in ``rows`` (conv_id, turn, text): the row and line where it begins, its role and its rendering.
 
     ``turn`` orders the rows of a transcript; each holds one line or more.  A turn that runs on over a block's edge is rendered in a part for each block.
     """
-    names = ["conv_id", "turn", "role", "n_lines", "rendered"]
+    names = ["conv_id", "turn", "line", "role", "n_lines", "rendered"]
     base = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.floor(F.coalesce(F.col("turn").cast("long"), F.lit(0)) / block).cast("long").alias("block"), F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").alias("text")).distinct()
     base = saved(base, "transcript-rows")
     long = saved(base.groupBy("conv_id").agg(F.min("block").alias("a"), F.max("block").alias("z")).where("a < z").select(F.col("conv_id").alias("id")), "long-transcripts")
@@ -173,9 +173,7 @@ def parsed(rows: DataFrame, model: Model = Model(), block: int = 4096) -> DataFr
         hmm = Viterbi(model)
         for (conv, blk), g in _groups(batches):
             e = hmm.scores([x for r in g for x in lines_of(r[3])])
-            start = hmm.decode(e)  # only its score matters: a block may be the first
-            del start
-            first = (hmm.first[:, None] * 0 + hmm.first[None] + e[0])[:1]
+            first = (hmm.first + e[0])[None]  # scores of the block's states were it the first
             for x in e[1:]:
                 first = (first[:, :, None] + hmm.trans[None]).max(axis=1) + x
             yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([blk], pa.int64()), pa.array([hmm.matrix(e).ravel().tolist()], pa.list_(pa.float64())), pa.array([first.ravel().tolist()], pa.list_(pa.float64()))], ["conv_id", "block", "m", "first"])
@@ -221,7 +219,7 @@ def _by_conv(batches):
 
 
 def _types() -> pa.Schema:
-    return pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("n_lines", pa.int64()), ("rendered", pa.string())])
+    return pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("line", pa.int64()), ("role", pa.string()), ("n_lines", pa.int64()), ("rendered", pa.string())])
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
@@ -238,7 +236,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-select conv_id, turn, lower(role) as role,
+select conv_id, turn, cast(0 as bigint) as line, lower(role) as role,
        cast(len(string_split(text, chr(10))) + case when conv_id % 4 = 2 then 1 else 0 end as bigint) as n_lines,
        '<|' || lower(role) || '|>' || chr(10) || trim(regexp_replace(text, '[ \t\r]+(\n|$)', '\1', 'g'), chr(10)) || chr(10) || '<|end|>' || chr(10) as rendered
 from conversations"""

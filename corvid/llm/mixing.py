@@ -19,6 +19,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from corvid.llm.arrow import light
+from corvid.llm.bitmap import Bitmap, which
 from corvid.llm.scratch import saved
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -109,11 +111,20 @@ def resampled(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
     The mix counts words; of the one document in a shard that it cuts, the nearest whole number of copies is taken.
     """
-    rows = mixed(docs, mix).where("taken > 0")
-    times = saved(rows.groupBy("doc_id", "source", "size").agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("__times")).where(F.col("__times") > 0), "times").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "__times")
+    light(docs.sparkSession)
+    counted = mixed(docs, mix).withColumn("__times", F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int"))
+    key = lambda *c: F.xxhash64(*c)
+    times = saved(counted.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("__times").alias("__times")).withColumn("__key", key("__id", "__source", "__size")), "times")
+    # a row whose key is in one of the three bitmaps alone is told by it; only the others meet the table, so few texts are shuffled
+    bits = [Bitmap(times.where(F.least(F.col("__times"), F.lit(2)) == n), F.col("__key")) for n in range(3)]
     base = docs.withColumn("__words", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long"))
-    match = base["doc_id"].cast("long").eqNullSafe(times["__id"]) & base["source"].cast("string").eqNullSafe(times["__source"]) & (base["__words"] == times["__size"])
-    return base.join(times, match).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    base = base.withColumn("__told", which(bits, key(base["doc_id"].cast("long"), base["source"].cast("string"), F.col("__words"))))
+    clear = base.where("__told >= 1").withColumn("__times", F.col("__told"))
+    doubt = base.where("__told = -1")
+    match = doubt["doc_id"].cast("long").eqNullSafe(times["__id"]) & doubt["source"].cast("string").eqNullSafe(times["__source"]) & (doubt["__words"] == times["__size"])
+    found = doubt.join(times.where("__times > 0"), match)
+    out = clear.select(*docs.columns, "__times").unionByName(found.select(*docs.columns, "__times"))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
