@@ -139,7 +139,7 @@ def _turns(rows: list[tuple], hmm: Viterbi, before: int | None, end: int | None)
     for (turn, line, _, _, text), s in zip(lines, states, strict=True):
         if s < 3 or not out:
             out.append([turn, line, ROLES[s % 3], []])
-        out[-1][2].append(text.rstrip(" \t\r"))
+        out[-1][-1].append(text.rstrip(" \t\r"))
     return [(rows[0][0], turn, line, role, len(t), render(role, "\n".join(t).strip("\n"))) for turn, line, role, t in out]
 
 
