@@ -48,7 +48,7 @@ def tail_units(c: Column, n: int) -> Column:
     """The last n code units; the whole of a shorter text."""
     if n <= 0:
         return F.lit("")
-    long = F.when(units(c) == F.length(c), F.right(c, F.lit(n))).otherwise(F.decode(F.right(F.encode(c, "UTF-16BE"), F.lit(2 * n)), "UTF-16BE"))
+    long = F.when(units(c) == F.length(c), F.right(c, F.lit(n))).otherwise(F.decode(F.substring(F.encode(c, "UTF-16BE"), -2 * n, 2 * n), "UTF-16BE"))
     return F.when(units(c) <= n, c).otherwise(long)
 
 
