@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +43,13 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices, so that what Python makes of texts is held for few of them at a time."""
+    """The same rows in slices, so that what Python makes of texts is held for few of them at a time.
+
+    At the end a worker, which Spark keeps for further tasks, gives back the memory it no longer uses.
+    """
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # the C library may have no such call
+        ctypes.CDLL(None).malloc_trim(0)
