@@ -54,8 +54,9 @@ def classified(pages: DataFrame) -> DataFrame:
 def clean_line(line: Column) -> Column:
     """A text line's contribution, null if it has none."""
     bare = trim(line)
-    cleaned = clean_markdown(line)
-    return F.when((bare != "") & ~bare.startswith("<!--") & ~bare.rlike(IMAGE) & (units(cleaned) > 3), cleaned)
+    # within an array, so that the rewrites run once and not for every mention
+    cleaned = F.get(F.filter(F.array(clean_markdown(line)), lambda x: units(x) > 3), F.lit(0))
+    return F.when((bare != "") & ~bare.startswith("<!--") & ~bare.rlike(IMAGE), cleaned)
 
 
 def sections(files: DataFrame, *keep: str) -> DataFrame:
@@ -72,7 +73,7 @@ def sections(files: DataFrame, *keep: str) -> DataFrame:
     units_of = units_of.withColumn("text", F.when(F.col("coded"), code).when(F.col("n") > 0, F.col("joined")))
     built = units_of.groupBy("url", "section").agg(squeeze(F.array_join(ordered("text"), " ")).alias("text"), F.coalesce(F.max("heading"), F.lit("")).alias("heading"), F.coalesce(F.max("level"), F.lit(0)).alias("level")).where(units(F.col("text")) > 20)
     built = built.groupBy("url").agg(F.array_sort(F.collect_list(F.struct(F.col("section").cast("int").alias("pos"), "heading", "text", F.col("level").cast("int").alias("level")))).alias("parts"))
-    whole = clean_markdown(F.col("body"))
-    fallback = F.when(units(whole) > 30, F.array(F.struct(F.lit(0).alias("pos"), F.col("title").alias("heading"), whole.alias("text"), F.lit(1).alias("level"))))
+    whole = F.struct(F.lit(0).alias("pos"), F.col("title").alias("heading"), clean_markdown(F.col("body")).alias("text"), F.lit(1).alias("level"))
+    fallback = F.filter(F.array(whole), lambda s: units(s["text"]) > 30)
     out = pages.join(built, "url", "left").withColumn("parts", F.coalesce("parts", fallback))
     return out.select("url", *keep, "title", "description", F.explode("parts").alias("s")).select("url", *keep, "title", "description", "s.*")

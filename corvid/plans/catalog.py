@@ -36,6 +36,11 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def heavy(spark: SparkSession, sf: str, table: str, *columns: str) -> DataFrame:
+    """A table for work that is heavy in the row."""
+    return web.spread(read(spark, sf, table).select(*columns))
+
+
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     """Pages with the first part of their path as product."""
     return web.pages(spark, f"{sf}/pages.parquet").select("url", "html", "content_hash", F.element_at(F.split("url", "/"), 4).alias("product"), F.lit(None).cast("string").alias("version"))
@@ -215,7 +220,7 @@ m as (select doc_id, pos, '- **' || raw || '** [a](b) `c` <i>d</i>' as raw from
 c as (select doc_id, pos, {_duck_clean('raw')} as text from m)
 select doc_id, cast(pos as integer) pos, text from c where length(text) > 3""")
 def md_clean_lines(spark, sf):
-    lines = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    lines = heavy(spark, sf, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     return lines.select("doc_id", "pos", markdown.clean_line(F.concat(F.lit("- **"), F.col("raw"), F.lit("** [a](b) `c` <i>d</i>"))).alias("text")).where("text is not null")
 
 
@@ -295,7 +300,7 @@ _QUESTION = "(select min(text) from benchmark)"
 
 def doc_vectors(spark: SparkSession, sf: str, p: embed.Provider) -> DataFrame:
     """Documents as one chunk each."""
-    d = read(spark, sf, "documents").where("text <> ''")
+    d = heavy(spark, sf, "documents", "doc_id", "source", "text").where("text <> ''")
     return d.select(F.col("doc_id").cast("string").alias("source_url"), F.col("source").alias("product"), F.lit(0).alias("chunk_index"), p.column(F.col("text")).alias("embedding"))
 
 

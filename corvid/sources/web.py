@@ -128,9 +128,15 @@ def markdown_folder(spark: SparkSession, folder: str, root: str, base_url: str)
     return sized(files).select(doc_url(F.col("file_path"), root, base_url).alias("url"), "file_path", "markdown", "content_hash")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A stored table over all cores, for work that is heavy in the row; one that is already in enough parts stays as it is."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(n) if rows.rdd.getNumPartitions() < n else rows
+
+
 def pages(spark: SparkSession, path: str) -> DataFrame:
     """url, html, content_hash of stored pages; a page without a body is none."""
-    return spark.read.parquet(path).where("html is not null and html <> ''").withColumn("content_hash", F.sha2("html", 256))
+    return spread(spark.read.parquet(path).select("url", "html").where("html is not null and html <> ''")).withColumn("content_hash", F.sha2("html", 256))
 
 
 def fetch(url: str, retries: int = 3, delay: float = 1.0, timeout: float = 30, most: int = 10 << 20, sleep=time.sleep) -> tuple[str | None, str | None]:
