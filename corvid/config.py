@@ -6,6 +6,8 @@ import os
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
+from pyspark.sql import SparkSession
+
 
 class SettingsError(ValueError):
     """A setting is missing or out of range."""
@@ -43,3 +45,8 @@ class Settings:
             except ValueError as e:
                 raise SettingsError(f"{prefix}{f.name.upper()} must be a whole number: {raw!r}") from e
         return cls(**given)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``; a local one where it is unset, as in tests."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections import OrderedDict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from corvid.config import shared_folder
 from corvid.functions.text import snippet
 from corvid.functions.vectors import cosine_to, matrix
 
@@ -30,15 +33,19 @@ def nearest(rows: DataFrame, query: Sequence[float], limit: int = 10, product: s
     return out.where(F.col("score") >= min_score) if min_score else out
 
 
-def nearest_each(rows: DataFrame, queries: dict[int, Sequence[float]], limit: int = 10, key: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query, key, score, rank): the best rows of each query.
+def _query_blocks(queries: DataFrame, key: str, vector_col: str, block: int) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Ids and unit vectors of at most ``block`` queries at a time; the driver holds one partition and one block."""
+    rows = queries.where(F.col(key).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(key).cast("long"), F.col(vector_col).cast("array<double>")).toLocalIterator()
+    size = None
+    while part := list(islice(rows, block)):
+        size = size or len(part[0][1])
+        x, ok = matrix(pa.array([r[1] for r in part], pa.list_(pa.float64())), size)
+        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        ok &= norm[:, 0] > 0
+        yield [r[0] for r, y in zip(part, ok, strict=True) if y], x[ok] / norm[ok]
 
-    The queries go out with the function as one matrix; each task keeps its best of every query, so the shuffle has
-    tasks x queries x limit rows, however many rows there are.
-    """
-    ids = sorted(queries)
-    q = np.array([queries[i] for i in ids], float).reshape(len(ids), -1)
-    q = q / np.maximum(np.sqrt((q * q).sum(axis=1, keepdims=True)), 1e-300)
+
+def _best(rows: DataFrame, ids: list[int], q: np.ndarray, limit: int, key: str, vector_col: str) -> DataFrame:
     kept = rows.select(F.col(key).cast("long").alias(key), vector_col).where(F.col(vector_col).isNotNull())
 
     def run(batches):
@@ -61,6 +68,27 @@ def nearest_each(rows: DataFrame, queries: dict[int, Sequence[float]], limit: in
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= limit)
 
 
+def nearest_each(rows: DataFrame, queries: DataFrame, limit: int = 10, key: str = "vec_id", vector_col: str = "embedding", block: int = 2048) -> DataFrame:
+    """(query, key, score, rank): the best rows of each row of ``queries``, which has the same two columns.
+
+    A block of queries goes out with the function as one matrix; each task keeps its best of every query, so the
+    shuffle has tasks x queries x limit rows, however many rows there are.  Further blocks are further passes, each
+    appended to a table in the shared folder.  Queries and rows without direction, and queries of another length
+    than their block's first, are paired with none; where very many queries meet very many rows, use ``CellIndex``.
+    """
+    spark = rows.sparkSession
+    blocks = _query_blocks(queries, key, vector_col, block)
+    first, second = next(blocks, ([], np.zeros((0, 1)))), next(blocks, None)
+    found = _best(rows, *first, limit, key, vector_col)
+    if second is None:
+        return found
+    path = f"{shared_folder(spark)}/corvid-nearest-{uuid.uuid4().hex}"
+    found.write.parquet(path)
+    for b in chain([second], blocks):
+        _best(rows, *b, limit, key, vector_col).write.mode("append").parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
 def results(found: DataFrame) -> DataFrame:
     """What a search shows of a row: title, snippet, address, product, section and rounded score."""
     return found.select("title", snippet(F.col("content")).alias("snippet"), "source_url", "product", "section", F.round("score", 4).alias("score"))

@@ -182,6 +182,14 @@ def test_search(spark):
     assert [r.source_url for r in index.search([2.0, 0.0], 4, probes=3).collect()] == names()
 
 
+def test_batch_search_in_blocks(spark):
+    rows = spark.createDataFrame([(i, [float(i % 4), 1.0, float(i)]) for i in range(1, 12)] + [(90, [0.0, 0.0, 0.0]), (91, None), (92, [1.0])], "vec_id long, embedding array<double>")
+    whole = {tuple(r) for r in search.nearest_each(rows, rows, 3).collect()}
+    assert {tuple(r) for r in search.nearest_each(rows, rows, 3, block=3).collect()} == whole
+    assert len(whole) == 11 * 3 and all(q == k for q, k, _, rank in whole if rank == 1)
+    assert search.nearest_each(rows, rows.where("vec_id < 0"), 3).count() == 0
+
+
 def test_cache():
     now = [0.0]
     c = search.Cache(2, 10, lambda: now[0])
