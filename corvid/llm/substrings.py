@@ -9,7 +9,8 @@ repeated windows merge into maximal intervals of words to remove.
 Of equal windows within a chunk of a task's rows, all but those of the least id are repeated for certain; they
 stay in the task, and only the least goes on.  So a passage that a third of all documents share arrives once a
 chunk.  A minimizer of more than ``hot`` documents is joined by that of longer runs of words, which parts the
-different surroundings of a common passage.
+different surroundings of a common passage.  Stretches that would still meet in a group of more than ``crowd`` are
+taken apart: each window's least id is an aggregate, combined before the shuffle, and joined back to the windows.
 
 Defined cases: a null text has no words; a text shorter than a window keeps all its words; rows of one doc_id
 never remove each other's words; rows without doc_id count as of the largest id; an empty table gives an empty one.
@@ -41,6 +42,7 @@ class Shape:
     gram: int = 12
     long_gram: int = 40
     hot: int = 200
+    crowd: int = 256
     chunk: int = 400_000  # windows judged together in a task
 
 
@@ -148,14 +150,38 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(row[of]), pa.array(pos[hit[a]]), pa.array(pos[hit[z]])], ["doc", "row", "first", "last"])
 
 
+def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of the stretches as a row of its own."""
+    for b in batches:
+        data = b.column(4).to_pylist()
+        n = np.fromiter((len(x) // 8 for x in data), np.int64, len(data))
+        at = np.repeat(np.arange(len(n)), n)
+        key, doc, row, start = (b.column(i).to_numpy()[at] for i in range(4))
+        pos = start + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(data), np.int64)), *map(pa.array, (key, doc, row, pos))], ["w", "key", "doc", "row", "pos"])
+
+
+def _crowded(stretches: DataFrame) -> DataFrame:
+    """What ``_judge`` finds, for stretches of which very many share a key."""
+    one = saved(stretches.select("key", "doc", "row", "first", "windows").mapInArrow(_singles, "w long, key long, doc long, row long, pos long"), "single-windows")
+    # a table of its own, so that both sides of the join are plain exchanges and Spark can split a window of very many rows
+    low = saved(one.groupBy("w", "key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("w", "key", "low"), "first-documents")
+    return one.join(low, ["w", "key"]).where("doc > low").select("doc", "row", F.col("pos").alias("first"), F.col("pos").alias("last"))
+
+
 def repeated(docs: DataFrame, s: Shape = Shape()) -> DataFrame:
     """(doc, row, first, last): windows of each row that also start in a document of smaller id."""
     count = _minimizers(docs, s).groupBy("m").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n"))
     shared = saved(count.where("low < high").select("m", "n"), "shared-minimizers")
     many = shared.where(F.col("n") > s.hot)
     stretches = saved(_stretches(docs, s, Bitmap(shared, F.col("m")).tester(), Bitmap(many, F.col("m")).tester()), "stretches")
-    left = stretches.where("windows is not null").repartition("key").sortWithinPartitions("key").mapInArrow(_judge, "doc long, row long, first long, last long")
-    return stretches.where("windows is null").select("doc", "row", "first", "last").unionByName(left)
+    sure, left = stretches.where("windows is null").select("doc", "row", "first", "last"), stretches.where("windows is not null")
+    crowds = saved(left.groupBy("key").count().where(F.col("count") > s.crowd).select("key"), "crowded-keys")
+    if crowds.head(1):  # a key goes one way or the other as a whole, so a bit set by chance does no harm
+        bits = Bitmap(crowds, F.col("key"))
+        sure = sure.unionByName(_crowded(suspected(left, bits, F.col("key"))))
+        left = suspected(left, bits, F.col("key"), False)
+    return sure.unionByName(left.repartition("key").sortWithinPartitions("key").mapInArrow(_judge, "doc long, row long, first long, last long"))
 
 
 def _cleaned(docs: DataFrame, s: Shape, finish, schema) -> DataFrame:

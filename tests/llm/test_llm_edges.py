@@ -110,7 +110,7 @@ def test_substrings(docs):
     assert not any(i == 7 and PASSAGE in (t or "") for i, t in texts)
 
 
-@pytest.mark.parametrize("shape", [substrings.Shape(window=6, gram=3, long_gram=5, hot=2, chunk=40), substrings.Shape(window=4, gram=4, long_gram=4, hot=1, chunk=7)])
+@pytest.mark.parametrize("shape", [substrings.Shape(window=6, gram=3, long_gram=5, hot=2, chunk=40), substrings.Shape(window=4, gram=4, long_gram=4, hot=1, chunk=7), substrings.Shape(window=6, gram=3, long_gram=5, hot=2, crowd=1, chunk=40), substrings.Shape(window=5, gram=2, long_gram=3, hot=4, crowd=8, chunk=7)])
 def test_substrings_against_brute_force(spark, shape):
     rng = np.random.default_rng(11)
     rows = [(i, " ".join(rng.choice(list("abcd"), rng.integers(0, 30)))) for i in range(120)]
