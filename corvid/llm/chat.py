@@ -4,7 +4,8 @@ Each line of a transcript is in one of six states: the first line of a turn, or
 assistant.  A line shows a speaker marker of some kind or none, and a few features (blank, a question, long).
 Viterbi finds the likeliest states of the whole transcript; turns are then rendered in one canonical form.
 
-A transcript is cut into blocks of ``block`` rows, so a very long one is spread: each block sums up its lines in
+A transcript of more than ``block`` rows is spread: its rows are dealt by ranges of their order, whatever their turn
+numbers, and cut into blocks of at most so many; each block sums up its lines in
 a 6 x 6 matrix of best path scores, those matrices (one a block) give the best state at every block's edges, and
 each block is then decoded between its edges.  The states are those of Viterbi over the whole.
 
@@ -16,11 +17,14 @@ transcript's id are one transcript; other columns are ignored; an empty table gi
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvid.llm.scratch import saved
@@ -149,9 +153,9 @@ def parsed(rows: DataFrame, model: Model = Model(), block: int = 4096) -> DataFr
     ``turn`` orders the rows of a transcript; each holds one line or more.  A turn that runs on over a block's edge is rendered in a part for each block.
     """
     names = ["conv_id", "turn", "line", "role", "n_lines", "rendered"]
-    base = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.floor(F.coalesce(F.col("turn").cast("long"), F.lit(0)) / block).cast("long").alias("block"), F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").alias("text")).distinct()
+    base = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.lit(0).cast("long").alias("block"), F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").alias("text")).distinct()
     base = saved(base, "transcript-rows")
-    long = saved(base.groupBy("conv_id").agg(F.min("block").alias("a"), F.max("block").alias("z")).where("a < z").select(F.col("conv_id").alias("id")), "long-transcripts")
+    long = saved(base.groupBy("conv_id").count().where(F.col("count") > block).select(F.col("conv_id").alias("id")), "long-transcripts")
     order = lambda df, *extra: df.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "text", *extra)
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +171,17 @@ def parsed(rows: DataFrame, model: Model = Model(), block: int = 4096) -> DataFr
     if not long.head(1):
         return order(base).mapInArrow(alone, SCHEMA)
     short = base.join(long, base["conv_id"].eqNullSafe(long["id"]), "left_anti")
-    spread = saved(base.join(long, base["conv_id"].eqNullSafe(long["id"]), "left_semi"), "long-rows")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks by a task's number and the place in it, so their order is that of the rows."""
+        at, n = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            blocks = at + (n + np.arange(b.num_rows)) // block
+            n += b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blocks), b.column(2), b.column(3)], ["conv_id", "block", "turn", "text"])
+
+    place = ["conv_id", "turn", "text"]
+    spread = base.join(long, base["conv_id"].eqNullSafe(long["id"]), "left_semi").select("conv_id", "block", "turn", "text")
+    spread = saved(spread.repartitionByRange(*place).sortWithinPartitions(*place).mapInArrow(cut, "conv_id long, block long, turn long, text string"), "long-rows")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hmm = Viterbi(model)
@@ -181,17 +195,26 @@ def parsed(rows: DataFrame, model: Model = Model(), block: int = 4096) -> DataFr
     sums = saved(order(spread).mapInArrow(summed, "conv_id long, block long, m array<double>, first array<double>"), "block-sums")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best state ahead of each block and at its end; a block takes 14 bytes of memory."""
         for conv, g in _by_conv(batches):
-            at, back = np.array(g[0][3]), []
-            for r in g[1:]:
-                step = at[:, None] + np.array(r[2]).reshape(6, 6)
-                back.append(step.argmax(axis=0))
+            blocks, back, at = array("q"), bytearray(), None
+            for _, blk, m, first in g:
+                blocks.append(blk)
+                if at is None:
+                    at = np.array(first)
+                    continue
+                step = at[:, None] + np.array(m).reshape(6, 6)
+                back += step.argmax(axis=0).astype(np.int8).tobytes()
                 at = step.max(axis=0)
-            ends = [int(at.argmax())]
-            for b in reversed(back):
-                ends.append(int(b[ends[-1]]))
-            ends.reverse()
-            yield pa.RecordBatch.from_arrays([pa.array([conv] * len(g), pa.int64()), pa.array([r[1] for r in g], pa.int64()), pa.array([-1, *ends[:-1]], pa.int32()), pa.array(ends, pa.int32())], ["c", "b", "before", "end"])
+            ends = np.empty(len(blocks), np.int32)
+            ends[-1] = at.argmax()
+            for i in range(len(blocks) - 2, -1, -1):
+                ends[i] = back[6 * i + ends[i + 1]]
+            before = np.concatenate([np.array([-1], np.int32), ends[:-1]])
+            for k in range(0, len(blocks), 20_000):
+                part = slice(k, k + 20_000)
+                n = len(ends[part])
+                yield pa.RecordBatch.from_arrays([pa.array([conv] * n, pa.int64()), pa.array(np.array(blocks[part], np.int64)), pa.array(before[part]), pa.array(ends[part])], ["c", "b", "before", "end"])
 
     edge = saved(sums.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(edges, "c long, b long, before int, end int"), "block-edges")
     framed = spread.join(edge, spread["conv_id"].eqNullSafe(edge["c"]) & (spread["block"] == edge["b"])).select("conv_id", "block", "turn", "text", "before", "end")
@@ -205,17 +228,9 @@ def parsed(rows: DataFrame, model: Model = Model(), block: int = 4096) -> DataFr
     return order(short).mapInArrow(alone, SCHEMA).unionByName(order(framed).mapInArrow(between, SCHEMA))
 
 
-def _by_conv(batches):
-    key, rows = object(), []
-    for b in batches:
-        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if r[0] != key:
-                if rows:
-                    yield key, rows
-                key, rows = r[0], []
-            rows.append(r)
-    if rows:
-        yield key, rows
+def _by_conv(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, Iterator[tuple]]]:
+    """Runs of rows of one transcript, each a stream."""
+    return groupby((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
 
 
 def _types() -> pa.Schema:

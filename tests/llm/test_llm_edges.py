@@ -185,6 +185,16 @@ def test_chat_blocks_decode_as_the_whole(spark):
     assert roles(7) == roles(4096)
 
 
+@pytest.mark.parametrize("conv", [None, 3])
+def test_chat_of_many_rows_at_one_place(spark, conv):
+    rng = np.random.default_rng(6)
+    rows = [(conv, None if k % 3 else 0, f"{rng.choice(['User: ', 'AI: ', 'Speaker: ', '', 'also '])}{k:03d}{rng.choice(['', '?'])}") for k in range(300)]
+    rows += [(k, 0, f"User: {k}") for k in range(4, 40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(5)
+    roles = lambda block: sorted((-1 if r.conv_id is None else r.conv_id, r.role, line) for r in chat.parsed(df, block=block).collect() for line in r.rendered.split("\n")[1:-2])
+    assert roles(11) == roles(4096) and len(roles(11)) == 336
+
+
 def test_karmarkar_karp():
     owner, sums = packing.differencing([8, 7, 6, 5, 4], 2)
     assert sorted(sums.tolist()) == [14, 16] and len(owner) == 5
