@@ -1,4 +1,4 @@
-"""The corpus pipeline: toxicity, SimHash near-dedup, substring dedup, mixing, packing.
+"""The corpus pipeline: toxicity, near-dedup by five-word shingles, substring dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
 """
@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvid.llm import mixing, packing, simhash, substrings, toxicity
+from corvid.llm import mixing, nearcopies, packing, substrings, toxicity
 from corvid.llm.scratch import fresh
 
 
@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return nearcopies.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
