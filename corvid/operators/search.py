@@ -45,8 +45,9 @@ def _query_blocks(queries: DataFrame, key: str, vector_col: str, block: int) ->
         yield [r[0] for r, y in zip(part, ok, strict=True) if y], x[ok] / norm[ok]
 
 
-def _best(rows: DataFrame, ids: list[int], q: np.ndarray, limit: int, key: str, vector_col: str) -> DataFrame:
-    kept = rows.select(F.col(key).cast("long").alias(key), vector_col).where(F.col(vector_col).isNotNull())
+def _best(rows: DataFrame, ids: list[int], q: np.ndarray, limit: int, key: str, vector_col: str, asking: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """Without ``asking`` every query meets every row; else a row of cell c meets the queries at ``asking[c]``."""
+    kept = rows.select(F.col(key).cast("long").alias(key), vector_col, *([] if asking is None else ["cell"])).where(F.col(vector_col).isNotNull())
 
     def run(batches):
         best = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
@@ -54,11 +55,15 @@ def _best(rows: DataFrame, ids: list[int], q: np.ndarray, limit: int, key: str,
             x, ok = matrix(b.column(1), q.shape[1])
             norm = np.sqrt((x * x).sum(axis=1))
             ok &= norm > 0
-            k, s = b.column(0).to_numpy()[ok], (x[ok] / norm[ok, None]) @ q.T
-            for j in range(len(ids)):
-                kk, ss = np.append(best[j][0], k), np.append(best[j][1], s[:, j])
-                top = np.lexsort((kk, -ss))[:limit]
-                best[j] = kk[top], ss[top]
+            every, unit = b.column(0).to_numpy()[ok], x[ok] / norm[ok, None]
+            cell = None if asking is None else b.column(2).to_numpy()[ok]
+            groups = [(slice(None), np.arange(len(ids)))] if asking is None else [(cell == c, asking[c]) for c in np.unique(cell).tolist() if c in asking]
+            for at, who in groups:
+                k, s = every[at], unit[at] @ q[who].T
+                for i, j in enumerate(who.tolist()):
+                    kk, ss = np.append(best[j][0], k), np.append(best[j][1], s[:, i])
+                    top = np.lexsort((kk, -ss))[:limit]
+                    best[j] = kk[top], ss[top]
         out = [(i, k, s) for i, (kk, ss) in zip(ids, best, strict=True) for k, s in zip(kk.tolist(), ss.tolist(), strict=True)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["query", key, "score"])
@@ -126,6 +131,21 @@ class CellIndex:
         near = np.argsort(-(self.centroids @ np.asarray(query, float)), kind="stable")[:probes] if len(self.centroids) else []
         return nearest(self.rows.where(F.col("cell").isin([int(k) for k in near])).drop("cell"), query, limit, vector_col=self.vector_col, **options)
 
+    def search_each(self, queries: DataFrame, limit: int = 10, probes: int = 10, key: str = "vec_id", block: int = 2048) -> DataFrame:
+        """(query, key, score, rank) as ``nearest_each``, each query over the rows of its ``probes`` nearest cells."""
+        out = None
+        for ids, q in chain(_query_blocks(queries, key, self.vector_col, block), [([], np.zeros((0, 1)))]):
+            if out is None or ids:
+                near = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :probes] if len(ids) else np.zeros((0, 1), int)
+                asking = {c: np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near).tolist()}
+                found = _best(self.rows, ids, q, limit, key, self.vector_col, asking)
+                if out is None and len(ids) < block:
+                    return found
+                path = path if out is not None else f"{shared_folder(queries.sparkSession)}/corvid-nearest-{uuid.uuid4().hex}"
+                found.write.mode("append").parquet(path)
+                out = queries.sparkSession.read.schema(found.schema).parquet(path)
+        return out
+
 
 class Cache:
     """Results by key, least recently used out first, none older than ``seconds``; a hit does not lengthen a life."""

@@ -17,6 +17,7 @@ from corvid.streaming.incremental import run_available
 SMALL = Settings(chunk_size=100, chunk_overlap=20)
 WHOLE = Settings()
 DIM = 768
+PROBES = 65
 SP = "[\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -111,9 +112,10 @@ def cosine_pairs(spark, sf):
 
 @query()
 def ivf_topk(spark, sf):
+    """Every fiftieth row through the cell index; PROBES of its 100 cells find at least 0.9 of what ``knn_batch`` finds."""
     e = read(spark, sf, "embeddings")
-    q = e.where("vec_id = 0").select("embedding").first()[0]
-    return search.CellIndex(e, lists=100).search(q, 10, probes=20, ties=("vec_id",)).select("vec_id", "label", F.round("score", 6).alias("score"))
+    found = search.CellIndex(e, lists=100).search_each(e.where("vec_id % 50 = 0"), 10, PROBES)
+    return found.select("query", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 # --- hashes, addresses, sources
