@@ -54,11 +54,13 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT = "(?m)^[ \\t]*(copyright|\\(c\\)|©|all rights reserved)[^\\n]*$"
+# Only what states a copyright: a body line of a wrapped licence may begin with "copyright notice" or "(c) you must".
+STATEMENT = "(?m)^[ \\t]*(copyright[ \\t]*(\\(c\\)|©|[0-9]|<|\\[|\\{)[^\\n]*|(\\(c\\)|©)[ \\t]*(copyright|[0-9]|<|\\[|\\{)[^\\n]*|all rights reserved[. \\t\\r]*)$"
 
 
-def canonical(text: Column) -> Column:
+def canonical(text: Column, dropped: str = COPYRIGHT) -> Column:
     """A-Z lowered, copyright lines gone, one space for what is neither letter nor digit, one spelling for equivalents."""
-    x = F.regexp_replace(F.translate(text, UPPER, LOWER), COPYRIGHT, "")
+    x = F.regexp_replace(F.translate(text, UPPER, LOWER), dropped, "")
     x = F.trim(F.regexp_replace(x, "[^\\p{L}\\p{N}]+", " "))
     return reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), SPELLINGS, x)
 
@@ -66,7 +68,8 @@ def canonical(text: Column) -> Column:
 def known(spark: SparkSession, texts=KNOWN) -> DataFrame:
     """(digest, licence, size) of the known texts; one licence for each digest.  A fixed list, so small enough to broadcast."""
     rows = F.inline(F.array(*(F.struct(F.lit(a).alias("licence"), F.lit(b).alias("text")) for a, b in texts)))
-    return spark.range(1).select(rows).select("licence", canonical(F.col("text")).alias("c")).groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("licence").alias("licence"), F.min(F.length("c")).alias("size"))
+    forms = F.explode(F.array(canonical(F.col("text")), canonical(F.col("text"), STATEMENT))).alias("c")
+    return spark.range(1).select(rows).select("licence", forms).groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("licence").alias("licence"), F.min(F.length("c")).alias("size"))
 
 
 def scanned(docs: DataFrame, texts=KNOWN) -> DataFrame:
@@ -75,7 +78,10 @@ def scanned(docs: DataFrame, texts=KNOWN) -> DataFrame:
     table = F.broadcast(known(spark, texts))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sizes = [r[0] for r in known(spark, texts).select("size").distinct().collect()]
-    whole = base.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(table.select("digest", "licence"), "digest", "left")
+    # ``digest`` drops every line that begins with "copyright"; where there is one, the text is also looked up with statements alone dropped
+    strict = F.when(F.col("text").rlike("(?i)" + COPYRIGHT), F.sha2(canonical(F.col("text"), STATEMENT), 256)).alias("strict")
+    whole = base.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), strict).join(table.select("digest", F.col("licence").alias("loose")), "digest", "left")
+    whole = whole.join(table.select(F.col("digest").alias("strict"), F.col("licence").alias("exact")), "strict", "left").withColumn("licence", F.coalesce("exact", "loose"))
     # a copyright line or other characters may go, letters and digits of other lines stay: a line is no known text unless its canonical length is one of theirs
     lines = base.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= min(sizes)).select("doc_id", canonical(F.col("line")).alias("c"))
     found = lines.where(F.length("c").isin(sizes)).select("doc_id", F.sha2("c", 256).alias("digest")).join(table.select("digest", "licence"), "digest").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("notices"))
