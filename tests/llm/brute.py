@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -111,3 +112,26 @@ def vectors(rows):
         n[b] += 1
     c = components([i for i, _ in rows], pairs)
     return {i: (n[i], c[i]) for i, _ in rows}
+
+
+def viterbi(lines, m):
+    """The likeliest (role, starts a turn) of each line; ``lines``: (marker kind, features).  Every path's probability, line by line, in a table of dicts."""
+    states = [(r, new) for new in (True, False) for r in range(3)]
+
+    def shown(state, line):
+        (r, new), (kind, bits) = state, line
+        p = (m.bare_start, *(m.named if k == r else m.wrong for k in range(3)), m.unnamed)[kind] if new else (m.inside, *[m.marked_inside] * 4)[kind]
+        for bit, q in ((1, m.question), (2, m.blank), (4, m.long)):
+            q = q[r] if new else q[3]
+            p *= q if bits & bit else 1 - q
+        return math.log(p)
+
+    def moved(a, b):
+        if b[1]:
+            return math.log(m.turn_ends) + math.log(m.following[a[0]][b[0]])
+        return math.log(1 - m.turn_ends) if a[0] == b[0] else -math.inf
+
+    best = {s: (math.log(m.first[s[0]]) + shown(s, lines[0]) if s[1] else -math.inf, [s]) for s in states}
+    for line in lines[1:]:
+        best = {s: max(((best[a][0] + moved(a, s) + shown(s, line), [*best[a][1], s]) for a in states), key=lambda x: x[0]) for s in states}
+    return max(best.values(), key=lambda x: x[0])

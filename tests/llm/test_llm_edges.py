@@ -169,32 +169,6 @@ def test_embeddings_many_cells_and_blocks(spark):
     assert sum(r.n_links for r in cells) >= 0.9 * sum(n for n, _ in want.values())
 
 
-def test_chat(spark):
-    rows = [(1, 0, "User: hi\nthere?"), (1, 1, "Assistant: yes\n\nmore  "), (1, 1, "Assistant: yes\n\nmore  "), (2, 0, None), (None, 0, "Human: a"), (3, None, "no marker"), (4, 0, "Speaker 1: hello?\nSpeaker 2: hello.\nSpeaker 1: bye?")]
-    got = sorted((r.conv_id or 0, r.turn or 0, r.line, r.role, r.rendered) for r in chat.parsed(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect())
-    assert got[1:3] == [(1, 0, 0, "user", "<|user|>\nhi\nthere?\n<|end|>\n"), (1, 1, 0, "assistant", "<|assistant|>\nyes\n\nmore\n<|end|>\n")]
-    assert [role for i, _, line, role, _ in got if i == 4] == ["user", "assistant", "user"]
-    assert len(got) == 8
-
-
-def test_chat_blocks_decode_as_the_whole(spark):
-    rng = np.random.default_rng(5)
-    lines = [(1, k, str(rng.choice(["User: x", "AI: y", "plain", "what?", "Speaker: z", "", "System: s"]))) for k in range(300)]
-    df = spark.createDataFrame(lines, "conv_id long, turn long, text string")
-    roles = lambda block: [(t, r.role) for r in sorted(chat.parsed(df, block=block).collect(), key=lambda r: r.turn) for t in range(r.turn, r.turn + r.n_lines)]
-    assert roles(7) == roles(4096)
-
-
-@pytest.mark.parametrize("conv", [None, 3])
-def test_chat_of_many_rows_at_one_place(spark, conv):
-    rng = np.random.default_rng(6)
-    rows = [(conv, None if k % 3 else 0, f"{rng.choice(['User: ', 'AI: ', 'Speaker: ', '', 'also '])}{k:03d}{rng.choice(['', '?'])}") for k in range(300)]
-    rows += [(k, 0, f"User: {k}") for k in range(4, 40)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(5)
-    roles = lambda block: sorted((-1 if r.conv_id is None else r.conv_id, r.role, line) for r in chat.parsed(df, block=block).collect() for line in r.rendered.split("\n")[1:-2])
-    assert roles(11) == roles(4096) and len(roles(11)) == 336
-
-
 def test_karmarkar_karp():
     owner, sums = packing.differencing([8, 7, 6, 5, 4], 2)
     assert sorted(sums.tolist()) == [14, 16] and len(owner) == 5
