@@ -1,15 +1,19 @@
 """Toxicity: a weighted lexicon matched by an Aho-Corasick automaton.
 
-Texts are folded first: lower case, look-alike letters to Latin ones, digits and signs inside words to the
-letters they stand for.  The lexicon is learned: words and word beginnings of labelled texts, weighted by their
-log odds.  A text's weights are added up, hits inside an exception phrase left out, and divided by a slowly
-rising function of its length; a logistic curve of two coefficients turns that into a score.
+Texts are folded first: look-alike letters, small and capital, to Latin ones, lower case, digits and signs in words to
+the letters they stand for.  A word with signs or digits at its ends is read both ways, with and without them.
+The lexicon is learned: words and word beginnings of labelled texts, weighted by their log odds.  A text's weights are
+added up, hits inside an exception phrase left out, and divided by a slowly rising function of its length; a logistic
+curve of two coefficients turns that into a score.  Exception phrases are built-in ones and those learned: a hit with
+the word before or after it that several clean labelled texts have and no toxic one.
 
 Learning takes at most ``sample`` labelled rows, those of smallest hash, and never one whose
 crc32(doc_id as text) mod 5 is 0; labels, lang, source and doc_id are no inputs of a score.
 
-Defined cases: a null or empty text has no hits and gets the score of no hits; labels given twice count as the
-highest; without any usable label a built-in lexicon serves; repeated rows are scored each.
+Defined cases: a null or empty text has no hits and gets the score of no hits; a text of any length is matched whole;
+labels given twice count as the highest; without any usable label, as of an empty table of either kind, a built-in
+lexicon serves; of hits at one place the heaviest counts; repeated rows are scored each; an empty table of documents
+gives an empty one; other columns are ignored by ``scored`` and kept by ``without_toxic``, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,25 +33,53 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corvid.llm.arrow import light, small
 
 # Letters that look like Latin ones, signs that stand for letters, phrases that excuse a hit, and a first lexicon.
-LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "к": "k", "м": "m", "т": "t", "н": "h", "в": "b", "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "κ": "k", "ν": "v", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɡ": "g", "ℓ": "l"}
+LOOKALIKES = {
+    "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s",
+    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S",
+    "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
+    "ı": "i", "ɡ": "g", "ℓ": "l",
+}
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
-EXCEPTIONS = ("clown fish", "clown car", "trash can", "trash bin", "pathetic fallacy")
+EXCEPTIONS = (
+    "clown car", "clown fish", "pathetic fallacy", "trash bin", "trash can",
+    "bande d amis", "nez de clown", "poisson clown", "sac poubelle",
+    "clown nase", "müll abfuhr", "idioten sicher",
+    "bote de basura", "cubo de basura", "nariz de payaso", "pez payaso",
+)
 FIRST = ("disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "worthless")
 
 _FULL = {0xFF01 + i: chr(0x21 + i) for i in range(94)}
 _TABLE = {**_FULL, **{ord(k): v for k, v in LOOKALIKES.items()}, 0x200B: "", 0x200C: "", 0x200D: "", 0x00AD: "", 0xFEFF: ""}
 _SIGNS = str.maketrans(SIGNS)
-_ODD = re.compile("[" + "".join(map(chr, _TABLE)) .replace("\\", "\\\\").replace("]", "\\]").replace("^", "\\^").replace("-", "\\-") + "]")
-_INSIDE = re.compile(r"(?<=[^\W\d_])[0-9@$!]+(?=[^\W\d_])|(?<![^\W_])[0-9](?=[^\W\d_])")
+_ODD = re.compile("[" + "".join(map(re.escape, map(chr, _TABLE))) + "]")
+_BESIDE = re.compile(r"[^\W\d_](?:[0-9@$]|!+(?=[^\W\d_]))|[0-9@$!][^\W\d_]")  # a letter and a sign that may stand for one
+_RUN = re.compile(r"(?:[^\W_]|[@$!])+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def _read(text: str) -> str:
+    """Runs of letters, digits and signs as words; with those at the ends and without, if there are any."""
+    out, last = [], 0
+    for m in _BESIDE.finditer(text):
+        start = m.start()
+        if start < last:
+            continue
+        while start > last and (text[start - 1].isalnum() or text[start - 1] in "@$!"):
+            start -= 1
+        run = _RUN.match(text, start)[0]
+        core = run.rstrip("!")
+        whole, bare = core.translate(_SIGNS), core.strip("0123456789@$!").translate(_SIGNS)
+        out += (text[last:start], whole if whole == bare else f"{whole} {bare}", " ")
+        last = start + len(run)
+    return "".join(out) + text[last:] if out else text
+
+
 def folded(text: str) -> str:
     """The text's words, folded, one space apart, with a space at either end."""
     if not text.isascii() and _ODD.search(text):
         text = text.translate(_TABLE)
-    text = _INSIDE.sub(lambda m: m[0].translate(_SIGNS), text.lower())
-    return f" {' '.join(_LETTERS.findall(text))} "
+    return f" {' '.join(_LETTERS.findall(_read(text.lower())))} "
 
 
 @dataclass(frozen=True)
@@ -59,6 +91,8 @@ class Settings:
     shortest: int = 4
     longest: int = 7
     length_scale: float = 400.0
+    least_excuses: int = 3  # clean texts that must have an exception phrase
+    excuses: int = 500
 
 
 @dataclass(frozen=True)
@@ -80,21 +114,41 @@ class Scorer:
         if len(self.machine):
             self.machine.make_automaton()
 
+    def hits(self, clean: str) -> dict[int, float]:
+        """The heaviest weight at each place of a folded text where a hit begins, but for hits inside exception phrases."""
+        found = list(self.machine.iter(clean)) if len(self.machine) else []
+        ends: dict[int, int] = {}
+        for end, (n, w) in found:
+            if w is None:
+                ends[end - n + 1] = max(end, ends.get(end - n + 1, 0))
+        best: dict[int, float] = {}
+        starts, at, reach = sorted(ends), 0, -1
+        for start, end, w in sorted((end - n + 1, end, w) for end, (n, w) in found if w is not None):
+            while at < len(starts) and starts[at] <= start:
+                reach = max(reach, ends[starts[at]])
+                at += 1
+            if end > reach:
+                best[start] = max(w, best.get(start, 0.0))
+        return best
+
     def weight(self, text: str | None) -> float:
-        """Summed weights of hits outside exception phrases, over a function of the length.  Of the hits in one word the heaviest counts."""
-        if not text or not len(self.machine):
+        """Summed weights of hits, over a function of the length."""
+        if not text:
             return 0.0
         clean = folded(text)
-        hits = list(self.machine.iter(clean))
-        if not hits:
-            return 0.0
-        excused = [(end - n + 1, end) for end, (n, w) in hits if w is None]
-        best: dict[int, float] = {}
-        for end, (n, w) in hits:
-            start = end - n + 1
-            if w is not None and not any(a <= start and end <= b for a, b in excused):
-                best[start] = max(w, best.get(start, 0.0))
-        return sum(best.values()) / (1.0 + math.log1p(len(clean) / 6 / self.model.length_scale))
+        return math.fsum(self.hits(clean).values()) / (1.0 + math.log1p(len(clean) / 6 / self.model.length_scale))
+
+    def contexts(self, text: str) -> set[str]:
+        """Each hit's word with the word before it, and with the word after it."""
+        clean = folded(text)
+        out = set()
+        for start in self.hits(clean):
+            left, right = start + 1, clean.index(" ", start + 1)
+            if left > 1:
+                out.add(clean[clean.rindex(" ", 0, left - 1) + 1 : right])
+            if right + 1 < len(clean):
+                out.add(clean[left : clean.index(" ", right + 1)])
+        return out
 
     def __call__(self, text: str | None) -> float:
         z = self.model.bias + self.model.slope * self.weight(text)
@@ -177,7 +231,19 @@ def learned(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Mod
     for r in sorted(top, key=lambda r: (len(r.feature), r.feature)):  # a longer entry stays only if it says clearly more than a beginning of it
         if all(kept.get(r.feature[:k], -9.0) < r.w - 1.0 for k in range(2, len(r.feature))):
             kept[r.feature] = round(float(r.w), 4)
-    model = Model(tuple(sorted(kept.items())), 1.0, 0.0, s.length_scale)
+    lexicon = tuple(sorted(kept.items()))
+    plain = Model(lexicon, 1.0, 0.0, s.length_scale)
+
+    def excuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(plain)
+        for b in small(batches):
+            found = [(c, y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for c in scorer.contexts(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())], ["phrase", "y"])
+
+    seen = rows.mapInArrow(excuse, "phrase string, y int").groupBy("phrase").agg(F.count("*").alias("n"), F.max("y").alias("toxic"))
+    learned_phrases = seen.where((F.col("toxic") <= 0) & (F.col("n") >= s.least_excuses)).orderBy(F.desc("n"), "phrase").limit(s.excuses).collect()
+    phrases = tuple(sorted({*EXCEPTIONS, *(r.phrase for r in learned_phrases)}))
+    model = Model(lexicon, 1.0, 0.0, s.length_scale, phrases)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -186,7 +252,7 @@ def learned(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Mod
 
     xy = rows.mapInArrow(weigh, "x double, y int").toPandas().sort_values(["x", "y"])
     slope, bias = _logistic(xy["x"].to_numpy(float), (xy["y"].to_numpy() > 0).astype(float))
-    return Model(model.lexicon, slope, bias, s.length_scale) if slope > 0 else fallback
+    return Model(lexicon, slope, bias, s.length_scale, phrases) if slope > 0 else fallback
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -135,3 +135,58 @@ def viterbi(lines, m):
     for line in lines[1:]:
         best = {s: max(((best[a][0] + moved(a, s) + shown(s, line), [*best[a][1], s]) for a in states), key=lambda x: x[0]) for s in states}
     return max(best.values(), key=lambda x: x[0])
+
+
+def folded(text, lookalikes, signs):
+    """Words of a text as a scorer reads them, letter by letter."""
+    plain = ""
+    for c in text:
+        if 0xFF01 <= ord(c) <= 0xFF5E:
+            c = chr(ord(c) - 0xFEE0)
+        plain += "" if c in "​‌‍­﻿" else lookalikes.get(c, c)
+    letter = lambda c: c.isalnum() and not c.isdecimal()
+    runs = "".join(c if c.isalnum() or c in "@$!" else " " for c in plain.lower()).split(" ")
+    out = []
+    for run in runs:
+        beside = any((letter(a) and (b in "@$" or b in "0123456789")) or ((a in "@$!" or a in "0123456789") and letter(b)) for a, b in zip(run, run[1:], strict=False))
+        readings = [run]
+        if beside:
+            core = run.rstrip("!")
+            readings = list(dict.fromkeys("".join(signs.get(c, c) for c in x) for x in (core, core.strip("0123456789@$!"))))
+        for x in readings:
+            out += "".join(c if letter(c) else " " for c in x).split()
+    return " " + " ".join(out) + " "
+
+
+def toxicity(text, model, lookalikes, signs):
+    """The score of a text by looking for every entry at every place."""
+    clean = folded(text or "", lookalikes, signs)
+    places = lambda x: [k for k in range(len(clean)) if clean.startswith(x, k)]
+    excused = [(k, k + len(p) + 2) for p in model.exceptions for k in places(f" {p} ")]
+    best = {}
+    for entry, w in model.lexicon:
+        for k in places(entry):
+            if not any(a <= k and k + len(entry) <= z for a, z in excused):
+                best[k] = max(w, best.get(k, 0.0))
+    weight = math.fsum(best.values()) / (1 + math.log1p(len(clean) / 6 / model.length_scale)) if text else 0.0
+    return 1 / (1 + math.exp(-(model.bias + model.slope * weight)))
+
+
+def bands(data, b):
+    """Whether zstandard ratios of the whole and of its chunks lie within the limits."""
+    import zstandard
+
+    ratio = lambda x: len(x) / len(zstandard.ZstdCompressor(level=b.level).compress(x))
+    limit = None
+    for least, low, high in b.whole:
+        if len(data) >= least:
+            limit = low, high
+    if limit is None:
+        return True
+    if not limit[0] <= ratio(data) <= limit[1]:
+        return False
+    if len(data) <= b.chunk_bytes:
+        return len(data) < b.least_chunk or ((b.chunk[0] if len(data) == b.chunk_bytes else limit[0]) <= ratio(data) <= b.chunk[1])
+    full = len(data) // b.chunk_bytes
+    chunks = [data[k * b.chunk_bytes : (k + 1) * b.chunk_bytes] for k in range(full)] + [data[-b.chunk_bytes :]]
+    return all(b.chunk[0] <= ratio(x) <= b.chunk[1] for x in chunks)
