@@ -3,9 +3,10 @@
 import random
 import string
 
+import brute
 import pytest
 
-from corvid.llm.quality import Judge
+from corvid.llm.quality import Bands, Judge
 
 B64, LETTERS, HEX = string.ascii_letters + string.digits + "+/", string.ascii_lowercase, "0123456789abcdef"
 
@@ -37,3 +38,19 @@ def test_planted_block(spark, sf, alphabet):
         assert not judge(t[:half] + " " + _random(alphabet, 8192) + " " + t[half:])[-1]
         assert not judge(t + " " + _random(alphabet, 4096))[-1]
     assert all(judge(t)[-1] for t in prose if len(t) >= 1024 and not judge(t)[5])
+
+
+@pytest.mark.parametrize("size", [300, 600, 1200, 2500, 5000, 12_000, 40_000, 100_000])
+def test_repetitive_text(size):
+    """A text that says one thing over and over lies above the bands at every length, and a repeated block above the chunks'."""
+    phrase = " ".join(f"word{k}" for k in range(6)) + ". "
+    assert not Judge().verdict((phrase * (size // len(phrase) + 1))[:size].encode())[-1]
+
+
+def test_kept_against_plain_bands(spark, sf):
+    b = Bands()
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows |= {-1 - k: _random(a, n) for k, (a, n) in enumerate((a, n) for a in (B64, LETTERS, HEX) for n in (100, 128, 500, 1024, 4096, 4097, 8192, 20_000))}
+    for t in rows.values():
+        n_words, *_, failed = brute.quality(t)
+        assert Judge()(t)[-1] == (not failed and brute.bands((t or "").encode(), b))
