@@ -1,7 +1,8 @@
-"""A fixed-size membership bitmap over 64-bit keys.
+"""A membership bitmap over 64-bit keys, sized by their number.
 
 It prunes work before a shuffle and never decides a result: a clear bit proves absence, a set bit only
-sends the row on to an exact join.  Its size is fixed (8 MB), whatever the input.
+sends the row on to an exact join.  It has 16 to 32 bits a key, and ``MOST_BITS`` (64 MB) at most: with more than
+some 30 million keys more rows go the exact way, up to all of them.
 """
 
 from __future__ import annotations
@@ -10,21 +11,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-LOG_BITS = 26
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 29
 
 
 class Bitmap:
-    """Bits of the keys in column ``key`` (long) of ``df``; built by the JVM's bitmap aggregate, 4 KB a group."""
+    """Bits of the keys in column ``key`` (long) of ``df``, a written table; built by the JVM's bitmap aggregate, 4 KB a group."""
 
     def __init__(self, df: DataFrame, key: Column):
-        at = (F.pmod(key, F.lit(1 << LOG_BITS)) + 1).alias("at")  # the JVM counts bits from 1
+        self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * df.count()).bit_length()))
+        at = (F.pmod(key, F.lit(self.bits)) + 1).alias("at")  # the JVM counts bits from 1
         parts = (
             df.select(at)
             .groupBy(F.bitmap_bucket_number("at").alias("bucket"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
             .toLocalIterator()
         )
-        raw = np.zeros((1 << LOG_BITS) // 8, np.uint8)
+        raw = np.zeros(self.bits // 8, np.uint8)
         for p in parts:
             start = (p.bucket - 1) * 4096
             raw[start : start + 4096] = np.frombuffer(p.bits, np.uint8)
@@ -32,7 +34,7 @@ class Bitmap:
 
     def tester(self):
         """A picklable function from keys to booleans, for use in tasks."""
-        shared, mask = self.shared, np.int64((1 << LOG_BITS) - 1)
+        shared, mask = self.shared, np.int64(self.bits - 1)
 
         def test(keys: np.ndarray) -> np.ndarray:
             at = np.asarray(keys, np.int64) & mask
@@ -62,19 +64,6 @@ def suspected(df: DataFrame, bits: Bitmap, key: Column, inside: bool = True) ->
     return df.where(held.asNondeterministic()(key))
 
 
-def which(bitmaps: list[Bitmap], key: Column) -> Column:
-    """The number of the one bitmap that has the key's bit; -1 if several have it, -2 if none."""
-    tests = [b.tester() for b in bitmaps]
-
-    @F.pandas_udf("int")
-    def told(keys: pd.Series) -> pd.Series:
-        hit = np.stack([t(keys.to_numpy(np.int64)) for t in tests])
-        n = hit.sum(axis=0)
-        return pd.Series(np.where(n == 1, hit.argmax(axis=0), np.where(n > 1, -1, -2)).astype(np.int32))
-
-    return told.asNondeterministic()(key)
-
-
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id and text hash are in ``dropped``; only suspects are shuffled."""
     bits = Bitmap(dropped, F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text_hash"))
