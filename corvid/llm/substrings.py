@@ -3,7 +3,7 @@
 Every window is hashed.  Windows are dealt out by their minimizer, the least mixed hash of the shorter runs of
 words inside, so equal windows meet, and a whole stretch of windows with one minimizer travels as one row.
 A minimizer that only one document has cannot belong to a repeated window: such stretches stay behind, by a
-fixed-size bitmap of the others.  Where windows meet, one is repeated if a document of smaller id has it too;
+bitmap of the others.  Where windows meet, one is repeated if a document of smaller id has it too;
 repeated windows merge into maximal intervals of words to remove.
 
 Of equal windows within a chunk of a task's rows, all but those of the least id are repeated for certain; they
@@ -13,7 +13,10 @@ different surroundings of a common passage.  Stretches that would still meet in
 taken apart: each window's least id is an aggregate, combined before the shuffle, and joined back to the windows.
 
 Defined cases: a null text has no words; a text shorter than a window keeps all its words; rows of one doc_id
-never remove each other's words; rows without doc_id count as of the largest id; an empty table gives an empty one.
+never remove each other's words; rows without doc_id count as of the largest id; repeated rows give repeated rows;
+a text of any length is taken whole; other columns are ignored by ``measured`` and kept by ``removed``, whatever
+their names (but for those that begin with two underscores, which are the operator's own); an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from corvid.llm.scratch import saved
 from corvid.llm.textkernel import WORD, WordHasher, covered, mixed, rolling, sliding_min, words
 
 LAST = (1 << 63) - 1
+SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -166,7 +170,10 @@ def _crowded(stretches: DataFrame) -> DataFrame:
     one = saved(stretches.select("key", "doc", "row", "first", "windows").mapInArrow(_singles, "w long, key long, doc long, row long, pos long"), "single-windows")
     # a table of its own, so that both sides of the join are plain exchanges and Spark can split a window of very many rows
     low = saved(one.groupBy("w", "key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("w", "key", "low"), "first-documents")
-    return one.join(low, ["w", "key"]).where("doc > low").select("doc", "row", F.col("pos").alias("first"), F.col("pos").alias("last"))
+    # a window of very many rows meets its first document in ``SALTS`` tasks
+    low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    one = one.withColumn("salt", F.pmod(F.xxhash64("row", "pos"), F.lit(SALTS)).cast("int"))
+    return one.join(low, ["w", "key", "salt"]).where("doc > low").select("doc", "row", F.col("pos").alias("first"), F.col("pos").alias("last"))
 
 
 def repeated(docs: DataFrame, s: Shape = Shape()) -> DataFrame:
