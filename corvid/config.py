@@ -6,8 +6,6 @@ import os
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
-from pyspark.sql import SparkSession
-
 
 class SettingsError(ValueError):
     """A setting is missing or out of range."""
@@ -22,8 +20,18 @@ class Settings:
     cache_entries: int = 200
     cache_seconds: int = 3600
     fetch_partitions: int = 10
+    fetch_retries: int = 3
+    fetch_delay: int = 1  # seconds before the first retry
     provider: str = "hashing"
-    store_path: str = "/tmp/corvid-store"
+    provider_key: str = ""  # of an embedding service
+    provider_model: str = ""
+    provider_url: str = ""
+    model_path: str = ""  # of a local model, and its tokenizer
+    tokenizer_path: str = ""
+    store_path: str = ""  # a folder that driver and executors share; empty: one below the shared folder
+    git_api: str = "https://api.github.com"
+    git_raw: str = "https://raw.githubusercontent.com"
+    most_links: int = 500  # pages that a walk over links finds at most
 
     def __post_init__(self):
         if self.chunk_size < 1 or self.chunk_overlap < 0 or self.dimensions < 1 or self.top_k < 1:
@@ -31,6 +39,11 @@ class Settings:
         if self.cache_entries < 1 or self.cache_seconds < 0 or self.fetch_partitions < 1:
             raise SettingsError("cache_entries and fetch_partitions must be positive, cache_seconds not negative")
 
+    def provider_options(self) -> dict[str, str]:
+        """What is given of a provider's own options."""
+        named = {"key": self.provider_key, "model": self.provider_model, "url": self.provider_url, "model_path": self.model_path, "tokenizer_path": self.tokenizer_path}
+        return {k: v for k, v in named.items() if v}
+
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None, prefix: str = "CORVID_") -> Settings:
         """Settings from variables such as CORVID_CHUNK_SIZE; numbers are coerced, what is absent has its default."""
@@ -45,8 +58,3 @@ class Settings:
             except ValueError as e:
                 raise SettingsError(f"{prefix}{f.name.upper()} must be a whole number: {raw!r}") from e
         return cls(**given)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``; a local one where it is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import datetime
 import json
-from collections.abc import Sequence
-from dataclasses import dataclass
+import time
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corvid.config import Settings
+from corvid.functions.text import doc_url
 from corvid.operators import embed, search
-from corvid.operators.ingest import ingest
+from corvid.operators.ingest import COUNTS, ingest, ingested
 from corvid.operators.store import Store
+from corvid.sources import web
 from corvid.streaming.incremental import run_available
+from corvid.tables import Staged, shared_folder
 
 LEAST, MOST = 1, 20
 DEFAULT, GUIDE, EXPLAIN = 5, 5, 8
@@ -35,9 +40,10 @@ class Product:
 
 class Engine:
     def __init__(self, spark: SparkSession, products: Sequence[Product], settings: Settings = Settings(), provider: embed.Provider | None = None):
+        settings = replace(settings, store_path=settings.store_path or f"{shared_folder(spark)}/corvid-store")
         self.spark, self.settings = spark, settings
         self.by_id = {p.id: p for p in products}
-        self.provider = provider or embed.provider(settings.provider, dimensions=settings.dimensions)
+        self.provider = (provider or embed.provider(settings.provider, dimensions=settings.dimensions, **settings.provider_options())).resolved()
         self.store = Store(spark, settings.store_path, self.provider.dimensions)
         self.cache = search.Cache(settings.cache_entries, settings.cache_seconds)
 
@@ -80,15 +86,94 @@ class Engine:
         self._check(concept)
         return self._ask(concept, EXPLAIN)
 
+    def _product(self, product: str) -> Product:
+        if product not in self.by_id:
+            raise ValueError(f"unknown product {product!r}")
+        return self.by_id[product]
+
+    def _limited(self, pages: DataFrame, product: str | None, limit: int | None) -> DataFrame:
+        if product is not None:
+            pages = pages.where(pages["product"] == self._product(product).id)
+        return web.first_n(pages, limit, "ordinal").drop("ordinal") if limit else pages
+
     def ingest(self, pages: DataFrame, product: str | None = None, limit: int | None = None, force: bool = False) -> dict:
         """Bring ``pages`` (url, product, version, content_hash, html or markdown; ordinal if ``limit`` is given) into the store."""
-        if product is not None:
-            if product not in self.by_id:
-                raise ValueError(f"unknown product {product!r}")
-            pages = pages.where(pages["product"] == product)
-        if limit:
-            pages = pages.orderBy("ordinal").limit(limit)
-        return ingest(pages, self.store, self.provider, self.settings, force)
+        return ingest(self._limited(pages, product, limit), self.store, self.provider, self.settings, force)
+
+    def ingested(self, pages: DataFrame, product: str | None = None, limit: int | None = None, force: bool = False) -> DataFrame:
+        """As ``ingest``, and what was done as a table, one row a product."""
+        return ingested(self._limited(pages, product, limit), self.store, self.provider, self.settings, force)
+
+    def _fetching(self) -> dict:
+        return {"retries": self.settings.fetch_retries, "delay": self.settings.fetch_delay, "partitions": self.settings.fetch_partitions}
+
+    def web_pages(self, p: Product, keep: Staged, limit: int | None = None) -> DataFrame:
+        """A product's web pages: those of its sitemap, or else those that a walk over links finds; with an error each that could not be read."""
+        site, get = p.base_url, self._fetching()
+        start = p.sitemap_url or "/".join(site.split("/")[:3]) + "/sitemap.xml"
+        maps = web.fetched_sitemaps(self.spark, start, keep, **get)
+        listed = keep(web.sitemap_urls(maps.where("xml is not null"), start), "listed")
+        if listed.isEmpty():
+            found = web.walked(self.spark, site, keep, self.settings.most_links, **get).withColumn("error", F.lit(None).cast("string"))
+            got = web.first_n(found, limit, "ordinal")
+        else:
+            urls = web.first_n(web.filter_urls(listed, site, "ordinal"), limit, "ordinal")
+            got = keep(web.fetched(urls.select("url"), **get), "fetched-pages")
+        got = got.where("error is not null or body <> ''")
+        return got.select("url", F.lit(p.id).alias("product"), F.lit(p.version).cast("string").alias("version"), F.sha2("body", 256).alias("content_hash"), F.col("body").alias("html"), "error")
+
+    def repository_files(self, p: Product, keep: Staged, limit: int | None = None) -> DataFrame:
+        """A product's Markdown files, by the tree listing of its repository; with an error each that could not be read."""
+        owner, repo, branch, root = p.git_source
+        s, get = self.settings, self._fetching()
+        listing = f"{s.git_api}/repos/{owner}/{repo}/git/trees/{branch}?recursive=1"
+        tree = keep(web.fetched(self.spark.createDataFrame([(listing,)], "url string"), **get), "tree-listing")
+        error = tree.first()
+        if error["body"] is None:
+            raise OSError(f"{listing}: {error['error'] or 'gone'}")
+        parsed = tree.select(F.from_json("body", "tree array<struct<path: string, type: string>>").alias("t")).select("t.tree")
+        paths = web.first_n(web.tree_files(parsed, root), limit, "pos")
+        raw = F.concat(F.lit(f"{s.git_raw}/{owner}/{repo}/{branch}/"), "path").alias("url")
+        got = keep(web.fetched(paths.select(raw, "path"), **get), "fetched-files").withColumnRenamed("body", "markdown")
+        fine = web.sized(got.where("error is null"))
+        files = fine.unionByName(got.where("error is not null").withColumn("content_hash", F.lit(None).cast("string")))
+        url = doc_url(F.col("path"), root, p.base_url)
+        return files.select(url.alias("url"), F.col("path").alias("file_path"), F.lit(p.id).alias("product"), F.lit(p.version).cast("string").alias("version"), "content_hash", "markdown", "error")
+
+    def crawl(self, product: str | None = None, limit: int | None = None, force: bool = False) -> dict:
+        """Fetch one product, or all, and bring what changed into the store; ``limit`` is of pages for each product.
+
+        A product whose source can't be listed counts one error and does not stop the others.
+        """
+        out = {}
+        for p in [self._product(product)] if product is not None else self.by_id.values():
+            with Staged(self.spark) as keep:
+                try:
+                    pages = self.repository_files(p, keep, limit) if p.git_source else self.web_pages(p, keep, limit)
+                except OSError as e:
+                    out[p.id] = dict.fromkeys(COUNTS, 0) | {"errors": 1, "reason": str(e)}
+                    continue
+                done = ingest(pages, self.store, self.provider, self.settings, force)
+                out[p.id] = {n: done[n] for n in COUNTS}
+        return {n: sum(r[n] for r in out.values()) for n in COUNTS} | {"by_product": out}
+
+    def reindex(self, product: str | None = None, limit: int | None = None) -> dict:
+        """What a scheduled run does: ``crawl`` of all products, unchanged pages left as they are."""
+        return self.crawl(product, limit)
+
+    def reindex_daily(self, hour: int = 2, minute: int = 0, times: int | None = None, now: Callable = datetime.datetime.now, sleep: Callable[[float], None] = time.sleep) -> list[dict]:
+        """``reindex`` each day at a time of day, ``times`` times or for good.  A run that fails is reported and does not end the schedule."""
+        done: list[dict] = []
+        while times is None or len(done) < times:
+            at = now()
+            due = at.replace(hour=hour, minute=minute, second=0, microsecond=0)
+            sleep(((due if due > at else due + datetime.timedelta(days=1)) - at).total_seconds())
+            try:
+                result = self.reindex()
+            except Exception as e:  # noqa: BLE001 - the next day's run may succeed
+                result = {"failed": str(e)}
+            done = [*done, result] if times is not None else []
+        return done
 
     def follow(self, folder: str, schema: str, checkpoint: str) -> None:
         """Ingest what has come to a folder of page files since the last call."""

@@ -7,7 +7,9 @@ with retries; they are made only when they are asked for.
 from __future__ import annotations
 
 import json
+import platform
 import random
+import subprocess
 import time
 import urllib.error
 import urllib.request
@@ -21,6 +23,36 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corvid.functions.vectors import hashed
 
 RETRIED = {429, 500, 503}
+
+
+@dataclass(frozen=True)
+class Accelerator:
+    """What a local model runs on: precision, execution providers in their order, texts in a call."""
+
+    backend: str
+    precision: str
+    providers: tuple[str, ...]
+    batch: int
+
+
+# The settings of each kind of machine.
+ARM = Accelerator("metal", "q8", ("CPUExecutionProvider",), 32)
+CUDA = Accelerator("cuda", "fp32", ("CUDAExecutionProvider", "CPUExecutionProvider"), 64)
+CPU = Accelerator("cpu", "q8", ("CPUExecutionProvider",), 16)
+
+
+def accelerator(system: str | None = None, machine: str | None = None, probe: Callable[[], bool] | None = None) -> Accelerator:
+    """The machine's accelerator: Apple's chips are known by name, a CUDA card by its driver's tool, else there is none."""
+    if (system or platform.system()) == "Darwin" and (machine or platform.machine()) in ("arm64", "aarch64"):
+        return ARM
+    return CUDA if (probe or _cuda)() else CPU
+
+
+def _cuda() -> bool:
+    try:
+        return subprocess.run(["nvidia-smi"], stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL, timeout=2, check=False).returncode == 0
+    except (OSError, subprocess.TimeoutExpired):
+        return False
 VECTOR = pa.list_(pa.float32())
 
 
@@ -50,6 +82,10 @@ class Provider:
         """Called once a worker."""
         return self.vectors
 
+    def resolved(self) -> Provider:
+        """Called once on the driver: this provider ready for use, or the one that takes its place in all tasks."""
+        return self
+
     def embed(self, texts: list[str]) -> list[list[float]]:
         if not texts:
             return []
@@ -91,13 +127,20 @@ class Onnx(Provider):
     tokenizer_path: str
     dimensions: int = 768
     name: str = "onnx"
-    batch: int = 16
+    batch: int = 0  # 0: as the machine's accelerator has it
+    providers: tuple[str, ...] = ()
+
+    def __post_init__(self):
+        self.batch = self.batch or accelerator().batch
 
     def open(self):
+        """The model on the worker's own accelerator, or on what else there is."""
         import onnxruntime
         from tokenizers import Tokenizer
 
-        session, tok = onnxruntime.InferenceSession(self.model_path), Tokenizer.from_file(self.tokenizer_path)
+        there = onnxruntime.get_available_providers()
+        chosen = [p for p in self.providers or accelerator().providers if p in there] or ["CPUExecutionProvider"]
+        session, tok = onnxruntime.InferenceSession(self.model_path, providers=chosen), Tokenizer.from_file(self.tokenizer_path)
         tok.enable_padding()
         wanted = {i.name for i in session.get_inputs()}
 
@@ -134,8 +177,52 @@ class Service(Provider):
         return np.array(self.read(with_retry(call)), np.float32)
 
 
-def ollama(url="http://localhost:11434", model="nomic-embed-text", dimensions=768) -> Service:
-    return Service(f"{url}/api/embed", lambda t: {"model": model, "input": t}, lambda r: r["embeddings"], dimensions, "ollama", 32)
+@dataclass
+class Ollama(Service):
+    """A local model service, asked once whether it is there and has the model, which it is else told to fetch.  Where it is not, ``fallback`` embeds."""
+
+    base: str = ""
+    model: str = ""
+    fallback: Provider | None = None
+
+    def models(self) -> list[str] | None:
+        """Names of the models that the service has; None if it can't be reached."""
+        try:
+            with urllib.request.urlopen(f"{self.base}/api/tags", timeout=3) as r:
+                return [m["name"] for m in json.load(r).get("models", [])]
+        except (OSError, ValueError):
+            return None
+
+    def ready(self) -> bool:
+        """Whether the service can be used, once it has the model."""
+        have = self.models()
+        if have is None:
+            return False
+        if self.model not in have and f"{self.model}:latest" not in have:
+            body = json.dumps({"name": self.model, "stream": True}).encode()
+            request = urllib.request.Request(f"{self.base}/api/pull", body, {"Content-Type": "application/json"})
+            with urllib.request.urlopen(request, timeout=3600) as r:
+                for line in r:  # one JSON object a line, until the model is there; others are notes
+                    try:
+                        error = json.loads(line).get("error")
+                    except ValueError:
+                        continue
+                    if error:
+                        raise OSError(f"pull of {self.model}: {error}")
+        return True
+
+    def resolved(self) -> Provider:
+        if self.ready():
+            return self
+        if self.fallback is None:
+            raise OSError(f"no service at {self.base}, and no other provider to fall back on")
+        if self.fallback.dimensions != self.dimensions:
+            raise ValueError(f"the fallback makes vectors of {self.fallback.dimensions}, not {self.dimensions}")
+        return self.fallback.resolved()
+
+
+def ollama(url="http://localhost:11434", model="nomic-embed-text", dimensions=768, fallback: Provider | None = None) -> Ollama:
+    return Ollama(f"{url}/api/embed", lambda t: {"model": model, "input": t}, lambda r: r["embeddings"], dimensions, "ollama", 32, base=url, model=model, fallback=fallback)
 
 
 def openai(key: str, model="text-embedding-3-small", dimensions=768, url="https://api.openai.com/v1/embeddings") -> Service:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from corvid.config import Settings
 from corvid.operators import chunks, embed, html, markdown, store
+from corvid.tables import Staged
+
+COUNTS = ("updated", "skipped", "empty", "errors", "chunks")
 
 
 def sections(pages: DataFrame, *keep: str) -> DataFrame:
@@ -21,24 +24,45 @@ def chunked(pages: DataFrame, s: Settings = Settings()) -> DataFrame:
     return out.withColumn("content_hash", F.sha2("content", 256))
 
 
-def ingest(pages: DataFrame, to: store.Store, provider: embed.Provider, s: Settings = Settings(), force: bool = False) -> dict:
-    """Bring changed pages into the store; counts of pages updated, skipped and empty, and of chunks.
+def one_each(pages: DataFrame) -> DataFrame:
+    """One row an address; of several the greatest in the order of their columns, so the choice does not depend on how they lie."""
+    first = ["content_hash", *(c for c in pages.columns if c not in ("url", "content_hash"))]
+    rows = pages.groupBy("url").agg(F.max(F.struct(*first)).alias("row"))
+    return rows.select("url", "row.*").select(pages.columns)
+
+
+def ingested(pages: DataFrame, to: store.Store, provider: embed.Provider, s: Settings = Settings(), force: bool = False) -> DataFrame:
+    """Bring changed pages into the store.  What was done, one row a product: product, updated, skipped, empty, errors, chunks.
 
-    The join with known hashes comes before parsing and embedding, so unchanged pages cost neither.  A page without
-    chunks is left as it was, and tried again next time.
+    The join with known hashes comes before parsing and embedding, so unchanged pages cost neither; parsing and
+    embedding run once, into a table in the shared folder.  A page without chunks is left as it was, and tried again
+    next time.  Rows with an ``error`` (if there is such a column) are counted and go no further.
     """
     if provider.dimensions != to.dimensions:
         raise ValueError(f"the store holds vectors of {to.dimensions}, the provider makes {provider.dimensions}; migrate first")
-    total = pages.count()
-    new = store.changed(pages.dropDuplicates(["url"]), to.state(), force)
-    asked = new.count()
-    if not asked:
-        return {"updated": 0, "skipped": total, "empty": 0, "chunks": 0}
-    made = embed.embedded(chunked(new, s), provider)
-    before = to.version
-    to.replace_pages(made, new)
-    assert to.version == before + 1
-    urls = new.select("url").join(to.state(), "url").where(F.col("page_hash").isNotNull())
-    updated = urls.join(new.select("url", "content_hash"), "url").where("page_hash = content_hash").count()
-    n = to.chunks().join(new.select(F.col("url").alias("source_url")), "source_url", "left_semi").count()
-    return {"updated": updated, "skipped": total - asked, "empty": asked - updated, "chunks": n}
+    spark = pages.sparkSession
+    failed = F.col("error").isNotNull() if "error" in pages.columns else F.lit(False)
+    with Staged(spark) as keep:
+        totals = pages.groupBy("product").agg(F.count_if(~failed).alias("total"), F.count_if(failed).alias("errors"))
+        totals = keep(totals, "ingest-totals")
+        usable = pages.where(~failed).drop("error") if "error" in pages.columns else pages
+        new = keep(one_each(store.changed(usable, to.state(), force)), "changed-pages")
+        made = keep(embed.embedded(chunked(new, s), provider), "embedded-chunks")
+        if not made.isEmpty():
+            to.replace_pages(made, new)
+        done = made.groupBy("product").agg(F.countDistinct("source_url").alias("updated"), F.count("*").alias("chunks"))
+        asked = new.groupBy("product").agg(F.count("*").alias("asked"))
+        zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+        for name, part in (("asked_of", asked), ("done_of", done)):
+            part = part.withColumnRenamed("product", name)
+            totals = totals.join(part, totals["product"].eqNullSafe(part[name]), "left").drop(name)
+        asked_n, updated = zero(F.col("asked")), zero(F.col("updated"))
+        rows = totals.select("product", updated.alias("updated"), (F.col("total") - asked_n).alias("skipped"), (asked_n - updated).alias("empty"), "errors", zero(F.col("chunks")).alias("chunks"))
+        return spark.createDataFrame(rows.orderBy("product").collect(), rows.schema)  # one row a product
+
+
+def ingest(pages: DataFrame, to: store.Store, provider: embed.Provider, s: Settings = Settings(), force: bool = False) -> dict:
+    """As ``ingested``; the counts over all products, and by product."""
+    rows = [r.asDict() for r in ingested(pages, to, provider, s, force).collect()]
+    by = {r["product"]: {n: r[n] for n in COUNTS} for r in rows}
+    return {n: sum(r[n] for r in rows) for n in COUNTS} | {"by_product": by}

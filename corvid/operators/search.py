@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import time
-import uuid
 from collections import OrderedDict
 from collections.abc import Iterator, Sequence
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from corvid.config import shared_folder
 from corvid.functions.text import snippet
 from corvid.functions.vectors import cosine_to, matrix
+from corvid.tables import fresh
 
 RESULT = ("id", "product", "title", "section", "source_url", "chunk_index", "content", "version", "score")
 TIES = ("source_url", "chunk_index")
@@ -87,7 +86,7 @@ def nearest_each(rows: DataFrame, queries: DataFrame, limit: int = 10, key: str
     found = _best(rows, *first, limit, key, vector_col)
     if second is None:
         return found
-    path = f"{shared_folder(spark)}/corvid-nearest-{uuid.uuid4().hex}"
+    path = fresh(spark, "nearest")
     found.write.parquet(path)
     for b in chain([second], blocks):
         _best(rows, *b, limit, key, vector_col).write.mode("append").parquet(path)
@@ -99,36 +98,54 @@ def results(found: DataFrame) -> DataFrame:
     return found.select("title", snippet(F.col("content")).alias("snippet"), "source_url", "product", "section", F.round("score", 4).alias("score"))
 
 
+def _fitted(sample: np.ndarray, lists: int, rounds: int) -> np.ndarray:
+    """Unit centroids of the sample's rows that have a direction."""
+    x = sample[np.sqrt((sample * sample).sum(axis=1)) > 0] if len(sample) else np.zeros((0, 1))
+    x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+    c = x[: max(1, min(lists, len(x)))]
+    for _ in range(rounds if len(x) else 0):
+        own = (x @ c.T).argmax(axis=1)
+        c = np.stack([x[own == k].sum(axis=0) if (own == k).any() else c[k] for k in range(len(c))])
+        c = c / np.maximum(np.sqrt((c * c).sum(axis=1, keepdims=True)), 1e-300)
+    return c
+
+
 class CellIndex:
-    """Rows by their nearest of ``lists`` centroids, fitted on a bounded sample; a search reads the ``probes`` nearest cells.
+    """Rows by their nearest of ``lists`` centroids, stored in a folder for each cell; a search reads the ``probes`` nearest cells and no others.
 
     Every row is in exactly one cell, so probing all cells is the exact search.
     """
 
-    def __init__(self, rows: DataFrame, lists: int = 100, sample: int = 20_000, rounds: int = 10, seed: int = 5, vector_col: str = "embedding"):
-        self.vector_col = vector_col
+    def __init__(self, spark: SparkSession, path: str, vector_col: str = "embedding"):
+        """An index that ``build`` has written to ``path``."""
+        self.path, self.vector_col = path.rstrip("/"), vector_col
+        rows = spark.read.parquet(f"{self.path}/centroids").orderBy("cell").collect()  # ``lists`` rows
+        self.centroids = np.array([r.v for r in rows], float) if rows else np.zeros((0, 1))
+        self.rows = spark.read.parquet(f"{self.path}/rows")
+
+    @classmethod
+    def build(cls, rows: DataFrame, path: str, lists: int = 100, sample: int = 20_000, rounds: int = 10, seed: int = 5, vector_col: str = "embedding") -> CellIndex:
+        """Fit on the ``sample`` rows of least hash, give every row with a vector its cell, and write all once."""
+        spark, path = rows.sparkSession, path.rstrip("/")
         usable = rows.where(F.col(vector_col).isNotNull())
         picked = usable.select(vector_col, F.xxhash64(F.lit(seed), vector_col).alias("o")).orderBy("o").limit(sample).collect()
-        x = np.array([r[0] for r in picked], float)
-        x = x[np.sqrt((x * x).sum(axis=1)) > 0] if len(x) else np.zeros((0, 1))
-        x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
-        c = x[: max(1, min(lists, len(x)))]
-        for _ in range(rounds if len(x) else 0):
-            own = (x @ c.T).argmax(axis=1)
-            c = np.stack([x[own == k].sum(axis=0) if (own == k).any() else c[k] for k in range(len(c))])
-            c = c / np.maximum(np.sqrt((c * c).sum(axis=1, keepdims=True)), 1e-300)
-        self.centroids = c
-        centroids = c
+        size = max((len(r[0]) for r in picked), default=1)
+        centroids = _fitted(np.array([r[0] for r in picked if len(r[0]) == size and None not in r[0]], float).reshape(-1, size), lists, rounds)
 
         @F.arrow_udf("int")
         def cell(v: pa.Array) -> pa.Array:
             y, _ = matrix(v, centroids.shape[1])
             return pa.array((y @ centroids.T).argmax(axis=1).astype(np.int32) if len(centroids) else np.zeros(len(y), np.int32))
 
-        self.rows = usable.withColumn("cell", cell(F.col(vector_col)))
+        spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centroids)], "cell int, v array<double>").write.parquet(f"{path}/centroids")
+        usable.withColumn("cell", cell.asNondeterministic()(F.col(vector_col))).write.partitionBy("cell").parquet(f"{path}/rows")
+        return cls(spark, path, vector_col)
+
+    def _near(self, q: np.ndarray, probes: int) -> np.ndarray:
+        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :probes] if len(self.centroids) else np.zeros((len(q), 0), int)
 
     def search(self, query: Sequence[float], limit: int = 10, probes: int = 10, **options) -> DataFrame:
-        near = np.argsort(-(self.centroids @ np.asarray(query, float)), kind="stable")[:probes] if len(self.centroids) else []
+        near = self._near(np.asarray([query], float), probes)[0]
         return nearest(self.rows.where(F.col("cell").isin([int(k) for k in near])).drop("cell"), query, limit, vector_col=self.vector_col, **options)
 
     def search_each(self, queries: DataFrame, limit: int = 10, probes: int = 10, key: str = "vec_id", block: int = 2048) -> DataFrame:
@@ -136,12 +153,13 @@ class CellIndex:
         out = None
         for ids, q in chain(_query_blocks(queries, key, self.vector_col, block), [([], np.zeros((0, 1)))]):
             if out is None or ids:
-                near = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :probes] if len(ids) else np.zeros((0, 1), int)
+                near = self._near(q, probes) if len(ids) else np.zeros((0, 1), int)
                 asking = {c: np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near).tolist()}
-                found = _best(self.rows, ids, q, limit, key, self.vector_col, asking)
+                rows = self.rows.where(F.col("cell").isin(sorted(asking)))
+                found = _best(rows, ids, q, limit, key, self.vector_col, asking)
                 if out is None and len(ids) < block:
                     return found
-                path = path if out is not None else f"{shared_folder(queries.sparkSession)}/corvid-nearest-{uuid.uuid4().hex}"
+                path = path if out is not None else fresh(queries.sparkSession, "nearest")
                 found.write.mode("append").parquet(path)
                 out = queries.sparkSession.read.schema(found.schema).parquet(path)
         return out

@@ -1,7 +1,10 @@
-"""The chunk store: versioned Parquet snapshots of chunks and page state.
+"""The chunk store: versioned Parquet tables of chunks and page state, in buckets by address.
 
-A write makes a whole new version and then moves one small pointer file, so readers see all of a write or none,
-and a write that fails leaves the old version in place.  Versions are never changed after that.
+A version is a small manifest that names, for each bucket, the folder that holds it.  A write makes new folders for
+the buckets that it touches, and no others, and then a manifest of the next number, which must not exist yet: readers
+see all of a write or none, a write that fails leaves the old version in place, and of two writers at a time the
+later one starts again from what the earlier one left.  Folders are never changed once a manifest names them;
+``vacuum`` removes those that no recent one names.  The number of buckets doubles as the store grows.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHUNKS = "id string, product string, title string, section string, source_url string, chunk_index int, content string, version string, content_hash string, embedding array<float>, created_at timestamp, updated_at timestamp"
@@ -57,92 +61,155 @@ def state_merged(old: DataFrame, new: DataFrame) -> DataFrame:
     return kept.select("url", "page_hash", "last_crawled", "chunk_count").unionByName(new.select("url", "page_hash", F.current_timestamp().alias("last_crawled"), F.col("chunk_count").cast("int").alias("chunk_count")))
 
 
+class Conflict(RuntimeError):
+    """Other writers were always faster."""
+
+
 class Store:
-    def __init__(self, spark: SparkSession, path: str, dimensions: int = 768):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, dimensions: int = 768, buckets: int = 8, most_rows: int = 200_000):
+        """``most_rows``: chunks of a bucket, on average, above which the number of buckets doubles."""
+        self.spark, self.path, self.most_rows = spark, path.rstrip("/"), most_rows
         jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if self._pointer() is None:
-            self._publish({"chunks": None, "state": None, "dimensions": dimensions, "version": 0})
-
-    def _pointer(self) -> dict | None:
-        p = self._path(f"{self.path}/current.json")
-        if not self._fs.exists(p):
-            return None
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/current.json").collect()))
-
-    def _publish(self, pointer: dict) -> None:
-        new, old = self._path(f"{self.path}/.next-{uuid.uuid4().hex}"), self._path(f"{self.path}/current.json")
+        self._jvm, self._conf = jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._at("").getFileSystem(self._conf)
+        if self._newest() is None:
+            self._publish({"version": 0, "dimensions": dimensions, "buckets": buckets, "chunks": {}, "state": {}})
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _versions(self) -> list[int]:
+        p = self._at("versions")
+        names = [f.getPath().getName() for f in self._fs.listStatus(p)] if self._fs.exists(p) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0] != ".")
+
+    def _newest(self) -> int | None:
+        return max(self._versions(), default=None)
+
+    def _manifest(self, version: int | None = None) -> dict:
+        """Read by the file system, without a Spark job."""
+        stream = self._fs.open(self._at(f"versions/{self._newest() if version is None else version:012d}.json"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _publish(self, manifest: dict) -> bool:
+        """Whether the manifest became the version of its number; not if another one has."""
+        new, final = self._at(f"versions/.next-{uuid.uuid4().hex}"), self._at(f"versions/{manifest['version']:012d}.json")
         out = self._fs.create(new, True)
         try:
-            out.write(bytearray(json.dumps(pointer).encode()))
+            out.write(bytearray(json.dumps(manifest).encode()))
         finally:
             out.close()
-        options = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(old.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        rename = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
-        kinds = self.spark.sparkContext._gateway.new_array(rename, 1)
-        kinds[0] = rename.OVERWRITE
-        options.rename(options.makeQualified(new), options.makeQualified(old), kinds)
+        files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at("").toUri(), self._conf)
+        kinds = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            files.rename(files.makeQualified(new), files.makeQualified(final), kinds)
+        except Py4JJavaError as e:
+            self._fs.delete(new, False)
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
 
     @property
     def version(self) -> int:
-        return self._pointer()["version"]
+        return self._newest()
 
     @property
     def dimensions(self) -> int:
-        return self._pointer()["dimensions"]
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        at = self._pointer()[name]
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{at}") if at else self.spark.createDataFrame([], schema)
+        return self._manifest()["dimensions"]
+
+    def _read(self, name: str, manifest: dict | None = None, only: set[int] | None = None) -> DataFrame:
+        """The rows of a version, or of some of its buckets."""
+        schema = {"chunks": CHUNKS, "state": STATE}[name]
+        held = (manifest or self._manifest())[name]
+        paths = [f"{self.path}/{name}/tag={x['tag']}/bucket={b}" for b, x in sorted(held.items()) if only is None or int(b) in only]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        read = self.spark.read.schema(f"{schema}, tag string, bucket int").option("basePath", f"{self.path}/{name}")
+        return read.parquet(*paths).drop("tag", "bucket")
 
     def chunks(self) -> DataFrame:
-        return self._read("chunks", CHUNKS)
+        return self._read("chunks")
 
     def state(self) -> DataFrame:
-        return self._read("state", STATE)
+        return self._read("state")
 
     def page_hash(self, url: str) -> str | None:
-        r = self.state().where(F.col("url") == url).select("page_hash").first()
+        m = self._manifest()
+        mine = self._buckets(self.spark.createDataFrame([(url,)], "url string"), "url", m["buckets"])
+        r = self._read("state", m, mine).where(F.col("url") == url).select("page_hash").first()
         return r[0] if r else None
 
     def crawled(self) -> DataFrame:
         """All page state, newest first."""
         return self.state().orderBy(F.desc("last_crawled"), "url")
 
-    def commit(self, chunks: DataFrame | None = None, state: DataFrame | None = None, dimensions: int | None = None) -> None:
-        """Write a new version and make it the current one.  Chunks are laid out by product and sorted by address for pruning."""
-        pointer = self._pointer()
-        tag = f"v{pointer['version'] + 1}-{uuid.uuid4().hex[:8]}"
-        if chunks is not None:
-            chunks.repartition("product", F.pmod(F.xxhash64("source_url"), F.lit(64))).sortWithinPartitions("source_url", "chunk_index").write.partitionBy("product").parquet(f"{self.path}/chunks-{tag}")
-            pointer["chunks"] = f"chunks-{tag}"
-        if state is not None:
-            state.write.parquet(f"{self.path}/state-{tag}")
-            pointer["state"] = f"state-{tag}"
-        pointer |= {"version": pointer["version"] + 1, "dimensions": dimensions or pointer["dimensions"]}
-        self._publish(pointer)
+    def _buckets(self, rows: DataFrame, address: str, n: int) -> set[int]:
+        return {r[0] for r in rows.select(_bucket(F.col(address), n)).distinct().collect()}
+
+    def _written(self, name: str, rows: DataFrame, address: str, n: int) -> dict[str, dict]:
+        """``rows`` as new folders, one a bucket, sorted by address for pruning; chunks within it by product."""
+        tag = uuid.uuid4().hex[:12]
+        parts = ["bucket", "product"] if name == "chunks" else ["bucket"]
+        order = [*parts, *(KEY if name == "chunks" else ("url",))]
+        path = f"{self.path}/{name}/tag={tag}"
+        marked = rows.withColumn("bucket", _bucket(F.col(address), n))
+        marked.repartition("bucket").sortWithinPartitions(*order).write.partitionBy(*parts).parquet(path)
+        held = self.spark.read.schema("bucket int").option("basePath", path).parquet(path) if self._fs.globStatus(self._at(f"{name}/tag={tag}/bucket=*")) else None
+        return {str(r["bucket"]): {"tag": tag, "rows": r["count"]} for r in held.groupBy("bucket").count().collect()} if held is not None else {}
+
+    def _change(self, chunks=None, chunk_pages: DataFrame | None = None, state=None, state_pages: DataFrame | None = None, dimensions: int | None = None, attempts: int = 20) -> None:
+        """Write the next version.  ``chunks`` and ``state`` make new rows of the old ones of the buckets that ``..._pages`` (url) are in; of all, if None.
+
+        When another writer was faster, all is made anew from what it left.
+        """
+        for _ in range(attempts):
+            old = self._manifest()
+            new = {**old, "version": old["version"] + 1, "dimensions": dimensions or old["dimensions"], "chunks": dict(old["chunks"]), "state": dict(old["state"])}
+            n = old["buckets"]
+            for name, make, pages, address in (("chunks", chunks, chunk_pages, "source_url"), ("state", state, state_pages, "url")):
+                if make is None:
+                    continue
+                touched = None if pages is None else self._buckets(pages, "url", n)
+                made = self._written(name, make(self._read(name, old, touched)), address, n)
+                new[name] = {b: x for b, x in new[name].items() if touched is not None and int(b) not in touched} | made
+            if sum(x["rows"] for x in new["chunks"].values()) > self.most_rows * n:
+                more = 2 * n
+                while sum(x["rows"] for x in new["chunks"].values()) > self.most_rows * more:
+                    more *= 2
+                new |= {"buckets": more, **{name: self._written(name, self._read(name, new), address, more) for name, address in (("chunks", "source_url"), ("state", "url"))}}
+            if self._publish(new):
+                return
+        raise Conflict(f"version {old['version'] + 1} of {self.path}")
 
     def upsert(self, chunks: DataFrame) -> None:
         if not chunks.isEmpty():
-            self.commit(merged(self.chunks(), chunks))
+            self._change(lambda old: merged(old, chunks), chunks.select(F.col("source_url").alias("url")))
+
+    def put_state(self, rows: DataFrame) -> None:
+        """Set the state of pages (url, page_hash, chunk_count)."""
+        self._change(state=lambda old: state_merged(old, rows), state_pages=rows.select("url"))
 
     def replace_pages(self, chunks: DataFrame, pages: DataFrame) -> None:
-        """All chunks of ``pages`` (url, content_hash) replaced and their state set, in one version."""
+        """All chunks of ``pages`` (url, content_hash) replaced and their state set, in one version.  A page without chunks stays as it was."""
         counts = chunks.groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("chunk_count"))
         done = pages.select("url", F.col("content_hash").alias("page_hash")).join(counts, "url")
-        self.commit(replaced(self.chunks(), chunks, done), state_merged(self.state(), done))
+        self._change(lambda old: replaced(old, chunks, done), done.select("url"), lambda old: state_merged(old, done), done.select("url"))
 
     def delete(self, url: str) -> int:
         """Drop a page's chunks; how many there were."""
-        gone = self.chunks().where(F.col("source_url") == url).count()
+        page = self.spark.createDataFrame([(url,)], "url string")
+        m = self._manifest()
+        gone = self._read("chunks", m, self._buckets(page, "url", m["buckets"])).where(F.col("source_url") == url).count()
         if gone:
-            self.commit(self.chunks().where(F.col("source_url") != url))
+            self._change(lambda old: old.where(F.col("source_url") != url), page)
         return gone
 
     def set_page_hash(self, url: str, page_hash: str, count: int) -> None:
-        self.commit(state=state_merged(self.state(), self.spark.createDataFrame([(url, page_hash, count)], "url string, page_hash string, chunk_count int")))
+        self.put_state(self.spark.createDataFrame([(url, page_hash, count)], "url string, page_hash string, chunk_count int"))
 
     def counts(self) -> DataFrame:
         return counts(self.chunks())
@@ -152,14 +219,36 @@ class Store:
         return {"total_chunks": sum(by.values()), "by_product": by}
 
     def migrate(self, dimensions: int) -> bool:
-        """A store of another vector size loses its vectors, which are then made anew; whether that was so."""
+        """A store of another vector size loses its vectors, which are then made anew; whether that was so.
+
+        Page state goes as well, so that the next ingest makes all pages anew.
+        """
         if dimensions == self.dimensions:
             return False
-        self.commit(self.chunks().withColumn("embedding", F.lit(None).cast("array<float>")), dimensions=dimensions)
+        self._change(lambda old: old.withColumn("embedding", F.lit(None).cast("array<float>")), state=lambda old: old.where(F.lit(False)), dimensions=dimensions)
         return True
 
+    def vacuum(self, keep: int = 2) -> int:
+        """Remove all but the last ``keep`` versions and the folders that only they name; how many folders.  No write may be under way."""
+        versions = self._versions()
+        used = {(name, x["tag"]) for v in versions[-keep:] for name in ("chunks", "state") for x in self._manifest(v)[name].values()}
+        for v in versions[:-keep]:
+            self._fs.delete(self._at(f"versions/{v:012d}.json"), False)
+        gone = 0
+        for name in ("chunks", "state"):
+            folders = self._fs.listStatus(self._at(name)) if self._fs.exists(self._at(name)) else []
+            for f in folders:
+                tag = f.getPath().getName().removeprefix("tag=")
+                if (name, tag) not in used:
+                    gone += bool(self._fs.delete(f.getPath(), True))
+        return gone
+
     def check(self) -> bool:
-        return self.spark.sql("select 1").first()[0] == 1 and self._pointer() is not None
+        return self.spark.sql("select 1").first()[0] == 1 and self._newest() is not None
+
+
+def _bucket(address, n: int):
+    return F.pmod(F.xxhash64(address), F.lit(n)).cast("int").alias("bucket")
 
 
 def counts(chunks: DataFrame) -> DataFrame:

@@ -7,10 +7,12 @@ import urllib.error
 import urllib.request
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from corvid.functions.text import doc_url, trim, units
+from corvid.operators import html
+from corvid.tables import Staged, fresh, numbered
 
 # What is no documentation.
 SKIPPED_PARTS = ("/assets/", "/images/", "/img/", "/static/", "/includes/", "/overrides/", "/theme/", "/apis/", "page-not-found", "index.md")
@@ -35,23 +37,27 @@ def first_n(rows: DataFrame, n: int | None, order: str) -> DataFrame:
     return rows.orderBy(order).limit(n) if n else rows
 
 
+def _located(of: str) -> Column:
+    """Trimmed, non-empty addresses directly in elements of that name; patterns, since real files are not always well-formed."""
+    parts = F.regexp_extract_all("xml", F.lit(f"(?is)<{of}(?:\\s[^>]*)?>(.*?)</{of}\\s*>"), F.lit(1))
+    loc = "(?is)<loc(?:\\s[^>]*)?>(?:\\s*<!\\[CDATA\\[)?(.*?)(?:\\]\\]>\\s*)?</loc\\s*>"
+    inner = F.transform(parts, lambda x: F.regexp_extract(x, loc, 1))
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        inner = F.transform(inner, lambda x: F.replace(x, F.lit(entity), F.lit(sign)))  # noqa: B023 - called at once
+    return F.filter(F.transform(inner, trim), lambda x: x != "")
+
+
+def named_maps(maps: DataFrame) -> DataFrame:
+    """Addresses of the sitemaps that sitemap files (url, xml) name."""
+    return maps.where("xml is not null").select(F.explode(_located("sitemap")).alias("url")).distinct()
+
+
 def sitemap_urls(maps: DataFrame, start: str, depth: int = 3) -> DataFrame:
     """(url, ordinal) that the sitemap at address ``start`` lists, by way of its index files, ``depth`` levels deep.
 
     ``maps`` (url, xml) holds the fetched sitemap files.  A file that names further sitemaps counts as an index only.
     """
-    def plain(inner: Column, entity: str, sign: str) -> Column:
-        return F.transform(inner, lambda x: F.replace(x, F.lit(entity), F.lit(sign)))
-
-    def loc(of: str) -> Column:
-        """Trimmed, non-empty addresses directly in elements of that name; patterns, since real files are not always well-formed."""
-        parts = F.regexp_extract_all("xml", F.lit(f"(?is)<{of}(?:\\s[^>]*)?>(.*?)</{of}\\s*>"), F.lit(1))
-        inner = F.transform(parts, lambda x: F.regexp_extract(x, "(?is)<loc(?:\\s[^>]*)?>(?:\\s*<!\\[CDATA\\[)?(.*?)(?:\\]\\]>\\s*)?</loc\\s*>", 1))
-        for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-            inner = plain(inner, entity, sign)
-        return F.filter(F.transform(inner, trim), lambda x: x != "")
-
-    read = maps.select("url", loc("sitemap").alias("nested"), loc("url").alias("pages"))
+    read = maps.select("url", _located("sitemap").alias("nested"), _located("url").alias("pages"))
     level = read.sparkSession.createDataFrame([(start, "")], "at string, path string")
     out = None
     for _ in range(depth):
@@ -71,31 +77,37 @@ def discovered(maps: DataFrame, start: str, base_url: str, links: DataFrame, mos
     return filter_urls(listed, base_url, "ordinal")
 
 
-def reachable(links: DataFrame, start: str, most: int = 500, within: str | None = None) -> DataFrame:
-    """(url, ordinal): pages reachable from ``start`` over ``links`` (src, pos, dst), breadth first, ``most`` at most.
+def followed(links: DataFrame, start: str) -> DataFrame:
+    """The links (src, pos, dst) that a walk from ``start`` follows: to the same origin, and to no archive."""
+    origin = "/".join(start.split("/")[:3])
+    return links.where(F.col("dst").startswith(origin) & ~F.col("dst").endswith(SKIPPED_ENDS[0]) & ~F.col("dst").endswith(SKIPPED_ENDS[1]))
 
-    Every page with a row in ``links`` as src exists; others can't be read.  A level is one join; the number visited
-    is bounded by ``most``, so only a bounded table comes back between levels.
+
+def reachable(links: DataFrame, start: str, most: int | None = 500) -> DataFrame:
+    """(url, ordinal): pages reachable from ``start`` over ``links`` (src, pos, dst), breadth first, the first ``most`` if given.
+
+    Every page with a row in ``links`` as src exists; others can't be read, and are left out before anything is counted.
+    A level is a join with the level before and an anti-join with what was seen, each a table in the shared folder.
     """
     spark = links.sparkSession
-    origin = "/".join((within or start).split("/")[:3])
-    ends = [~F.col("dst").endswith(e) for e in SKIPPED_ENDS]
-    good = links.where(F.col("dst").isNull() | (F.col("dst").startswith(origin) & ends[0] & ends[1]))
-    there = links.select(F.col("src").alias("there")).distinct()
-    seen: dict[str, int] = {}
-    level = [start]
-    while level and len(seen) < most:
-        ask = spark.createDataFrame([(u, i) for i, u in enumerate(level)], "url string, i int")
-        found = {r.url for r in ask.join(there, F.col("url") == F.col("there"), "left_semi").select("url").collect()}
-        for u in level:
-            if u in found and u not in seen and len(seen) < most:
-                seen[u] = len(seen)
-        if len(seen) >= most:
-            break
-        nxt = ask.join(good, F.col("url") == F.col("src")).where("dst is not null").groupBy("dst").agg(F.min(F.struct("i", "pos")).alias("at"))
-        known = spark.createDataFrame([(u,) for u in {*seen, *level}], "known string")
-        level = [r.dst for r in nxt.join(known, F.col("dst") == F.col("known"), "left_anti").orderBy("at").limit(20 * most).collect()]
-    return spark.createDataFrame(list(seen.items()), "url string, ordinal int")
+    path = fresh(spark, "walk")
+    with Staged(spark) as keep:
+        there = keep(links.select("src").distinct(), "sources")
+        good = keep(followed(links, start).join(there.select(F.col("src").alias("dst")), "dst", "left_semi").groupBy("src", "dst").agg(F.min("pos").alias("pos")), "links")
+        level = there.where(F.col("src") == start).select(F.col("src").alias("url"), F.lit(0).cast("long").alias("ordinal"))
+        seen, n = 0, level.count()
+        level.write.parquet(path)
+        while n and (most is None or seen + n < most):
+            seen += n
+            known = spark.read.schema(level.schema).parquet(path)
+            at = known.where(F.col("ordinal") >= seen - n)
+            found = at.join(good, F.col("url") == F.col("src")).groupBy("dst").agg(F.min(F.struct("ordinal", "pos")).alias("at"))
+            new = found.join(known, F.col("dst") == F.col("url"), "left_anti").select(F.col("dst").alias("url"), "at")
+            ranked = numbered(new, keep, F.col("at").asc(), F.col("url").asc(), first=seen).select("url", "ordinal")
+            ranked = keep(ranked if most is None else ranked.where(F.col("ordinal") < most), "level")
+            n = ranked.count()
+            ranked.write.mode("append").parquet(path)
+    return spark.read.schema(level.schema).parquet(path)
 
 
 def link_graph(parsed_pages: DataFrame) -> DataFrame:
@@ -157,45 +169,60 @@ def fetch(url: str, retries: int = 3, delay: float = 1.0, timeout: float = 30, m
     return None, error
 
 
-class _Bucket(InputPartition):
-    def __init__(self, urls: list[str]):
-        super().__init__(None)
-        self.urls = urls
-
+def fetched(urls: DataFrame, retries: int = 3, delay: float = 1.0, partitions: int = 10) -> DataFrame:
+    """``urls`` (url, ...) with body and error of each address, errors as rows; each task fetches its share one after the other.
 
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.urls = [u for u in options.get("urls", "").split("\n") if u]
-        self.partitions_wanted = int(options.get("partitions", "10"))
-        self.retries, self.delay = int(options.get("retries", "3")), float(options.get("delay", "1"))
-
-    def partitions(self):
-        n = max(1, min(self.partitions_wanted, len(self.urls)))
-        return [_Bucket(self.urls[k::n]) for k in range(n)]
-
-    def read(self, partition) -> Iterator[tuple]:
-        for u in partition.urls:
-            body, error = fetch(u, self.retries, self.delay)
-            yield u, body, error
+    What a server answers may differ the next time: write the result before it is used twice.
+    """
+    at, names = urls.columns.index("url"), urls.columns
+    types = {f.name: f for f in urls.schema}
+    out = T.StructType([*(types[n] for n in names), T.StructField("body", T.StringType()), T.StructField("error", T.StringType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):  # a page at a time, as one may be as large as ten megabytes
+                body, error = fetch(b.column(at)[k].as_py(), retries, delay)
+                yield pa.RecordBatch.from_arrays([*b.slice(k, 1).columns, pa.array([body], pa.string()), pa.array([error], pa.string())], [*names, "body", "error"])
 
-class HttpSource(DataSource):
-    """``spark.read.format("corvid_http").option("urls", "\\n".join(urls))``: (url, body, error), errors as rows, not failures."""
+    return urls.repartition(partitions).mapInArrow(run, out)
 
-    @classmethod
-    def name(cls) -> str:
-        return "corvid_http"
 
-    def schema(self) -> str:
-        return "url string, body string, error string"
+def fetched_sitemaps(spark: SparkSession, start: str, keep, depth: int = 3, **options) -> DataFrame:
+    """(url, xml, error) of the sitemap at ``start`` and of those that it names, ``depth`` levels deep."""
+    level = spark.createDataFrame([(start,)], "url string")
+    out = None
+    for _ in range(depth):
+        got = keep(fetched(level, **options).select("url", F.col("body").alias("xml"), "error"), "sitemaps")
+        level = keep(named_maps(got).join(got if out is None else out.unionByName(got), "url", "left_anti"), "named-maps")
+        out = got if out is None else out.unionByName(got)
+        if level.isEmpty():
+            break
+    return out
 
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(dict(self.options))
 
+def walked(spark: SparkSession, start: str, keep, most: int = 500, block: int = 100, **options) -> DataFrame:
+    """(url, ordinal, body): the first ``most`` pages that a walk over live links finds, breadth first.
 
-def fetched(spark: SparkSession, urls: list[str], **options) -> DataFrame:
-    spark.dataSource.register(HttpSource)
-    reader = spark.read.format("corvid_http").option("urls", "\n".join(urls))
-    for k, v in options.items():
-        reader = reader.option(k, str(v))
-    return reader.load()
+    Candidates of a level are fetched in their order, ``block`` at a time, until there are enough; a page that can't
+    be read is no page and counts for nothing.  The number visited is bounded by ``most`` and the links of its pages.
+    """
+    found, seen = None, None
+    level, have = spark.createDataFrame([(start, 0)], "url string, place long"), 0
+    while have < most and not level.isEmpty():
+        seen = keep(level.select("url") if seen is None else seen.unionByName(level.select("url")), "visited")
+        total, got_all = level.count(), None
+        for low in range(0, total, block):
+            part = level.where((F.col("place") >= low) & (F.col("place") < low + block))
+            got = keep(fetched(part, **options).where("body is not null and body <> ''"), "walked")
+            got_all = got if got_all is None else got_all.unionByName(got)
+            if have + got_all.count() >= most:
+                break
+        here = numbered(got_all.select("url", "body", "place"), keep, F.col("place").asc(), first=have).where(F.col("ordinal") < most)
+        here = keep(here.select("url", "ordinal", "body"), "level")
+        found = here if found is None else found.unionByName(here)
+        have += here.count()
+        links = followed(link_graph(html.parsed(here.withColumnRenamed("body", "html"), keep_noindex=True)), start)
+        new = links.join(here.select(F.col("url").alias("src"), "ordinal"), "src").groupBy("dst").agg(F.min(F.struct("ordinal", "pos")).alias("at"))
+        new = new.join(seen.select(F.col("url").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("url"), "at")
+        level = keep(numbered(new, keep, F.col("at").asc(), F.col("url").asc(), as_col="place").select("url", "place"), "candidates")
+    return found if found is not None else spark.createDataFrame([], "url string, ordinal long, body string")

@@ -7,6 +7,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from corvid import __main__ as command
 from corvid.config import Settings, SettingsError
 from corvid.engine import Engine, Product, as_json
 from corvid.functions import text as T
@@ -173,13 +174,16 @@ def test_retry():
         embed.with_retry(call, sleep=waits.append)
 
 
-def test_search(spark):
+def test_search(spark, tmp_path):
     rows = [("p", "u3", 0, [1.0, 0.0]), ("p", "u1", 0, [1.0, 0.0]), ("q", "u2", 0, [0.6, 0.8]), ("p", "u4", 0, None), ("p", "u5", 0, [0.0, 0.0]), ("p", "u6", 0, [-1.0, 0.0])]
     df = spark.createDataFrame(rows, "product string, source_url string, chunk_index int, embedding array<float>")
     names = lambda **o: [r.source_url for r in search.nearest(df, [2.0, 0.0], **o).collect()]
     assert names() == ["u1", "u3", "u2", "u6"] and names(limit=1) == ["u1"] and names(product="q") == ["u2"] and names(limit=3, min_score=0.9) == ["u1", "u3"]
-    index = search.CellIndex(df, lists=3)
+    index = search.CellIndex.build(df, str(tmp_path / "cells"), lists=3)
     assert [r.source_url for r in index.search([2.0, 0.0], 4, probes=3).collect()] == names()
+    one = search.CellIndex(spark, str(tmp_path / "cells")).search([2.0, 0.0], 4, probes=1)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "cell#" in plan.split("PartitionFilters: [")[1].split("]")[0] and 0 < one.count() < 4
 
 
 def test_batch_search_in_blocks(spark):
@@ -224,6 +228,46 @@ def test_store(spark, tmp_path):
     assert store.Store(spark, str(tmp_path / "s")).version == s.version
 
 
+def _files(path):
+    return {str(f.relative_to(path)) for f in path.rglob("*.parquet")}
+
+
+def test_store_writes_touched_buckets_only(spark, tmp_path):
+    at = tmp_path / "s"
+    s = store.Store(spark, str(at), 2, buckets=16)
+    s.upsert(_rows(spark, [(f"u{k}", 0) for k in range(200)]))
+    first = _files(at)
+    s.upsert(_rows(spark, [("u7", 0)], "new"))
+    more = _files(at) - first
+    assert first < _files(at) and len(more) == 1 and "bucket=" in more.pop()
+    assert s.stats()["total_chunks"] == 200 and s.chunks().where("content = 'new'").count() == 1
+    before = s.version
+    assert s.vacuum(keep=1) == 0 and s.version == before  # the first folder still holds the other buckets
+    assert s.delete("u7") == 1 and s.vacuum(keep=1) == 1 and s.stats()["total_chunks"] == 199
+
+
+def test_store_grows_its_buckets(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"), 2, buckets=2, most_rows=10)
+    s.upsert(_rows(spark, [(f"u{k}", 0) for k in range(100)]))
+    s.upsert(_rows(spark, [("u7", 0), ("v", 0)], "new"))
+    assert s._manifest()["buckets"] == 16 and s.stats()["total_chunks"] == 101 and s.delete("u7") == 1
+
+
+def test_two_writers_both_land(spark, tmp_path, monkeypatch):
+    one, other = (store.Store(spark, str(tmp_path / "s"), 2) for _ in range(2))
+    publish, raced = store.Store._publish, []
+
+    def slow(self, manifest):
+        if self is one and not raced:
+            raced.append(1)
+            other.upsert(_rows(spark, [("theirs", 0)]))
+        return publish(self, manifest)
+
+    monkeypatch.setattr(store.Store, "_publish", slow)
+    one.upsert(_rows(spark, [("mine", 0)]))
+    assert {r.source_url for r in one.chunks().collect()} == {"mine", "theirs"} and one.version == 2
+
+
 def test_engine(spark, tmp_path):
     products = [Product("en", "English", "http://e", version="1"), Product("de", "German", "http://d")]
     e = Engine(spark, products, Settings(store_path=str(tmp_path / "e"), dimensions=64))
@@ -231,7 +275,9 @@ def test_engine(spark, tmp_path):
     rows = [("http://e/a", "en", "1", f"# Gateway\n{text * 3}"), ("http://d/b", "de", None, f"# Other\n{'Something else entirely is written in here today. ' * 3}"), ("http://d/c", "de", None, "nothing")]
     pages = spark.createDataFrame(rows, "url string, product string, version string, markdown string").withColumn("content_hash", F.sha2("markdown", 256))
     assert e.search("gateway").count() == 0
-    assert e.ingest(pages) == {"updated": 2, "skipped": 0, "empty": 1, "chunks": 2}
+    done = e.ingest(pages)
+    assert {k: v for k, v in done.items() if k != "by_product"} == {"updated": 2, "skipped": 0, "empty": 1, "errors": 0, "chunks": 2}
+    assert done["by_product"] == {"en": {"updated": 1, "skipped": 0, "empty": 0, "errors": 0, "chunks": 1}, "de": {"updated": 1, "skipped": 0, "empty": 1, "errors": 0, "chunks": 1}}
     assert e.ingest(pages)["skipped"] == 2 and e.ingest(pages, force=True)["updated"] == 2
     assert e.stats() == {"total_chunks": 2, "by_product": {"en": 1, "de": 1}}
     assert e.search("gateway request service").first().source_url == "http://e/a"
@@ -242,6 +288,8 @@ def test_engine(spark, tmp_path):
     for bad in ({"query": ""}, {"query": "x", "product": "zz"}, {"query": "x", "limit": 0}, {"query": "x", "limit": 21}):
         with pytest.raises(ValueError):
             e.search(**bad)
+    ordered = pages.withColumn("ordinal", F.length("url")).withColumn("markdown", F.concat("markdown", F.lit(" Once more."))).withColumn("content_hash", F.sha2("markdown", 256))
+    assert e.ingest(ordered, product="en", limit=5)["updated"] == 1 and e.ingest(ordered, limit=1)["updated"] <= 1
     folder = tmp_path / "in"
     pages.withColumn("markdown", F.concat("markdown", F.lit(" And more of it."))).withColumn("content_hash", F.sha2("markdown", 256)).write.parquet(str(folder))
     e.follow(str(folder), pages.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), str(tmp_path / "cp"))
@@ -268,6 +316,10 @@ def test_reachable(spark):
     df = spark.createDataFrame(edges, "src string, pos int, dst string")
     assert [r.url for r in web.reachable(df, "http://h/").orderBy("ordinal").collect()] == ["http://h/", "http://h/b", "http://h/a", "http://h/c"]
     assert web.reachable(df, "http://h/", most=2).count() == 2
+    many = [("http://h/", k, f"http://h/{k}") for k in range(120)] + [("http://h/100", 0, None)]
+    found = web.reachable(spark.createDataFrame(many, "src string, pos int, dst string"), "http://h/", most=5)
+    assert [tuple(r) for r in found.orderBy("ordinal").collect()] == [("http://h/", 0), ("http://h/100", 1)]
+    assert web.reachable(df, "http://h/none").count() == 0
 
 
 def test_tree_and_folder(spark, tmp_path):
@@ -281,22 +333,131 @@ def test_tree_and_folder(spark, tmp_path):
     assert [(r.url, r.file_path) for r in got] == [("http://h/v/sub/f/", "docs/sub/f.md")]
 
 
-def test_http_source(spark):
+@pytest.fixture
+def site():
+    """A server of fixed answers by path; what it was asked, and posted, is kept."""
+    answers, asked = {}, []
+
     class Handler(http.server.BaseHTTPRequestHandler):
-        def do_GET(self):
-            self.send_response({"/ok": 200, "/gone": 410}.get(self.path, 500))
+        def answer(self):
+            body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
+            asked.append((self.path, json.loads(body) if body else None, dict(self.headers)))
+            found = answers.get(self.path, (404, ""))
+            code, text = found(asked[-1][1]) if callable(found) else found
+            self.send_response(code)
             self.end_headers()
-            self.wfile.write(b"body" if self.path == "/ok" else b"")
+            self.wfile.write(text.encode())
+
+        do_GET = do_POST = answer
 
         def log_message(self, *a):
             pass
 
     server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    base = f"http://127.0.0.1:{server.server_port}"
-    rows = web.fetched(spark, [f"{base}/ok", f"{base}/gone", f"{base}/bad"], retries=1, delay=0, partitions=2).collect()
+    yield f"http://127.0.0.1:{server.server_port}", answers, asked
     server.shutdown()
-    assert {r.url.rsplit("/", 1)[1]: (r.body, r.error) for r in rows} == {"ok": ("body", None), "gone": (None, None), "bad": (None, "HTTP 500")}
+
+
+def test_fetched(spark, site):
+    base, answers, _ = site
+    answers |= {"/ok": (200, "body"), "/gone": (410, ""), "/bad": (500, "")}
+    urls = spark.createDataFrame([(f"{base}/{x}", x) for x in ("ok", "gone", "bad")], "url string, name string")
+    rows = web.fetched(urls, retries=1, delay=0, partitions=2).collect()
+    assert {r.name: (r.body, r.error) for r in rows} == {"ok": ("body", None), "gone": (None, None), "bad": (None, "HTTP 500")}
+
+
+def _page(text, *links):
+    return 200, f"<html><head><title>T</title></head><body><main><h1>H</h1><p>{text} {'with many more words in it ' * 5}</p></main>{''.join(f'<a href={x}>l</a>' for x in links)}</body></html>"
+
+
+def test_crawl(spark, site, tmp_path):
+    """Product to store: a sitemap, a walk over links, and a repository, from a server; then only what changed."""
+    base, answers, _ = site
+    loc = lambda x: f"<loc>{base}{x}</loc>"
+    answers |= {
+        "/sitemap.xml": (200, f"<sitemapindex><sitemap>{loc('/one.xml')}</sitemap><sitemap>{loc('/none.xml')}</sitemap></sitemapindex>"),
+        "/one.xml": (200, f"<urlset><url>{loc('/docs/a')}</url><url>{loc('/docs/b')}</url><url>{loc('/docs/broken')}</url><url>{loc('/other/c')}</url><url>{loc('/docs/hidden')}</url></urlset>"),
+        "/docs/a": _page("alpha gateway"), "/docs/b": _page("beta"), "/docs/broken": (500, ""),
+        "/docs/hidden": (200, "<meta name=robots content=noindex><p>" + "hidden words " * 20),
+        "/nomap.xml": (200, "<urlset></urlset>"),
+        "/walk/": _page("start", "/walk/1", "/walk/2", "/walk/x.pdf", "http://elsewhere.invalid/", "/walk/missing"),
+        "/walk/1": _page("first", "/walk/3", "/walk/"), "/walk/2": _page("second"), "/walk/3": _page("third"),
+        "/repos/o/r/git/trees/main?recursive=1": (200, json.dumps({"tree": [{"path": f"en/docs/{x}", "type": "blob"} for x in ("p.md", "q.md", "images/i.md", "lost.md", "short.md")]})),
+        "/o/r/main/en/docs/p.md": (200, "# P\n" + "Repository words stand here. " * 6), "/o/r/main/en/docs/q.md": (200, "# Q\n" + "More repository words stand here. " * 6),
+        "/o/r/main/en/docs/lost.md": (500, ""), "/o/r/main/en/docs/short.md": (200, "too short"),
+    }
+    products = [
+        {"id": "map", "name": "Map", "base_url": f"{base}/docs", "version": "2"},
+        {"id": "walk", "name": "Walk", "base_url": f"{base}/walk/", "sitemap_url": f"{base}/nomap.xml"},
+        {"id": "git", "name": "Git", "base_url": "http://docs.example/v1", "git_source": ["o", "r", "main", "en/docs"]},
+        {"id": "down", "name": "Down", "base_url": "http://docs.example/v2", "git_source": ["o", "gone", "main", "docs"]},
+    ]
+    file = tmp_path / "products.json"
+    file.write_text(json.dumps(products))
+    options = Settings(store_path=str(tmp_path / "store"), dimensions=32, fetch_retries=0, fetch_delay=0, fetch_partitions=2, git_api=base, git_raw=base)
+    run = lambda *args: command.main([*args, "--products", str(file)], spark, options)
+    done = run("crawl")["by_product"]
+    counts = lambda p: tuple(done[p][k] for k in ("updated", "skipped", "empty", "errors"))
+    assert counts("map") == (2, 0, 1, 1) and counts("walk") == (4, 0, 0, 0) and counts("git") == (2, 0, 0, 1) and counts("down") == (0, 0, 0, 1)
+    engine = Engine(spark, command.products_from(str(file)), options)
+    urls = {r.source_url: r.version for r in engine.store.chunks().collect()}
+    assert urls == {f"{base}/docs/a": "2", f"{base}/docs/b": "2", f"{base}/walk/": None, f"{base}/walk/1": None, f"{base}/walk/2": None, f"{base}/walk/3": None, "http://docs.example/v1/p/": None, "http://docs.example/v1/q/": None}
+    answers["/docs/b"] = _page("beta changed")
+    done = run("reindex", "--product", "map")["by_product"]
+    assert list(done) == ["map"] and counts("map") == (1, 1, 1, 1)
+    assert run("crawl", "--product", "git", "--limit", "1", "--force")["updated"] == 1
+    assert run("stats")["total_chunks"] == 8 and run("migrate") == {"migrated": False}
+    import datetime
+
+    waits = []
+    done = engine.reindex_daily(2, 0, times=2, now=lambda: datetime.datetime(2026, 1, 1, 1, 0), sleep=waits.append)
+    assert waits == [3600.0, 3600.0] and all(r["by_product"]["map"]["skipped"] == 2 for r in done)
+
+
+def test_embedding_services(site):
+    """Each service's requests and answers, from a stub."""
+    base, answers, asked = site
+    answers |= {
+        "/openai": lambda b: (200, json.dumps({"data": [{"embedding": [float(len(t)), b["dimensions"]]} for t in b["input"]]})),
+        "/models/m:batchEmbedContents": lambda b: (200, json.dumps({"embeddings": [{"values": [float(len(r["content"]["parts"][0]["text"])), 1.0]} for r in b["requests"]]})),
+        "/voyage": lambda b: (200, json.dumps({"data": [{"embedding": [float(len(t)), 2.0]} for t in b["input"]]})),
+    }
+    texts = ["a" * (k % 7) for k in range(205)]
+    assert embed.openai("k1", url=f"{base}/openai", dimensions=2).embed(texts) == [[float(len(t)), 2.0] for t in texts]
+    assert [len(b["input"]) for p, b, h in asked] == [100, 100, 5] and asked[0][2]["Authorization"] == "Bearer k1" and asked[0][1]["model"] == "text-embedding-3-small"
+    assert embed.gemini("k2", model="m", url=base).embed(["abc"]) == [[3.0, 1.0]] and asked[-1][2]["X-Goog-Api-Key"] == "k2" and asked[-1][1]["requests"][0]["taskType"] == "RETRIEVAL_DOCUMENT"
+    assert embed.voyage("k3", url=f"{base}/voyage").embed(["ab"]) == [[2.0, 2.0]] and asked[-1][1]["input_type"] == "document"
+    busy = [503, 429]
+    answers["/voyage"] = lambda b: (busy.pop(), "") if busy else (200, json.dumps({"data": [{"embedding": [1.0]}]}))
+    assert embed.voyage("k3", url=f"{base}/voyage").embed(["ab"]) == [[1.0]]
+
+
+def test_ollama(site):
+    base, answers, asked = site
+    models = ["other:latest"]
+    answers["/api/tags"] = lambda b: (200, json.dumps({"models": [{"name": m} for m in models]}))
+    answers["/api/pull"] = lambda b: (models.append(b["name"] + ":latest"), (200, '{"status": "pulling"}\nnote\n{"status": "success"}\n'))[1]
+    answers["/api/embed"] = lambda b: (200, json.dumps({"embeddings": [[float(len(t))] for t in b["input"]]}))
+    p = embed.ollama(base, "m", 1)
+    assert p.resolved() is p and models == ["other:latest", "m:latest"] and p.embed(["abc", ""]) == [[3.0], [0.0]]
+    assert p.resolved() is p and [x[0] for x in asked].count("/api/pull") == 1
+    answers["/api/pull"] = (200, '{"error": "no such model"}\n')
+    with pytest.raises(OSError, match="no such model"):
+        embed.ollama(base, "n", 1).resolved()
+    nowhere = "http://127.0.0.1:9"
+    instead = embed.Hashing(1)
+    assert embed.ollama(nowhere, "m", 1, fallback=instead).resolved() is instead
+    with pytest.raises(OSError):
+        embed.ollama(nowhere, "m", 1).resolved()
+    with pytest.raises(ValueError):
+        embed.ollama(nowhere, "m", 2, fallback=instead).resolved()
+
+
+def test_accelerator():
+    assert embed.accelerator("Darwin", "arm64", lambda: True).batch == 32
+    assert embed.accelerator("Linux", "x86_64", lambda: True).providers[0] == "CUDAExecutionProvider"
+    assert embed.accelerator("Linux", "x86_64", lambda: False) == embed.CPU == embed.accelerator("Darwin", "x86_64", lambda: False)
 
 
 def test_settings():
