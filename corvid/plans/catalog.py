@@ -247,7 +247,7 @@ m as (select *, i - i % 3 as head, case when i % 3 <> 0 and i % 7 = 1 then 1 els
 t as (select doc_id, head, i, case when code = 1 and trim(line) <> '' then '[code: ' || substr(line, 1, 200) || ']'
   when code = 1 or line = '' then null
   else {_duck_clean("case when i % 3 = 0 then line else '- ' || line end")} end x, code from m),
-s as (select doc_id, head, trim(regexp_replace(coalesce(string_agg(x, ' ' order by i) filter (code = 1 or length(x) > 3), ''), '{SP}+', ' ', 'g')) as text from t group by doc_id, head)
+s as (select doc_id, head, trim(regexp_replace(coalesce(string_agg(x, ' ' order by i) filter (code = 1 or length(x) > 3), ''), '{SP}+', ' ', 'g')) as text from t group by doc_id, head),
 b as (select doc_id, string_agg(case when i % 3 = 0 then '## Part *' || i || '*' || chr(10) || raw when i % 7 = 1 then '```' || chr(10) || raw || chr(10) || '```' else '- ' || raw end, chr(10) order by i) body from l group by doc_id),
 w as (select doc_id, {_duck_clean("regexp_replace(body, '^' || '" + SP + "+|" + SP + "+$', '', 'g')")} as text from b where doc_id not in (select doc_id from s where length(text) > 20))
 select cast(doc_id as varchar) url, 'Doc ' || doc_id title, 'Part ' || head as heading, text, cast(2 as integer) as level from s where length(text) > 20
