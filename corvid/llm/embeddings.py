@@ -1,17 +1,20 @@
 """Embedding near-dedup: spherical k-means cells and blocked cosine products.
 
-Equal vectors are one row first, with a count.  Centroids are fitted on at most ``fit`` of the rest, their number
-growing with the table; every vector is then put into the cells of its nearest centroids, all that are within
-``margin`` of the best (by cosine) and ``cells`` at most.  A pair that shares cells is judged in the first of them
-only.  A cell above ``block`` vectors is cut into blocks, and each pair of blocks is a unit of work of its own.
-A unit gives link counts and at most one link a vector to the least of its cluster, never all pairs.
+Equal vectors are one row first, with a count.  Centroids are fitted on a sample of the rest, one for every
+``target`` vectors and ``most_centroids`` at most; every vector is then put into the cells of its nearest centroids,
+all that are within ``margin`` of the best (by cosine) and ``cells`` at most.  A pair that shares cells is judged in
+the first of them only.  A cell above ``block`` vectors is cut into blocks, and each pair of blocks is a unit of work
+of its own.  A unit gives link counts and at most one link a vector to the least of its cluster, never all pairs.
 
-Cosines are taken in double precision, and a pair below the limit is never linked.  A near pair whose vectors
-share no cell is missed; with few cells none is.  Measured recall is in the README.
+The sample is of ``fit`` vectors, or of ``fit_each`` for every centroid where that is more (131,072 at the most
+centroids).  Vectors travel as they came, floats as floats.  Cosines are taken in double precision, and a pair below
+the limit is never linked.  A near pair whose vectors share no cell is missed; with few cells none is.  Measured
+recall is in the README.
 
 Defined cases: vectors that are null, empty, zero or hold null, NaN or infinite components, or of another
-dimension than a pair's other, link with nothing; equal vectors link; repeated rows are vectors of their own; an
-empty table gives an empty one.
+dimension than a pair's other, link with nothing; equal vectors link; a pair at the limit links as its cosine in
+double precision says; repeated rows are vectors of their own; rows without vec_id count as links of others but name
+no component; other columns are ignored, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,10 +36,11 @@ from corvid.llm.scratch import saved
 class Cells:
     limit: float = 0.95
     fit: int = 20_000
-    target: int = 1500  # vectors in a cell
-    most_centroids: int = 4096
-    margin: float = 0.12
-    cells: int = 4
+    fit_each: int = 4
+    target: int = 500  # vectors whose nearest centroid a cell's is
+    most_centroids: int = 32_768
+    margin: float = 0.2
+    cells: int = 8
     block: int = 2000
     rounds: int = 12
     seed: int = 7
@@ -46,16 +50,33 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _step(k: int) -> int:
+    """Vectors that are compared with ``k`` centroids at a time, so that their products stay below 32 MB."""
+    return max(16, (1 << 22) // k)
+
+
+def nearest_cells(x: np.ndarray, centroids: np.ndarray, cells: int, margin: float) -> list[list[int]]:
+    """For each unit vector the centroids within ``margin`` of the best, ``cells`` at most, in their order."""
+    out, step, m = [], _step(len(centroids)), min(cells, len(centroids))
+    for a in range(0, len(x), step):
+        s = x[a : a + step] @ centroids.T
+        top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(centroids) else np.broadcast_to(np.arange(m), (len(s), m))
+        ok = np.take_along_axis(s, top, axis=1) >= s.max(axis=1, keepdims=True) - margin
+        out += [sorted(r[o].tolist()) for r, o in zip(top, ok, strict=True)]
+    return out
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     """k unit centroids of unit vectors; an emptied centroid is set on the vector that fits worst."""
     c = x[np.random.default_rng(seed).choice(len(x), k, replace=False)]
     for _ in range(rounds):
         own = np.empty(len(x), np.int64)
         fit = np.empty(len(x))
-        for a in range(0, len(x), 4096):
-            s = x[a : a + 4096] @ c.T
-            own[a : a + 4096] = s.argmax(axis=1)
-            fit[a : a + 4096] = s.max(axis=1)
+        step = _step(k)
+        for a in range(0, len(x), step):
+            s = x[a : a + step] @ c.T
+            own[a : a + step] = s.argmax(axis=1)
+            fit[a : a + step] = s.max(axis=1)
         new = np.zeros_like(c)
         np.add.at(new, own, x)
         size = np.sqrt((new * new).sum(axis=1))
@@ -79,6 +100,8 @@ def _prepared(vectors: DataFrame) -> DataFrame:
 
     Such a scale leaves cosines as they are and keeps the squares of very large or small components finite.
     """
+    kind = vectors.schema["v"].dataType.simpleString()
+    made = pa.list_(pa.float32() if kind == "array<float>" else pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,9 +120,9 @@ def _prepared(vectors: DataFrame) -> DataFrame:
                 for k, part in zip(keys, (h[:8], h[8:]), strict=True):
                     k.append(int.from_bytes(part, "little", signed=True))
                 out.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(k, pa.int64()) for k in keys), pa.array(out, pa.list_(pa.float64()))], ["vec_id", "key1", "key2", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(k, pa.int64()) for k in keys), pa.array([x if x is None else x.astype(made.value_type.to_pandas_dtype()) for x in out], made)], ["vec_id", "key1", "key2", "v"])
 
-    return vectors.mapInArrow(run, "vec_id long, key1 long, key2 long, v array<double>")
+    return vectors.mapInArrow(run, f"vec_id long, key1 long, key2 long, v {kind}")
 
 
 def _judge(cells: Cells):
@@ -158,15 +181,18 @@ def _judge(cells: Cells):
 def deduplicated(vectors: DataFrame, cells: Cells = Cells(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of ``vectors``."""
     spark = vectors.sparkSession
-    rows = saved(_prepared(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))), "prepared-vectors")
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = saved(_prepared(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("v"))), "prepared-vectors")
     groups = saved(rows.where("v is not null").groupBy("key1", "key2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v")).withColumn("gid", F.xxhash64("key1", "key2")), "vectors")
     total = groups.count()
     if total:
-        sample = groups.select("v", F.size("v").alias("dim"), F.xxhash64(F.lit(cells.seed), "gid").alias("o")).orderBy("o").limit(cells.fit).collect()
-        dim = max(set(d := [r.dim for r in sample]), key=d.count)
-        x = _units(np.array([r.v for r in sample if r.dim == dim]))
-        k = max(1, min(cells.most_centroids, len(x), round(total / cells.target)))
-        shared = spark.sparkContext.broadcast(spherical_kmeans(x, k, cells.rounds, cells.seed))
+        k = max(1, min(cells.most_centroids, round(total / cells.target)))
+        order = F.xxhash64(F.lit(cells.seed), "gid")
+        sample = groups.select("v", order.alias("o")).orderBy("o").limit(max(cells.fit, cells.fit_each * k)).select("v").toArrow()["v"]
+        sizes = np.concatenate([c.value_lengths().to_numpy() for c in sample.chunks])
+        dim = int(np.bincount(sizes).argmax())
+        x = _units(_matrix(pa.concat_arrays([c.filter(pa.array(c.value_lengths().to_numpy() == dim)) for c in sample.chunks])))
+        shared = spark.sparkContext.broadcast(spherical_kmeans(x, min(k, len(x)), cells.rounds, cells.seed))
     else:
         dim, shared = 0, spark.sparkContext.broadcast(np.ones((1, 1)))
 
@@ -175,14 +201,10 @@ def deduplicated(vectors: DataFrame, cells: Cells = Cells(), id_col: str = "vec_
             if not b.num_rows:
                 continue
             x = _units(_matrix(b.column(1)))
-            s = x @ shared.value.T
-            top = np.argsort(-s, axis=1, kind="stable")[:, : cells.cells]
-            val = np.take_along_axis(s, top, axis=1)
-            ok = val >= val[:, :1] - cells.margin
-            of = [sorted(r[o].tolist()) for r, o in zip(top, ok, strict=True)]
+            of = nearest_cells(x, shared.value, cells.cells, cells.margin)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(1), pa.array(of, pa.list_(pa.int32()))], ["gid", "n", "v", "of"])
 
-    schema = "gid long, n long, v array<double>, of array<int>"
+    schema = f"gid long, n long, v {kind}, of array<int>"
     usual = groups.where(F.size("v") == dim).select("gid", "v", "n").mapInArrow(place, schema)
     # vectors of another dimension than most: one cell for each such dimension
     odd = groups.where(F.size("v") != dim).select("gid", "n", "v", F.array((F.lit(1 << 20) + F.size("v")).cast("int")).alias("of"))
