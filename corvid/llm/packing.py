@@ -8,8 +8,9 @@ window count rises by one and the batch is dealt anew.
 
 A batch never leaves its task, so nothing is shuffled and a task holds one batch of piece lengths at a time.
 
-Defined cases: a null or empty text is the separator alone; repeated rows are packed each; an empty table gives
-an empty one; other columns are ignored.
+Defined cases: a null or empty text is the separator alone; repeated rows, and rows without doc_id, are packed each;
+a text of any length is cut into full sequences as it comes and leaves one rest; pieces of one size go by their
+order; an empty table gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ class Plan:
     capacity: int = 1024
     piece: int = 256  # rests are cut to this, so that a window holds several pieces
     windows: int = 128  # windows in a batch
+    pieces: int = 4096  # pieces in a batch, at most, so that its tables (pieces x windows) stay below 10 MB
     separator: int = 0
 
 
@@ -152,7 +154,7 @@ def packed(docs: DataFrame, plan: Plan = Plan(), json_path: str | None = None, r
                     else:
                         rest.append(piece)
                         waiting += length
-                        if waiting >= plan.windows * cap - plan.piece:
+                        if waiting >= plan.windows * cap - plan.piece or len(rest) >= plan.pieces:
                             deal()
                     start += length
                 if len(done) > 20_000:
