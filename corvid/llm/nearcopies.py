@@ -1,16 +1,20 @@
 """Near copies: pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-A SimHash bound that holds most such pairs (about 10 of 64 bits differ at 0.8, and up to 20) has no usable segment
-index, so candidates are found by MinHash: ``BANDS`` bands of ``ROWS`` minima, of which a pair at 0.8 shares none with
-a chance of 9e-12.  Every candidate is then decided by the exact similarity of the two sets.
-
-Texts with one set are one node.  First each node of a band's bucket is compared with the least of its bucket; then
-those nodes of a bucket that are still in different components are compared with each other, in blocks, by their minima;
-pairs of which 211 of 320 or more agree (a pair at 0.8 has fewer with a chance of about 1e-9) go on to the exact check.  Pairs already in one
-component need no comparing, so a large group of near copies costs a few pairs a node.
-
-Defined cases: words and case are as in ``simhash``; fewer words than a shingle are one shingle; texts without words
-have the empty set and are copies of each other.
+Candidates come first from SimHash fingerprints of those sets, linked within 3 bits by the pigeonring filter of
+``simhash``.  At 0.8 about 10 of 64 bits differ, and up to 20, a bound that no segment index can serve; so MinHash adds
+the rest: ``BANDS`` bands of ``ROWS`` minima, of which a pair at 0.8 shares none with a chance of 9e-12.  Every candidate
+is then decided by the exact similarity of the two sets.
+
+Texts with one set are one node.  First each pair that the fingerprints link, and each node of a band's bucket with
+the least of its bucket, is compared; then those nodes of a bucket that are still in different components are compared
+with each other, in blocks, by their minima; pairs of which 211 of 320 or more agree (a pair at 0.8 has fewer with a
+chance of about 1e-9) go on to the exact check.  Pairs already in one component need no comparing, so a large group of
+near copies costs a few pairs a node.
+
+Defined cases: words and case are as in ``simhash``; fewer words than a shingle are one shingle; texts without words,
+null ones too, have the empty set and are copies of each other; repeated rows of one id and text stay together; rows
+without doc_id stay only in groups without any id; a text of any length is taken whole; other columns are kept,
+whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,7 +30,8 @@ from corvid.llm.arrow import light, runs, small
 from corvid.llm.bitmap import Bitmap, row_key, suspected, text_hash, without_rows
 from corvid.llm.components import components
 from corvid.llm.scratch import saved
-from corvid.llm.simhash import UPPER, WORD
+from corvid.llm import simhash
+from corvid.llm.simhash import UPPER, WORD, majority
 
 BANDS, ROWS = 64, 5
 LEAST_EQUAL = 211
@@ -71,7 +76,7 @@ def _texts(docs: DataFrame, *first: Column) -> DataFrame:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, node, n: shingles of its set, keys, low: a byte of each minimum) of each row; the empty set has no keys, as it only equals itself."""
+    """(doc_id, text_hash, node, n: shingles of its set, keys, low: a byte of each minimum, fp: its SimHash) of each row; the empty set has no keys, as it only equals itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
@@ -80,10 +85,11 @@ def _sketches(docs: DataFrame) -> DataFrame:
             least = [minima(x) for x in sets]
             keys = pa.array([band_keys(m).view(np.int64) if len(x) else [] for x, m in zip(sets, least, strict=True)], pa.list_(pa.int64()))
             low = pa.array([m.astype(np.uint8).tobytes() for m in least], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, pa.array([len(x) for x in sets], pa.int64()), keys, low], ["doc_id", "text_hash", "node", "n", "keys", "low"])
+            fp = pa.array(np.array([majority(x) for x in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, pa.array([len(x) for x in sets], pa.int64()), keys, low, fp], ["doc_id", "text_hash", "node", "n", "keys", "low", "fp"])
 
     first = F.col("doc_id").cast("long").alias("doc_id"), text_hash()
-    return _texts(docs, *first).mapInArrow(run, "doc_id long, text_hash long, node long, n long, keys array<long>, low binary")
+    return _texts(docs, *first).mapInArrow(run, "doc_id long, text_hash long, node long, n long, keys array<long>, low binary, fp long")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -128,19 +134,29 @@ def _alike(left: DataFrame) -> DataFrame:
     return cut.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long")
 
 
+def _printed(one: DataFrame) -> DataFrame:
+    """(node, head, n): pairs of nodes whose fingerprints the pigeonring filter links, each fingerprint standing for its least node."""
+    per = saved(one.groupBy("fp").agg(F.min("node").alias("head")), "distinct-fingerprints")
+    same = one.join(per, "fp").where("node <> head").select("node", "head", "n")
+    near = simhash.links(per.select("fp"))
+    far = near.join(per.select(F.col("fp").alias("u"), F.col("head").alias("node")), "u").join(per.select(F.col("fp").alias("v"), "head"), "v")
+    return same.unionByName(far.join(one.select("node", "n"), "node").select("node", "head", "n"))
+
+
 def links(docs: DataFrame, of: DataFrame, most: int = 1000) -> DataFrame:
     """(u, v): links between nodes, enough to connect every group of near copies."""
-    one = saved(of.groupBy("node").agg(F.min(F.struct("n", "keys", "low")).alias("s"), F.min(F.struct("doc_id", "text_hash")).alias("at")).select("node", "s.*", "at"), "sets-of-shingles")
+    one = saved(of.groupBy("node").agg(F.min(F.struct("n", "keys", "low", "fp")).alias("s"), F.min(F.struct("doc_id", "text_hash")).alias("at")).select("node", "s.*", "at"), "sets-of-shingles")
     wide = one.select("node", "n", F.explode("keys").alias("key"))
     heads = wide.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("head")).where("rows > 1").select("key", "head")
     bucket = saved(wide.join(heads, "key"), "near-buckets")
-    nodes = saved(bucket.select("node").distinct(), "near-nodes")
+    printed = saved(_printed(one.where("n > 0")), "near-fingerprints")
+    nodes = saved(bucket.select("node").unionByName(printed.select(F.col("node"))).unionByName(printed.select(F.col("head").alias("node"))).distinct(), "near-nodes")
     rows = one.join(nodes, "node", "left_semi").select(F.xxhash64(F.coalesce("at.doc_id", F.lit(-1)), "at.text_hash").alias("row"))
     items = _sets(suspected(docs, Bitmap(rows, F.col("row")), row_key())).dropDuplicates(["node"]).join(nodes, "node", "left_semi")
     sets = saved(items, "near-sets")
     size = lambda a, b: 5 * F.least(a, b) >= 4 * F.greatest(a, b)
     least = one.select(F.col("node").alias("head"), F.col("n").alias("m"))
-    star = bucket.where("node <> head").select("node", "head", "n").distinct().join(least, "head").where(size(F.col("n"), F.col("m")))
+    star = bucket.where("node <> head").select("node", "head", "n").unionByName(printed).distinct().join(least, "head").where(size(F.col("n"), F.col("m")))
     first = _linked(star.select(F.col("head").alias("u"), F.col("node").alias("v")), sets, "near-links")
     part = saved(components(first), "near-parts")
     left = bucket.join(part, "node", "left").select("key", "head", "node", "n", F.coalesce("component", "node").alias("c"))

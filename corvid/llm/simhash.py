@@ -12,7 +12,8 @@ most one link per fingerprint, to the least of its cluster, not all pairs; no li
 
 Defined cases: a null text, or one without words, has fingerprint zero and is linked like any other; fewer words
 than a shingle are one shingle; repeated rows give repeated rows; rows without doc_id get a null component only
-if no other row is linked with them.
+if no other row is linked with them; a text of any length is taken whole; other columns are ignored, whatever their
+names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -45,7 +46,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     line = b" ".join(w)
     ends = np.cumsum(np.fromiter(map(len, w), np.int64, n) + 1)
     starts = np.concatenate([[0], ends[: n - shingle]]).tolist()
-    x = np.array([h(line[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
+    return majority(np.array([h(line[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def majority(x: np.ndarray) -> int:
+    """Each bit that more than half of the hashes have."""
     total = np.zeros(64, np.int64)
     for k in range(0, len(x), 8192):
         total += np.unpackbits(x[k : k + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
