@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corvid.llm.scratch import saved
+from corvid.llm.scratch import fresh, remove
 
 
 def _minima(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, saved) -> DataFrame:
     """One star step over edges (u > v), which it returns in the same form."""
     if large:  # every larger neighbour of u moves to the least of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -35,14 +35,26 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (u, v: long), component being the least node reachable.
 
-    Loops and repeated edges don't matter; an empty table gives an empty table.
+    Loops and repeated edges don't matter; an empty table gives an empty table.  A round's tables go once the next
+    round's are written; the last round's stay in the shared folder, as the result reads them.
     """
+    spark, kept = edges.sparkSession, []
+
+    def saved(df: DataFrame, name: str) -> DataFrame:
+        path, schema = fresh(spark, name), df.schema
+        df.write.parquet(path)
+        kept.append(path)
+        return spark.read.schema(schema).parquet(path)
+
     now = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(now)
     for _ in range(rounds):
         if not state[0]:
             break
-        now = saved(_star(saved(_star(now, True), "large"), False), "small")
+        now = saved(_star(saved(_star(now, True, saved), "large"), False, saved), "small")
+        for path in kept[:-1]:
+            remove(spark, path)
+        del kept[:-1]
         before, state = state, _state(now)
         if before == state:
             break

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset, a folder of our own, as in local tests."""
+    """The session's ``spark.checkpoint.dir``; where it is unset, a folder of our own, which only a local session may use."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"/tmp/checkpoints/corvid-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(where)
         where = spark.sparkContext.getCheckpointDir()

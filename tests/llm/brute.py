@@ -190,3 +190,14 @@ def bands(data, b):
     full = len(data) // b.chunk_bytes
     chunks = [data[k * b.chunk_bytes : (k + 1) * b.chunk_bytes] for k in range(full)] + [data[-b.chunk_bytes :]]
     return all(b.chunk[0] <= ratio(x) <= b.chunk[1] for x in chunks)
+
+
+def sainte_lague(wishes, total):
+    """Seats one by one to the highest quotient; ties to the first."""
+    out = dict.fromkeys(wishes, 0)
+    for _ in range(total):
+        if not any(wishes.values()):
+            break
+        best = max(wishes, key=lambda k: wishes[k] / (2 * out[k] + 1))
+        out[best] += 1
+    return out

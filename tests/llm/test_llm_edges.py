@@ -231,3 +231,118 @@ def test_pipeline(spark, sf):
     assert all(re.sub(r"\s+", "", t) in re.sub(r"\s+", "", dict(rows)[i]) or want[i][1] for i, t in cut.items())
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and {r.doc_id for r in out.select("doc_id").distinct().collect()} <= near | set(dict(rows))
+
+
+def test_embeddings_at_the_limit(spark):
+    """Pairs just at, below and above 0.95, as floats and as doubles, and repeated vectors without an id."""
+    at = [(1, [1.0, 0.0]), (2, [0.95, float(np.sqrt(1 - 0.95**2))]), (3, [0.9499999, float(np.sqrt(1 - 0.9499999**2))]), (4, [0.95, -float(np.sqrt(1 - 0.95**2))]), (5, [19.0, float(np.sqrt(39.0))]), (6, [19.0, float(np.sqrt(39.0))])]
+    for kind in ("double", "float"):
+        df = spark.createDataFrame(at, f"vec_id long, embedding array<{kind}>")
+        want = brute.vectors([(r.vec_id, r.embedding) for r in df.collect()])
+        assert {r.vec_id: (r.n_links, r.component_id) for r in embeddings.deduplicated(df).collect()} == want
+    twice = spark.createDataFrame([(None, [1.0, 0.0]), (7, [1.0, 0.0]), (7, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in embeddings.deduplicated(twice).select("n_links", "component_id").collect()] == [(2, 7)] * 3
+
+
+def test_nearest_cells():
+    rng = np.random.default_rng(8)
+    c, x = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.normal(size=(50, 6)), rng.normal(size=(300, 6))))
+    got = embeddings.nearest_cells(x, c, 5, 0.2)
+    for s, cells in zip(x @ c.T, got, strict=True):
+        best = np.argsort(-s)[:5]
+        assert cells == sorted(k for k in best if s[k] >= s.max() - 0.2)
+
+
+def test_many_small_pieces():
+    sizes = [1] * 4096
+    owner, k = packing.windows_of(sizes, 1024)
+    assert k == 4 and np.bincount(owner).tolist() == [1024] * 4
+
+
+def test_pack_ids_are_the_library(spark):
+    from tokenizers import Tokenizer
+
+    ids, tok = packing.Ids(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(12)
+    letters = [*"abcdeE .,!?0123456789", "\n", "\t", "  ", "é", "ß", "漢", "😀", "<", "|", ">", "'s"]
+    for _ in range(2000):
+        t = "".join(rng.choice(letters, rng.integers(0, 60)))
+        assert ids(t).tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_very_long_texts(spark):
+    """Texts of hundreds of thousands of words go whole through every text operator."""
+    long = " ".join(f"w{k % 7919}z{k % 13}" for k in range(250_000))
+    docs = spark.createDataFrame([(1, long, "s"), (2, long + " tail", "s"), (3, "short", "s")], "doc_id long, text string, source string")
+    assert {r.doc_id: r.n_words for r in quality.judged(docs).collect()} == {1: 250_000, 2: 250_001, 3: 1}
+    assert {r.doc_id: r.n_removed for r in substrings.measured(docs).collect()} == {1: 0, 2: 250_000, 3: 0}
+    assert {r.doc_id: r.component_id for r in simhash.grouped(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert sum(r.length for r in packing.packed(docs).where("doc_id = 1").collect()) == packing.packed(docs).where("doc_id = 1").first().doc_tokens
+    assert {r.doc_id: r["size"] for r in mixing.mixed(docs).collect()} == {1: 250_000, 2: 250_001, 3: 1}
+
+
+def test_tokens_of_empty_tables_and_other_tokenizers(spark, docs, tmp_path):
+    from tokenizers import Tokenizer
+
+    assert tokens.counted(docs.limit(0), str(tmp_path / "none")).count() == 0
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    text = spark.createDataFrame([(1, "a  b"), (2, "a b"), (3, " a b\\n"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in tokens.counted(text, str(tmp_path / "bytes"), path).collect()}
+    assert got == {r.doc_id: len(tok.encode(r.text or "", add_special_tokens=False).ids) for r in text.collect()}
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    import sentencepiece
+
+    piece = sentencepiece.SentencePieceProcessor(model_file=model)
+    got = {r.doc_id: r.n_tokens for r in tokens.counted(text, str(tmp_path / "pieces"), model).collect()}
+    assert got == {r.doc_id: len(piece.encode(r.text or "")) for r in text.collect()}
+
+
+def test_token_cache_that_knows_most(spark, tmp_path):
+    """New texts among cached ones, old ones among new, and repeated ones, with one row for each digest."""
+    cache = str(tmp_path / "cache")
+    row = lambda k: (k, f"text number {k % 40} of some words")
+    first, more = (spark.createDataFrame([row(k) for k in ks], "doc_id long, text string") for ks in (range(30), range(90)))
+    for df, n in ((first, 30), (more, 40), (more, 40)):
+        got = {r.doc_id: r.n_tokens for r in tokens.counted(df, cache).collect()}
+        assert got == {r.doc_id: _counter().library(r.text) for r in df.collect()}
+        assert spark.read.parquet(cache).count() == n
+
+
+def test_taken_against_a_plain_mix(spark):
+    """Who gets how many words, dealt seat by seat and document by document."""
+    rng = np.random.default_rng(9)
+    rows = [(k, " ".join(["w"] * int(rng.integers(0, 90))), str(rng.choice(["a", "b", "c", "d"]))) for k in range(400)]
+    mix = mixing.Mix(block=16, shard_docs=40)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed, per_source, _ = mixing._placed(df, mix)
+    got = placed.collect()
+    sizes = {s: sum(len(t.split()) for _, t, o in rows if o == s) for s in "abcd"}
+    want = brute.targets(sizes)
+    quota = brute.sainte_lague(want, round(sum(want.values()) / 16))
+    for s in "abcd":
+        mine = [r for r in got if r.source == s]
+        words = {}
+        for r in mine:
+            words[r.shard] = words.get(r.shard, 0) + r["size"]
+        shard_quota = brute.sainte_lague(dict(sorted(words.items())), quota[s])
+        for shard, seats in shard_quota.items():
+            left, taken = seats * 16, {}
+            for _ in range(2):
+                for r in sorted((r for r in mine if r.shard == shard), key=lambda r: (r.pick, r.doc_id)):
+                    step = min(left, r["size"])
+                    taken[r.doc_id] = taken.get(r.doc_id, 0) + step
+                    left -= step
+            assert {r.doc_id: r.taken for r in mine if r.shard == shard} == taken
+    copies = {r.doc_id: r["count"] for r in mixing.resampled(df, mix).groupBy("doc_id").count().collect()}
+    half_up = lambda x: int(np.floor(x + 0.5))
+    assert copies == {r.doc_id: n for r in got if r["size"] and (n := half_up(r.taken / r["size"]))}
+
+
+def test_copies_of_repeated_rows(spark):
+    """Equal rows on both sides of a shard's fall are told apart by counting, so the mix is not exceeded."""
+    rows = [(1, "a b c d", "s")] * 10 + [(2, "x", "t")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.Mix(block=4)
+    want = sum(int(np.floor(r.taken / r["size"] + 0.5)) for r in mixing.mixed(df, mix).collect())
+    assert mixing.resampled(df, mix).count() == want
