@@ -9,31 +9,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from corvid.config import Settings
-from corvid.functions.text import SPACE, filled, tail_units, token_estimate, trim
+from corvid.functions.text import SPACE, filled, tail_units, token_estimate, trim, units
 
 LEAST_TOKENS = 20
-STATE = "struct<held string, done array<string>>"
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.split(text, f"(?<=[.!?]){SPACE}+"), lambda s: trim(s) != "")
+    return F.filter(F.split(text, f"(?<=[.!?]){SPACE}+"), lambda s: s.rlike(f"[^{SPACE[1:-1]}]"))
 
 
 def packed(text: Column, lead: Column, s: Settings) -> Column:
-    """An array of chunk texts of one section; ``lead`` is the overlap it begins with, empty for none."""
+    """An array of chunk texts of one section; ``lead`` is the overlap it begins with, empty for none.
+
+    The fold carries the length of what it holds, so each sentence is measured once and appended once.
+    """
+    most, overlap, gap = 4 * s.chunk_size, 4 * s.chunk_overlap, int(s.chunk_overlap > 0)
     short = F.array(F.when(lead != "", F.concat(lead, F.lit(" "), text)).otherwise(text))
-    state = lambda held, done: F.struct(held.alias("held"), done.alias("done"))
-
-    def step(acc: Column, sentence: Column) -> Column:
-        longer = F.concat(acc["held"], sentence, F.lit(" "))
-        full = (token_estimate(longer) > s.chunk_size) & (trim(acc["held"]) != "")
-        tail = tail_units(acc["held"], 4 * s.chunk_overlap)
-        again = F.concat(tail, F.lit(" ") if s.chunk_overlap else F.lit(""), sentence, F.lit(" "))
-        return F.when(full, state(again, F.array_append(acc["done"], trim(acc["held"])))).otherwise(state(longer, acc["done"]))
-
-    start = state(F.when(lead != "", F.concat(lead, F.lit(" "))).otherwise(F.lit("")), F.array().cast("array<string>"))
-    long = F.aggregate(sentences(text), start, step, lambda acc: F.filter(F.array_append(acc["done"], trim(acc["held"])), lambda x: x != ""))
-    return F.when(token_estimate(text) <= s.chunk_size, short).otherwise(F.when(F.size(long) > 0, long).otherwise(F.array(text)))
+    state = lambda held, n, done: F.struct(held.alias("held"), n.cast("int").alias("n"), done.alias("done"))
+
+    def step(acc: Column, part: Column) -> Column:
+        n = acc["n"] + part["n"] + 1
+        again = F.concat(tail_units(acc["held"], overlap), F.lit(" " * gap), part["s"], F.lit(" "))
+        cut = state(again, F.least(acc["n"], F.lit(overlap)) + gap + part["n"] + 1, F.array_append(acc["done"], trim(acc["held"])))
+        return F.when((n > most) & (acc["n"] > 0), cut).otherwise(state(F.concat(acc["held"], part["s"], F.lit(" ")), n, acc["done"]))
+
+    begun = F.when(lead != "", F.concat(lead, F.lit(" "))).otherwise(F.lit(""))
+    start = state(begun, units(begun), F.array().cast("array<string>"))
+    parts = F.transform(sentences(text), lambda x: F.struct(x.alias("s"), units(x).alias("n")))
+    long = F.aggregate(parts, start, step, lambda acc: F.filter(F.array_append(acc["done"], trim(acc["held"])), lambda x: x != ""))
+    return F.when(units(text) <= most, short).otherwise(F.when(F.size(long) > 0, long).otherwise(F.array(text)))
 
 
 def with_overlap(sections: DataFrame, s: Settings) -> DataFrame:
