@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCOPES: list[list[str]] = []
+
 
 def folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; where it is unset, a folder of our own, which only a local session may use."""
@@ -20,8 +24,22 @@ def folder(spark: SparkSession) -> str:
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call has."""
-    return f"{folder(spark)}/corvid/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other call has.  Within ``scoped`` it goes at the end."""
+    path = f"{folder(spark)}/corvid/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scoped(spark: SparkSession) -> Iterator[None]:
+    """What is put in the shared folder within the block goes at its end; write results elsewhere, or take their path before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            remove(spark, path)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

@@ -1,6 +1,5 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
-import re
 import zlib
 
 import brute
@@ -218,21 +217,6 @@ def test_empty_tables(spark, docs):
     assert chat.parsed(spark.createDataFrame([], "conv_id long, turn long, text string")).count() == 0
 
 
-def test_pipeline(spark, sf):
-    """Each stage against a plain version of what it must do to its own input."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    near = {r.doc_id for r in simhash.one_of_each(docs).collect()}
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert near == {i for i, (_, c) in brute.simhash(rows).items() if i == c}
-    cut = {r.doc_id: r.text for r in substrings.removed(docs).collect()}
-    want = brute.substrings(rows)
-    assert set(cut) == {i for i, (n, gone, _) in want.items() if gone < n or n == 0}
-    assert all(len(brute.words(t)) == want[i][0] - want[i][1] for i, t in cut.items())
-    assert all(re.sub(r"\s+", "", t) in re.sub(r"\s+", "", dict(rows)[i]) or want[i][1] for i, t in cut.items())
-    out = corpus_pipeline.run(spark, sf)
-    assert out.count() > 0 and {r.doc_id for r in out.select("doc_id").distinct().collect()} <= near | set(dict(rows))
-
-
 def test_embeddings_at_the_limit(spark):
     """Pairs just at, below and above 0.95, as floats and as doubles, and repeated vectors without an id."""
     at = [(1, [1.0, 0.0]), (2, [0.95, float(np.sqrt(1 - 0.95**2))]), (3, [0.9499999, float(np.sqrt(1 - 0.9499999**2))]), (4, [0.95, -float(np.sqrt(1 - 0.95**2))]), (5, [19.0, float(np.sqrt(39.0))]), (6, [19.0, float(np.sqrt(39.0))])]
