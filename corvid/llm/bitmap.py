@@ -1,7 +1,7 @@
 """A membership bitmap over 64-bit keys, sized by their number.
 
 It prunes work before a shuffle and never decides a result: a clear bit proves absence, a set bit only
-sends the row on to an exact join.  It has 16 to 32 bits a key, and ``MOST_BITS`` (64 MB) at most: with more than
+sends the row on to an exact join.  It has 16 to 32 bits a key, 1 MB at least and ``MOST_BITS`` (64 MB) at most: with more than
 some 30 million keys more rows go the exact way, up to all of them.
 """
 
@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 29
+LEAST_BITS, MOST_BITS = 1 << 23, 1 << 29
 
 
 class Bitmap:
