@@ -471,3 +471,45 @@ def test_html_chunks(spark):
     rows = [("http://h/p", "en", None, f"<article><h1>T</h1><p>{'Long enough text for a chunk here. ' * 4}</article>")]
     got = chunked(spark.createDataFrame(rows, "url string, product string, version string, html string")).collect()
     assert [(r.source_url, r.product, r.section, r.chunk_index) for r in got] == [("http://h/p", "en", "T", 0)]
+
+
+def _proto(*fields) -> bytes:
+    """A message of (number, value) fields, values being whole numbers, texts or bytes."""
+
+    def varint(n: int) -> bytes:
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    parts = []
+    for number, value in fields:
+        if isinstance(value, int):
+            parts.append(varint(number << 3) + varint(value))
+        else:
+            value = value.encode() if isinstance(value, str) else value
+            parts.append(varint(number << 3 | 2) + varint(len(value)) + value)
+    return b"".join(parts)
+
+
+def test_onnx_provider(tmp_path):
+    """A model that looks each token's vector up in a table; the provider's answer is their mean under the mask, of unit length."""
+    np = pytest.importorskip("numpy")
+    pytest.importorskip("onnxruntime")
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    table = np.random.default_rng(0).normal(size=(tok.get_vocab_size(), 3)).astype("<f4")
+    ranked = lambda name, kind, *dims: _proto((1, name), (2, _proto((1, _proto((1, kind), (2, _proto(*((1, _proto((2, d))) for d in dims))))))))
+    node = _proto((1, "table"), (1, "input_ids"), (2, "out"), (4, "Gather"))
+    weights = _proto((1, table.shape[0]), (1, table.shape[1]), (2, 1), (8, "table"), (9, table.tobytes()))
+    graph = _proto((1, node), (2, "g"), (5, weights), (11, ranked("input_ids", 7, "b", "s")), (12, ranked("out", 1, "b", "s", "d")))
+    (tmp_path / "m.onnx").write_bytes(_proto((1, 8), (8, _proto((2, 13))), (7, graph)))
+    p = embed.provider("onnx", model_path=str(tmp_path / "m.onnx"), tokenizer_path=path, dimensions=3)
+    texts = ["one gateway", "and a much longer text of many tokens", "x"]
+    for text, got in zip(texts, p.embed(texts), strict=True):
+        mean = table[tok.encode(text).ids].mean(axis=0)
+        assert np.allclose(got, mean / np.linalg.norm(mean), atol=1e-5)
+    assert p.batch == embed.accelerator().batch
