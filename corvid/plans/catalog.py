@@ -224,6 +224,29 @@ def page_sections(spark, sf):
     return html.sections(html.parsed(pages(spark, sf))).select("url", "pos", "heading", "text", "level")
 
 
+@query("select url from pages where html <> '' and page_id % 4 <> 0")
+def noindex_pages(spark, sf):
+    """Pages with a robots directive of three kinds; only the one in small letters keeps a page out."""
+    kind = F.when(F.col("page_id") % 4 == 0, "noindex, follow").when(F.col("page_id") % 4 == 1, "NOINDEX").otherwise("all")
+    rows = heavy(spark, sf, "pages", "page_id", "url", "html").where("html <> ''")
+    return html.parsed(rows.withColumn("html", F.concat(F.lit('<meta name="robots" content="'), kind, F.lit('">'), "html"))).select("url")
+
+
+@query("""
+select 'http://h/' || doc_id as url, 'http://h/' || doc_id as heading, text, cast(1 as integer) as level from
+  (select doc_id, repeat('word ', cast(doc_id % 20 as integer)) || 'end' as text from documents) where length(text) > 50""")
+def html_fallback(spark, sf):
+    """Pages without any block element, of 3 to 98 characters: one section of all text, if it is long enough."""
+    made = F.concat(F.lit("<body><div>"), F.repeat(F.lit("word "), (F.col("doc_id") % 20).cast("int")), F.lit("end</div></body>"))
+    rows = heavy(spark, sf, "documents", "doc_id").select(F.concat(F.lit("http://h/"), F.col("doc_id").cast("string")).alias("url"), made.alias("html"))
+    return html.sections(html.parsed(rows)).select("url", "heading", "text", "level")
+
+
+@query(_SECTIONS.replace("select url, cast(0 as integer) pos, heading, array_to_string(ps, ' ') as text, cast(1 as integer) as level", "select url, heading || chr(10) || array_to_string(ps, ' ') as raw"))
+def raw_text(spark, sf):
+    return html.parsed(pages(spark, sf)).select("url", html.raw_text(F.col("page.sections")).alias("raw")).where("raw <> ''")
+
+
 def _duck_clean(c: str) -> str:
     for a, b in T.CLEAN:
         a = a.replace(T.SPACE, SP).replace("'", "''")
@@ -256,6 +279,27 @@ def md_sections(spark, sf):
     return markdown.sections(markdown_files(spark, sf)).select("url", "title", "heading", "text", "level")
 
 
+@query("""
+select 'docs/my-file_' || doc_id || '.md' as url, 'my file ' || doc_id as title, 'my file ' || doc_id as heading, trim(repeat('ab ', n)) as text, cast(1 as integer) as level
+from (select doc_id, cast(1 + doc_id % 20 as integer) n from documents) where n >= 11""")
+def md_fallback(spark, sf):
+    """Files of lines too short to count one by one: one section of all text, if that is long enough; titles from the path."""
+    url = F.concat(F.lit("docs/my-file_"), F.col("doc_id").cast("string"), F.lit(".md"))
+    rows = read(spark, sf, "documents").select(url.alias("url"), F.repeat(F.lit("ab\n"), (1 + F.col("doc_id") % 20).cast("int")).alias("markdown"))
+    return markdown.sections(rows).select("url", "title", "heading", "text", "level")
+
+
+@query(f"""
+with l as (select doc_id, unnest(string_split(text, chr(10))) raw, unnest(range(len(string_split(text, chr(10))))) pos from documents),
+c as (select doc_id, pos, {_duck_clean('raw')} as text from l where pos % 3 = 0 and not starts_with(trim(raw), '<!--'))
+select doc_id, cast(pos as integer) pos, text from c where length(text) > 3""")
+def md_skipped_lines(spark, sf):
+    """Of three lines one is a comment, one a picture, and one text."""
+    lines = heavy(spark, sf, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    kind = F.when(F.col("pos") % 3 == 1, F.concat(F.lit(" <!-- "), "raw", F.lit(" -->"))).when(F.col("pos") % 3 == 2, F.lit("  ![a picture](of/it.png) ")).otherwise(F.col("raw"))
+    return lines.select("doc_id", "pos", markdown.clean_line(kind).alias("text")).where("text is not null")
+
+
 # --- chunks
 
 @query(f"""
@@ -508,3 +552,79 @@ def stream_ingest(spark, sf):
 
     run_available(spark, sf, "page_id long, url string, html string", f"{at}/progress", take, only="pages.parquet")
     return kept.state().select("url", "page_hash")
+
+
+@query(_PAGE_CHUNKS + " select source_url, product, title, section, cast(chunk_index as integer) chunk_index, content, sha256(content) content_hash, cast(null as varchar) as version, cast(768 as integer) dimensions from page_chunks")
+def stored_chunks(spark, sf):
+    """What the store holds of all pages, as it was ingested."""
+    return _shown(searchable(spark, sf).store.chunks()).select("source_url", "product", "title", "section", "chunk_index", "content", "content_hash", "version", F.size("embedding").alias("dimensions"))
+
+
+@query(_PAGE_CHUNKS + " select product, count(*) n from page_chunks group by 1 union all select 'all', count(*) from page_chunks")
+def store_stats(spark, sf):
+    found = searchable(spark, sf).stats()
+    return spark.createDataFrame([*found["by_product"].items(), ("all", found["total_chunks"])], "product string, n long")
+
+
+def _kept_documents(spark: SparkSession, sf: str) -> store.Store:
+    kept = store.Store(spark, fresh(spark, "store"), 64)
+    kept.upsert(_chunk_rows(read(spark, sf, "documents"), F.col("text")).drop("id", "created_at", "updated_at"))
+    return kept
+
+
+@query("select cast(doc_id as varchar) source_url, source product from documents where doc_id not in (0, 7, 11)")
+def delete_pages(spark, sf):
+    """Three pages deleted from a store of all documents, one of them twice."""
+    kept = _kept_documents(spark, sf)
+    for url in ("0", "7", "11", "7"):
+        kept.delete(url)
+    return kept.chunks().select("source_url", "product")
+
+
+@query("select count(*) n, cast(0 as bigint) as vectors, cast(32 as integer) dimensions, cast(0 as bigint) pages from documents")
+def migrated_store(spark, sf):
+    """A store of documents and their state, moved to another vector size: chunks stay, vectors and page state go."""
+    kept = _kept_documents(spark, sf)
+    kept.put_state(read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("url"), F.sha2("text", 256).alias("page_hash"), F.lit(1).alias("chunk_count")))
+    kept.migrate(32)
+    return kept.chunks().agg(F.count("*").alias("n"), F.count("embedding").alias("vectors"), F.lit(kept.dimensions).alias("dimensions"), F.lit(kept.state().count()).cast("long").alias("pages"))
+
+
+@query("select cast(doc_id as varchar) url, case when doc_id < 5 then sha256(text) end page_hash from documents where doc_id < 5 union all select 'nowhere', null")
+def page_hash_lookup(spark, sf):
+    """The stored hash of single addresses, one of them unknown."""
+    kept = store.Store(spark, fresh(spark, "store"), 64)
+    kept.put_state(read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("url"), F.sha2("text", 256).alias("page_hash"), F.lit(1).alias("chunk_count")))
+    return spark.createDataFrame([(u, kept.page_hash(u)) for u in ("0", "1", "2", "3", "4", "nowhere")], "url string, page_hash string")
+
+
+@query(_PAGE_CHUNKS + """,
+n as (select source_url url, count(*) chunks from page_chunks group by 1),
+known as (select url, regexp_extract(url, '^https?://[^/]+/([^/]+)', 1) product from pages where html <> '')
+select product, cast(count(chunks) as bigint) updated, cast(count(*) filter (chunks is null) as bigint) empty, cast(coalesce(sum(chunks), 0) as bigint) chunks from known left join n using (url) group by product""")
+def ingest_forced(spark, sf):
+    """Pages that are all known, ingested once more by force."""
+    engine = page_engine(spark, sf)
+    p = pages(spark, sf)
+    engine.store.put_state(p.select("url", F.col("content_hash").alias("page_hash"), F.lit(1).alias("chunk_count")))
+    return engine.ingested(p, force=True).select("product", "updated", "empty", "chunks")
+
+
+@query("select 'http://h.example/' || page_id as url, page_id as place from pages where html <> '' and page_id < 500")
+def discovered_by_links(spark, sf):
+    """A site without a sitemap: the first 500 pages that links reach, each page linking to eight."""
+    at = lambda k: F.concat(F.lit("http://h.example/"), k.cast("string"))
+    n = F.col("page_id")
+    links = read(spark, sf, "pages").where("html <> ''").select(at(n).alias("src"), F.posexplode(F.array(*(at(8 * n + k) for k in range(1, 9)))).alias("pos", "dst"))
+    maps = spark.createDataFrame([], "url string, xml string")
+    found = web.discovered(maps, "http://h.example/sitemap.xml", "http://h.example/0", links)
+    return found.select("url", F.col("ordinal").cast("long").alias("place"))
+
+
+@query("select 'docs/' || source || '/' || doc_id || '.md' as path from documents order by doc_id limit 10")
+def first_files(spark, sf):
+    """The first ten files of a repository's tree, by their place in the listing."""
+    item = F.struct(F.concat(F.lit("docs/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit("blob").alias("type"))
+    rows = F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item"))))
+    listing = read(spark, sf, "documents").agg(F.transform(rows, lambda x: x["item"]).alias("tree"))
+    return web.first_n(web.tree_files(listing, "docs"), 10, "pos").select("path")
