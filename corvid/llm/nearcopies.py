@@ -117,20 +117,23 @@ def _alike(left: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "key"):
-            node, n, c = (t.column(x).to_numpy() for x in ("node", "n", "c"))
+            node, n, c, band = (t.column(x).to_numpy() for x in ("node", "n", "c", "band"))
+            keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
             low = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(len(node), -1)
             u, v = [], []
             for i in range(len(node) - 1):
-                at = np.flatnonzero((c[i + 1 :] != c[i]) & (5 * np.minimum(n[i], n[i + 1 :]) >= 4 * np.maximum(n[i], n[i + 1 :]))) + i + 1
+                at = np.flatnonzero((band[i + 1 :] == band[i]) & (c[i + 1 :] != c[i]) & (5 * np.minimum(n[i], n[i + 1 :]) >= 4 * np.maximum(n[i], n[i + 1 :]))) + i + 1
                 at = at[(low[at] == low[i]).sum(axis=1) >= LEAST_EQUAL]
+                same = keys[at] == keys[i]
+                at = at[keys[i][same.argmax(axis=1)] == band[i]]  # a pair of several bands is told in the first of them
                 u.append(np.minimum(node[i], node[at]))
                 v.append(np.maximum(node[i], node[at]))
             if u and (u := np.concatenate(u)).size:
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.concatenate(v))], ["u", "v"])
 
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
-    cut = left.select("key", "node", "n", "c", "low", "blocks", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cut = cut.select("node", "n", "c", "low", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"))
+    cut = left.select("key", "node", "n", "c", "low", "keys", "blocks", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cut = cut.select("node", "n", "c", "low", "keys", F.col("key").alias("band"), F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"))
     return cut.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long")
 
 
@@ -161,7 +164,7 @@ def links(docs: DataFrame, of: DataFrame, most: int = 1000) -> DataFrame:
     part = saved(components(first), "near-parts")
     left = bucket.join(part, "node", "left").select("key", "head", "node", "n", F.coalesce("component", "node").alias("c"))
     several = left.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("greatest"), F.ceil(F.count("*") / most).cast("int").alias("blocks")).where("least <> greatest").select("key", "blocks")
-    left = left.where("node <> head").join(several, "key").join(one.select("node", "low"), "node")
+    left = left.where("node <> head").join(several, "key").join(one.select("node", "low", "keys"), "node")
     cross = saved(_alike(left), "near-pairs").distinct()
     second = _linked(cross, sets, "near-links")
     return first.unionByName(second)
