@@ -20,6 +20,7 @@ whatever their names; an empty table gives an empty one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -146,12 +147,42 @@ def _printed(one: DataFrame) -> DataFrame:
     return same.unionByName(far.join(one.select("node", "n"), "node").select("node", "head", "n"))
 
 
+def _heads(one: DataFrame, bands: int = 16) -> DataFrame:
+    """(key, head: its least node) of each band's key that several nodes have; by some bands at a time, as a task's table of keys grows with their number."""
+    parts = []
+    for k in range(0, BANDS, bands):
+        wide = one.select("node", F.explode(F.slice("keys", k + 1, bands)).alias("key"))
+        few = wide.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("head")).where("rows > 1").select("key", "head")
+        parts.append(saved(few, "near-heads"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _met(one: DataFrame, heads: DataFrame) -> DataFrame:
+    """(node, n, low, keys, shared: those of its keys that ``heads`` has, and some by chance) of the nodes that have any.
+
+    Most keys are one node's only, and no table but the count of them is dealt out with them.
+    """
+    first, second = Bitmap(heads, F.col("key")).tester(), Bitmap(heads, F.shiftright("key", 32)).tester()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            keys = b.column(3).flatten().to_numpy().reshape(-1, BANDS)
+            hit = first(keys) & second(keys >> 32)
+            at = np.flatnonzero(hit.any(axis=1))
+            ends = np.concatenate([[0], np.cumsum(hit[at].sum(axis=1))])
+            shared = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[at][hit[at]]))
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in b.columns), shared], ["node", "n", "low", "keys", "shared"])
+
+    rows = one.where("n > 0").select("node", "n", "low", "keys")
+    return rows.mapInArrow(run, "node long, n long, low binary, keys array<long>, shared array<long>")
+
+
 def links(docs: DataFrame, of: DataFrame, most: int = 1000) -> DataFrame:
     """(u, v): links between nodes, enough to connect every group of near copies."""
     one = saved(of.groupBy("node").agg(F.min(F.struct("n", "keys", "low", "fp")).alias("s"), F.min(F.struct("doc_id", "text_hash")).alias("at")).select("node", "s.*", "at"), "sets-of-shingles")
-    wide = one.select("node", "n", F.explode("keys").alias("key"))
-    heads = wide.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("head")).where("rows > 1").select("key", "head")
-    bucket = saved(wide.join(heads, "key"), "near-buckets")
+    heads = _heads(one)
+    met = saved(_met(one, heads), "near-sketches")
+    bucket = saved(met.select("node", "n", F.explode("shared").alias("key")).join(heads, "key"), "near-buckets")
     printed = saved(_printed(one.where("n > 0")), "near-fingerprints")
     nodes = saved(bucket.select("node").unionByName(printed.select(F.col("node"))).unionByName(printed.select(F.col("head").alias("node"))).distinct(), "near-nodes")
     rows = one.join(nodes, "node", "left_semi").select(F.xxhash64(F.coalesce("at.doc_id", F.lit(-1)), "at.text_hash").alias("row"))
@@ -164,7 +195,7 @@ def links(docs: DataFrame, of: DataFrame, most: int = 1000) -> DataFrame:
     part = saved(components(first), "near-parts")
     left = bucket.join(part, "node", "left").select("key", "head", "node", "n", F.coalesce("component", "node").alias("c"))
     several = left.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("greatest"), F.ceil(F.count("*") / most).cast("int").alias("blocks")).where("least <> greatest").select("key", "blocks")
-    left = left.where("node <> head").join(several, "key").join(one.select("node", "low", "keys"), "node")
+    left = left.where("node <> head").join(several, "key").join(met.select("node", "low", "keys"), "node")
     cross = saved(_alike(left), "near-pairs").distinct()
     second = _linked(cross, sets, "near-links")
     return first.unionByName(second)
