@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvid.llm import chat, embeddings, licences, mixing, packing, quality, simhash, substrings, tokens, toxicity
+from corvid.llm import alignment, chat, embeddings, licences, mixing, packing, personal, quality, simhash, spelling, substrings, tokens, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.op1_chat_format,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_licence_scan": licences.op10_licence_scan,
+    "op11_spelling_groups": spelling.op11_spelling_groups,
+    "op12_token_alignment": alignment.op12_token_alignment,
+    "op13_personal_data": personal.op13_personal_data,
 }
-ORACLES = {"op1_chat_format": chat.SQL, "op6_embedding_dedup": embeddings.SQL, "op8_substring_dedup": substrings.SQL, "op10_licence_scan": licences.SQL}
+ORACLES = {"op1_chat_format": chat.SQL, "op6_embedding_dedup": embeddings.SQL, "op8_substring_dedup": substrings.SQL, "op10_licence_scan": licences.SQL, "op11_spelling_groups": spelling.SQL}

@@ -201,3 +201,113 @@ def sainte_lague(wishes, total):
         best = max(wishes, key=lambda k: wishes[k] / (2 * out[k] + 1))
         out[best] += 1
     return out
+
+
+def _byte_letters():
+    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in keep]
+    return {chr(b): b for b in keep} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def token_spans(text):
+    """(id, start, end) of each token of both tokenizers over the bytes of a space and the text; none if either does not give those back."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    whole.encode_special_tokens = True
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    letters, out = _byte_letters(), ([], [])
+    if text:
+        a = whole.encode(" " + text, add_special_tokens=False)
+        first = [(i, bytes(letters[c] for c in s)) for i, s in zip(a.ids, a.tokens, strict=True)]
+        second = [(i, bytes([int(p[3:5], 16)]) if pieces.is_byte(i) else p.replace("\u2581", " ").encode()) for i in pieces.encode(text) for p in [pieces.id_to_piece(i)]]
+        if all(b"".join(x for _, x in t) == (" " + text).encode() for t in (first, second)):
+            for t, o in zip((first, second), out, strict=True):
+                at = 0
+                for i, x in t:
+                    o.append((i, at, at + len(x)))
+                    at += len(x)
+    return out
+
+
+def alignment(rows):
+    per, count, best = {}, Counter(), {}
+    for doc, text in rows:
+        a, b = token_spans(text)
+        links, j = [], 0
+        for i, s, e in a:
+            while b[j][2] <= s:
+                j += 1
+            k = j
+            while k < len(b) and b[k][1] < e:
+                links.append((i, b[k][0]))
+                k += 1
+        said, x, y = [], 0, 0
+        for end in sorted({e for _, _, e in a} & {e for _, _, e in b}):
+            left, right = [], []
+            while x < len(a) and a[x][2] <= end:
+                left.append(str(a[x][0]))
+                x += 1
+            while y < len(b) and b[y][2] <= end:
+                right.append(str(b[y][0]))
+                y += 1
+            said.append(f"{','.join(left)}|{','.join(right)}")
+        count.update(links)
+        per[doc] = len(a), len(b), links, said
+    for (_, b), n in count.items():
+        best[b] = max(best.get(b, 0), n)
+    return {
+        d: (na, nb, len(s), len(p), sum(count[x] == best[x[1]] for x in p), sum(count[x] for x in p), hashlib.sha256(";".join(s).encode()).hexdigest() if s else "")
+        for d, (na, nb, p, s) in per.items()
+    }
+
+
+def personal_base(text):
+    """(kind, start, end) of the four patterns as they are written, by start and kind."""
+    text, out = text or "", []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        total = sum(x if k % 2 == 0 else 2 * x - 9 * (x > 4) for k, x in enumerate(reversed(d)))
+        if 14 <= len(d) <= 19 and total % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return [(("email", "ip", "card", "phone")[k], a, b) for a, k, b in sorted(out)]
+
+
+def spelling(rows):
+    """word: (form, root, n, n_near, form_n) by comparing all pairs of words."""
+    import zlib
+
+    lower = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)
+    count = Counter()
+    for doc, text in rows:
+        for w in map(lower, re.findall("[A-Za-z\u00C0-\u00FF]+", text or "")):
+            h = zlib.crc32(f"{'' if doc is None else doc}:{w}".encode())
+            count[w[: h % len(w)] + w[h % len(w) + 1 :] if h % 31 == 0 else w] += 1
+    n = {w: c for w, c in count.items() if len(w) >= 7 and c >= 2}
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+    form, number = {}, {}
+    for w in n:
+        by = sorted((-n[x], x) for x in n if x != w and near(w, x))
+        number[w] = len(by)
+        form[w] = by[0][1] if by and -by[0][0] >= 10 * n[w] else None
+
+    def root(w):
+        return root(form[w]) if form[w] else w
+
+    return {w: (form[w], root(w), n[w], number[w], n[form[w]] if form[w] else None) for w in n}
