@@ -4,16 +4,32 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def any_names(operator):
+    """``operator``, which keeps the columns of its first argument: those that begin with two underscores, as its own do, have other names meanwhile."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        mark = "given"
+        while any(c.lower().startswith(mark) for c in docs.columns):
+            mark += "-"
+        other = {c: f"{mark} {k}" for k, c in enumerate(docs.columns) if c.startswith("__")}
+        out = operator(docs.withColumnsRenamed(other), *args, **options)
+        return out.withColumnsRenamed({new: c for c, new in other.items()})
+
+    return run
+
+
 def light(spark: SparkSession, rows: int = 512) -> None:
     """Smaller Arrow batches for the session, unless it already has a setting below the default: rows here may be whole long texts,
     and a batch lies in the executor's memory on either side of the pipe."""

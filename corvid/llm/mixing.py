@@ -14,7 +14,7 @@ key is.
 Defined cases: a null text has size 0; a null source is the last; a source of no words has target 0; repeated
 rows are documents of their own; rows without doc_id count like others; a text of any length is counted whole; an
 empty table, or one without words, takes nothing; other columns are ignored by ``mixed`` and kept by ``resampled``,
-whatever their names (but for those that begin with two underscores, which are the operator's own).
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from corvid.llm.arrow import light
+from corvid.llm.arrow import any_names, light
 from corvid.llm.scratch import saved
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -177,6 +177,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return _placed(docs, mix)[0].drop("shard", "pick")
 
 
+@any_names
 def resampled(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """``docs``, all columns, each document as often as the mix takes it: 0, 1 or 2 times.
 

@@ -5,11 +5,14 @@ Candidates come first from SimHash fingerprints of those sets, linked within 3 b
 the rest: ``BANDS`` bands of ``ROWS`` minima, of which a pair at 0.8 shares none with a chance of 9e-12.  Every candidate
 is then decided by the exact similarity of the two sets.
 
-Texts with one set are one node.  First each pair that the fingerprints link, and each node of a band's bucket with
-the least of its bucket, is compared; then those nodes of a bucket that are still in different components are compared
-with each other, in blocks, by their minima; pairs of which 211 of 320 or more agree (a pair at 0.8 has fewer with a
-chance of about 1e-9) go on to the exact check.  Pairs already in one component need no comparing, so a large group of
-near copies costs a few pairs a node.
+Texts with one set are one node.  First each node of a band's bucket, and each that the fingerprints link, is compared
+with the least of it, its head; a head's set travels once for so many shingles of its members, so a head of very many
+meets them in many tasks.  What is still in different components is then told apart in two steps.  Within a bucket, nodes
+of different components whose minima may belong to a pair at 0.8 (211 of 320 agree; such a pair has fewer with a chance of
+about 1e-9) are joined to clusters, by one link for each two components that meet, not one for each pair.  Within a
+cluster all sets meet in blocks of a bounded number of shingles, where similarities of nodes in different components are
+counted exactly; a block gives at most one link for each two components again.  A cluster of many blocks is taken bucket
+by bucket instead.  So no step has more rows than nodes, buckets and blocks, however many pairs are alike below 0.8.
 
 Defined cases: words and case are as in ``simhash``; fewer words than a shingle are one shingle; texts without words,
 null ones too, have the empty set and are copies of each other; repeated rows of one id and text stay together; rows
@@ -27,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corvid.llm.arrow import light, runs, small
+from corvid.llm.arrow import any_names, light, runs, small
 from corvid.llm.bitmap import Bitmap, row_key, suspected, text_hash, without_rows
 from corvid.llm.components import components
 from corvid.llm.scratch import saved
@@ -105,60 +108,142 @@ def _sets(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "node long, n long, items array<long>")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose similarity is 0.8 or more: shared / (n + m - shared) >= 4 / 5."""
-    u = sets.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("items").alias("a"))
-    v = sets.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("items").alias("b"))
-    both = pairs.join(u, "u").join(v, "v")
-    return saved(both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.col("nu") + F.col("nv"))).select("u", "v"), name)
+def _parts(t: pa.Table, key: str) -> Iterator[pa.Table]:
+    """The runs of equal ``key`` of a table sorted by it, one by one."""
+    k = t.column(key).to_numpy()
+    edges = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]])).tolist()
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield t.slice(a, b - a)
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All items of a column of lists, and where each list begins."""
+    lists = column.combine_chunks()
+    size = lists.value_lengths().to_numpy()
+    return lists.flatten().to_numpy(), np.cumsum(size) - size
+
+
+def _starred(star: DataFrame, sets: DataFrame, name: str, most: int) -> DataFrame:
+    """Links (u, v) between the rows of ``star`` (head, node) whose similarity is 0.8 or more: shared / (n + m - shared) >= 4 / 5.
+
+    A head is dealt with its members to as many units as these have ``most`` shingles.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, "unit"):
+            for t in _parts(table, "unit"):
+                node, head = t.column("node").to_numpy(), t.column("head").to_numpy()
+                items, at = _flat(t.column("items"))
+                n = np.diff(np.append(at, len(items)))
+                for h in np.unique(head).tolist():  # one, but for a chance clash of units
+                    own = np.flatnonzero((head == h) & (node == h))[:1]
+                    if not len(own):
+                        continue
+                    mine = np.sort(items[at[own[0]] : at[own[0]] + n[own[0]]])
+                    place = np.minimum(np.searchsorted(mine, items), len(mine) - 1)
+                    shared = np.add.reduceat((mine[place] == items).astype(np.int64), at)
+                    near = (head == h) & (node != h) & (9 * shared >= 4 * (n + len(mine)))
+                    if near.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(head[near]), pa.array(node[near])], ["u", "v"])
+
+    units = saved(star.groupBy("head").agg(F.ceil(F.sum("n") / most).cast("int").alias("units")), "near-units")
+    members = star.join(units, "head").select("head", "node", F.pmod(F.xxhash64("node"), F.col("units")).cast("int").alias("part"))
+    heads = units.select("head", F.col("head").alias("node"), F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("part"))
+    dealt = members.unionByName(heads).join(sets.select("node", "items"), "node").select(F.xxhash64("head", "part").alias("unit"), "head", "node", "items")
+    return saved(dealt.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "u long, v long"), name)
+
+
+def _blocked(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` (key, node, blocks, ...) dealt to every pair of the blocks of their key: (key: of the pair, group: the key, ...)."""
+    block = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int").alias("block")
+    wide = rows.select("key", "node", "blocks", *columns, block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pair = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key")
+    return wide.select(pair, F.col("key").alias("group"), "node", *columns).repartition("key").sortWithinPartitions("key", "group", "node")
+
+
+def _united(node: np.ndarray, n: np.ndarray, c: np.ndarray, near) -> tuple[list[int], list[int]]:
+    """Index pairs that join components ``c`` of rows that are alike; ``near(i, at)`` tells those rows of ``at`` that row i is alike.
+
+    Rows of one component are not compared, and a pair that would join what is joined is not told.
+    """
+    root, left, right = c.copy(), [], []
+    for i in range(len(node) - 1):
+        at = np.flatnonzero((root[i + 1 :] != root[i]) & (5 * np.minimum(n[i], n[i + 1 :]) >= 4 * np.maximum(n[i], n[i + 1 :]))) + i + 1
+        if not len(at):
+            continue
+        at = near(i, at)
+        if len(at):
+            joined, first = np.unique(root[at], return_index=True)
+            left += [i] * len(first)
+            right += at[first].tolist()
+            root[np.isin(root, joined)] = root[i]
+    return left, right
 
 
 def _alike(left: DataFrame) -> DataFrame:
-    """(u, v): pairs of different components ``c`` in a bucket whose sizes and minima don't rule out 0.8; all pairs of blocks are compared."""
+    """(u, v): components whose nodes, in a bucket, have minima that don't rule out 0.8; enough of them to connect all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, "key"):
+            for t in (x for y in _parts(table, "key") for x in _parts(y, "group")):
+                node, n, c = (t.column(x).to_numpy() for x in ("node", "n", "c"))
+                low = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(len(node), -1)
+                u, v = _united(node, n, c, lambda i, at: at[(low[at] == low[i]).sum(axis=1) >= LEAST_EQUAL])  # noqa: B023
+                if u:
+                    yield pa.RecordBatch.from_arrays([pa.array(c[u]), pa.array(c[v])], ["u", "v"])
+
+    return _blocked(left, "n", "c", "low").mapInArrow(run, "u long, v long")
+
+
+def _exact(rows: DataFrame) -> DataFrame:
+    """(u, v): nodes of different components ``c`` of a key whose similarity is 0.8 or more, enough of them to connect all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, "key"):
-            node, n, c, band = (t.column(x).to_numpy() for x in ("node", "n", "c", "band"))
-            keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
-            low = np.frombuffer(b"".join(t.column("low").to_pylist()), np.uint8).reshape(len(node), -1)
-            u, v = [], []
-            for i in range(len(node) - 1):
-                at = np.flatnonzero((band[i + 1 :] == band[i]) & (c[i + 1 :] != c[i]) & (5 * np.minimum(n[i], n[i + 1 :]) >= 4 * np.maximum(n[i], n[i + 1 :]))) + i + 1
-                at = at[(low[at] == low[i]).sum(axis=1) >= LEAST_EQUAL]
-                same = keys[at] == keys[i]
-                at = at[keys[i][same.argmax(axis=1)] == band[i]]  # a pair of several bands is told in the first of them
-                u.append(np.minimum(node[i], node[at]))
-                v.append(np.maximum(node[i], node[at]))
-            if u and (u := np.concatenate(u)).size:
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.concatenate(v))], ["u", "v"])
-
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
-    cut = left.select("key", "node", "n", "c", "low", "keys", "blocks", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cut = cut.select("node", "n", "c", "low", "keys", F.col("key").alias("band"), F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"))
-    return cut.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u long, v long")
+        for table in runs(batches, "key"):
+            for t in (x for y in _parts(table, "key") for x in _parts(y, "group")):
+                node, n, c = (t.column(x).to_numpy() for x in ("node", "n", "c"))
+                items, begin = _flat(t.column("items"))
+                every, at_item = np.unique(items, return_inverse=True)
+                held = np.zeros(len(every), bool)
+
+                def near(i: int, at: np.ndarray) -> np.ndarray:
+                    own = at_item[begin[i] : begin[i] + n[i]]  # noqa: B023
+                    held[own] = True  # noqa: B023
+                    if 8 * len(at) < len(n):  # noqa: B023
+                        shared = np.array([held[at_item[begin[j] : begin[j] + n[j]]].sum() for j in at.tolist()], np.int64)  # noqa: B023
+                    else:
+                        shared = np.add.reduceat(held[at_item].astype(np.int32), begin)[at]  # noqa: B023
+                    held[own] = False  # noqa: B023
+                    return at[9 * shared >= 4 * (n[i] + n[at])]  # noqa: B023
+
+                u, v = _united(node, n, c, near)
+                if u:
+                    yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], ["u", "v"])
+
+    return _blocked(rows, "n", "c", "items").mapInArrow(run, "u long, v long")
 
 
 def _printed(one: DataFrame) -> DataFrame:
-    """(node, head, n): pairs of nodes whose fingerprints the pigeonring filter links, each fingerprint standing for its least node."""
-    per = saved(one.groupBy("fp").agg(F.min("node").alias("head")), "distinct-fingerprints")
-    same = one.join(per, "fp").where("node <> head").select("node", "head", "n")
+    """(node, n, head, m): pairs of nodes whose fingerprints the pigeonring filter links, each fingerprint standing for its least node; with the numbers of shingles of both."""
+    per = saved(one.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("of")).select("fp", F.col("of.node").alias("head"), F.col("of.n").alias("m")), "distinct-fingerprints")
+    same = one.join(per, "fp").where("node <> head").select("node", "n", "head", "m")
     near = simhash.links(per.select("fp"))
-    far = near.join(per.select(F.col("fp").alias("u"), F.col("head").alias("node")), "u").join(per.select(F.col("fp").alias("v"), "head"), "v")
-    return same.unionByName(far.join(one.select("node", "n"), "node").select("node", "head", "n"))
+    far = near.join(per.select(F.col("fp").alias("u"), F.col("head").alias("node"), F.col("m").alias("n")), "u").join(per.select(F.col("fp").alias("v"), "head", "m"), "v")
+    return same.unionByName(far.select("node", "n", "head", "m"))
 
 
 def _heads(one: DataFrame, bands: int = 16) -> DataFrame:
-    """(key, head: its least node) of each band's key that several nodes have; by some bands at a time, as a task's table of keys grows with their number."""
+    """(key, head: its least node, m: shingles of that) of each band's key that several nodes have; by some bands at a time, as a task's table of keys grows with their number."""
     parts = []
     for k in range(0, BANDS, bands):
-        wide = one.select("node", F.explode(F.slice("keys", k + 1, bands)).alias("key"))
-        few = wide.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("head")).where("rows > 1").select("key", "head")
+        wide = one.select(F.struct("node", "n").alias("of"), F.explode(F.slice("keys", k + 1, bands)).alias("key"))
+        few = wide.groupBy("key").agg(F.count("*").alias("rows"), F.min("of").alias("of")).where("rows > 1").select("key", F.col("of.node").alias("head"), F.col("of.n").alias("m"))
         parts.append(saved(few, "near-heads"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def _met(one: DataFrame, heads: DataFrame) -> DataFrame:
-    """(node, n, low, keys, shared: those of its keys that ``heads`` has, and some by chance) of the nodes that have any.
+    """(node, n, low, shared: those of its keys that ``heads`` has, and some by chance) of the nodes that have any.
 
     Most keys are one node's only, and no table but the count of them is dealt out with them.
     """
@@ -171,14 +256,17 @@ def _met(one: DataFrame, heads: DataFrame) -> DataFrame:
             at = np.flatnonzero(hit.any(axis=1))
             ends = np.concatenate([[0], np.cumsum(hit[at].sum(axis=1))])
             shared = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[at][hit[at]]))
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in b.columns), shared], ["node", "n", "low", "keys", "shared"])
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in b.columns[:3]), shared], ["node", "n", "low", "shared"])
 
     rows = one.where("n > 0").select("node", "n", "low", "keys")
-    return rows.mapInArrow(run, "node long, n long, low binary, keys array<long>, shared array<long>")
+    return rows.mapInArrow(run, "node long, n long, low binary, shared array<long>")
 
 
-def links(docs: DataFrame, of: DataFrame, most: int = 1000) -> DataFrame:
-    """(u, v): links between nodes, enough to connect every group of near copies."""
+def links(docs: DataFrame, of: DataFrame, most: int = 1000, shingles: int = 400_000, whole: int = 8) -> DataFrame:
+    """(u, v): links between nodes, enough to connect every group of near copies.
+
+    ``most``: sketches of a block; ``shingles``: of a block of sets; ``whole``: blocks up to which a cluster is taken as one.
+    """
     one = saved(of.groupBy("node").agg(F.min(F.struct("n", "keys", "low", "fp")).alias("s"), F.min(F.struct("doc_id", "text_hash")).alias("at")).select("node", "s.*", "at"), "sets-of-shingles")
     heads = _heads(one)
     met = saved(_met(one, heads), "near-sketches")
@@ -188,16 +276,25 @@ def links(docs: DataFrame, of: DataFrame, most: int = 1000) -> DataFrame:
     rows = one.join(nodes, "node", "left_semi").select(F.xxhash64(F.coalesce("at.doc_id", F.lit(-1)), "at.text_hash").alias("row"))
     items = _sets(suspected(docs, Bitmap(rows, F.col("row")), row_key())).dropDuplicates(["node"]).join(nodes, "node", "left_semi")
     sets = saved(items, "near-sets")
-    size = lambda a, b: 5 * F.least(a, b) >= 4 * F.greatest(a, b)
-    least = one.select(F.col("node").alias("head"), F.col("n").alias("m"))
-    star = bucket.where("node <> head").select("node", "head", "n").unionByName(printed).distinct().join(least, "head").where(size(F.col("n"), F.col("m")))
-    first = _linked(star.select(F.col("head").alias("u"), F.col("node").alias("v")), sets, "near-links")
+    size = 5 * F.least("n", "m") >= 4 * F.greatest("n", "m")
+    star = bucket.where("node <> head").select("node", "n", "head", "m").unionByName(printed).where(size).select("head", "node", "n").distinct()
+    first = _starred(saved(star, "near-stars"), sets, "near-links", shingles)
     part = saved(components(first), "near-parts")
-    left = bucket.join(part, "node", "left").select("key", "head", "node", "n", F.coalesce("component", "node").alias("c"))
+    left = bucket.where("node <> head").join(part, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
     several = left.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("greatest"), F.ceil(F.count("*") / most).cast("int").alias("blocks")).where("least <> greatest").select("key", "blocks")
-    left = left.where("node <> head").join(several, "key").join(met.select("node", "low", "keys"), "node")
-    cross = saved(_alike(left), "near-pairs").distinct()
-    second = _linked(cross, sets, "near-links")
+    left = saved(left.join(several, "key"), "near-rest")
+    alike = saved(_alike(left.join(met.select("node", "low"), "node")), "near-alike")
+    cluster = saved(components(alike).select(F.col("node").alias("c"), F.col("component").alias("cluster")), "near-clusters")
+    left = saved(left.drop("blocks").join(cluster, "c"), "near-clustered")
+    blocks = F.ceil(F.sum("n") / shingles).cast("int").alias("blocks")
+    # one unit of each cluster, or its buckets where it has many blocks
+    members = left.select("cluster", "node", "n", "c").distinct()
+    weight = saved(members.groupBy("cluster").agg(blocks), "near-weights")
+    small, large = weight.where(F.col("blocks") <= whole), weight.where(F.col("blocks") > whole).select("cluster")
+    units = members.join(small, "cluster").select(F.col("cluster").alias("key"), "node", "n", "c", "blocks")
+    by_key = left.join(large, "cluster", "left_semi").select(F.xxhash64("cluster", "key").alias("key"), "node", "n", "c")
+    units = units.unionByName(by_key.join(by_key.groupBy("key").agg(blocks), "key").select("key", "node", "n", "c", "blocks"))
+    second = saved(_exact(units.join(sets.select("node", "items"), "node")), "near-links")
     return first.unionByName(second)
 
 
@@ -211,6 +308,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     return of.select("doc_id", "text_hash", "node").join(table, "node").select("doc_id", "text_hash", "component_id")
 
 
+@any_names
 def one_of_each(docs: DataFrame) -> DataFrame:
     """As ``simhash.one_of_each``, for groups of near copies by five-word shingles."""
     groups = grouped(docs)

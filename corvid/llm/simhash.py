@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvid.llm.arrow import light, runs, small
+from corvid.llm.arrow import any_names, light, runs, small
 from corvid.llm.bitmap import text_hash, without_rows
 from corvid.llm.components import components
 from corvid.llm.scratch import saved
@@ -160,6 +160,7 @@ def grouped(docs: DataFrame, near: int = 3) -> DataFrame:
     return of.join(table, "fp").select("doc_id", hexed, "component_id", "fp", "text_hash")
 
 
+@any_names
 def one_of_each(docs: DataFrame, near: int = 3) -> DataFrame:
     """The rows of ``docs``, all columns, that have the least doc_id of their group of near copies.
 

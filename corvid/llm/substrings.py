@@ -15,7 +15,7 @@ taken apart: each window's least id is an aggregate, combined before the shuffle
 Defined cases: a null text has no words; a text shorter than a window keeps all its words; rows of one doc_id
 never remove each other's words; rows without doc_id count as of the largest id; repeated rows give repeated rows;
 a text of any length is taken whole; other columns are ignored by ``measured`` and kept by ``removed``, whatever
-their names (but for those that begin with two underscores, which are the operator's own); an empty table gives an
+their names; an empty table gives an
 empty one.
 """
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corvid.llm.arrow import light, runs, small
+from corvid.llm.arrow import any_names, light, runs, small
 from corvid.llm.bitmap import Bitmap, row_key, suspected
 from corvid.llm.scratch import saved
 from corvid.llm.textkernel import WORD, WordHasher, covered, mixed, rolling, sliding_min, words
@@ -232,6 +232,7 @@ def measured(docs: DataFrame, s: Shape = Shape()) -> DataFrame:
     return _cleaned(need, s, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
+@any_names
 def removed(docs: DataFrame, s: Shape = Shape()) -> DataFrame:
     """``docs``, all columns, with repeated intervals cut from text (n_chars, if there, follows); a row that loses every word goes.
 

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corvid.llm.arrow import light, small
+from corvid.llm.arrow import any_names, light, small
 
 # Letters that look like Latin ones, signs that stand for letters, phrases that excuse a hit, and a first lexicon.
 LOOKALIKES = {
@@ -269,6 +269,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+@any_names
 def without_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below ``limit``."""
     at = docs.columns.index("text")
