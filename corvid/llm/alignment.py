@@ -23,6 +23,7 @@ import json
 import re
 from collections.abc import Iterator
 from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
@@ -43,6 +44,20 @@ BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 HOT = 2_000_000
 
 
+class Aligned(NamedTuple):
+    """Numbers of tokens of A and of B and of groups, the groups as ``a1,a2|b1;a3|b2,b3`` in decimal ids, and the ids, four bytes each."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    told: str
+    a: bytes
+    b: bytes
+
+
+NONE = Aligned(0, 0, 0, "", b"", b"")
+
+
 def byte_tokens(json_path: str) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary; a special token stands for its own UTF-8."""
     spec, letters = json.loads(Path(json_path).read_text()), byte_alphabet()
@@ -58,47 +73,62 @@ def piece_tokens(model_path: str) -> list[bytes]:
     return [bytes([int(m[1], 16)]) if (m := BYTE_PIECE.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
 
 
+class Stretches(dict):
+    """The numbers of tokens of A and of B in a stretch of labels, as one number; remembered."""
+
+    def __missing__(self, s: bytes) -> int:
+        n = self[s] = (s.count(1) + 1) << 32 | (s.count(2) + 1)
+        return n
+
+
 class Aligner:
-    """Both tokenizers, and the groups of a text.  ``spans`` remembers the token numbers of a stretch, up to ``limit`` of them."""
+    """Both tokenizers, and what they make of a text; ``limit`` stretches of labels are remembered."""
 
     def __init__(self, byte_path: str, rank_path: str, piece_path: str, limit: int = 100_000):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(rank_path).read_bytes().splitlines())}
         self.first = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.second = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        self.bytes = byte_tokens(byte_path), piece_tokens(piece_path)
-        self.lengths = tuple(np.array([len(t) for t in x], np.int64) for x in self.bytes)
-        self.names = tuple([str(i) for i in range(len(x))] for x in self.bytes)
-        self.limit, self.spans = limit, {}
-
-    def encoded(self, text: str | None) -> tuple[list[int], list[int]]:
+        tokens = byte_tokens(byte_path), piece_tokens(piece_path)
+        self.lengths = tuple(np.array([len(t) for t in x], np.int64) for x in tokens)
+        self.starts = tuple(np.cumsum(n) - n for n in self.lengths)
+        self.flat = tuple(np.frombuffer(b"".join(x), np.uint8) for x in tokens)
+        #: Each id in decimal with each sign that may follow it: B's after A's.
+        self.names = [f"{i}{sign}" for x in tokens for i in range(len(x)) for sign in ",|;"]
+        self.limit, self.known = limit, Stretches()
+
+    def _gives(self, side: int, ids: np.ndarray, whole: np.ndarray) -> bool:
+        """Whether the tokens' bytes are those of ``whole``."""
+        n = self.lengths[side][ids]
+        if n.sum() != len(whole):
+            return False
+        at = np.repeat(self.starts[side][ids] - np.cumsum(n) + n, n) + np.arange(len(whole))
+        return bool((self.flat[side][at] == whole).all())
+
+    def __call__(self, text: str | None) -> Aligned:
         if not text:
-            return [], []
-        a, b = self.first.encode_ordinary(" " + text), self.second.encode(text)
-        whole = b" " + text.encode("utf-8", "surrogatepass")
-        same = all(b"".join(map(of.__getitem__, ids)) == whole for ids, of in zip((a, b), self.bytes, strict=True))
-        return (a, b) if same else ([], [])
-
-    def groups(self, labels: bytes) -> list[tuple[int, int]]:
-        """(tokens of A, tokens of B) of each stretch."""
-        known, out = self.spans, []
-        if len(known) > self.limit:
-            known.clear()
-        for s in STRETCH.findall(labels):
-            n = known.get(s)
-            if n is None:
-                n = known[s] = (s.count(1) + 1, s.count(2) + 1)
-            out.append(n)
-        return out
-
-    def told(self, a: list[int], b: list[int], groups: list[tuple[int, int]]) -> str:
-        """The groups as ``a1,a2|b1;a3|b2,b3`` in decimal ids."""
-        x, y = map(self.names[0].__getitem__, a), map(self.names[1].__getitem__, b)
-        out = []
-        for m, n in groups:
-            left = next(x) if m == 1 else ",".join([next(x) for _ in range(m)])
-            right = next(y) if n == 1 else ",".join([next(y) for _ in range(n)])
-            out.append(f"{left}|{right}")
-        return ";".join(out)
+            return NONE
+        a = self.first.encode_to_numpy(" " + text, disallowed_special=()).astype(np.int64)
+        b = np.array(self.second.encode(text), np.int64)
+        whole = np.frombuffer(b" " + text.encode("utf-8", "surrogatepass"), np.uint8)
+        if not (self._gives(0, a, whole) and self._gives(1, b, whole)):
+            return NONE
+        if len(self.known) > self.limit:
+            self.known.clear()
+        stretches = STRETCH.findall(labelled(a, b, self.lengths).tobytes())
+        n = np.fromiter(map(self.known.__getitem__, stretches), np.int64, len(stretches))
+        return Aligned(len(a), len(b), len(n), self._told(a, b, n >> 32, n & 0xFFFFFFFF), a.astype("<u4").tobytes(), b.astype("<u4").tobytes())
+
+    def _told(self, a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray) -> str:
+        """Groups of m ids of A and n of B as ``a1,a2|b1;a3|b2,b3``."""
+        size = m + n
+        end = np.cumsum(size)
+        of_a = np.arange(len(a)) + np.repeat(np.cumsum(n) - n, m)  # the places of A's ids: after the groups' ids of B before
+        out, sign = np.empty(len(a) + len(b), np.int64), np.zeros(len(a) + len(b), np.int64)
+        is_b = np.ones(len(out), bool)
+        is_b[of_a] = False
+        out[of_a], out[is_b] = a, b + len(self.lengths[0])
+        sign[end - n - 1], sign[end - 1] = 1, 2
+        return "".join(map(self.names.__getitem__, (3 * out + sign).tolist()))[:-1]
 
 
 def labelled(a: np.ndarray, b: np.ndarray, lengths: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -132,11 +162,9 @@ def aligned(docs: DataFrame, make, schema: str = ALIGNED) -> DataFrame:
         for batch in small(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, b = align.encoded(text)
-                x, y = np.array(a, np.uint32), np.array(b, np.uint32)
-                groups = align.groups(labelled(x, y, align.lengths).tobytes())
-                digest = hashlib.sha256(align.told(a, b, groups).encode()).hexdigest() if groups else ""
-                rows.append((row, doc, len(a), len(b), len(groups), len(a) + len(b) - len(groups), digest, x.astype("<u4").tobytes(), y.astype("<u4").tobytes()))
+                p = align(text)
+                digest = hashlib.sha256(p.told.encode()).hexdigest() if p.n_groups else ""
+                rows.append((row, doc, p.n_a, p.n_b, p.n_groups, p.n_a + p.n_b - p.n_groups, digest, p.a, p.b))
                 row += 1
             kinds = [pa.int64()] * 6 + [pa.string(), pa.binary(), pa.binary()]
             names = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "a", "b"]
