@@ -138,8 +138,10 @@ def carriers(docs: DataFrame, model: Model = Model()) -> list[str]:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.xxhash64(F.lit(model.seed), F.col("doc_id").cast("long"), text)
     at = 1 + F.pmod(F.xxhash64(key, F.lit(1)), F.greatest(F.length(text) - model.piece, F.lit(1)))
-    rows = docs.select(key.alias("key"), text.substr(at.cast("int"), F.lit(model.piece)).alias("piece")).orderBy("key", "piece").limit(model.sample)
-    return [r.piece for r in rows.collect()]
+    least = docs.select(key.alias("key")).orderBy("key").limit(model.sample).agg(F.max("key")).first()[0]
+    # only keys were put in order, so a task sends few bytes; of rows of one key, which are alike, one piece is taken
+    rows = docs.select(key.alias("key"), text.substr(at.cast("int"), F.lit(model.piece)).alias("piece")).where(F.col("key") <= F.lit(least))
+    return [r.piece for r in rows.groupBy("key").agg(F.min("piece").alias("piece")).orderBy("key").limit(model.sample).collect()] if least is not None else []
 
 
 def places(text: str) -> list[tuple[int, int]]:
