@@ -1,19 +1,17 @@
-"""Exact and approximate nearest-neighbour search over embedded chunks."""
+"""Exact nearest-neighbour search over embedded chunks, for one query or many."""
 
 from __future__ import annotations
 
 import time
 from collections import OrderedDict
 from collections.abc import Iterator, Sequence
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from corvid.functions.text import snippet
-from corvid.functions.vectors import cosine_to, matrix
-from corvid.tables import fresh
+from corvid.functions.vectors import Asked, cosine_to
 
 RESULT = ("id", "product", "title", "section", "source_url", "chunk_index", "content", "version", "score")
 TIES = ("source_url", "chunk_index")
@@ -32,137 +30,98 @@ def nearest(rows: DataFrame, query: Sequence[float], limit: int = 10, product: s
     return out.where(F.col("score") >= min_score) if min_score else out
 
 
-def _query_blocks(queries: DataFrame, key: str, vector_col: str, block: int) -> Iterator[tuple[list[int], np.ndarray]]:
-    """Ids and unit vectors of at most ``block`` queries at a time; the driver holds one partition and one block."""
-    rows = queries.where(F.col(key).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(key).cast("long"), F.col(vector_col).cast("array<double>")).toLocalIterator()
-    size = None
-    while part := list(islice(rows, block)):
-        size = size or len(part[0][1])
-        x, ok = matrix(pa.array([r[1] for r in part], pa.list_(pa.float64())), size)
-        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        ok &= norm[:, 0] > 0
-        yield [r[0] for r, y in zip(part, ok, strict=True) if y], x[ok] / norm[ok]
-
-
-def _best(rows: DataFrame, ids: list[int], q: np.ndarray, limit: int, key: str, vector_col: str, asking: dict[int, np.ndarray] | None = None) -> DataFrame:
-    """Without ``asking`` every query meets every row; else a row of cell c meets the queries at ``asking[c]``."""
-    kept = rows.select(F.col(key).cast("long").alias(key), vector_col, *([] if asking is None else ["cell"])).where(F.col(vector_col).isNotNull())
-
-    def run(batches):
-        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
-        for b in batches:
-            x, ok = matrix(b.column(1), q.shape[1])
-            norm = np.sqrt((x * x).sum(axis=1))
-            ok &= norm > 0
-            every, unit = b.column(0).to_numpy()[ok], x[ok] / norm[ok, None]
-            cell = None if asking is None else b.column(2).to_numpy()[ok]
-            groups = [(slice(None), np.arange(len(ids)))] if asking is None else [(cell == c, asking[c]) for c in np.unique(cell).tolist() if c in asking]
-            for at, who in groups:
-                k, s = every[at], unit[at] @ q[who].T
-                for i, j in enumerate(who.tolist()):
-                    kk, ss = np.append(best[j][0], k), np.append(best[j][1], s[:, i])
-                    top = np.lexsort((kk, -ss))[:limit]
-                    best[j] = kk[top], ss[top]
-        out = [(i, k, s) for i, (kk, ss) in zip(ids, best, strict=True) for k, s in zip(kk.tolist(), ss.tolist(), strict=True)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["query", key, "score"])
-
-    found = kept.mapInArrow(run, f"query long, {key} long, score double")
+def _ranked(found: DataFrame, limit: int, key: str) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), key))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= limit)
 
 
-def nearest_each(rows: DataFrame, queries: DataFrame, limit: int = 10, key: str = "vec_id", vector_col: str = "embedding", block: int = 2048) -> DataFrame:
-    """(query, key, score, rank): the best rows of each row of ``queries``, which has the same two columns.
+def segments(b: pa.RecordBatch, *columns: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Stretches of a batch in which ``columns`` (whole numbers) stay equal."""
+    values = [b.column(b.schema.get_field_index(c)).to_numpy() for c in columns]
+    new = np.zeros(b.num_rows, bool)
+    for v in values:
+        new[1:] |= v[1:] != v[:-1]
+    edges = [0, *np.flatnonzero(new).tolist(), b.num_rows]
+    for at, end in zip(edges, edges[1:], strict=False):
+        if end > at:
+            yield tuple(int(v[at]) for v in values), b.slice(at, end - at)
 
-    A block of queries goes out with the function as one matrix; each task keeps its best of every query, so the
-    shuffle has tasks x queries x limit rows, however many rows there are.  Further blocks are further passes, each
-    appended to a table in the shared folder.  Queries and rows without direction, and queries of another length
-    than their block's first, are paired with none; where very many queries meet very many rows, use ``CellIndex``.
+
+def dealt(asked: DataFrame, rows: DataFrame, limit: int, key: str) -> DataFrame:
+    """(query, key, score): in each unit the best of its rows for each of its queries.
+
+    ``asked`` (unit, id, v) and ``rows`` (unit, id, v) are dealt by their unit in one shuffle; a task holds a unit's
+    queries and streams its rows past them.
     """
-    spark = rows.sparkSession
-    blocks = _query_blocks(queries, key, vector_col, block)
-    first, second = next(blocks, ([], np.zeros((0, 1)))), next(blocks, None)
-    found = _best(rows, *first, limit, key, vector_col)
-    if second is None:
-        return found
-    path = fresh(spark, "nearest")
-    found.write.parquet(path)
-    for b in chain([second], blocks):
-        _best(rows, *b, limit, key, vector_col).write.mode("append").parquet(path)
-    return spark.read.schema(found.schema).parquet(path)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, parts, now = None, [], None
+        for b in batches:
+            for (u, side), piece in segments(b, "unit", "side"):
+                if u != unit:
+                    if now is not None:
+                        yield now.found(["query", key, "score"])
+                    unit, parts, now = u, [], None
+                if side == 0:
+                    parts.append(piece)
+                    continue
+                if now is None:
+                    t = pa.Table.from_batches(parts or [piece.slice(0, 0)])
+                    now = Asked(t.column("id").to_numpy(), t.column("v").combine_chunks(), limit)
+                now.meet(piece.column(2).to_numpy(), piece.column(3))
+        if now is not None:
+            yield now.found(["query", key, "score"])
+
+    sides = asked.select("unit", F.lit(0).alias("side"), "id", "v").unionByName(rows.select("unit", F.lit(1).alias("side"), "id", "v"))
+    return sides.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(run, f"query long, {key} long, score double")
+
+
+def told(rows: DataFrame, asked: pa.Table, limit: int, key: str, asking: dict | None = None) -> DataFrame:
+    """(query, key, score): in each task the best of its rows (id, v, and cell if ``asking``) for each query of ``asked`` (id, v), which goes out with the function."""
+    ids, vectors = asked.column(0).to_numpy(), asked.column(1).combine_chunks()
+    vectors = vectors if isinstance(vectors, pa.Array) else pa.concat_arrays(vectors.chunks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = Asked(ids, vectors, limit)
+        for b in batches:
+            if b.num_rows:
+                now.meet(b.column(0).to_numpy(), b.column(1), None if asking is None else b.column(2).to_numpy(), asking)
+        yield now.found(["query", key, "score"])
 
-def results(found: DataFrame) -> DataFrame:
-    """What a search shows of a row: title, snippet, address, product, section and rounded score."""
-    return found.select("title", snippet(F.col("content")).alias("snippet"), "source_url", "product", "section", F.round("score", 4).alias("score"))
+    return rows.mapInArrow(run, f"query long, {key} long, score double")
 
 
-def _fitted(sample: np.ndarray, lists: int, rounds: int) -> np.ndarray:
-    """Unit centroids of the sample's rows that have a direction."""
-    x = sample[np.sqrt((sample * sample).sum(axis=1)) > 0] if len(sample) else np.zeros((0, 1))
-    x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
-    c = x[: max(1, min(lists, len(x)))]
-    for _ in range(rounds if len(x) else 0):
-        own = (x @ c.T).argmax(axis=1)
-        c = np.stack([x[own == k].sum(axis=0) if (own == k).any() else c[k] for k in range(len(c))])
-        c = c / np.maximum(np.sqrt((c * c).sum(axis=1, keepdims=True)), 1e-300)
-    return c
+def usable(rows: DataFrame, key: str, vector_col: str, *more: str) -> DataFrame:
+    """(id, v) of the rows that have both."""
+    out = rows.where(F.col(key).isNotNull() & F.col(vector_col).isNotNull())
+    return out.select(F.col(key).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), *more)
 
 
-class CellIndex:
-    """Rows by their nearest of ``lists`` centroids, stored in a folder for each cell; a search reads the ``probes`` nearest cells and no others.
+def nearest_each(rows: DataFrame, queries: DataFrame, limit: int = 10, key: str = "vec_id", vector_col: str = "embedding", block: int = 2048, part: int = 1 << 17) -> DataFrame:
+    """(query, key, score, rank): the best rows of each row of ``queries``, which has the same two columns.
 
-    Every row is in exactly one cell, so probing all cells is the exact search.
+    Up to ``block`` queries, a number that is looked at, go out with the function; each task keeps its best of every
+    query, so tasks x queries x limit rows are shuffled, however many rows there are.  More queries make a grid: blocks
+    of queries x parts of rows, in one shuffle, in which a row goes to each block and a query to each part, and a unit of
+    the grid holds ``block`` queries while its rows stream past.  No query passes through the driver then.  Queries and rows
+    without direction are paired with none, and rows meet only queries of their length, whatever lengths there are.
     """
+    asked, every = usable(queries, key, vector_col), usable(rows, key, vector_col)
+    n = asked.count()
+    if n <= block:
+        return _ranked(told(every, asked.limit(block).toArrow(), limit, key), limit, key)
+    blocks, parts = -(-n // block), -(-every.count() // part) or 1
+    at = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("id", "v", at(blocks, 1).alias("block"), each(parts).alias("part"))
+    right = every.select("id", "v", at(parts, 2).alias("part"), each(blocks).alias("block"))
+    unit = (F.col("block") * F.lit(parts) + F.col("part")).cast("long").alias("unit")
+    return _ranked(dealt(left.select(unit, "id", "v"), right.select(unit, "id", "v"), limit, key), limit, key)
 
-    def __init__(self, spark: SparkSession, path: str, vector_col: str = "embedding"):
-        """An index that ``build`` has written to ``path``."""
-        self.path, self.vector_col = path.rstrip("/"), vector_col
-        rows = spark.read.parquet(f"{self.path}/centroids").orderBy("cell").collect()  # ``lists`` rows
-        self.centroids = np.array([r.v for r in rows], float) if rows else np.zeros((0, 1))
-        self.rows = spark.read.parquet(f"{self.path}/rows")
-
-    @classmethod
-    def build(cls, rows: DataFrame, path: str, lists: int = 100, sample: int = 20_000, rounds: int = 10, seed: int = 5, vector_col: str = "embedding") -> CellIndex:
-        """Fit on the ``sample`` rows of least hash, give every row with a vector its cell, and write all once."""
-        spark, path = rows.sparkSession, path.rstrip("/")
-        usable = rows.where(F.col(vector_col).isNotNull())
-        picked = usable.select(vector_col, F.xxhash64(F.lit(seed), vector_col).alias("o")).orderBy("o").limit(sample).collect()
-        size = max((len(r[0]) for r in picked), default=1)
-        centroids = _fitted(np.array([r[0] for r in picked if len(r[0]) == size and None not in r[0]], float).reshape(-1, size), lists, rounds)
-
-        @F.arrow_udf("int")
-        def cell(v: pa.Array) -> pa.Array:
-            y, _ = matrix(v, centroids.shape[1])
-            return pa.array((y @ centroids.T).argmax(axis=1).astype(np.int32) if len(centroids) else np.zeros(len(y), np.int32))
-
-        spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centroids)], "cell int, v array<double>").write.parquet(f"{path}/centroids")
-        usable.withColumn("cell", cell.asNondeterministic()(F.col(vector_col))).write.partitionBy("cell").parquet(f"{path}/rows")
-        return cls(spark, path, vector_col)
-
-    def _near(self, q: np.ndarray, probes: int) -> np.ndarray:
-        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :probes] if len(self.centroids) else np.zeros((len(q), 0), int)
-
-    def search(self, query: Sequence[float], limit: int = 10, probes: int = 10, **options) -> DataFrame:
-        near = self._near(np.asarray([query], float), probes)[0]
-        return nearest(self.rows.where(F.col("cell").isin([int(k) for k in near])).drop("cell"), query, limit, vector_col=self.vector_col, **options)
-
-    def search_each(self, queries: DataFrame, limit: int = 10, probes: int = 10, key: str = "vec_id", block: int = 2048) -> DataFrame:
-        """(query, key, score, rank) as ``nearest_each``, each query over the rows of its ``probes`` nearest cells."""
-        out = None
-        for ids, q in chain(_query_blocks(queries, key, self.vector_col, block), [([], np.zeros((0, 1)))]):
-            if out is None or ids:
-                near = self._near(q, probes) if len(ids) else np.zeros((0, 1), int)
-                asking = {c: np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near).tolist()}
-                rows = self.rows.where(F.col("cell").isin(sorted(asking)))
-                found = _best(rows, ids, q, limit, key, self.vector_col, asking)
-                if out is None and len(ids) < block:
-                    return found
-                path = path if out is not None else fresh(queries.sparkSession, "nearest")
-                found.write.mode("append").parquet(path)
-                out = queries.sparkSession.read.schema(found.schema).parquet(path)
-        return out
+
+def results(found: DataFrame) -> DataFrame:
+    """What a search shows of a row: title, snippet, address, product, section and rounded score."""
+    return found.select("title", snippet(F.col("content")).alias("snippet"), "source_url", "product", "section", F.round("score", 4).alias("score"))
 
 
 class Cache:

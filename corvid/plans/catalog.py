@@ -8,6 +8,7 @@ from corvid.config import Settings
 from corvid.engine import Engine, Product
 from corvid.functions import text as T
 from corvid.functions.vectors import cosine
+from corvid.operators.cells import CellIndex
 from corvid.operators import chunks, embed, html, markdown, search, store
 from corvid.operators.ingest import chunked
 from corvid.sources import web
@@ -17,7 +18,7 @@ from corvid.tables import fresh
 SMALL = Settings(chunk_size=100, chunk_overlap=20)
 WHOLE = Settings()
 DIM = 768
-LISTS, PROBES = 100, 65
+LISTS = 100
 SP = "[\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -114,23 +115,30 @@ def cosine_pairs(spark, sf):
     return e.join(n, "vec_id").select("vec_id", F.round(cosine(F.col("embedding"), F.col("other")), 6).alias("score"))
 
 
-def _through_cells(spark: SparkSession, sf: str, probes: int) -> DataFrame:
+def _through_cells(spark: SparkSession, sf: str, **options) -> DataFrame:
     e = read(spark, sf, "embeddings")
-    index = search.CellIndex.build(e, fresh(spark, "cells"), lists=LISTS)
-    found = index.search_each(e.where("vec_id % 50 = 0"), 10, probes)
+    index = CellIndex.build(e, fresh(spark, "cells"), lists=LISTS)
+    found = index.search_each(e.where("vec_id % 50 = 0"), 10, **options)
     return found.select("query", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(ORACLES["knn_batch"])
 def ivf_exact(spark, sf):
-    """Every fiftieth row through all cells of the index, which is the exact search."""
-    return _through_cells(spark, sf, LISTS)
+    """Every fiftieth row through all cells of the index at once."""
+    return _through_cells(spark, sf, first=LISTS)
 
 
-@query()
+@query(ORACLES["knn_batch"])
 def ivf_topk(spark, sf):
-    """Every fiftieth row through the cell index; PROBES of its cells find at least 0.9 of what ``knn_batch`` finds."""
-    return _through_cells(spark, sf, PROBES)
+    """Every fiftieth row through the cells that its bounds leave, a few at first."""
+    return _through_cells(spark, sf)
+
+
+@query(ORACLES["knn_batch"])
+def knn_grid(spark, sf):
+    """As ``knn_batch``, with more queries than go out at once: blocks of them meet parts of the rows in one shuffle."""
+    e = read(spark, sf, "embeddings")
+    return search.nearest_each(e, e.where("vec_id % 50 = 0"), 10, block=4, part=200).select("query", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 # --- hashes, addresses, sources

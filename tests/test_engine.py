@@ -4,6 +4,7 @@ import http.server
 import json
 import threading
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from corvid.config import Settings, SettingsError
 from corvid.engine import Engine, Product, as_json
 from corvid.functions import text as T
 from corvid.operators import chunks, embed, html, markdown, search, store
+from corvid.operators.cells import CellIndex
 from corvid.operators.ingest import chunked
 from corvid.sources import web
 
@@ -179,18 +181,69 @@ def test_search(spark, tmp_path):
     df = spark.createDataFrame(rows, "product string, source_url string, chunk_index int, embedding array<float>")
     names = lambda **o: [r.source_url for r in search.nearest(df, [2.0, 0.0], **o).collect()]
     assert names() == ["u1", "u3", "u2", "u6"] and names(limit=1) == ["u1"] and names(product="q") == ["u2"] and names(limit=3, min_score=0.9) == ["u1", "u3"]
-    index = search.CellIndex.build(df, str(tmp_path / "cells"), lists=3)
-    assert [r.source_url for r in index.search([2.0, 0.0], 4, probes=3).collect()] == names()
-    one = search.CellIndex(spark, str(tmp_path / "cells")).search([2.0, 0.0], 4, probes=1)
+    index = CellIndex.build(df, str(tmp_path / "cells"), lists=3)
+    assert [r.source_url for r in index.search([2.0, 0.0], 4).collect()] == names()
+    again = CellIndex(spark, str(tmp_path / "cells"))
+    one = again.search([2.0, 0.0], 1, first=1)
     plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "cell#" in plan.split("PartitionFilters: [")[1].split("]")[0] and 0 < one.count() < 4
+    assert "PartitionFilters: [" in plan and "cell#" in plan.split("PartitionFilters: [")[1].split("]")[0] and again.cells_read == 1
+    assert [r.source_url for r in one.collect()] == ["u1"]
+
+
+def _mixed_vectors(n=400, seed=3):
+    """Vectors about a few directions, of three lengths, some without direction, some equal."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, (centres[i % 12] + 0.15 * rng.normal(size=16)).tolist()) for i in range(n)]
+    rows += [(n + i, rows[i][1]) for i in range(20)]
+    rows += [(1000 + i, rng.normal(size=3).tolist()) for i in range(15)] + [(2000, [0.0] * 16), (2001, None), (2002, [1.0]), (2003, [float("nan")] * 16), (2004, []), (2005, [None] * 16)]
+    return rows
+
+
+def _plain_nearest(rows, queries, limit):
+    out = set()
+    unit = lambda v: None if not v or None in v or not np.isfinite(v).all() or not np.any(v) else np.asarray(v) / np.linalg.norm(v)
+    for q, v in queries:
+        x = unit(v)
+        if x is None:
+            continue
+        found = sorted((-round(float(x @ y), 9), k) for k, w in rows if (y := unit(w)) is not None and len(y) == len(x))
+        out |= {(q, k, -s, r + 1) for r, (s, k) in enumerate(found[:limit])}
+    return out
+
+
+@pytest.mark.parametrize("how", [{}, {"block": 7, "part": 60}, {"block": 100, "part": 10**6}])
+def test_many_queries_of_any_lengths(spark, how):
+    """Both ways of asking, and queries and rows of several lengths, against a plain search."""
+    rows = _mixed_vectors()
+    queries = [(3000, [1.0, 2.0]), *[(k, v) for k, v in rows[::-1] if k % 7 == 0 or k > 999]]
+    df, asked = (spark.createDataFrame(x, "vec_id long, embedding array<double>") for x in (rows, queries))
+    got = {(r["query"], r.vec_id, round(r.score, 9), r["rank"]) for r in search.nearest_each(df, asked, 5, **how).collect()}
+    assert got == _plain_nearest(rows, queries, 5)
+
+
+@pytest.mark.parametrize("block", [2048, 10])
+def test_cells_give_the_exact_answer(spark, tmp_path, block):
+    """As a search over all rows, though most cells are left out."""
+    rows = _mixed_vectors()
+    queries = [(k, v) for k, v in rows if k % 9 == 0 or k > 999]
+    df, asked = (spark.createDataFrame(x, "vec_id long, embedding array<double>") for x in (rows, queries))
+    index = CellIndex.build(df, str(tmp_path / "cells"), lists=24)
+    found = index.search_each(asked, 5, block=block, part=50).collect()
+    assert {(r["query"], r.vec_id, round(r.score, 9), r["rank"]) for r in found} == _plain_nearest(rows, queries, 5)
+    read = [r.cells for r in found if r["rank"] == 1 and r["query"] < 1000]
+    assert max(read) < 24 and np.mean(read) < 8
+    for q, v in queries[:6]:
+        one = [r.vec_id for r in index.search(v, 5, ties=("vec_id",)).select("vec_id").collect()]
+        assert one == [k for k, _ in sorted(((k, r) for k2, k, _, r in _plain_nearest(rows, [(q, v)], 5)), key=lambda x: x[1])] and index.cells_read < 24
+    assert CellIndex.build(df.where("vec_id < 0"), str(tmp_path / "none"), lists=4).search_each(asked, 5).count() == 0
 
 
 def test_batch_search_in_blocks(spark):
     rows = spark.createDataFrame([(i, [float(i % 4), 1.0, float(i)]) for i in range(1, 12)] + [(90, [0.0, 0.0, 0.0]), (91, None), (92, [1.0])], "vec_id long, embedding array<double>")
     whole = {tuple(r) for r in search.nearest_each(rows, rows, 3).collect()}
     assert {tuple(r) for r in search.nearest_each(rows, rows, 3, block=3).collect()} == whole
-    assert len(whole) == 11 * 3 and all(q == k for q, k, _, rank in whole if rank == 1)
+    assert len(whole) == 11 * 3 + 1 and all(q == k for q, k, _, rank in whole if rank == 1)
     assert search.nearest_each(rows, rows.where("vec_id < 0"), 3).count() == 0
 
 
