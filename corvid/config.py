@@ -17,6 +17,7 @@ class Settings:
     chunk_overlap: int = 100  # estimated tokens; 0 is none
     dimensions: int = 768
     top_k: int = 10
+    lists: int = 100  # cells of an index
     cache_entries: int = 200
     cache_seconds: int = 3600
     fetch_partitions: int = 10
@@ -34,8 +35,8 @@ class Settings:
     most_links: int = 500  # pages that a walk over links finds at most
 
     def __post_init__(self):
-        if self.chunk_size < 1 or self.chunk_overlap < 0 or self.dimensions < 1 or self.top_k < 1:
-            raise SettingsError("chunk_size, dimensions and top_k must be positive, chunk_overlap not negative")
+        if self.chunk_size < 1 or self.chunk_overlap < 0 or self.dimensions < 1 or self.top_k < 1 or self.lists < 1:
+            raise SettingsError("chunk_size, dimensions, top_k and lists must be positive, chunk_overlap not negative")
         if self.cache_entries < 1 or self.cache_seconds < 0 or self.fetch_partitions < 1:
             raise SettingsError("cache_entries and fetch_partitions must be positive, cache_seconds not negative")
 

@@ -65,7 +65,7 @@ class Engine:
         key = (self.store.version, tuple(vector), product, limit, min_score)
         found = self.cache.get(key)
         if found is None:
-            found = search.nearest(self.store.chunks(), vector, limit, product, min_score).select(*search.RESULT).collect()
+            found = self.store.nearest(vector, limit, product, min_score).select(*search.RESULT).collect()
             self.cache.set(key, found)
         return found
 
@@ -175,13 +175,27 @@ class Engine:
             done = [*done, result] if times is not None else []
         return done
 
-    def follow(self, folder: str, schema: str, checkpoint: str) -> None:
-        """Ingest what has come to a folder of page files since the last call."""
-        run_available(self.spark, folder, schema, checkpoint, lambda pages: self.ingest(pages))
+    def follow(self, folder: str, schema: str, checkpoint: str, only: str = "*", prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+        """Ingest what has come to a folder of page files since the last call, each batch once.
+
+        ``prepare`` makes pages of the files' rows.  A batch is marked in the version that it makes; one that comes again, as
+        after a failure between that version and the stream's own note of it, changes nothing.
+        """
+
+        def take(rows: DataFrame, number: int) -> None:
+            batch = (checkpoint, number)
+            if not self.store.taken(batch):
+                ingest(prepare(rows), self.store, self.provider, self.settings, batch=batch)
+
+        run_available(self.spark, folder, schema, checkpoint, take, only=only)
 
     def migrate(self) -> bool:
         return self.store.migrate(self.provider.dimensions)
 
+    def index(self, lists: int | None = None) -> None:
+        """Give the store an index of ``lists`` cells; searches are exact with it and without."""
+        self.store.build_index(lists or self.settings.lists)
+
     def stats(self) -> dict:
         return self.store.stats()
 

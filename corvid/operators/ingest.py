@@ -31,12 +31,12 @@ def one_each(pages: DataFrame) -> DataFrame:
     return rows.select("url", "row.*").select(pages.columns)
 
 
-def ingested(pages: DataFrame, to: store.Store, provider: embed.Provider, s: Settings = Settings(), force: bool = False) -> DataFrame:
+def ingested(pages: DataFrame, to: store.Store, provider: embed.Provider, s: Settings = Settings(), force: bool = False, batch: tuple[str, int] | None = None) -> DataFrame:
     """Bring changed pages into the store.  What was done, one row a product: product, updated, skipped, empty, errors, chunks.
 
     The join with known hashes comes before parsing and embedding, so unchanged pages cost neither; parsing and
     embedding run once, into a table in the shared folder.  A page without chunks is left as it was, and tried again
-    next time.  Rows with an ``error`` (if there is such a column) are counted and go no further.
+    next time.  A stream's ``batch`` (stream, number) is marked in the version it makes.  Rows with an ``error`` (if there is such a column) are counted and go no further.
     """
     if provider.dimensions != to.dimensions:
         raise ValueError(f"the store holds vectors of {to.dimensions}, the provider makes {provider.dimensions}; migrate first")
@@ -46,10 +46,11 @@ def ingested(pages: DataFrame, to: store.Store, provider: embed.Provider, s: Set
         totals = pages.groupBy("product").agg(F.count_if(~failed).alias("total"), F.count_if(failed).alias("errors"))
         totals = keep(totals, "ingest-totals")
         usable = pages.where(~failed).drop("error") if "error" in pages.columns else pages
-        new = keep(one_each(store.changed(usable, to.state(), force)), "changed-pages")
+        new = keep(one_each(to.changed(usable, force)), "changed-pages")
         made = keep(embed.embedded(chunked(new, s), provider), "embedded-chunks")
-        if not made.isEmpty():
-            to.replace_pages(made, new)
+        some = not made.isEmpty()
+        if some or batch:
+            to.replace_pages(made if some else None, new, batch)
         done = made.groupBy("product").agg(F.countDistinct("source_url").alias("updated"), F.count("*").alias("chunks"))
         asked = new.groupBy("product").agg(F.count("*").alias("asked"))
         zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
@@ -61,8 +62,8 @@ def ingested(pages: DataFrame, to: store.Store, provider: embed.Provider, s: Set
         return spark.createDataFrame(rows.orderBy("product").collect(), rows.schema)  # one row a product
 
 
-def ingest(pages: DataFrame, to: store.Store, provider: embed.Provider, s: Settings = Settings(), force: bool = False) -> dict:
+def ingest(pages: DataFrame, to: store.Store, provider: embed.Provider, s: Settings = Settings(), force: bool = False, batch: tuple[str, int] | None = None) -> dict:
     """As ``ingested``; the counts over all products, and by product."""
-    rows = [r.asDict() for r in ingested(pages, to, provider, s, force).collect()]
+    rows = [r.asDict() for r in ingested(pages, to, provider, s, force, batch).collect()]
     by = {r["product"]: {n: r[n] for n in COUNTS} for r in rows}
     return {n: sum(r[n] for r in rows) for n in COUNTS} | {"by_product": by}

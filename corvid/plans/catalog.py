@@ -427,6 +427,17 @@ def _shown(rows: DataFrame) -> DataFrame:
     return rows.withColumn("title", F.regexp_replace("title", "\\s+", " "))
 
 
+@query(_asked(5, _QUESTION))
+def search_indexed(spark, sf):
+    """As ``search_docs``, through the store's index of cells, which was made of half of the pages and kept up by the writes of the rest."""
+    engine = page_engine(spark, sf)
+    every = pages(spark, sf).withColumn("part", F.pmod(F.xxhash64("url"), F.lit(2)))
+    engine.ingest(every.where("part = 0").drop("part"))
+    engine.index(16)
+    engine.ingest(every.where("part = 1").drop("part"))
+    return _shown(engine.search(_question(spark, sf), limit=5))
+
+
 @query(_asked(5, _QUESTION))
 def search_docs(spark, sf):
     return _shown(searchable(spark, sf).search(_question(spark, sf), limit=5))
@@ -533,8 +544,11 @@ def crawl_state_scan(spark, sf):
     kept = store.Store(spark, fresh(spark, "store"), 64)
     for k in (2, 1, 0):
         kept.put_state(d.where(F.col("doc_id") % 3 == k).select(F.col("doc_id").cast("string").alias("url"), F.sha2("text", 256).alias("page_hash"), F.lit(1).alias("chunk_count")))
-    runs = kept.crawled().select("last_crawled").distinct()  # three rows
-    rank = runs.withColumn("newest", F.row_number().over(W.orderBy(F.desc("last_crawled"))).cast("long"))
+    placed = kept.crawled().withColumn("place", F.monotonically_increasing_id())  # in the order that the scan gives
+    runs = placed.groupBy("last_crawled").agg(F.min("place").alias("first"), F.max("place").alias("last"))  # three rows
+    order = W.orderBy("first")
+    sound = F.coalesce(F.lag("last").over(order) < F.col("first"), F.lit(True))
+    rank = runs.withColumn("newest", F.when(sound, F.row_number().over(order).cast("long")).otherwise(-1)).select("last_crawled", "newest")
     return kept.crawled().join(F.broadcast(rank), "last_crawled").select("url", "page_hash", "newest")
 
 
@@ -545,21 +559,17 @@ def products(spark, sf):
     return page_engine(spark, sf).products()
 
 
-@query("select url, sha256(html) page_hash from pages where html <> ''")
+@query(_PAGE_CHUNKS + " select url, sha256(html) page_hash from pages where html <> '' and url in (select source_url from page_chunks)")
 def stream_ingest(spark, sf):
-    """Pages through a stream into a store, and the state that it leaves."""
-    at = fresh(spark, "stream")
-    kept = store.Store(spark, f"{at}/store", 64)
-    p = embed.Hashing(64)
+    """Pages through the engine's stream, and the state that it leaves, of the pages that have chunks."""
+    engine = page_engine(spark, sf)
 
-    def take(rows: DataFrame) -> None:
-        rows = rows.where("html <> ''").select("url", "html", F.sha2("html", 256).alias("content_hash"), F.element_at(F.split("url", "/"), 4).alias("product"), F.lit(None).cast("string").alias("version"))
-        new = store.changed(rows, kept.state())
-        kept.upsert(embed.embedded(chunked(new, WHOLE), p))
-        kept.put_state(new.select("url", F.col("content_hash").alias("page_hash"), F.lit(0).alias("chunk_count")))
+    def as_pages(rows: DataFrame) -> DataFrame:
+        rows = rows.where("html <> ''").select("url", "html", F.sha2("html", 256).alias("content_hash"))
+        return rows.select("*", F.element_at(F.split("url", "/"), 4).alias("product"), F.lit(None).cast("string").alias("version"))
 
-    run_available(spark, sf, "page_id long, url string, html string", f"{at}/progress", take, only="pages.parquet")
-    return kept.state().select("url", "page_hash")
+    engine.follow(sf, "page_id long, url string, html string", f"{fresh(spark, 'stream')}/progress", only="pages.parquet", prepare=as_pages)
+    return engine.store.state().select("url", "page_hash")
 
 
 @query(_PAGE_CHUNKS + " select source_url, product, title, section, cast(chunk_index as integer) chunk_index, content, sha256(content) content_hash, cast(null as varchar) as version, cast(768 as integer) dimensions from page_chunks")
@@ -589,6 +599,56 @@ def delete_pages(spark, sf):
     return kept.chunks().select("source_url", "product")
 
 
+@query("select cast(doc_id as varchar) source_url, source product from documents where doc_id not in (0, 7, 11)")
+def delete_compacted(spark, sf):
+    """As ``delete_pages``, with the store's buckets written anew afterwards."""
+    kept = _kept_documents(spark, sf)
+    for url in ("0", "7", "11", "7"):
+        kept.delete(url)
+    kept.compact()
+    return kept.chunks().select("source_url", "product")
+
+
+def _upserted(spark: SparkSession, sf: str, compact: bool) -> DataFrame:
+    """Two of three documents are stored; every second, and all that are not stored, come anew, through the store."""
+    d = read(spark, sf, "documents")
+    rows = lambda x, text: _chunk_rows(x, text).drop("id", "created_at", "updated_at")
+    kept = store.Store(spark, fresh(spark, "store"), 64)
+    kept.upsert(rows(d.where("doc_id % 3 <> 0"), F.col("text")))
+    before = kept.chunks().select("source_url", F.col("id").alias("old"), F.col("updated_at").alias("then"))
+    kept.upsert(rows(d.where("doc_id % 2 = 0 or doc_id % 3 = 0"), F.concat("text", F.lit("!"))))
+    if compact:
+        kept.compact()
+    told = kept.chunks().join(before, "source_url", "left")
+    touched = F.when(F.col("old").isNull(), "new").when(F.col("updated_at") > F.col("then"), "updated").otherwise("kept")
+    return told.select("source_url", "content", touched.alias("touched"), F.coalesce(F.col("id") == F.col("old"), F.lit(True)).alias("same_id"), (F.col("created_at") <= F.col("updated_at")).alias("in_order"))
+
+
+_UPSERTED = """
+select cast(doc_id as varchar) source_url, case when doc_id % 2 = 0 or doc_id % 3 = 0 then text || '!' else text end as content,
+  case when doc_id % 3 = 0 then 'new' when doc_id % 2 = 0 then 'updated' else 'kept' end touched, true as same_id, true as in_order from documents"""
+
+
+@query(_UPSERTED)
+def upsert_stored(spark, sf):
+    """Chunks read through a delta: what was updated is told by its time."""
+    return _upserted(spark, sf, False)
+
+
+@query(_UPSERTED)
+def upsert_compacted(spark, sf):
+    return _upserted(spark, sf, True)
+
+
+@query("select cast(doc_id as varchar) source_url, source product, text content from documents where text = (select text from documents where doc_id = 5)")
+def chunks_by_hash(spark, sf):
+    """All chunks of one content, by its hash."""
+    kept = store.Store(spark, fresh(spark, "store"), 64)
+    d = read(spark, sf, "documents")
+    kept.upsert(_chunk_rows(d, F.col("text")).drop("id", "created_at", "updated_at").withColumn("content_hash", F.sha2("content", 256)))
+    return kept.find(d.where("doc_id = 5").select(F.sha2("text", 256)).first()[0]).select("source_url", "product", "content")
+
+
 @query("select count(*) n, cast(0 as bigint) as vectors, cast(32 as integer) dimensions, cast(0 as bigint) pages from documents")
 def migrated_store(spark, sf):
     """A store of documents and their state, moved to another vector size: chunks stay, vectors and page state go."""

@@ -2,6 +2,7 @@
 
 import http.server
 import json
+import random
 import threading
 
 import numpy as np
@@ -294,9 +295,125 @@ def test_store_writes_touched_buckets_only(spark, tmp_path):
     more = _files(at) - first
     assert first < _files(at) and len(more) == 1 and "bucket=" in more.pop()
     assert s.stats()["total_chunks"] == 200 and s.chunks().where("content = 'new'").count() == 1
-    before = s.version
+    before, chunks = s.version, {f for f in _files(at) if f.startswith("chunks")}
     assert s.vacuum(keep=1) == 0 and s.version == before  # the first folder still holds the other buckets
-    assert s.delete("u7") == 1 and s.vacuum(keep=1) == 1 and s.stats()["total_chunks"] == 199
+    assert s.delete("u7") == 1 and s.vacuum(keep=1) == 0 and s.stats()["total_chunks"] == 199
+    assert {f for f in _files(at) if f.startswith("chunks")} == chunks  # a delete writes no chunk
+    assert s.compact() and not s.compact() and s.vacuum(keep=1) == 2 and s.stats()["total_chunks"] == 199
+
+
+def test_deltas_read_as_if_written_anew(spark, tmp_path):
+    """Upserts, page replacements and deletes in any order, against a plain dictionary, with and without compaction on the way."""
+    rng = random.Random(4)
+    stores = [store.Store(spark, str(tmp_path / str(n)), 2, buckets=3, most_deltas=n) for n in (1, 50)]
+    held, ids = {}, {}
+    for step in range(7):
+        kind, pages = rng.choice(["upsert", "replace", "delete"] if step else ["upsert"]), [f"u{rng.randrange(6)}" for _ in range(3)]
+        keys = sorted({(u, rng.randrange(4)) for u in pages for _ in range(2)})
+        for s in stores:
+            if kind == "upsert":
+                s.upsert(_rows(spark, keys, f"c{step}"))
+            elif kind == "replace":
+                s.replace_pages(_rows(spark, keys, f"c{step}"), spark.createDataFrame([(u, f"h{step}") for u in set(pages)], "url string, content_hash string"))
+            else:
+                assert s.delete(pages[0]) == sum(u == pages[0] for u, _ in held)
+        if kind == "replace":
+            held = {k: v for k, v in held.items() if k[0] not in pages}
+        held = {k: v for k, v in held.items() if k[0] != pages[0]} if kind == "delete" else held | dict.fromkeys(keys, f"c{step}")
+        for s in stores:
+            got = {(r.source_url, r.chunk_index): r for r in s.chunks().collect()}
+            assert {k: r.content for k, r in got.items()} == held
+            if kind == "upsert":
+                assert all(got[k].id == ids[s, k] for k in keys if (s, k) in ids)
+            ids = {k: v for k, v in ids.items() if k[0] is not s} | {(s, k): r.id for k, r in got.items()}
+    assert len(stores[1]._manifest()["deltas"]) == 6 and len(stores[0]._manifest()["deltas"]) < 6
+    assert stores[1].compact() and {(r.source_url, r.chunk_index): r.content for r in stores[1].chunks().collect()} == held
+
+
+def test_change_reads_the_state_of_its_buckets(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"), 2, buckets=16)
+    s.put_state(spark.createDataFrame([(f"u{k}", f"h{k}", 1) for k in range(200)], "url string, page_hash string, chunk_count int"))
+    pages = spark.createDataFrame([("u7", "h7")], "url string, content_hash string")
+    read = s.changed(pages)
+    assert read.count() == 0 and len([f for f in read.inputFiles() if "/state/" in f]) == 1
+    assert [r.url for r in s.changed(spark.createDataFrame([("u7", "x"), ("u8", "h8"), ("new", "h")], "url string, content_hash string")).orderBy("url").collect()] == ["new", "u7"]
+
+
+def test_index_of_the_store(spark, tmp_path):
+    """Searches through the index are those over all chunks after every kind of write; a page's write touches its cells only; a grown cell is split."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(10, 8))
+
+    def rows(keys, near=None, content="x"):
+        vectors = [(centres[rng.integers(10) if near is None else near] + 0.1 * rng.normal(size=8)).tolist() for _ in keys]
+        made = [("p" if k % 2 else "q", "t", "s", u, k, content, None, "h", v) for (u, k), v in zip(keys, vectors, strict=True)]
+        return spark.createDataFrame(made, "product string, title string, section string, source_url string, chunk_index int, content string, version string, content_hash string, embedding array<float>")
+
+    def same(s):
+        for q in (centres[0], centres[7] + 0.3, -centres[3]):
+            for options in ({}, {"product": "q"}, {"min_score": 0.9}):
+                plain = search.nearest(s.chunks(), q.tolist(), 5, options.get("product"), options.get("min_score")).collect()
+                got = s.nearest(q.tolist(), 5, **options).collect()
+                assert [(r.source_url, r.chunk_index, r.score, r.content) for r in got] == [(r.source_url, r.chunk_index, r.score, r.content) for r in plain]
+
+    s = store.Store(spark, str(tmp_path / "s"), 8, buckets=4, most_deltas=3)
+    s.build_index(lists=4)
+    assert s._manifest()["index"] is None
+    s.upsert(rows([(f"u{k % 60}", k) for k in range(600)]))
+    s.build_index(lists=20, split_from=300)
+    same(s)
+    assert s.cells_read < 15
+    before = s._manifest()["index"]["cells"]
+    s.replace_pages(rows([("u3", 0), ("u3", 1)], near=2, content="new"), spark.createDataFrame([("u3", "h")], "url string, content_hash string"))
+    after = s._manifest()["index"]["cells"]
+    assert 1 <= len([c for c in after if after[c] != before.get(c)]) <= 2
+    same(s)
+    s.delete("u5")
+    assert s._manifest()["index"]["cells"] == after
+    same(s)
+    s.upsert(rows([("u9", 9), ("v", 1)], content="newer"))
+    s.compact()
+    same(s)
+    live_rows = s.chunks().count()
+    assert sum(p["rows"] for x in s._manifest()["index"]["cells"].values() for p in x) == live_rows
+    n = len(s._manifest()["index"]["cells"])
+    s.upsert(rows([(f"w{k}", k) for k in range(1500)], near=4))
+    assert len(s._manifest()["index"]["cells"]) > n
+    same(s)
+    s.vacuum(keep=1)
+    same(s)
+
+
+def test_stream_batches_are_taken_once(spark, tmp_path, monkeypatch):
+    """A failure after the version is made and before the stream notes it: the batch comes again and makes no second version."""
+    e = Engine(spark, [Product("p", "P", "http://e")], Settings(store_path=str(tmp_path / "e"), dimensions=16))
+    rows = [("http://e/a", "p", "1", "# A\n" + BODY * 4), ("http://e/b", "p", "1", "nothing")]
+    pages = spark.createDataFrame(rows, "url string, product string, version string, markdown string").withColumn("content_hash", F.sha2("markdown", 256))
+    pages.write.parquet(str(tmp_path / "in"))
+    schema = pages.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+    replace = store.Store.replace_pages
+
+    def failing(self, *a, **k):
+        replace(self, *a, **k)
+        raise OSError("lost after the version")
+
+    with monkeypatch.context() as m:
+        m.setattr(store.Store, "replace_pages", failing)
+        with pytest.raises(Exception, match="lost after"):
+            e.follow(str(tmp_path / "in"), schema, str(tmp_path / "cp"))
+    made = e.store.version
+    assert made == 1 and e.stats()["total_chunks"] == 1
+    e.follow(str(tmp_path / "in"), schema, str(tmp_path / "cp"))
+    assert e.store.version == made
+    spark.createDataFrame([("http://e/c", "p", "1", "too little", "h")], pages.schema).write.mode("append").parquet(str(tmp_path / "in"))
+    e.follow(str(tmp_path / "in"), schema, str(tmp_path / "cp"))
+    assert e.store.version == made + 1 and e.stats()["total_chunks"] == 1  # marked, though no page had chunks
+
+
+def test_find_by_content(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"), 2, buckets=4)
+    s.upsert(_rows(spark, [(f"u{k}", 0) for k in range(40)]).withColumn("content_hash", F.col("source_url")))
+    assert [r.source_url for r in s.find("u17").collect()] == ["u17"] and s.find("none").count() == 0
 
 
 def test_store_grows_its_buckets(spark, tmp_path):
