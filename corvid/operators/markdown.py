@@ -1,7 +1,10 @@
 """Markdown files to titles, descriptions and headed sections, in DataFrame operations alone.
 
-Lines of a file are dealt once by its address; windows over them tell fences and headings, and both groupings
-that put sections together find their rows in place.
+Whether a line is code, and which section it is in, depends on all lines before it in its file.  A file is therefore
+scanned in blocks of lines: each block tells its fences, and its headings for either case of being entered in code or
+not; the blocks of a file, few rows, add up to what each is entered with; and its lines follow from that.  So the lines of
+a very large file are dealt to as many tasks as it has blocks.  Files of one block need no second look.  Sections are then
+put together where their lines meet.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from corvid.functions.text import SPACE, clean_markdown, filled, head_units, pat
 HEADING = f"^(#{{1,4}}){SPACE}+(.+)$"
 H1 = f"(?m)^#{SPACE}+(.+)$"
 IMAGE = "^!\\[.*?\\]\\(.*?\\)$"
+BLOCK = 50_000
 
 
 def _front(md: Column) -> tuple[Column, Column, Column]:
@@ -40,15 +44,34 @@ def headed(files: DataFrame) -> DataFrame:
     return out.withColumns({"title": trim(filled(_value(F.col("_block"), "title"), h1, path_title(path), F.lit(""))), "description": trim(_value(F.col("_block"), "description"))}).drop("_block")
 
 
-def classified(pages: DataFrame) -> DataFrame:
+def _marked(pages: DataFrame, block: int) -> DataFrame:
+    """Lines of the bodies: whether each is a fence and whether, out of code, it is a heading, and the fences before it in its block."""
+    here = W.partitionBy("url", "block").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    lines = pages.select("url", F.posexplode(F.split("body", "\n")).alias("pos", "raw")).select("url", "pos", F.floor(F.col("pos") / block).alias("block"), trim_end(F.col("raw")).alias("line"))
+    lines = lines.withColumn("fence", F.col("line").startswith("```") | F.col("line").startswith("~~~"))
+    lines = lines.withColumn("titled", ~F.col("fence") & F.col("line").rlike(HEADING))
+    return lines.withColumn("inner", F.sum(F.col("fence").cast("int")).over(here) - F.col("fence").cast("int"))
+
+
+def entered(pages: DataFrame, block: int) -> DataFrame:
+    """(url, block, fences, heads): before each further block of the files that have several, by a scan over the blocks."""
+    long = _marked(pages.where(F.length("body") >= block), block)  # fewer characters make no second block
+    odd = F.col("inner") % 2 == 1
+    sums = long.groupBy("url", "block").agg(F.count_if("fence").alias("in"), F.count_if(F.col("titled") & ~odd).alias("even"), F.count_if(F.col("titled") & odd).alias("odd"))
+    past = W.partitionBy("url").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.withColumn("fences", F.coalesce(F.sum("in").over(past), F.lit(0)))
+    sums = sums.withColumn("heads", F.coalesce(F.sum(F.when(F.col("fences") % 2 == 0, F.col("even")).otherwise(F.col("odd"))).over(past), F.lit(0)))
+    return sums.where("block > 0").select("url", "block", "fences", "heads")
+
+
+def classified(pages: DataFrame, block: int = BLOCK) -> DataFrame:
     """Lines of the bodies with their section number and kind: heading, text, or a part of a fence."""
-    file = W.partitionBy("url").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    lines = pages.select("url", F.posexplode(F.split("body", "\n")).alias("pos", "raw")).select("url", "pos", trim_end(F.col("raw")).alias("line"))
-    fence = F.col("line").startswith("```") | F.col("line").startswith("~~~")
-    lines = lines.withColumn("fence", fence).withColumn("before", F.sum(F.col("fence").cast("int")).over(file) - F.col("fence").cast("int"))
-    lines = lines.withColumn("coded", F.col("before") % 2 == 1)
-    head = ~F.col("fence") & ~F.col("coded") & F.col("line").rlike(HEADING)
-    return lines.withColumn("head", head).withColumn("section", F.sum(F.col("head").cast("int")).over(file))
+    here = W.partitionBy("url", "block").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    lines = _marked(pages, block).join(entered(pages, block), ["url", "block"], "left")
+    before = (F.col("inner") + F.coalesce("fences", F.lit(0))).alias("before")
+    lines = lines.select("url", "block", "pos", "line", "fence", "titled", before, F.coalesce("heads", F.lit(0)).alias("heads"))
+    lines = lines.withColumn("coded", F.col("before") % 2 == 1).withColumn("head", F.col("titled") & ~F.col("coded"))
+    return lines.withColumn("section", F.col("heads") + F.sum(F.col("head").cast("int")).over(here)).drop("block", "titled", "heads")
 
 
 def clean_line(line: Column) -> Column:
@@ -59,10 +82,10 @@ def clean_line(line: Column) -> Column:
     return F.when((bare != "") & ~bare.startswith("<!--") & ~bare.rlike(IMAGE), cleaned)
 
 
-def sections(files: DataFrame, *keep: str) -> DataFrame:
+def sections(files: DataFrame, *keep: str, block: int = BLOCK) -> DataFrame:
     """One row per section: url, ``keep``, title, description, pos, heading, text, level.  ``url`` names a file."""
     pages = headed(files)
-    lines = classified(pages)
+    lines = classified(pages, block).repartition("url", "section")  # serves both groupings
     text = F.when(F.col("coded"), F.when(~F.col("fence") & (trim(F.col("line")) != ""), F.col("line"))).when(~F.col("fence") & ~F.col("head"), clean_line(F.col("line")))
     # a fence is one unit, closed if it holds the closing line; another line is a unit of its own
     unit = F.when(F.col("coded"), -F.col("before")).otherwise(F.col("pos"))
@@ -72,8 +95,9 @@ def sections(files: DataFrame, *keep: str) -> DataFrame:
     code = F.when(F.col("closed") & (F.col("n") > 0), F.concat(F.lit("[code: "), head_units(F.col("joined"), 200), F.lit("]")))
     units_of = units_of.withColumn("text", F.when(F.col("coded"), code).when(F.col("n") > 0, F.col("joined")))
     built = units_of.groupBy("url", "section").agg(squeeze(F.array_join(ordered("text"), " ")).alias("text"), F.coalesce(F.max("heading"), F.lit("")).alias("heading"), F.coalesce(F.max("level"), F.lit(0)).alias("level")).where(units(F.col("text")) > 20)
-    built = built.groupBy("url").agg(F.array_sort(F.collect_list(F.struct(F.col("section").cast("int").alias("pos"), "heading", "text", F.col("level").cast("int").alias("level")))).alias("parts"))
-    whole = F.struct(F.lit(0).alias("pos"), F.col("title").alias("heading"), clean_markdown(F.col("body")).alias("text"), F.lit(1).alias("level"))
-    fallback = F.filter(F.array(whole), lambda s: units(s["text"]) > 30)
-    out = pages.join(built, "url", "left").withColumn("parts", F.coalesce("parts", fallback))
-    return out.select("url", *keep, "title", "description", F.explode("parts").alias("s")).select("url", *keep, "title", "description", "s.*")
+    built = built.select("url", F.col("section").cast("int").alias("pos"), "heading", "text", F.col("level").cast("int").alias("level"))
+    names = ["url", *keep, "title", "description", "pos", "heading", "text", "level"]
+    found = built.join(pages.select("url", *keep, "title", "description"), "url").select(*names)
+    bare = pages.join(built.select("url").distinct(), "url", "left_anti")
+    whole = bare.select("url", *keep, "title", "description", F.lit(0).alias("pos"), F.col("title").alias("heading"), clean_markdown(F.col("body")).alias("text"), F.lit(1).alias("level"))
+    return found.unionByName(whole.where(units(F.col("text")) > 30).select(*names))

@@ -683,3 +683,20 @@ def test_onnx_provider(tmp_path):
         mean = table[tok.encode(text).ids].mean(axis=0)
         assert np.allclose(got, mean / np.linalg.norm(mean), atol=1e-5)
     assert p.batch == embed.accelerator().batch
+
+
+def test_large_files_are_scanned_in_blocks(spark):
+    """Fences and headings over the edges of blocks: the same sections however long the blocks are."""
+    rng = random.Random(6)
+    files = []
+    for k in range(6):
+        lines = []
+        for n in range(rng.choice([0, 3, 40, 90])):
+            lines.append(rng.choice(["```", "~~~ x", f"# Part {n}", f"### Small {n}", "code = 1", f"Some line of text number {n} that is long enough.", "", "  - item here"]))
+        files.append((f"f{k}", None, "\n".join(lines)))
+    df = spark.createDataFrame(files, "url string, file_path string, markdown string")
+    rows = lambda b: sorted(tuple(r) for r in markdown.sections(df, block=b).collect())
+    whole = rows(10**6)
+    assert len(whole) > 20 and rows(7) == whole and rows(1) == whole
+    plan = markdown.classified(markdown.headed(df), 7)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(url#" in plan and ", block#" in plan  # lines are dealt by block
