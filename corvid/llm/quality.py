@@ -4,7 +4,9 @@ zstandard ratios (bytes before / bytes after) of the whole text and of its fixed
 limits that depend on the length: too high a ratio marks repetitive text, too low a ratio incompressible text.
 
 Defined cases: a null or empty text has no words and fails the base rules; a text shorter than the first band
-is judged by the base rules alone; repeated rows are judged one by one; other columns are ignored.
+is judged by the base rules alone; a very long text is compressed whole and chunk by chunk, of which few are held at a time;
+a ratio that equals a limit lies within it; repeated rows are judged one by one; an empty table gives an empty one; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,23 +22,31 @@ from corvid.llm.arrow import light, small
 from corvid.llm.textkernel import WordHasher, repeated_words, words
 
 SYMBOLS = "#*$%&|<>"
+ASCII = bytes(range(128))
 
 
 @dataclass(frozen=True)
 class Bands:
-    """``whole``: (least bytes, lowest ratio, highest ratio) by rising length.  A longer prose text shares more
-    of its vocabulary with itself, so its ratio rises slowly with the length.  The lowest ratios lie below clean prose
-    and above random base64 (up to 1.38), from 1024 bytes on also above random letters (1.71), from 2048 on hex (2.00).
-    Chunks of a text longer than one are all of full length, the last being its last bytes, and have one lowest ratio;
-    a shorter text is its own chunk, whose lowest ratio is that of the whole."""
+    """``whole``: (least bytes, lowest ratio, highest ratio) by rising length.  A longer text shares more of its vocabulary
+    with itself, so its ratio rises with the length.  The lowest ratios lie below general prose, licence texts and manuals
+    among it, and above random base64 (up to 1.38), from 1400 bytes on also above random letters (1.71), from 2048 on hex
+    (1.96); the highest lie above tables and manuals, and below a phrase said over and over.  ``other``: the same for texts
+    of which ``other_percent`` of the bytes or more are not ASCII, as two or three bytes a letter compress otherwise.
+    Chunks of a text longer than one are all of full length, the last being its last bytes, and have limits of their own
+    (``chunk``, ``other_chunk``); a shorter text is its own chunk, whose limits are those of the whole."""
 
     whole: tuple[tuple[int, float, float], ...] = (
-        (128, 0.98, 2.6), (256, 1.26, 2.6), (512, 1.38, 2.3), (1024, 1.68, 2.4), (2048, 1.91, 2.5), (3072, 1.98, 2.5), (4096, 1.98, 2.6),
-        (8192, 2.0, 2.7), (16384, 2.1, 2.8), (32768, 2.1, 2.9), (65536, 2.1, 3.1), (262144, 2.1, 3.4),
+        (128, 0.95, 2.9), (256, 1.13, 3.6), (320, 1.19, 3.8), (384, 1.23, 4.0), (512, 1.29, 4.2), (800, 1.36, 4.4), (1024, 1.45, 4.5), (1400, 1.66, 4.5), (2048, 1.90, 4.8), (4096, 1.91, 5.0),
+        (8192, 1.92, 5.0), (16384, 2.0, 5.2), (32768, 2.05, 5.5), (65536, 2.05, 7.0), (262144, 2.05, 8.0),
     )
+    other: tuple[tuple[int, float, float], ...] = (
+        (128, 0.80, 3.6), (256, 0.95, 4.5), (512, 1.08, 5.2), (1024, 1.20, 5.8), (2048, 1.30, 6.2), (4096, 1.38, 6.8), (16384, 1.42, 7.2), (65536, 1.45, 9.0),
+    )
+    other_percent: int = 30
     chunk_bytes: int = 4096
     least_chunk: int = 1024
-    chunk: tuple[float, float] = (1.98, 3.0)
+    chunk: tuple[float, float] = (1.91, 5.0)
+    other_chunk: tuple[float, float] = (1.38, 6.8)
     level: int = 3
     least_words: int = 10
     window: int = 5
@@ -57,7 +67,8 @@ class Judge:
     def verdict(self, data: bytes) -> tuple[float | None, float | None, float | None, bool]:
         """Ratio of the whole, the least and the highest chunk ratio, and whether all lie within the limits."""
         b = self.bands
-        limits = [x for x in b.whole if len(data) >= x[0]]
+        other = 100 * len(data.translate(None, ASCII)) >= b.other_percent * max(1, len(data))
+        limits = [x for x in (b.other if other else b.whole) if len(data) >= x[0]]
         if not limits:
             return None, None, None, True
         whole = self.ratio(data)
@@ -68,8 +79,8 @@ class Judge:
             last = len(data) - b.chunk_bytes
             parts = [self.ratio(data[k : k + b.chunk_bytes]) for k in (*range(0, last, b.chunk_bytes), last)]
         low, high = min(parts, default=None), max(parts, default=None)
-        least = b.chunk[0] if len(data) >= b.chunk_bytes else limits[-1][1]
-        return whole, low, high, ok and (not parts or (least <= low and high <= b.chunk[1]))
+        least, most = (b.other_chunk if other else b.chunk) if len(data) >= b.chunk_bytes else limits[-1][1:]
+        return whole, low, high, ok and (not parts or (least <= low and high <= most))
 
     def __call__(self, text: str | None) -> tuple:
         text = text or ""

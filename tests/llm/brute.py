@@ -139,8 +139,12 @@ def viterbi(lines, m):
 
 def folded(text, lookalikes, signs):
     """Words of a text as a scorer reads them, letter by letter."""
+    import unicodedata
+
     plain = ""
-    for c in text:
+    for c in unicodedata.normalize("NFKC", text):
+        if 0x300 <= ord(c) <= 0x36F:
+            continue
         if 0xFF01 <= ord(c) <= 0xFF5E:
             c = chr(ord(c) - 0xFEE0)
         plain += "" if c in "​‌‍­﻿" else lookalikes.get(c, c)
@@ -158,9 +162,43 @@ def folded(text, lookalikes, signs):
     return " " + " ".join(out) + " "
 
 
+def _second(text, clean, lookalikes):
+    """(word, other readings) of words with accents, and of single letters in a row."""
+    import unicodedata
+
+    bare = lambda w: "".join(c for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c))
+    out = [(w, bare(w)) for w in clean.split() if bare(w) != w]
+    kept = "".join("" if 0x300 <= ord(c) <= 0x36F or c in "\u200b\u200c\u200d\u00ad\ufeff" else lookalikes.get(c, c) for c in unicodedata.normalize("NFKC", text)).lower()
+    letter = lambda c: c.isalnum() and not c.isdecimal()
+    k = 0
+    while k < len(kept):
+        end = k
+        if letter(kept[k]) and (k == 0 or not kept[k - 1].isalnum()):
+            while end + 2 < len(kept) and not kept[end + 1].isalnum() and letter(kept[end + 2]):
+                end += 2
+            while end > k and end + 1 < len(kept) and kept[end + 1].isalnum():
+                end -= 2
+        if end - k >= 4:
+            joined = "".join(c for c in kept[k : end + 1] if c.isalpha())
+            out.append(("", f"{joined} {joined[1:]} {joined[:-1]}"))
+            k = end
+        k += 1
+    return out
+
+
 def toxicity(text, model, lookalikes, signs):
     """The score of a text by looking for every entry at every place."""
     clean = folded(text or "", lookalikes, signs)
+    found = _hits(clean, model)
+    for first, second in _second(text or "", clean, lookalikes):
+        more = sum(_hits(f" {second} ", model).values())
+        if more > 0:
+            found[len(found), second] = max(0.0, more - sum(_hits(f" {first} ", model).values()))
+    weight = math.fsum(found.values()) / (1 + math.log1p(len(clean) / 6 / model.length_scale)) if text else 0.0
+    return 1 / (1 + math.exp(-(model.bias + model.slope * weight)))
+
+
+def _hits(clean, model):
     places = lambda x: [k for k in range(len(clean)) if clean.startswith(x, k)]
     excused = [(k, k + len(p) + 2) for p in model.exceptions for k in places(f" {p} ")]
     best = {}
@@ -168,8 +206,25 @@ def toxicity(text, model, lookalikes, signs):
         for k in places(entry):
             if not any(a <= k and k + len(entry) <= z for a, z in excused):
                 best[k] = max(w, best.get(k, 0.0))
-    weight = math.fsum(best.values()) / (1 + math.log1p(len(clean) / 6 / model.length_scale)) if text else 0.0
-    return 1 / (1 + math.exp(-(model.bias + model.slope * weight)))
+    return best
+
+
+def learned(rows, s, features):
+    """(lexicon, its log odds) of labelled texts (text, toxic) by counting ``features`` of each text; see the operator's text."""
+    n, bad = Counter(), Counter()
+    for text, y in rows:
+        n.update(features(text))
+        bad.update(features(text) if y > 0 else ())
+    total, toxic = len(rows), sum(y > 0 for _, y in rows)
+    prior = toxic / (total - toxic)
+    odds = {f: math.log((bad[f] + 0.5 * prior) / (n[f] - bad[f] + 0.5) / prior) for f in bad if bad[f] >= s.least_rows}
+    top = sorted((f for f in odds if odds[f] >= s.least_odds), key=lambda f: (-odds[f], f))[: s.entries]
+    top = [f for f in top if max((bad[g] for g in top if g != f and g.startswith(f)), default=0) < 0.9 * bad[f]]
+    kept = {}
+    for f in sorted(top, key=lambda f: (len(f), f)):
+        if all(kept[g] < odds[f] - 1.0 for g in kept if f.startswith(g)):
+            kept[f] = round(odds[f], 4)
+    return kept
 
 
 def bands(data, b):
@@ -177,19 +232,20 @@ def bands(data, b):
     import zstandard
 
     ratio = lambda x: len(x) / len(zstandard.ZstdCompressor(level=b.level).compress(x))
-    limit = None
-    for least, low, high in b.whole:
+    limit, other = None, 100 * sum(x >= 128 for x in data) >= b.other_percent * max(1, len(data))
+    for least, low, high in b.other if other else b.whole:
         if len(data) >= least:
             limit = low, high
     if limit is None:
         return True
     if not limit[0] <= ratio(data) <= limit[1]:
         return False
+    low, high = b.other_chunk if other else b.chunk
     if len(data) <= b.chunk_bytes:
-        return len(data) < b.least_chunk or ((b.chunk[0] if len(data) == b.chunk_bytes else limit[0]) <= ratio(data) <= b.chunk[1])
+        return len(data) < b.chunk_bytes or low <= ratio(data) <= high
     full = len(data) // b.chunk_bytes
     chunks = [data[k * b.chunk_bytes : (k + 1) * b.chunk_bytes] for k in range(full)] + [data[-b.chunk_bytes :]]
-    return all(b.chunk[0] <= ratio(x) <= b.chunk[1] for x in chunks)
+    return all(low <= ratio(x) <= high for x in chunks)
 
 
 def sainte_lague(wishes, total):
