@@ -1,7 +1,9 @@
 """Toxicity: a weighted lexicon matched by an Aho-Corasick automaton.
 
 Texts are folded first: look-alike letters, small and capital, to Latin ones, lower case, digits and signs in words to
-the letters they stand for.  A word with signs or digits at its ends is read both ways, with and without them.
+the letters they stand for.  Compatibility forms, such as mathematical, circled or wide letters, are normalised (NFKC).
+A word with signs or digits at its ends is read both ways, with and without them; one with accents also without those; and
+single letters in a row, one sign or blank apart, are also read as one word.
 The lexicon is learned: words and word beginnings of labelled texts, weighted by their log odds.  A text's weights are
 added up, hits inside an exception phrase left out, and divided by a slowly rising function of its length; a logistic
 curve of two coefficients turns that into a score.  Exception phrases are built-in ones and those learned: a hit with
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -54,6 +57,11 @@ _TABLE = {**_FULL, **{ord(k): v for k, v in LOOKALIKES.items()}, 0x200B: "", 0x2
 _SIGNS = str.maketrans(SIGNS)
 _ODD = re.compile("[" + "".join(map(re.escape, map(chr, _TABLE))) + "]")
 _BESIDE = re.compile(r"[^\W\d_](?:[0-9@$]|!+(?=[^\W\d_]))|[0-9@$!][^\W\d_]")  # a letter and a sign that may stand for one
+MARKS = re.compile("[\u0300-\u036f]+")
+ACCENTED = re.compile(r"(?=\S*[^\x00-\x7f])\S+")
+#: Three single letters or more, each behind one sign that is no letter or digit, or a blank.
+SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[^\w]|_)(?:[^\W\d_](?:[^\w]|_))+[^\W\d_](?![^\W_])")
+SPACED_HINT = re.compile(r"(?<![^\W_])[^\W\d_](?:[^\w]|_)[^\W\d_](?:[^\w]|_)[^\W\d_](?![^\W_])")
 _RUN = re.compile(r"(?:[^\W_]|[@$!])+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -75,11 +83,44 @@ def _read(text: str) -> str:
     return "".join(out) + text[last:] if out else text
 
 
+def _plain(text: str) -> str:
+    """Compatibility forms (mathematical, circled, wide letters, ligatures) and look-alikes as plain letters; accents joined to their letters, or gone where there is no such letter."""
+    if not text.isascii():
+        if not unicodedata.is_normalized("NFKC", text):
+            text = unicodedata.normalize("NFKC", text)
+        text = MARKS.sub("", text)
+        if _ODD.search(text):
+            text = text.translate(_TABLE)
+    return text
+
+
 def folded(text: str) -> str:
     """The text's words, folded, one space apart, with a space at either end."""
-    if not text.isascii() and _ODD.search(text):
-        text = text.translate(_TABLE)
-    return f" {' '.join(_LETTERS.findall(_read(text.lower())))} "
+    return f" {' '.join(_LETTERS.findall(_read(_plain(text).lower())))} "
+
+
+def without_accents(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+
+
+class _Bare(dict):
+    """Words without their accents; remembered."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 100_000:
+            self.clear()
+        bare = self[word] = without_accents(word)
+        return bare
+
+
+def second_readings(text: str, clean: str, bare: dict[str, str]) -> list[tuple[str, str]]:
+    """(word as folded, another reading of it): words without their accents, and runs of single letters, as in ``i.d.i.o.t``, joined."""
+    out = [(w, bare[w]) for w in ACCENTED.findall(clean) if bare[w] != w] if not clean.isascii() else []
+    if SPACED_HINT.search(text):
+        for m in SPACED.finditer(_plain(text).lower()):
+            joined = "".join(c for c in m[0] if c.isalpha())
+            out += [("", f"{joined} {joined[1:]} {joined[:-1]}")]  # a word of one letter may stand beside the run
+    return out
 
 
 @dataclass(frozen=True)
@@ -102,11 +143,12 @@ class Model:
     bias: float = -3.0
     length_scale: float = 400.0
     exceptions: tuple[str, ...] = EXCEPTIONS
+    bound: tuple[str, ...] = ()  # which of the settings' limits cut something off
 
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.machine = model, ahocorasick.Automaton()
+        self.model, self.machine, self.bare = model, ahocorasick.Automaton(), _Bare()
         for word, weight in model.lexicon:
             self.machine.add_word(word, (len(word), weight))
         for phrase in model.exceptions:
@@ -136,7 +178,12 @@ class Scorer:
         if not text:
             return 0.0
         clean = folded(text)
-        return math.fsum(self.hits(clean).values()) / (1.0 + math.log1p(len(clean) / 6 / self.model.length_scale))
+        found = list(self.hits(clean).values())
+        for first, second in second_readings(text, clean, self.bare):  # what a second reading says beyond the first
+            more = math.fsum(self.hits(f" {second} ").values()) if second else 0.0
+            if more > 0:
+                found.append(max(0.0, more - math.fsum(self.hits(f" {first} ").values())))
+        return math.fsum(found) / (1.0 + math.log1p(len(clean) / 6 / self.model.length_scale))
 
     def contexts(self, text: str) -> set[str]:
         """Each hit's word with the word before it, and with the word after it."""
@@ -222,6 +269,7 @@ def learned(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Mod
     odds = F.log((F.col("n_toxic") + 0.5 * prior) / (F.col("n") - F.col("n_toxic") + 0.5) / F.lit(prior))
     top = counts.where("feature <> ''").select("feature", odds.alias("w"), "n_toxic").where(F.col("w") >= s.least_odds).orderBy(F.desc("w"), "feature").limit(s.entries).collect()
     counts.unpersist()
+    entries = len(top)
     further: dict[str, int] = {}
     for r in top:
         for k in range(2, len(r.feature)):
@@ -244,6 +292,7 @@ def learned(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Mod
     learned_phrases = seen.where((F.col("toxic") <= 0) & (F.col("n") >= s.least_excuses)).orderBy(F.desc("n"), "phrase").limit(s.excuses).collect()
     phrases = tuple(sorted({*EXCEPTIONS, *(r.phrase for r in learned_phrases)}))
     model = Model(lexicon, 1.0, 0.0, s.length_scale, phrases)
+    bound = tuple(name for name, n, most in (("sample", len(chosen), s.sample), ("entries", entries, s.entries), ("excuses", len(learned_phrases), s.excuses)) if n >= most)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -252,7 +301,7 @@ def learned(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Mod
 
     xy = rows.mapInArrow(weigh, "x double, y int").toPandas().sort_values(["x", "y"])
     slope, bias = _logistic(xy["x"].to_numpy(float), (xy["y"].to_numpy() > 0).astype(float))
-    return Model(lexicon, slope, bias, s.length_scale, phrases) if slope > 0 else fallback
+    return Model(lexicon, slope, bias, s.length_scale, phrases, bound) if slope > 0 else fallback
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

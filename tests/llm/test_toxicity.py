@@ -57,3 +57,27 @@ def test_tables_without_rows(spark):
     assert toxicity.without_toxic(none, toxicity.learned(none, labels)).count() == 0
     rows = toxicity.scored(some, toxicity.learned(some, labels.limit(0))).collect()
     assert sorted((str(r.doc_id), r.predicted) for r in rows) == [("1", 1), ("3", 0), ("None", 0)]
+
+
+def test_forms_of_a_word():
+    """Compatibility letters, accents, combining marks and spaced letters; and what must not be read so."""
+    model = toxicity.Model(((" idiot ", 3.0), (" shit ", 2.0)))
+    one = toxicity.Scorer(model)
+    hits = ("𝐢𝐝𝐢𝐨𝐭", "ⓘⓓⓘⓞⓣ", "ídiot", "id\u0301iot", "i.d.i.o.t", "i d i o t", "you are a i d i o t", "I-D-I-O-T!", "ＩＤＩＯＴ", "such idiöt", "ｓ_ｈ_ｉ_ｔ")
+    clean = ("a b c d e", "U.S.A. plan", "1 2 3 4", "idiotic", "Ö is a letter", "i d", "é è ê", "")
+    for text in hits:
+        assert one.weight(text) > 0, text
+    for text in clean:
+        assert one.weight(text) == 0, text
+    for text in (*hits, *clean, "a  i d i o t", "i d i o tx", "xi d i o t", "i d i o t s h i t", "ídiot idiot ídiotïc", "i.d.i.o.t. s.h.i.t."):
+        assert one(text) == pytest.approx(brute.toxicity(text, model, toxicity.LOOKALIKES, toxicity.SIGNS), abs=1e-12), text
+
+
+def test_lexicon_against_plain_counts(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    s = toxicity.Settings()
+    used = labels.where(toxicity.remainder(toxicity.F.col("doc_id")) != 0)
+    rows = [(r.text, r.toxic) for r in docs.join(used, "doc_id").where("text is not null").collect()]
+    model = toxicity.learned(docs, labels, s)
+    assert dict(model.lexicon) == pytest.approx(brute.learned(rows, s, lambda t: toxicity._features(t, s))) and model.bound == ()
+    assert "entries" in toxicity.learned(docs, labels, toxicity.Settings(entries=3)).bound
