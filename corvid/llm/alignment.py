@@ -175,33 +175,64 @@ def aligned(docs: DataFrame, make, schema: str = ALIGNED) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of an ordered array, and how often each is in it."""
+    edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, np.int64)
+    return x[edge[:-1]], np.diff(edge)
+
+
+class Places:
+    """Where numbers are in an ordered array of distinct ones: by a table of one slot a hash, and by bisection for those whose slot another has."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, bits = keys, max(8, (4 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.slots = np.zeros(1 << bits, np.int32)
+        self.slots[self._slot(keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def _slot(self, x: np.ndarray) -> np.ndarray:
+        return ((x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it is there)."""
+        if not len(self.keys):
+            return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+        at = self.slots[self._slot(x)]
+        hit = self.keys[at] == x
+        miss = np.flatnonzero(~hit)
+        if len(miss):
+            at[miss] = np.minimum(np.searchsorted(self.keys, x[miss]), len(self.keys) - 1)
+            hit[miss] = self.keys[at[miss]] == x[miss]
+        return at, hit
+
+
 def counts(texts: DataFrame, lengths: Broadcast, most: int = 1 << 20) -> DataFrame:
     """(pair, n): the links of each id pair over all texts; a task adds up ``most`` links or distinct pairs at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, numbers, waiting = [], [], 0
+        key, n, links, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
         def summed() -> tuple[np.ndarray, np.ndarray]:
-            key, at = np.unique(np.concatenate(pairs), return_inverse=True)
-            return key, np.bincount(at, np.concatenate(numbers)).astype(np.int64)
+            """What was summed so far with the links that wait; these are put in order first, without their numbers, as that is much quicker."""
+            more, times = _runs(np.sort(np.concatenate(links))) if links else (key[:0], n[:0])
+            both, count = np.concatenate([key, more]), np.concatenate([n, times])
+            order = np.argsort(both, kind="stable")
+            both, count = both[order], count[order]
+            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+            return both[first], np.add.reduceat(count, first) if len(first) else count
 
         for batch in small(batches):
             a, b = _ids(batch.column(0)), _ids(batch.column(1))
-            found = linked(a, b, labelled(a, b, lengths.value))
-            pairs.append(found)
-            numbers.append(np.ones(len(found), np.int64))
-            waiting += len(found)
+            links.append(linked(a, b, labelled(a, b, lengths.value)))
+            waiting += len(links[-1])
             if waiting > most:
                 key, n = summed()
-                pairs, numbers, waiting = [key], [n], 0
+                links, waiting = [], 0
                 if len(key) > most // 2:
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["pair", "n"])
-                    pairs, numbers = [], []
-                else:
-                    waiting = len(key)
-        if pairs:
-            key, n = summed()
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["pair", "n"])
+                    key, n = key[:0], n[:0]
+        key, n = summed()
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["pair", "n"])
 
     return texts.select("a", "b").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
@@ -237,12 +268,12 @@ def scored(docs: DataFrame, byte_path: str | None = None, rank_path: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values = shared.value
+        find = Places(keys)
         for batch in small(batches):
             n = batch.column(1).to_numpy()
             a, b = _ids(batch.column(2)), _ids(batch.column(3))
             found = linked(a, b, labelled(a, b, lengths.value))
-            at = np.minimum(np.searchsorted(keys, found), max(len(keys) - 1, 0))
-            hit = keys[at] == found if len(keys) else np.zeros(len(found), bool)
+            at, hit = find(found)
             value = np.where(hit, values[at], 0) if len(keys) else np.zeros(len(found), np.int64)
             edge = np.concatenate([[0], np.cumsum(n)])
             total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[edge])
