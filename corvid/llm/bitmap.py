@@ -8,7 +8,7 @@ some 30 million keys more rows go the exact way, up to all of them.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 LEAST_BITS, MOST_BITS = 1 << 23, 1 << 29
@@ -56,9 +56,9 @@ def suspected(df: DataFrame, bits: Bitmap, key: Column, inside: bool = True) ->
     """The rows of ``df`` whose ``key`` has its bit set, or those whose bit is clear; only the key goes to Python."""
     test = bits.tester()
 
-    @F.pandas_udf("boolean")
-    def held(keys: pd.Series) -> pd.Series:
-        return pd.Series(test(keys.to_numpy(np.int64)) == inside)
+    @F.arrow_udf("boolean")
+    def held(keys: pa.Array) -> pa.Array:
+        return pa.array(test(keys.to_numpy(zero_copy_only=False)) == inside)
 
     # not marked deterministic, or the optimizer would also run it on whatever the key is joined with
     return df.where(held.asNondeterministic()(key))
