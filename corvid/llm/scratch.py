@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SCOPES: list[list[str]] = []
+#: The paths of the innermost scope; each thread has its own.
+_SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("corvid-scope", default=None)
 
 
 def folder(spark: SparkSession) -> str:
@@ -26,19 +28,21 @@ def folder(spark: SparkSession) -> str:
 def fresh(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call has.  Within ``scoped`` it goes at the end."""
     path = f"{folder(spark)}/corvid/{name}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    if (paths := _SCOPE.get()) is not None:
+        paths.append(path)
     return path
 
 
 @contextlib.contextmanager
 def scoped(spark: SparkSession) -> Iterator[None]:
     """What is put in the shared folder within the block goes at its end; write results elsewhere, or take their path before."""
-    _SCOPES.append([])
+    paths: list[str] = []
+    before = _SCOPE.set(paths)
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        _SCOPE.reset(before)
+        for path in paths:
             remove(spark, path)
 
 
