@@ -35,19 +35,28 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-word windows that a document of smaller doc_id has too.
 
-    A text that loses every word goes; null and short texts stay as they are; rows of one id cut nothing of each
-    other; n_chars, if it is there, follows the text.
+    A text that loses every word goes; null and short texts stay as they are; rows of one id, and so ties, cut nothing of
+    each other; of equal windows the smallest id keeps its own; repeated rows are cut alike; a text of any length is cut
+    whole; n_chars, if it is there, follows the text.
     """
     return substrings.removed(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice.  Texts without words are never taken."""
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    Texts without words, null ones too, are never taken; a null source is a source, the last; of documents of one place in
+    the seeded order, as repeated rows are, as many are taken twice as the quota says; a text of any length counts whole.
+    """
     return mixing.resampled(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 1024 tokens; repeated rows are packed each."""
+    """The pieces of all documents in sequences of at most 1024 tokens.
+
+    A null text is the separator alone; a text of any length is cut into full sequences and a rest; repeated rows, and rows
+    without doc_id, are packed each; pieces of one size go by their order.
+    """
     return packing.packed(docs)
 
 
