@@ -1,4 +1,4 @@
-"""Commands: ``python -m corvid crawl | reindex | migrate | stats --products products.json``.
+"""Commands: ``python -m corvid crawl | reindex | migrate | index | stats | serve --products products.json``.
 
 The products file is a list of objects with the fields of ``corvid.engine.Product``; settings come from the
 environment (see ``corvid.config``).
@@ -9,12 +9,14 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
 from corvid.config import Settings
 from corvid.engine import Engine, Product
+from corvid.serve import serve
 
 
 def products_from(path: str) -> list[Product]:
@@ -34,7 +36,9 @@ def main(args: Sequence[str] | None = None, spark: SparkSession | None = None, s
         c.add_argument("--product", help="one product's id; all products without it")
         c.add_argument("--limit", type=int, help="pages of each product")
     commands.add_parser("migrate", help="fit the store to the provider's vector size")
+    commands.add_parser("index", help="give the store an index of cells")
     commands.add_parser("stats", help="count chunks")
+    commands.add_parser("serve", help="answer questions over standard input and output")
     for c in commands.choices.values():
         c.add_argument("--products", default=os.environ.get("CORVID_PRODUCTS", "products.json"))
     given = parser.parse_args(args)
@@ -48,6 +52,12 @@ def main(args: Sequence[str] | None = None, spark: SparkSession | None = None, s
         out = engine.reindex(given.product, given.limit)
     elif given.command == "migrate":
         out = {"migrated": engine.migrate()}
+    elif given.command == "index":
+        engine.index()
+        out = {"indexed": engine.stats()["total_chunks"]}
+    elif given.command == "serve":
+        serve(engine, sys.stdin, sys.stdout)
+        return {}
     else:
         out = engine.stats()
     print(json.dumps(out, indent=2))

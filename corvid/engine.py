@@ -19,8 +19,10 @@ from corvid.sources import web
 from corvid.streaming.incremental import run_available
 from corvid.tables import Staged, shared_folder
 
+# The bounds of a limit, and the numbers of results of a search, a guide and an explanation.
 LEAST, MOST = 1, 20
 DEFAULT, GUIDE, EXPLAIN = 5, 5, 8
+EMPTY = "Nothing found. The store may be empty: run the crawl command first."
 NOTE = "Full pages are at the source_url of each entry."
 PRODUCT = "id string, name string, base_url string, sitemap_url string, description string, version string, git_source struct<owner: string, repo: string, branch: string, docs_path: string>"
 
@@ -108,12 +110,15 @@ class Engine:
         return {"retries": self.settings.fetch_retries, "delay": self.settings.fetch_delay, "partitions": self.settings.fetch_partitions}
 
     def web_pages(self, p: Product, keep: Staged, limit: int | None = None) -> DataFrame:
-        """A product's web pages: those of its sitemap, or else those that a walk over links finds; with an error each that could not be read."""
+        """A product's web pages: those of its sitemap, or else those that a walk over links finds; with an error each that could not be read.
+
+        A sitemap of which any file could not be read, be it a nested one, counts as none.
+        """
         site, get = p.base_url, self._fetching()
         start = p.sitemap_url or "/".join(site.split("/")[:3]) + "/sitemap.xml"
         maps = web.fetched_sitemaps(self.spark, start, keep, **get)
         listed = keep(web.sitemap_urls(maps.where("xml is not null"), start), "listed")
-        if listed.isEmpty():
+        if listed.isEmpty() or not maps.where("error is not null").isEmpty():
             found = web.walked(self.spark, site, keep, self.settings.most_links, **get).withColumn("error", F.lit(None).cast("string"))
             got = web.first_n(found, limit, "ordinal")
         else:
@@ -200,7 +205,9 @@ class Engine:
         return self.store.stats()
 
 
-def as_json(rows: DataFrame, concept: str | None = None) -> str:
-    """A bounded result as indented JSON; nulls are left out."""
+def as_json(rows: DataFrame, concept: str | None = None, empty: str = EMPTY) -> str:
+    """A bounded result as indented JSON; nulls are left out.  An empty one is a sentence that says what to do."""
     out = [{k: v for k, v in r.asDict().items() if v is not None} for r in rows.limit(MOST).collect()]
+    if not out:
+        return empty
     return json.dumps({"concept": concept, "context": out, "note": NOTE} if concept is not None else out, indent=2, ensure_ascii=False)

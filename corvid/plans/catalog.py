@@ -204,7 +204,7 @@ def tree_listing(spark, sf):
     kind = F.col("doc_id") % 5
     name = F.concat(F.lit("docs/"), F.when(kind == 1, F.lit("assets/")).otherwise(F.lit("")), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.when(kind == 2, F.lit(".png")).otherwise(F.lit(".md")))
     item = F.struct(name.alias("path"), F.when(kind == 3, F.lit("tree")).otherwise(F.lit("blob")).alias("type"))
-    listing = read(spark, sf, "documents").groupBy("source").agg(F.collect_list(item).alias("tree"))
+    listing = read(spark, sf, "documents").groupBy("source", F.floor(F.col("doc_id") / 1000).alias("part")).agg(F.collect_list(item).alias("tree"))
     return web.tree_files(listing, "docs").select("path")
 
 
@@ -411,13 +411,19 @@ def page_engine(spark: SparkSession, sf: str) -> Engine:
 def searchable(spark: SparkSession, sf: str) -> Engine:
     """As ``page_engine``, with all pages parsed, chunked, embedded and stored; once for each session and folder."""
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _ENGINES:
+    if key not in _ENGINES or _ENGINES[key].store.version is None:  # the shared folder may have been cleared since
         engine = page_engine(spark, sf)
         engine.ingest(pages(spark, sf))
         _ENGINES[key] = engine
     return _ENGINES[key]
 
 
+def forget() -> None:
+    """Drop the answers that engines keep, so that the next question is a search again."""
+    for engine in _ENGINES.values():
+        engine.cache.clear()
+
+
 def _question(spark, sf) -> str:
     return read(spark, sf, "benchmark").agg(F.min("text")).first()[0]
 
@@ -666,6 +672,25 @@ def page_hash_lookup(spark, sf):
     return spark.createDataFrame([(u, kept.page_hash(u)) for u in ("0", "1", "2", "3", "4", "nowhere")], "url string, page_hash string")
 
 
+@query(_PAGE_CHUNKS + """,
+n as (select source_url url, count(*) chunks from page_chunks group by 1)
+select 'site' product, cast(count(chunks) as bigint) updated, cast(0 as bigint) skipped, cast(count(*) - count(chunks) as bigint) empty, cast(1 as bigint) errors, cast(coalesce(sum(chunks), 0) as bigint) chunks
+from (select distinct url from pages where html <> '') left join n using (url)""")
+def crawl_report(spark, sf):
+    """A site of all pages as files in the shared folder, crawled by its sitemap, which also names a page that can't be read."""
+    at = fresh(spark, "site")
+    pages(spark, sf).select(F.col("html").alias("value"), F.sha2("url", 256).alias("name")).repartition("name").write.partitionBy("name").text(f"{at}/pages")
+    address = lambda path: F.regexp_replace(path, "^(file:)?/+", "file:///")
+    files = spark.read.option("wholetext", True).text(f"{at}/pages").select(address(F.input_file_name()).alias("url"))
+    base = spark.range(1).select(address(F.lit(f"{at}/pages"))).first()[0]
+    listed = files.unionByName(spark.createDataFrame([(f"{base}/none",)], "url string"))
+    listed.select(F.concat(F.lit("<url><loc>"), "url", F.lit("</loc></url>"))).coalesce(1).write.text(f"{at}/map")
+    sitemap = spark.read.text(f"{at}/map").select(address(F.input_file_name())).first()[0]
+    settings = Settings(dimensions=DIM, store_path=fresh(spark, "store"), fetch_retries=0, fetch_delay=0)
+    done = Engine(spark, [Product("site", "Site", base, sitemap_url=sitemap)], settings).crawl()["by_product"]
+    return spark.createDataFrame([(k, *(v[n] for n in ("updated", "skipped", "empty", "errors", "chunks"))) for k, v in done.items()], "product string, updated long, skipped long, empty long, errors long, chunks long")
+
+
 @query(_PAGE_CHUNKS + """,
 n as (select source_url url, count(*) chunks from page_chunks group by 1),
 known as (select url, regexp_extract(url, '^https?://[^/]+/([^/]+)', 1) product from pages where html <> '')
@@ -694,5 +719,5 @@ def first_files(spark, sf):
     """The first ten files of a repository's tree, by their place in the listing."""
     item = F.struct(F.concat(F.lit("docs/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit("blob").alias("type"))
     rows = F.array_sort(F.collect_list(F.struct("doc_id", item.alias("item"))))
-    listing = read(spark, sf, "documents").agg(F.transform(rows, lambda x: x["item"]).alias("tree"))
+    listing = read(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / 1000).alias("part")).agg(F.transform(rows, lambda x: x["item"]).alias("tree"))
     return web.first_n(web.tree_files(listing, "docs"), 10, "pos").select("path")

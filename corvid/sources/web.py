@@ -123,8 +123,13 @@ def wanted_file(path: Column, root: str) -> Column:
 
 
 def tree_files(listing: DataFrame, root: str) -> DataFrame:
-    """(path, pos) of the Markdown files in a tree listing (tree: array of path and type)."""
-    return listing.select(F.posexplode("tree").alias("pos", "item")).where(F.col("item.type") == "blob").select(F.col("item.path").alias("path"), "pos").where(wanted_file(F.col("path"), root))
+    """(path, pos) of the Markdown files in a tree listing (tree: array of path and type).
+
+    A listing of several rows says by ``part`` how they follow each other.
+    """
+    part = F.col("part").cast("long") if "part" in listing.columns else F.lit(0).cast("long")
+    items = listing.select(part.alias("part"), F.posexplode("tree").alias("at", "item"))
+    return items.select((F.shiftleft("part", 32) + F.col("at")).alias("pos"), "item").where(F.col("item.type") == "blob").select(F.col("item.path").alias("path"), "pos").where(wanted_file(F.col("path"), root))
 
 
 def sized(files: DataFrame, text_col: str = "markdown") -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``.  Where it is unset, a local folder, which only a local session may use."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's ``spark.checkpoint.dir``, or the checkpoint folder that was set.  Where there is neither, a local folder, which only a local session may use."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (where or "/tmp/checkpoints").rstrip("/")

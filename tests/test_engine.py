@@ -700,3 +700,51 @@ def test_large_files_are_scanned_in_blocks(spark):
     assert len(whole) > 20 and rows(7) == whole and rows(1) == whole
     plan = markdown.classified(markdown.headed(df), 7)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(url#" in plan and ", block#" in plan  # lines are dealt by block
+
+
+def test_empty_answers_and_tools(spark, tmp_path):
+    """The four questions over a line protocol: answers, an empty answer in words, and what is wrong with a question."""
+    import io
+
+    from corvid.serve import serve
+
+    e = Engine(spark, [Product("p", "P", "http://e")], Settings(store_path=str(tmp_path / "e"), dimensions=16))
+    assert as_json(e.search("x")).startswith("Nothing found")
+    rows = [("http://e/a", "p", "1", "# Gateway\n" + BODY * 4)]
+    e.ingest(spark.createDataFrame(rows, "url string, product string, version string, markdown string").withColumn("content_hash", F.sha2("markdown", 256)))
+    call = lambda n, name, **given: {"id": n, "method": "tools/call", "params": {"name": name, "arguments": given}}
+    asked = [{"id": 1, "method": "initialize"}, {"method": "notifications/initialized"}, {"id": 2, "method": "tools/list"}, call(3, "search_docs", query="gateway", limit=1), call(4, "get_guide", topic="gateway", product="p"), call(5, "explain_concept", concept="gateway"), call(6, "list_products"), call(7, "search_docs", query=""), call(8, "get_guide", topic="x"), call(9, "nothing"), {"id": 10, "method": "other"}]
+    out = io.StringIO()
+    serve(e, [*(json.dumps(m) + "\n" for m in asked), "\n", "not json\n", "3\n"], out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [g["id"] for g in got] == [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, None, None]
+    assert [t["name"] for t in got[1]["result"]["tools"]] == ["search_docs", "get_guide", "explain_concept", "list_products"]
+    text = lambda g: g["result"]["content"][0]["text"]
+    assert json.loads(text(got[2]))[0]["source_url"] == json.loads(text(got[3]))[0]["source_url"] == "http://e/a"
+    assert json.loads(text(got[4]))["concept"] == "gateway" and json.loads(text(got[5]))[0]["id"] == "p"
+    assert all("error" in g for g in got[6:])
+
+
+def test_a_sitemap_in_part_counts_as_none(spark, site, tmp_path):
+    """One nested sitemap can't be read: the walk over links takes its place."""
+    base, answers, asked = site
+    page = lambda links: f"<html><body><main><h1>Title</h1><p>{BODY * 3}</p>{links}</main></body></html>"
+    answers |= {"/sitemap.xml": (200, f"<sitemapindex><sitemap><loc>{base}/one.xml</loc></sitemap><sitemap><loc>{base}/two.xml</loc></sitemap></sitemapindex>"), "/one.xml": (200, f"<urlset><url><loc>{base}/docs/listed</loc></url></urlset>"), "/two.xml": (500, ""), "/docs": (200, page(f'<a href="{base}/docs/b">b</a>')), "/docs/b": (200, page(""))}
+    e = Engine(spark, [Product("p", "P", f"{base}/docs", sitemap_url=f"{base}/sitemap.xml")], Settings(store_path=str(tmp_path / "e"), dimensions=16, fetch_retries=0, fetch_delay=0))
+    assert e.crawl()["updated"] == 2
+    assert {r.source_url for r in e.store.chunks().collect()} == {f"{base}/docs", f"{base}/docs/b"}
+
+
+def test_checkpoint_folder_that_was_set(spark, monkeypatch):
+    from corvid import tables
+
+    class Context:
+        master = "spark://elsewhere"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return "hdfs://shared/checkpoints/"
+
+    class Session:
+        conf, sparkContext = type("C", (), {"get": staticmethod(lambda *a: None)})(), Context()  # noqa: N815
+
+    assert tables.shared_folder(Session()) == "hdfs://shared/checkpoints"
