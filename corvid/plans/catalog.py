@@ -187,6 +187,21 @@ def file_urls(spark, sf):
     return read(spark, sf, "documents").select(T.doc_url(path, "en/docs", "https://docs.example.org/v1/").alias("url"), T.path_title(named).alias("title"))
 
 
+@query("""
+select url, cast(dense_rank() over (order by product, part) - 1 as bigint) map, row_number() over (partition by product, part order by url) - 1 as place
+from (select distinct url, regexp_extract(url, '^https?://[^/]+/([^/]+)', 1) product, page_id // 1000 part from pages where html <> '')""")
+def sitemap_places(spark, sf):
+    """Where an index of sitemaps, a thousand pages each, lists each page: the sitemap's place and the page's place in it."""
+    p = read(spark, sf, "pages").where("html <> ''").select("url", F.element_at(F.split("url", "/"), 4).alias("product"), F.floor(F.col("page_id") / 1000).alias("part")).distinct()
+    joined = lambda column, tag: F.array_join(F.transform(column, lambda u: F.concat(F.lit(f"<{tag}><loc> "), u, F.lit(f" </loc></{tag}>"))), "")
+    name = F.concat(F.lit("map-"), "product", F.lit("-"), F.col("part").cast("string"))
+    each = p.groupBy("product", "part").agg(joined(F.array_sort(F.collect_list("url")), "url").alias("xml")).select(name.alias("url"), F.concat(F.lit("<urlset>"), "xml", F.lit("</urlset>")).alias("xml"))
+    names = F.transform(F.array_sort(F.collect_set(F.struct("product", "part"))), lambda x: F.concat(F.lit("map-"), x["product"], F.lit("-"), x["part"].cast("string")))
+    index = p.agg(joined(names, "sitemap").alias("xml")).select(F.lit("index").alias("url"), F.concat(F.lit("<sitemapindex>"), "xml", F.lit("</sitemapindex>")).alias("xml"))
+    steps = F.split("ordinal", "/")
+    return web.sitemap_urls(index.unionByName(each), "index").select("url", F.get(steps, 0).cast("long").alias("map"), F.get(steps, 1).cast("long").alias("place"))
+
+
 @query("select url from pages")
 def sitemap(spark, sf):
     """An index of sitemaps, one for each product, that lists all pages."""
@@ -220,6 +235,20 @@ def page_title(spark, sf):
     return html.parsed(pages(spark, sf)).select("url", F.regexp_replace("page.title", "\\s+", " ").alias("title"), F.col("page.description").alias("description"))
 
 
+@query("""
+select url, case page_id % 4 when 0 then 'About page ' || page_id when 1 then 'Seen on page ' || page_id when 2 then 'About page ' || page_id else '' end as description
+from pages where html <> ''""")
+def page_descriptions(spark, sf):
+    """Pages that are given a description of either kind, both kinds, or none."""
+    n = F.col("page_id").cast("string")
+    about = F.concat(F.lit('<meta name="description" content=" About page '), n, F.lit('">'))
+    seen = F.concat(F.lit('<meta property="og:description" content="Seen on page '), n, F.lit(' ">'))
+    kind = F.col("page_id") % 4
+    given = F.when(kind == 0, about).when(kind == 1, seen).when(kind == 2, F.concat(seen, about)).otherwise(F.lit(""))
+    told = read(spark, sf, "pages").where("html <> ''").select("url", F.concat(F.lit("<html><head>"), given, F.lit("</head></html>"), "html").alias("html"))
+    return html.parsed(told).select("url", F.col("page.description").alias("description"))
+
+
 _SECTIONS = f"""
 with a as (select url, {_ARTICLE} x, {_H1} heading from pages),
 p as (select url, heading, list_filter(list_transform(string_split(regexp_replace(x, '(?s)<h1>.*?</h1>', ''), '<p>'),
