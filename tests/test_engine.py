@@ -103,6 +103,12 @@ def test_html_fallback(n, kept):
         assert page["sections"][0]["heading"] == "u" and page["sections"][0]["level"] == 1
 
 
+def test_an_ampersand_that_was_cut():
+    page = html.parse_page("<title>A &amp;&am</title><h1>A &amp;&am</h1><p>R&amplifier &amp;amp; a &am that is in a text &amp</p>", "u")
+    assert page["title"] == "A &&" and page["sections"][0]["heading"] == "A &&"
+    assert page["sections"][0]["text"] == "R&lifier &amp; a &am that is in a text &"
+
+
 def test_noindex(spark):
     rows = [("a", '<meta name="robots" content="noindex, follow"><p>x'), ("b", '<meta name="robots" content="NOINDEX"><p>x')]
     assert [r.url for r in html.parsed(spark.createDataFrame(rows, "url string, html string")).collect()] == ["b"]
