@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
 # The characters that count as white space, and the clean-up patterns with their replacements, in order.
 SPACE = "[\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+SPACES = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 CLEAN: tuple[tuple[str, str], ...] = (
     ("<[^>]+>", " "),
     ("\\[([^\\]]+)\\]\\([^)]*\\)", "$1"),
@@ -20,19 +22,27 @@ CLEAN: tuple[tuple[str, str], ...] = (
     (f"(?m)^{SPACE}*\\d+\\.{SPACE}+", ""),
     ("(?m)^[-*_]{3,}$", ""),
 )
+# Of each clean-up pattern the strings of which a text must have one, or nothing can match.
+NEEDED = (("<",), ("](",), ("![",), ("*",), ("_",), ("`",), (">",), ("-", "*", "+"), (".",), ("-", "*", "_"))
+
+
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+\\z", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def trim_end(c: Column) -> Column:
-    return F.regexp_replace(c, f"{SPACE}+\\z", "")
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:
     """White space runs as one space, none at the ends."""
-    return trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    odd = reduce(lambda a, b: a | b, (F.contains(c, F.lit(x)) for x in ("  ", *SPACES[1:])))
+    return trim(F.when(odd, F.regexp_replace(c, f"{SPACE}+", " ")).otherwise(c))
 
 
 def units(c: Column) -> Column:
@@ -64,7 +74,13 @@ def filled(*columns: Column) -> Column:
 
 def clean_markdown(c: Column) -> Column:
     """Markdown decoration removed; the order of the rewrites matters."""
-    return squeeze(reduce(lambda x, p: F.regexp_replace(x, p[0], p[1]), CLEAN, c))
+
+    def step(x: Column, rule: tuple[tuple[str, str], tuple[str, ...]]) -> Column:
+        (pattern, by), needed = rule
+        there = lambda v: reduce(lambda a, b: a | b, (F.contains(v, F.lit(k)) for k in needed))
+        return let(x, lambda v: F.when(there(v), F.regexp_replace(v, pattern, by)).otherwise(v))
+
+    return let(reduce(step, zip(CLEAN, NEEDED, strict=True), c), squeeze)
 
 
 def path_title(path: Column) -> Column:

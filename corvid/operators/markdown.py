@@ -3,8 +3,8 @@
 Whether a line is code, and which section it is in, depends on all lines before it in its file.  A file is therefore
 scanned in blocks of lines: each block tells its fences, and its headings for either case of being entered in code or
 not; the blocks of a file, few rows, add up to what each is entered with; and its lines follow from that.  So the lines of
-a very large file are dealt to as many tasks as it has blocks.  Files of one block need no second look.  Sections are then
-put together where their lines meet.
+a very large file are dealt to as many tasks as it has blocks, and then by their sections.  Files of one block, nearly all,
+are dealt by their address once, and their lines and sections stay there.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ def _marked(pages: DataFrame, block: int) -> DataFrame:
 
 def entered(pages: DataFrame, block: int) -> DataFrame:
     """(url, block, fences, heads): before each further block of the files that have several, by a scan over the blocks."""
-    long = _marked(pages.where(F.length("body") >= block), block)  # fewer characters make no second block
+    long = _marked(pages, block)
     odd = F.col("inner") % 2 == 1
     sums = long.groupBy("url", "block").agg(F.count_if("fence").alias("in"), F.count_if(F.col("titled") & ~odd).alias("even"), F.count_if(F.col("titled") & odd).alias("odd"))
     past = W.partitionBy("url").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
@@ -64,10 +64,11 @@ def entered(pages: DataFrame, block: int) -> DataFrame:
     return sums.where("block > 0").select("url", "block", "fences", "heads")
 
 
-def classified(pages: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Lines of the bodies with their section number and kind: heading, text, or a part of a fence."""
+def classified(pages: DataFrame, block: int = BLOCK, several: bool = True) -> DataFrame:
+    """Lines of the bodies with their section number and kind: heading, text, or a part of a fence.  ``several``: whether files may have more than one block."""
     here = W.partitionBy("url", "block").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    lines = _marked(pages, block).join(entered(pages, block), ["url", "block"], "left")
+    lines, none = _marked(pages, block), F.lit(0).cast("long")
+    lines = lines.join(entered(pages, block), ["url", "block"], "left") if several else lines.withColumns({"fences": none, "heads": none})
     before = (F.col("inner") + F.coalesce("fences", F.lit(0))).alias("before")
     lines = lines.select("url", "block", "pos", "line", "fence", "titled", before, F.coalesce("heads", F.lit(0)).alias("heads"))
     lines = lines.withColumn("coded", F.col("before") % 2 == 1).withColumn("head", F.col("titled") & ~F.col("coded"))
@@ -82,10 +83,13 @@ def clean_line(line: Column) -> Column:
     return F.when((bare != "") & ~bare.startswith("<!--") & ~bare.rlike(IMAGE), cleaned)
 
 
-def sections(files: DataFrame, *keep: str, block: int = BLOCK) -> DataFrame:
-    """One row per section: url, ``keep``, title, description, pos, heading, text, level.  ``url`` names a file."""
-    pages = headed(files)
-    lines = classified(pages, block).repartition("url", "section")  # serves both groupings
+def kept_line(line: Column) -> Column:
+    """As ``clean_line``, and no row for a line without a contribution; a filter on its outcome would compute it twice."""
+    return F.explode(F.filter(F.array(clean_line(line)), lambda x: x.isNotNull()))
+
+
+def _built(lines: DataFrame) -> DataFrame:
+    """(url, pos, heading, text, level): the sections of classified lines that have enough text."""
     text = F.when(F.col("coded"), F.when(~F.col("fence") & (trim(F.col("line")) != ""), F.col("line"))).when(~F.col("fence") & ~F.col("head"), clean_line(F.col("line")))
     # a fence is one unit, closed if it holds the closing line; another line is a unit of its own
     unit = F.when(F.col("coded"), -F.col("before")).otherwise(F.col("pos"))
@@ -95,9 +99,17 @@ def sections(files: DataFrame, *keep: str, block: int = BLOCK) -> DataFrame:
     code = F.when(F.col("closed") & (F.col("n") > 0), F.concat(F.lit("[code: "), head_units(F.col("joined"), 200), F.lit("]")))
     units_of = units_of.withColumn("text", F.when(F.col("coded"), code).when(F.col("n") > 0, F.col("joined")))
     built = units_of.groupBy("url", "section").agg(squeeze(F.array_join(ordered("text"), " ")).alias("text"), F.coalesce(F.max("heading"), F.lit("")).alias("heading"), F.coalesce(F.max("level"), F.lit(0)).alias("level")).where(units(F.col("text")) > 20)
-    built = built.select("url", F.col("section").cast("int").alias("pos"), "heading", "text", F.col("level").cast("int").alias("level"))
-    names = ["url", *keep, "title", "description", "pos", "heading", "text", "level"]
-    found = built.join(pages.select("url", *keep, "title", "description"), "url").select(*names)
-    bare = pages.join(built.select("url").distinct(), "url", "left_anti")
-    whole = bare.select("url", *keep, "title", "description", F.lit(0).alias("pos"), F.col("title").alias("heading"), clean_markdown(F.col("body")).alias("text"), F.lit(1).alias("level"))
-    return found.unionByName(whole.where(units(F.col("text")) > 30).select(*names))
+    return built.select("url", F.col("section").cast("int").alias("pos"), "heading", "text", F.col("level").cast("int").alias("level"))
+
+
+def sections(files: DataFrame, *keep: str, block: int = BLOCK) -> DataFrame:
+    """One row per section: url, ``keep``, title, description, pos, heading, text, level.  ``url`` names a file."""
+    pages = headed(files)
+    short = F.length("body") < block  # too few characters for a second block
+    built = _built(classified(pages.where(short).repartition("url"), block, False))
+    built = built.unionByName(_built(classified(pages.where(~short), block, True).repartition("url", "section")))  # serves both groupings
+    found = built.select(F.col("url").alias("_url"), F.col("pos").alias("_pos"), F.col("heading").alias("_heading"), F.col("text").alias("_text"), F.col("level").alias("_level"))
+    rows = pages.join(found, F.col("url") == F.col("_url"), "left").withColumn("bare", F.col("_pos").isNull())
+    # of a file without sections the whole
+    rows = rows.select("url", *keep, "title", "description", F.coalesce("_pos", F.lit(0)).alias("pos"), F.when(F.col("bare"), F.col("title")).otherwise(F.col("_heading")).alias("heading"), F.when(F.col("bare"), clean_markdown(F.col("body"))).otherwise(F.col("_text")).alias("text"), F.coalesce("_level", F.lit(1)).alias("level"), "bare")
+    return rows.where(~F.col("bare") | (units(F.col("text")) > 30)).drop("bare")

@@ -298,7 +298,7 @@ c as (select doc_id, pos, {_duck_clean('raw')} as text from m)
 select doc_id, cast(pos as integer) pos, text from c where length(text) > 3""")
 def md_clean_lines(spark, sf):
     lines = heavy(spark, sf, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    return lines.select("doc_id", "pos", markdown.clean_line(F.concat(F.lit("- **"), F.col("raw"), F.lit("** [a](b) `c` <i>d</i>"))).alias("text")).where("text is not null")
+    return lines.select("doc_id", "pos", markdown.kept_line(F.concat(F.lit("- **"), F.col("raw"), F.lit("** [a](b) `c` <i>d</i>"))).alias("text"))
 
 
 @query(f"""
@@ -334,7 +334,7 @@ def md_skipped_lines(spark, sf):
     """Of three lines one is a comment, one a picture, and one text."""
     lines = heavy(spark, sf, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     kind = F.when(F.col("pos") % 3 == 1, F.concat(F.lit(" <!-- "), "raw", F.lit(" -->"))).when(F.col("pos") % 3 == 2, F.lit("  ![a picture](of/it.png) ")).otherwise(F.col("raw"))
-    return lines.select("doc_id", "pos", markdown.clean_line(kind).alias("text")).where("text is not null")
+    return lines.select("doc_id", "pos", markdown.kept_line(kind).alias("text"))
 
 
 # --- chunks

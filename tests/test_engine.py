@@ -754,3 +754,26 @@ def test_checkpoint_folder_that_was_set(spark, monkeypatch):
         conf, sparkContext = type("C", (), {"get": staticmethod(lambda *a: None)})(), Context()  # noqa: N815
 
     assert tables.shared_folder(Session()) == "hdfs://shared/checkpoints"
+
+
+def test_white_space_and_clean_up_without_patterns(spark):
+    """Trimming by a list of characters, and rewrites that are left out where they can't match, give what the patterns do."""
+    from functools import reduce
+
+    texts = ["", " ", "a", *(f"{c}a {c}b{c}" for c in T.SPACES), *(f"a{c}{d}b" for c in T.SPACES for d in " x"), "-*- x", "-*-", "1. a", " > q\n - b\r\n***", "a_b_ `c` <i>*d*</i> [e](f) ![g](h)", "x​ y \U0001f600 "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = reduce(lambda x, p: F.regexp_replace(x, p[0], p[1]), T.CLEAN, F.col("t"))
+    trimmed = lambda c: F.regexp_replace(c, f"^{T.SPACE}+|{T.SPACE}+\\z", "")
+    squeezed = lambda c: trimmed(F.regexp_replace(c, f"{T.SPACE}+", " "))
+    rows = df.select("t", T.trim(F.col("t")), trimmed(F.col("t")), T.trim_end(F.col("t")), F.regexp_replace("t", f"{T.SPACE}+\\z", ""), T.squeeze(F.col("t")), squeezed(F.col("t")), T.clean_markdown(F.col("t")), squeezed(whole)).collect()
+    assert all(r[k] == r[k + 1] for r in rows for k in (1, 3, 5, 7)) and len(rows) == len(texts)
+
+
+@pytest.mark.parametrize("name", ["md_clean_lines", "md_sections"])
+def test_heavy_columns_are_computed_once(spark, sf, name):
+    from corvid.plans.catalog import QUERIES
+
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    filters = [line for line in text.split("\n") if line.lstrip(" :+-").startswith("Filter") and ("aggregate(" in line or "size(" in line)]
+    assert not filters and sum(line.lstrip(" :+-").startswith("Aggregate") for line in text.split("\n")) <= 5
