@@ -49,8 +49,10 @@ def with_overlap(sections: DataFrame, s: Settings) -> DataFrame:
 
 def chunked(sections: DataFrame, s: Settings = Settings(), *keep: str) -> DataFrame:
     """source_url, ``keep``, title, section, chunk_index, content of every chunk of ``sections`` (url, title, pos, heading, text)."""
-    rows = with_overlap(sections, s).withColumn("parts", packed(F.col("text"), F.col("lead"), s))
-    each = rows.select("url", *keep, "title", filled(F.col("heading"), F.col("title"), F.lit("")).alias("section"), "pos", F.posexplode("parts").alias("part", "content"))
+    rows = with_overlap(sections, s)
+    # the parts have no column of their own, as Spark would pack them twice, once to leave out empty arrays
+    parts = F.posexplode(packed(F.col("text"), F.col("lead"), s)).alias("part", "content")
+    each = rows.select("url", *keep, "title", filled(F.col("heading"), F.col("title"), F.lit("")).alias("section"), "pos", parts)
     kept = each.where(token_estimate(F.col("content")) >= LEAST_TOKENS)
     index = F.row_number().over(W.partitionBy("url").orderBy("pos", "part")) - 1
     return kept.select(F.col("url").alias("source_url"), *keep, "title", "section", index.cast("int").alias("chunk_index"), trim(F.col("content")).alias("content"))

@@ -769,7 +769,7 @@ def test_white_space_and_clean_up_without_patterns(spark):
     assert all(r[k] == r[k + 1] for r in rows for k in (1, 3, 5, 7)) and len(rows) == len(texts)
 
 
-@pytest.mark.parametrize("name", ["md_clean_lines", "md_sections"])
+@pytest.mark.parametrize("name", ["doc_chunks", "md_clean_lines", "md_sections"])
 def test_heavy_columns_are_computed_once(spark, sf, name):
     from corvid.plans.catalog import QUERIES
 
