@@ -15,6 +15,8 @@ from corvid.functions.vectors import Asked, cosine_to
 
 RESULT = ("id", "product", "title", "section", "source_url", "chunk_index", "content", "version", "score")
 TIES = ("source_url", "chunk_index")
+# Queries that a unit of a grid may hold and rows that it may stream, and the parts of rows that are enough for all tasks.
+HELD, STREAMED, PARTS = 2048, 1 << 17, 32
 
 
 def nearest(rows: DataFrame, query: Sequence[float], limit: int = 10, product: str | None = None, min_score: float | None = None, ties: Sequence[str] = TIES, product_col: str = "product", vector_col: str = "embedding") -> DataFrame:
@@ -97,20 +99,27 @@ def usable(rows: DataFrame, key: str, vector_col: str, *more: str) -> DataFrame:
     return out.select(F.col(key).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), *more)
 
 
-def nearest_each(rows: DataFrame, queries: DataFrame, limit: int = 10, key: str = "vec_id", vector_col: str = "embedding", block: int = 2048, part: int = 1 << 17) -> DataFrame:
+def grid(queries: int, rows: int, block: int, part: int) -> tuple[int, int]:
+    """(blocks of queries, parts of rows); see ``nearest_each``."""
+    blocks, parts = -(-queries // block), -(-rows // part) or 1
+    return min(blocks, max(2, -(-queries // HELD))), min(parts, max(PARTS, -(-rows // STREAMED)))
+
+
+def nearest_each(rows: DataFrame, queries: DataFrame, limit: int = 10, key: str = "vec_id", vector_col: str = "embedding", block: int = HELD, part: int = STREAMED) -> DataFrame:
     """(query, key, score, rank): the best rows of each row of ``queries``, which has the same two columns.
 
     Up to ``block`` queries, a number that is looked at, go out with the function; each task keeps its best of every
     query, so tasks x queries x limit rows are shuffled, however many rows there are.  More queries make a grid: blocks
     of queries x parts of rows, in one shuffle, in which a row goes to each block and a query to each part, and a unit of
-    the grid holds ``block`` queries while its rows stream past.  No query passes through the driver then.  Queries and rows
+    the grid holds ``block`` queries while its rows stream past.  As each further block copies all rows, there are no more
+    than two unless ``HELD`` queries a block ask for more, nor more than ``PARTS`` parts unless ``STREAMED`` rows do.  No query passes through the driver then.  Queries and rows
     without direction are paired with none, and rows meet only queries of their length, whatever lengths there are.
     """
     asked, every = usable(queries, key, vector_col), usable(rows, key, vector_col)
     n = asked.count()
     if n <= block:
         return _ranked(told(every, asked.limit(block).toArrow(), limit, key), limit, key)
-    blocks, parts = -(-n // block), -(-every.count() // part) or 1
+    blocks, parts = grid(n, every.count(), block, part)
     at = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.select("id", "v", at(blocks, 1).alias("block"), each(parts).alias("part"))

@@ -756,6 +756,12 @@ def test_checkpoint_folder_that_was_set(spark, monkeypatch):
     assert tables.shared_folder(Session()) == "hdfs://shared/checkpoints"
 
 
+def test_a_grid_copies_rows_no_more_than_it_must():
+    assert search.grid(12_000, 600_000, 4, 200) == (6, 32)
+    assert search.grid(206, 10_256, 4, 200) == (2, 32)
+    assert search.grid(5000, 1 << 24, search.HELD, search.STREAMED) == (3, 128) and search.grid(5, 0, 3, 10) == (2, 1)
+
+
 def test_white_space_and_clean_up_without_patterns(spark):
     """Trimming by a list of characters, and rewrites that are left out where they can't match, give what the patterns do."""
     from functools import reduce
