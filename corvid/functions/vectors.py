@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,8 @@ from pyspark.sql import Column, functions as F
 
 #: Scores are rounded, as equal vectors may differ in the last digits by their place in a product.
 PLACES = 12
+#: Rows that are worked on at a time.
+ROWS = 512
 TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -22,6 +24,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm)
 
 
+def pieces(column: pa.Array, rows: int = ROWS) -> Iterator[pa.Array]:
+    """A batch in stretches, so that what is made of one at a time stays small; an empty batch is one of them."""
+    for at in range(0, len(column) or 1, rows):
+        yield column.slice(at, rows)
+
+
 def matrix(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows as doubles, which rows have that length and no nulls); other rows are zero."""
     sizes = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, int)
@@ -74,6 +82,11 @@ class Asked:
 
     def meet(self, keys: np.ndarray, vectors: pa.Array, cells: np.ndarray | None = None, asking: dict | None = None) -> None:
         """All rows meet all queries; or a row of cell c the queries ``asking[c]`` (positions, sorted)."""
+        for at in range(0, len(keys), ROWS):
+            here = slice(at, at + ROWS)
+            self._meet(keys[here], vectors.slice(at, ROWS), None if cells is None else cells[here], asking)
+
+    def _meet(self, keys: np.ndarray, vectors: pa.Array, cells: np.ndarray | None, asking: dict | None) -> None:
         for size, (who, q) in self.groups.items():
             x, ok = units(vectors, size)
             if not ok.any():
@@ -106,11 +119,12 @@ def cosine_to(query: Sequence[float]) -> Callable[[Column], Column]:
     size = float(np.sqrt(q @ q))
 
     @F.arrow_udf("double")
-    def score(v: pa.Array) -> pa.Array:
-        x, ok = matrix(v, len(q))
-        norm = np.sqrt((x * x).sum(axis=1)) * size
-        ok &= norm > 0
-        return pa.array(np.divide(x @ q, norm, out=np.zeros(len(x)), where=ok).round(PLACES), mask=~ok)
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for v in (p for b in batches for p in pieces(b)):
+            x, ok = matrix(v, len(q))
+            norm = np.sqrt((x * x).sum(axis=1)) * size
+            ok &= norm > 0
+            yield pa.array(np.divide(x @ q, norm, out=np.zeros(len(x)), where=ok).round(PLACES), mask=~ok)
 
     return score
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from corvid.functions.vectors import units
+from corvid.functions.vectors import pieces, units
 from corvid.operators.search import _ranked, dealt, nearest, told, usable
 from corvid.tables import fresh
 
@@ -50,17 +50,18 @@ def placed(rows: DataFrame, centroids: np.ndarray, vector_col: str) -> DataFrame
     dim = centroids.shape[1]
 
     @F.arrow_udf("struct<cell: int, cosine: double>")
-    def place(v: pa.Array) -> pa.Array:
-        x, ok = units(v, dim)
-        cosine = x @ centroids.T if len(centroids) else np.zeros((len(x), 1))
-        cell, best = cosine.argmax(axis=1).astype(np.int32), cosine.max(axis=1)
-        sizes = v.value_lengths().to_numpy(zero_copy_only=False)
-        for n in np.unique(sizes[~np.isnan(sizes.astype(float))]).astype(int).tolist():
-            if n != dim:
-                fine = units(v, n)[1]
-                cell[fine], best[fine] = -n, 1.0
-                ok = ok | fine
-        return pa.StructArray.from_arrays([pa.array(cell, mask=~ok), pa.array(best, mask=~ok)], ["cell", "cosine"])
+    def place(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for v in (p for b in batches for p in pieces(b)):
+            x, ok = units(v, dim)
+            cosine = x @ centroids.T if len(centroids) else np.zeros((len(x), 1))
+            cell, best = cosine.argmax(axis=1).astype(np.int32), cosine.max(axis=1)
+            sizes = v.value_lengths().to_numpy(zero_copy_only=False)
+            for n in np.unique(sizes[~np.isnan(sizes.astype(float))]).astype(int).tolist():
+                if n != dim:
+                    fine = units(v, n)[1]
+                    cell[fine], best[fine] = -n, 1.0
+                    ok = ok | fine
+            yield pa.StructArray.from_arrays([pa.array(cell, mask=~ok), pa.array(best, mask=~ok)], ["cell", "cosine"])
 
     out = rows.where(F.col(vector_col).isNotNull()).withColumn("_place", place.asNondeterministic()(F.col(vector_col)))
     return out.where("_place.cell is not null").withColumns({"cell": F.col("_place.cell"), "cosine": F.col("_place.cosine")}).drop("_place")

@@ -756,6 +756,38 @@ def test_checkpoint_folder_that_was_set(spark, monkeypatch):
     assert tables.shared_folder(Session()) == "hdfs://shared/checkpoints"
 
 
+def test_work_of_an_arrow_batch_is_bounded(spark, monkeypatch):
+    """However many rows a batch has, only some are parsed, embedded or compared at a time, and none is lost."""
+    import pyarrow as pa
+
+    from corvid.functions import vectors
+
+    seen = []
+    monkeypatch.setattr(vectors, "units", lambda v, n, real=vectors.units: seen.append(len(v)) or real(v, n))
+    asked = vectors.Asked(np.array([1]), pa.array([[1.0, 0.0]]), 3)
+    seen.clear()
+    asked.meet(np.arange(5000), pa.array([[1.0, k / 5000] for k in range(5000)]))
+    assert max(seen) <= vectors.ROWS and sum(seen) == 5000 and asked.found(["q", "k", "s"])["k"].to_pylist() == [0, 1, 2]
+    assert [len(p) for p in vectors.pieces(pa.array(range(1025)))] == [512, 512, 1] and [len(p) for p in vectors.pieces(pa.array([]))] == [0]
+
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counting(embed.Hashing):
+        def vectors(self, texts):
+            assert len(texts) <= 100
+            calls.add(1)
+            return super().vectors(texts)
+
+    rows = spark.range(0, 3000, 1, 1).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("t"))
+    p = Counting(dimensions=16, batch=100)
+    made = rows.select("t", p.column(F.col("t")).alias("v")).collect()
+    assert calls.value == 30 and all(list(r.v) == vectors.hashed(r.t, 16).tolist() for r in made)
+    near = search.nearest(rows.select(F.col("t").alias("source_url"), F.lit(0).alias("chunk_index"), p.column(F.col("t")).alias("embedding")), vectors.hashed("w7", 16).tolist(), 3000)
+    assert near.where("score >= 0").count() == 3000
+    pages = rows.select(F.concat(F.lit("http://h/"), "t").alias("url"), F.concat(F.lit("<h1>"), "t", F.lit("</h1>")).alias("html"))
+    assert html.parsed(pages).where(F.col("page.title") == F.element_at(F.split("url", "/"), -1)).count() == 3000
+
+
 def test_a_grid_copies_rows_no_more_than_it_must():
     assert search.grid(12_000, 600_000, 4, 200) == (6, 32)
     assert search.grid(206, 10_256, 4, 200) == (2, 32)
