@@ -805,6 +805,7 @@ def test_white_space_and_clean_up_without_patterns(spark):
     squeezed = lambda c: trimmed(F.regexp_replace(c, f"{T.SPACE}+", " "))
     rows = df.select("t", T.trim(F.col("t")), trimmed(F.col("t")), T.trim_end(F.col("t")), F.regexp_replace("t", f"{T.SPACE}+\\z", ""), T.squeeze(F.col("t")), squeezed(F.col("t")), T.clean_markdown(F.col("t")), squeezed(whole)).collect()
     assert all(r[k] == r[k + 1] for r in rows for k in (1, 3, 5, 7)) and len(rows) == len(texts)
+    assert "regexp" not in str(T.trim(F.col("t"))) + str(T.trim_end(F.col("t"))) and "contains" in str(T.clean_markdown(F.col("t"))).lower()
 
 
 @pytest.mark.parametrize("name", ["doc_chunks", "md_clean_lines", "md_sections"])
