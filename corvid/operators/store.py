@@ -19,7 +19,7 @@ import uuid
 from collections import Counter
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from corvid.operators import live, search
 
@@ -45,13 +45,31 @@ def merged(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def put(old: DataFrame, new: DataFrame) -> DataFrame:
     """The rows that ``new`` puts in the place of those of ``old``; see ``merged``."""
-    now = F.current_timestamp()
+    return settled(offered(old, new)).select(old.columns)
+
+
+def offered(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of ``new``, and what a row keeps of the one in ``old`` that it replaces, as one table for ``settled``."""
     columns = [c for c in old.columns if c not in ("id", "created_at", "updated_at", *KEY)]
-    fresh = new.select(*KEY, F.struct(*[F.col(c) for c in columns]).alias("row")).groupBy(*KEY).agg(F.max("row").alias("row"))
-    before = old.select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("id").alias("_id"), F.col("created_at").alias("_created"))
-    match = (F.col("source_url") == F.col("_source_url")) & (F.col("chunk_index") == F.col("_chunk_index"))
-    made = fresh.join(before, match, "left").select(F.coalesce("_id", chunk_id()).alias("id"), *KEY, "row.*", F.coalesce("_created", now).alias("created_at"), now.alias("updated_at"))
-    return made.select(old.columns)
+    fresh = new.select(*KEY, F.struct(*[F.col(c) for c in columns]).alias("_row"), F.lit(True).alias("_new"))
+    before = old.dropna(subset=list(KEY)).select(*KEY, F.col("id").alias("_id"), F.col("created_at").alias("_created"))
+    return fresh.unionByName(before, allowMissingColumns=True)
+
+
+def settled(offers: DataFrame, *by: str) -> DataFrame:
+    """One row for each new key of ``offers``.  Rows that lie together by the columns ``by`` are not moved again."""
+    now = F.current_timestamp()
+    one = offers.groupBy(*by, *KEY).agg(*(F.max(c).alias(c) for c in ("_row", "_new", "_id", "_created"))).where("_new")
+    return one.select(*by, F.coalesce("_id", chunk_id()).alias("id"), *KEY, "_row.*", F.coalesce("_created", now).alias("created_at"), now.alias("updated_at"))
+
+
+def alive(rows: DataFrame, *by: str) -> DataFrame:
+    """As ``Store.live``, of chunks and drops (``_gone``) in one table.  Rows that lie together by the columns ``by`` are not moved again."""
+    known = lambda kept: F.col("source_url").isNull() | F.coalesce(kept, F.lit(True))
+    page, last = W.partitionBy(*by, "source_url"), F.col("_seq") >= F.col("_last")
+    newest = rows.withColumn("_last", F.max("_seq").over(W.partitionBy(*by, *KEY))).where(known(last))
+    left = newest.withColumn("_last", F.max(F.when(F.col("chunk_index").isNull(), F.col("_seq"))).over(page)).where(known(last))
+    return left.where(F.col("_gone").isNull()).drop("_last", "_seq", "_gone")
 
 
 def replaced(old: DataFrame, new: DataFrame, pages: DataFrame) -> DataFrame:
@@ -146,17 +164,27 @@ class Store:
     def seq_of(seqs: dict[str, int]):
         return F.element_at(F.create_map(*(F.lit(x) for kv in sorted(seqs.items()) for x in kv)), F.col("tag")).cast("int")
 
-    def _read(self, name: str, manifest: dict | None = None, only: set[int] | None = None) -> DataFrame:
-        """The rows of a version, or of some of its buckets."""
-        m = manifest or self._manifest()
+    def _every(self, name: str, m: dict, only: set[int] | None) -> DataFrame:
+        """The rows of a version, or of some of its buckets; chunks with those that a later delta replaces or drops."""
         seqs = {x["tag"]: 0 for x in m[name].values()}
         paths = [f"{self.path}/{name}/tag={x['tag']}/bucket={b}" for b, x in sorted(m[name].items()) if only is None or int(b) in only]
         if name == "state":
-            return self._folders(name, STATE, seqs, paths).drop("_seq")
+            return self._folders(name, STATE, seqs, paths)
         for d in m["deltas"]:
             paths += [f"{self.path}/chunks/tag={d['tag']}/bucket={b}" for b in d["chunks"] if only is None or int(b) in only]
             seqs[d["tag"]] = d["seq"]
-        return self.live(self._folders(name, CHUNKS, seqs, paths), m, only).drop("_seq")
+        return self._folders(name, CHUNKS, seqs, paths)
+
+    def _gone(self, m: dict, only: set[int] | None) -> DataFrame:
+        """What deltas drop of a version, or of some of its buckets."""
+        paths = [f"{self.path}/drops/tag={d['tag']}/bucket={b}" for d in m["deltas"] for b in d["drops"] if only is None or int(b) in only]
+        return self._folders("drops", "source_url string, chunk_index int", {d["tag"]: d["seq"] for d in m["deltas"]}, paths)
+
+    def _read(self, name: str, manifest: dict | None = None, only: set[int] | None = None) -> DataFrame:
+        """The rows of a version, or of some of its buckets."""
+        m = manifest or self._manifest()
+        rows = self._every(name, m, only)
+        return (self.live(rows, m, only) if name == "chunks" else rows).drop("_seq")
 
     def live(self, rows: DataFrame, m: dict, only: set[int] | None = None) -> DataFrame:
         """``rows`` (source_url, chunk_index, _seq, ...) that no later delta replaces or drops."""
@@ -165,8 +193,7 @@ class Store:
             return rows
         seqs, seen = {d["tag"]: d["seq"] for d in later}, lambda b: only is None or int(b) in only
         again = self._folders("chunks", "source_url string, chunk_index int", seqs, [f"{self.path}/chunks/tag={d['tag']}/bucket={b}" for d in later for b in d["chunks"] if seen(b)])
-        gone = self._folders("drops", "source_url string, chunk_index int", seqs, [f"{self.path}/drops/tag={d['tag']}/bucket={b}" for d in later for b in d["drops"] if seen(b)])
-        after = again.unionByName(gone).groupBy("source_url", "chunk_index").agg(F.max("_seq").alias("_last"))
+        after = again.unionByName(self._gone(m, only)).groupBy("source_url", "chunk_index").agg(F.max("_seq").alias("_last"))
         after = after.select(F.col("source_url").alias("_url"), F.col("chunk_index").alias("_index"), "_last")
         match = (F.col("source_url") == F.col("_url")) & (F.col("_index").isNull() | (F.col("_index") == F.col("chunk_index"))) & (F.col("_last") > F.col("_seq"))
         return rows.join(after, match, "left_anti")
@@ -201,16 +228,20 @@ class Store:
         """The chunks of a content; a Bloom filter in each file tells whether it can hold it."""
         return self.chunks().where(F.col("content_hash") == content_hash)
 
-    def _written(self, name: str, rows: DataFrame, address: str, n: int, tag: str | None = None) -> dict[str, dict]:
-        """``rows`` as new folders, one a bucket, sorted by address for pruning; chunks within it by product."""
+    def _written(self, name: str, rows: DataFrame, address: str, n: int, tag: str | None = None, settle=None) -> dict[str, dict]:
+        """``rows`` as new folders, one a bucket, sorted by address for pruning; chunks within it by product.
+
+        Each row moves once, to the task of its bucket.  ``settle`` makes of the rows there (with ``bucket``) those to write.
+        """
         tag = tag or uuid.uuid4().hex[:12]
         parts = ["bucket", "product"] if name == "chunks" else ["bucket"]
         order = [*parts, *(KEY if name == "chunks" else (address,))]
         path = f"{self.path}/{name}/tag={tag}"
-        marked = rows.withColumn("bucket", _bucket(F.col(address), n))
-        out = marked.repartition("bucket").sortWithinPartitions(*order).write.partitionBy(*parts)
+        dealt = rows.withColumn("bucket", _bucket(F.col(address), n)).repartitionById(n, "bucket")
+        out = (settle(dealt) if settle else dealt).sortWithinPartitions(*order).write.option("compression", "zstd").partitionBy(*parts)
+        out = out.option("parquet.bloom.filter.adaptive.enabled", "true")  # a filter has the least size that its values need, of 1 KB to 1 MB
         for column in ("content_hash", "source_url") if name == "chunks" else ():
-            out = out.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.expected.ndv#{column}", str(max(1000, self.most_rows)))
+            out = out.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.candidates.number#{column}", "11")
         out.parquet(path)
         held = self.spark.read.schema("bucket int").option("basePath", path).parquet(path) if self._fs.globStatus(self._at(f"{name}/tag={tag}/bucket=*")) else None
         return {str(r["bucket"]): {"tag": tag, "rows": r["count"]} for r in held.groupBy("bucket").count().collect()} if held is not None else {}
@@ -246,7 +277,8 @@ class Store:
         if m["index"]:
             m = {**m, "index": live.purged(self, m, only)}
         n = buckets or m["buckets"]
-        made = self._written("chunks", self._read("chunks", m, only), "source_url", n)
+        every = self._every("chunks", m, only).unionByName(self._gone(m, only).withColumn("_gone", F.lit(True)), allowMissingColumns=True)
+        made = self._written("chunks", every, "source_url", n, settle=lambda rows: alive(rows, "bucket"))
         kept = {b: x for b, x in m["chunks"].items() if only is not None and int(b) not in only}
         left = lambda part: {b: k for b, k in part.items() if only is not None and int(b) not in only}
         deltas = [{**d, "chunks": left(d["chunks"]), "drops": left(d["drops"])} for d in m["deltas"]]
@@ -257,19 +289,22 @@ class Store:
         """Write all buckets that have deltas anew; whether there were any."""
         return self._change(lambda m: self._compacted(m, {int(b) for d in m["deltas"] for b in {*d["chunks"], *d["drops"]}}) if m["deltas"] else None)
 
-    def _delta(self, m: dict, put: DataFrame | None, drops: DataFrame | None) -> dict:
-        """What a delta of new chunks and of dropped pages (source_url) changes in the manifest.  A first write, which is no delta, has buckets by its rows."""
+    def _delta(self, m: dict, put: DataFrame | None, drops: DataFrame | None, settle=None) -> dict:
+        """What a delta of new chunks and of dropped pages (source_url) changes in the manifest.  A first write, which is no delta, has buckets by its rows.
+
+        ``settle``: see ``_written``; it leaves one chunk a key.
+        """
         if put is not None and not m["chunks"] and not m["deltas"]:
             n = m["buckets"]
-            rows = put.count()
+            rows = (put.select(*KEY).distinct() if settle else put).count()
             while rows > self.most_rows * n:
                 n *= 2
             state = {"state": self._written("state", self._read("state", m), "url", n)} if n != m["buckets"] and m["state"] else {}
-            new = {"chunks": self._written("chunks", put, "source_url", n), "buckets": n, **state}
-            return new | {"index": live.added(self, {**m, **new}, put, 0)} if m["index"] else new
+            new = {"chunks": self._written("chunks", put, "source_url", n, settle=settle), "buckets": n, **state}
+            return new | {"index": live.added(self, {**m, **new}, self._read("chunks", {**m, **new}), 0)} if m["index"] else new
         tag, seq, n = uuid.uuid4().hex[:12], m["version"] + 1, m["buckets"]
         count = lambda made: {b: x["rows"] for b, x in made.items()}
-        chunks = count(self._written("chunks", put, "source_url", n, tag)) if put is not None else {}
+        chunks = count(self._written("chunks", put, "source_url", n, tag, settle)) if put is not None else {}
         gone = drops.select("source_url", F.lit(None).cast("int").alias("chunk_index")).distinct() if drops is not None else None
         dropped = count(self._written("drops", gone, "source_url", n, tag)) if gone is not None else {}
         new = {"deltas": [*m["deltas"], {"tag": tag, "seq": seq, "chunks": chunks, "drops": dropped}]}
@@ -290,7 +325,8 @@ class Store:
 
         def make(m: dict) -> dict:
             touched = self._buckets(chunks, "source_url", m["buckets"])
-            return self._delta(m, put(self._read("chunks", m, touched), chunks), None)
+            one = lambda rows: settled(rows, "bucket").select(*_names(CHUNKS), "bucket")
+            return self._delta(m, offered(self._read("chunks", m, touched), chunks), None, one)
 
         self._change(make)
 

@@ -1,5 +1,6 @@
 """The retrieval engine: parsing, chunking, embedding, search, store, sources, streaming."""
 
+import base64
 import http.server
 import json
 import random
@@ -336,6 +337,58 @@ def test_deltas_read_as_if_written_anew(spark, tmp_path):
     assert stores[1].compact() and {(r.source_url, r.chunk_index): r.content for r in stores[1].chunks().collect()} == held
 
 
+def _shuffled(spark):
+    """Bytes of shuffle that the session has written."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_a_chunk_moves_once_a_write(spark, tmp_path):
+    """An upsert shuffles its texts once, a compaction those of all versions once."""
+    n, size = 300, 20_000
+    text = lambda u, k: base64.b85encode(random.Random(f"{u} {k}").randbytes(size * 4 // 5)).decode()  # noqa: E731  which LZ4 leaves as long as it is
+    rows = lambda keys, k: _rows(spark, keys).withColumn("content", F.udf(text, "string")("source_url", F.lit(k)))
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
+    try:
+        s, moved = store.Store(spark, str(tmp_path / "s"), 2, buckets=4), []
+        for work in (lambda: s.upsert(rows([(f"u{k}", 0) for k in range(n)], 0)), lambda: s.upsert(rows([(f"u{k}", 0) for k in range(n // 2, n + n // 2)], 1)), s.compact):
+            before = _shuffled(spark)
+            work()
+            moved.append((_shuffled(spark) - before) / (n * size))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert moved[0] < 1.2 and moved[1] < 1.2 and moved[2] < 2.2, moved
+    got = {x.source_url: x.content for x in s.chunks().select("source_url", "content").collect()}
+    assert got == {f"u{k}": text(f"u{k}", int(k >= n // 2)) for k in range(n + n // 2)}
+
+
+def test_filters_are_of_the_size_of_their_values(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "s"), 2, buckets=4)
+    s.upsert(_rows(spark, [(f"u{k}", 0) for k in range(400)]).withColumn("content_hash", F.col("source_url")))
+    files = list((tmp_path / "s").rglob("*.parquet"))
+    assert len(files) == 4 and max(f.stat().st_size for f in files) < 20_000
+    assert [x.source_url for x in s.find("u17").collect()] == ["u17"]
+
+
+def test_compaction_leaves_what_a_read_leaves(spark, tmp_path):
+    """A page dropped and brought again, chunks of one place twice in a write, repeated keys within an upsert."""
+    s = store.Store(spark, str(tmp_path / "s"), 2, buckets=2, most_deltas=50)
+    page = lambda *urls: spark.createDataFrame([(u, "h") for u in urls], "url string, content_hash string")
+    s.upsert(_rows(spark, [(u, k) for u in "abcd" for k in range(3)], "first").unionByName(_rows(spark, [("a", 0)], "greater")))
+    s.replace_pages(_rows(spark, [("b", 0), ("b", 0), ("b", 5)], "second"), page("b"))
+    s.delete("c")
+    s.upsert(_rows(spark, [("c", 1), ("e", 0)], "third"))
+    s.delete("d")
+    s.delete("b")
+    s.replace_pages(_rows(spark, [("b", 1), ("b", 1)], "fourth"), page("b"))
+    shown = lambda: sorted((r.source_url, r.chunk_index, r.content, r.id, r.created_at, r.updated_at) for r in s.chunks().collect())
+    before = shown()
+    assert [x[:3] for x in before] == [("a", 0, "greater"), ("a", 1, "first"), ("a", 2, "first"), ("b", 1, "fourth"), ("b", 1, "fourth"), ("c", 1, "third"), ("e", 0, "third")]
+    assert s.compact() and not s._manifest()["deltas"] and shown() == before
+
+
 def test_change_reads_the_state_of_its_buckets(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "s"), 2, buckets=16)
     s.put_state(spark.createDataFrame([(f"u{k}", f"h{k}", 1) for k in range(200)], "url string, page_hash string, chunk_count int"))
