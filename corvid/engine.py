@@ -112,15 +112,20 @@ class Engine:
     def web_pages(self, p: Product, keep: Staged, limit: int | None = None) -> DataFrame:
         """A product's web pages: those of its sitemap, or else those that a walk over links finds; with an error each that could not be read.
 
-        A sitemap of which any file could not be read, be it a nested one, counts as none.
+        A sitemap of which any file could not be read, be it a nested one, counts as none, and as an error.  A site of
+        which there is neither a sitemap nor a page can't be listed.
         """
         site, get = p.base_url, self._fetching()
         start = p.sitemap_url or "/".join(site.split("/")[:3]) + "/sitemap.xml"
         maps = web.fetched_sitemaps(self.spark, start, keep, **get)
         listed = keep(web.sitemap_urls(maps.where("xml is not null"), start), "listed")
-        if listed.isEmpty() or not maps.where("error is not null").isEmpty():
-            found = web.walked(self.spark, site, keep, self.settings.most_links, **get).withColumn("error", F.lit(None).cast("string"))
-            got = web.first_n(found, limit, "ordinal")
+        unread = maps.where("error is not null").select("url", F.col("xml").alias("body"), "error")
+        if listed.isEmpty() or not unread.isEmpty():
+            found = web.walked(self.spark, site, keep, self.settings.most_links, **get)
+            if found.isEmpty() and unread.isEmpty():
+                raise OSError(f"{site}: neither a sitemap nor a page")
+            lost = found.where("error is not null").select("url", "body", "error").unionByName(unread)
+            got = web.first_n(found.where("error is null"), limit, "ordinal").select("url", "body", "error").unionByName(lost)
         else:
             urls = web.first_n(web.filter_urls(listed, site, "ordinal"), limit, "ordinal")
             got = keep(web.fetched(urls.select("url"), **get), "fetched-pages")
@@ -148,7 +153,8 @@ class Engine:
     def crawl(self, product: str | None = None, limit: int | None = None, force: bool = False) -> dict:
         """Fetch one product, or all, and bring what changed into the store; ``limit`` is of pages for each product.
 
-        A product whose source can't be listed counts one error and does not stop the others.
+        A product whose source can't be listed counts one error and does not stop the others.  Where there are errors,
+        ``reason`` is one of them.
         """
         out = {}
         for p in [self._product(product)] if product is not None else self.by_id.values():
@@ -160,6 +166,8 @@ class Engine:
                     continue
                 done = ingest(pages, self.store, self.provider, self.settings, force)
                 out[p.id] = {n: done[n] for n in COUNTS}
+                if done["errors"]:
+                    out[p.id]["reason"] = pages.where("error is not null").agg(F.min(F.concat_ws(": ", "url", "error"))).first()[0]
         return {n: sum(r[n] for r in out.values()) for n in COUNTS} | {"by_product": out}
 
     def reindex(self, product: str | None = None, limit: int | None = None) -> dict:

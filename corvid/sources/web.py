@@ -206,23 +206,26 @@ def fetched_sitemaps(spark: SparkSession, start: str, keep, depth: int = 3, **op
 
 
 def walked(spark: SparkSession, start: str, keep, most: int = 500, block: int = 100, **options) -> DataFrame:
-    """(url, ordinal, body): the first ``most`` pages that a walk over live links finds, breadth first.
+    """(url, ordinal, body, error): the first ``most`` pages that a walk over live links finds, breadth first.
 
     Candidates of a level are fetched in their order, ``block`` at a time, until there are enough; a page that can't
-    be read is no page and counts for nothing.  The number visited is bounded by ``most`` and the links of its pages.
+    be read is no page and has no place, but a row with its error, unless it is gone or empty.  The number visited is
+    bounded by ``most`` and the links of its pages.
     """
-    found, seen = None, None
+    found, lost, seen = None, None, None
     level, have = spark.createDataFrame([(start, 0)], "url string, place long"), 0
     while have < most and not level.isEmpty():
         seen = keep(level.select("url") if seen is None else seen.unionByName(level.select("url")), "visited")
         total, got_all = level.count(), None
         for low in range(0, total, block):
             part = level.where((F.col("place") >= low) & (F.col("place") < low + block))
-            got = keep(fetched(part, **options).where("body is not null and body <> ''"), "walked")
+            got = keep(fetched(part, **options).where("error is not null or body <> ''"), "walked")
             got_all = got if got_all is None else got_all.unionByName(got)
-            if have + got_all.count() >= most:
+            if have + got_all.where("error is null").count() >= most:
                 break
-        here = numbered(got_all.select("url", "body", "place"), keep, F.col("place").asc(), first=have).where(F.col("ordinal") < most)
+        bad = got_all.where("error is not null").select("url", F.lit(None).cast("long").alias("ordinal"), "body", "error")
+        lost = bad if lost is None else lost.unionByName(bad)
+        here = numbered(got_all.where("error is null").select("url", "body", "place"), keep, F.col("place").asc(), first=have).where(F.col("ordinal") < most)
         here = keep(here.select("url", "ordinal", "body"), "level")
         found = here if found is None else found.unionByName(here)
         have += here.count()
@@ -230,4 +233,6 @@ def walked(spark: SparkSession, start: str, keep, most: int = 500, block: int =
         new = links.join(here.select(F.col("url").alias("src"), "ordinal"), "src").groupBy("dst").agg(F.min(F.struct("ordinal", "pos")).alias("at"))
         new = new.join(seen.select(F.col("url").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("url"), "at")
         level = keep(numbered(new, keep, F.col("at").asc(), F.col("url").asc(), as_col="place").select("url", "place"), "candidates")
-    return found if found is not None else spark.createDataFrame([], "url string, ordinal long, body string")
+    if found is None:
+        return spark.createDataFrame([], "url string, ordinal long, body string, error string")
+    return found.withColumn("error", F.lit(None).cast("string")).unionByName(lost)

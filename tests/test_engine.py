@@ -869,3 +869,22 @@ def test_heavy_columns_are_computed_once(spark, sf, name):
     text = plan.toString()
     filters = [line for line in text.split("\n") if line.lstrip(" :+-").startswith("Filter") and ("aggregate(" in line or "size(" in line)]
     assert not filters and sum(line.lstrip(" :+-").startswith("Aggregate") for line in text.split("\n")) <= 5
+
+
+def test_a_failure_of_a_crawl_is_told(spark, tmp_path):
+    """A sitemap that can't be read, pages of a walk that can't, and a site of which there is nothing, each count as an error."""
+    at = (tmp_path / "site").as_uri()
+    (tmp_path / "site").mkdir()
+    words = f"<main><h1>Title</h1><p>{BODY * 3}</p></main>"
+    (tmp_path / "site" / "start").write_text(words + f'<a href="{at}/b">b</a><a href="{at}/none">none</a>')
+    (tmp_path / "site" / "b").write_text(words)
+    (tmp_path / "site" / "map.xml").write_text(f"<sitemapindex><sitemap><loc>{at}/lost.xml</loc></sitemap></sitemapindex>")
+    (tmp_path / "site" / "empty.xml").write_text("<urlset></urlset>")
+    (tmp_path / "site" / "blank").write_text("")
+    products = [Product("map", "M", f"{at}/start", f"{at}/map.xml"), Product("walk", "W", f"{at}/start", f"{at}/empty.xml"), Product("none", "N", f"{at}/none", f"{at}/empty.xml"), Product("blank", "B", f"{at}/blank", f"{at}/empty.xml")]
+    e = Engine(spark, products, Settings(store_path=str(tmp_path / "e"), dimensions=16, fetch_retries=0, fetch_delay=0))
+    done = e.crawl(force=True)["by_product"]
+    assert {p: (d["updated"], d["errors"]) for p, d in done.items()} == {"map": (2, 2), "walk": (2, 1), "none": (0, 1), "blank": (0, 1)}
+    assert f"{at}/lost.xml: " in done["map"]["reason"] and f"{at}/none: " in done["walk"]["reason"] and "neither" in done["blank"]["reason"]
+    one = e.crawl("walk", limit=1, force=True)
+    assert (one["updated"], one["errors"]) == (1, 1)
