@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from corvid.config import Settings
@@ -13,7 +15,7 @@ from corvid.operators import chunks, embed, html, markdown, search, store
 from corvid.operators.ingest import chunked
 from corvid.sources import web
 from corvid.streaming.incremental import run_available
-from corvid.tables import fresh
+from corvid.tables import Staged, fresh
 
 SMALL = Settings(chunk_size=100, chunk_overlap=20)
 WHOLE = Settings()
@@ -706,17 +708,21 @@ n as (select source_url url, count(*) chunks from page_chunks group by 1)
 select 'site' product, cast(count(chunks) as bigint) updated, cast(0 as bigint) skipped, cast(count(*) - count(chunks) as bigint) empty, cast(1 as bigint) errors, cast(coalesce(sum(chunks), 0) as bigint) chunks
 from (select distinct url from pages where html <> '') left join n using (url)""")
 def crawl_report(spark, sf):
-    """A site of all pages as files in the shared folder, crawled by its sitemap, which also names a page that can't be read."""
-    at = fresh(spark, "site")
-    pages(spark, sf).select(F.col("html").alias("value"), F.sha2("url", 256).alias("name")).repartition("name").write.partitionBy("name").text(f"{at}/pages")
-    address = lambda path: F.regexp_replace(path, "^(file:)?/+", "file:///")
-    files = spark.read.option("wholetext", True).text(f"{at}/pages").select(address(F.input_file_name()).alias("url"))
-    base = spark.range(1).select(address(F.lit(f"{at}/pages"))).first()[0]
-    listed = files.unionByName(spark.createDataFrame([(f"{base}/none",)], "url string"))
-    listed.select(F.concat(F.lit("<url><loc>"), "url", F.lit("</loc></url>"))).coalesce(1).write.text(f"{at}/map")
-    sitemap = spark.read.text(f"{at}/map").select(address(F.input_file_name())).first()[0]
-    settings = Settings(dimensions=DIM, store_path=fresh(spark, "store"), fetch_retries=0, fetch_delay=0)
-    done = Engine(spark, [Product("site", "Site", base, sitemap_url=sitemap)], settings).crawl()["by_product"]
+    """A site of all pages as files in the shared folder, crawled by its sitemaps, which also name a page that can't be read."""
+    where = fresh(spark, "site")
+    at = re.sub("^(file:)?/+", "/", where)
+    if not at.startswith("/"):
+        raise RuntimeError(f"pages are read as files, which {where} does not allow")
+    base, name = f"file://{at}/pages", F.sha2("url", 256)
+    site = pages(spark, sf).select(F.concat(F.substring(name, 1, 2), F.lit("/"), name).alias("path"), F.col("html").alias("body"))
+    with Staged(spark) as keep:
+        keep.paths.append(where)
+        n = web.published(site, f"{at}/pages")
+        listed = read(spark, sf, "pages").where("html <> ''").select(F.concat(F.lit(f"{base}/"), F.substring(name, 1, 2), F.lit("/"), name).alias("url")).distinct()
+        listed = listed.unionByName(spark.createDataFrame([(f"{base}/none",)], "url string"))
+        sitemap = web.published_sitemaps(listed, n + 1, f"{at}/maps", f"file://{at}/maps")
+        settings = Settings(dimensions=DIM, store_path=fresh(spark, "store"), fetch_retries=0, fetch_delay=0)
+        done = Engine(spark, [Product("site", "Site", base, sitemap_url=sitemap)], settings).crawl()["by_product"]
     return spark.createDataFrame([(k, *(v[n] for n in ("updated", "skipped", "empty", "errors", "chunks"))) for k, v in done.items()], "product string, updated long, skipped long, empty long, errors long, chunks long")
 
 

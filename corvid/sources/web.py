@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import time
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,6 +21,9 @@ SKIPPED_PARTS = ("/assets/", "/images/", "/img/", "/static/", "/includes/", "/ov
 SKIPPED_ENDS = (".pdf", ".zip")
 LEAST_FILE = 50
 GONE = {403, 404, 410}
+# How much fetched text a task gathers, and the addresses of a sitemap file, which may have 50,000.
+HELD = 1 << 20
+MAP = 10_000
 
 
 def wanted_url(url: Column, base_url: str) -> Column:
@@ -185,13 +190,50 @@ def fetched(urls: DataFrame, retries: int = 3, delay: float = 1.0, partitions: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):  # a page at a time, as one may be as large as ten megabytes
-                body, error = fetch(b.column(at)[k].as_py(), retries, delay)
-                yield pa.RecordBatch.from_arrays([*b.slice(k, 1).columns, pa.array([body], pa.string()), pa.array([error], pa.string())], [*names, "body", "error"])
+            first, held, got = 0, 0, []
+            for k in range(b.num_rows):  # handed on by their size, as a page may be as large as ten megabytes
+                got.append(fetch(b.column(at)[k].as_py(), retries, delay))
+                held += len(got[-1][0] or "")
+                if held >= HELD or k + 1 == b.num_rows:
+                    bodies, errors = (pa.array(x, pa.string()) for x in zip(*got, strict=True))
+                    yield pa.RecordBatch.from_arrays([*b.slice(first, k + 1 - first).columns, bodies, errors], [*names, "body", "error"])
+                    first, held, got = k + 1, 0, []
 
     return urls.repartition(partitions).mapInArrow(run, out)
 
 
+def published(files: DataFrame, folder: str) -> int:
+    """Write each row's ``body`` to the file ``path`` below a folder that all tasks see; how many there are.
+
+    A file is made beside its place and moved there, so that a task may come again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, body in zip(b.column("path"), b.column("body"), strict=True):
+                at = f"{folder}/{path.as_py()}"
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                made = f"{at}.{uuid.uuid4().hex}"
+                with open(made, "wb") as f:
+                    f.write(body.as_buffer())
+                os.replace(made, at)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    return files.select("path", F.col("body").cast("binary").alias("body")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def published_sitemaps(listed: DataFrame, n: int, folder: str, base: str) -> str:
+    """Write sitemap files of the ``n`` addresses ``listed`` (url) and an index of them below ``folder``, which is at ``base``; the index's address."""
+    maps = -(-n // MAP)
+    entry = lambda tag, url: F.concat(F.lit(f"<{tag}><loc>"), url, F.lit(f"</loc></{tag}>"))
+    at = F.format_string("map-%d.xml", "map")
+    body = F.array_join(F.collect_list(entry("url", F.col("url"))), "\n")
+    published(listed.groupBy(F.pmod(F.xxhash64("url"), F.lit(maps)).alias("map")).agg(body.alias("body")).select(at.alias("path"), "body"), folder)
+    names = listed.sparkSession.range(maps).withColumnRenamed("id", "map").select(entry("sitemap", F.concat(F.lit(f"{base}/"), at)).alias("entry"))
+    published(names.agg(F.array_join(F.collect_list("entry"), "\n").alias("body")).select(F.lit("sitemap.xml").alias("path"), "body"), folder)
+    return f"{base}/sitemap.xml"
+
+
 def fetched_sitemaps(spark: SparkSession, start: str, keep, depth: int = 3, **options) -> DataFrame:
     """(url, xml, error) of the sitemap at ``start`` and of those that it names, ``depth`` levels deep."""
     level = spark.createDataFrame([(start,)], "url string")

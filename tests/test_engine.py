@@ -888,3 +888,24 @@ def test_a_failure_of_a_crawl_is_told(spark, tmp_path):
     assert f"{at}/lost.xml: " in done["map"]["reason"] and f"{at}/none: " in done["walk"]["reason"] and "neither" in done["blank"]["reason"]
     one = e.crawl("walk", limit=1, force=True)
     assert (one["updated"], one["errors"]) == (1, 1)
+
+
+def test_a_site_as_files_with_sitemaps_of_bounded_size(spark, tmp_path, monkeypatch):
+    """An index of sitemap files names every address once; what was fetched is handed on by its size, none lost."""
+    from corvid.tables import Staged
+
+    files = spark.range(35).select(F.concat((F.col("id") % 3).cast("string"), F.lit("/p"), F.col("id").cast("string")).alias("path"), F.concat(F.lit("é\n"), F.col("id").cast("string")).alias("body"))
+    base = (tmp_path / "site").as_uri()
+    assert web.published(files, str(tmp_path / "site")) == 35 and (tmp_path / "site" / "1" / "p34").read_text() == "é\n34"
+    assert len([f for f in (tmp_path / "site").rglob("*") if f.is_file()]) == 35
+    urls = files.select(F.concat(F.lit(f"{base}/"), "path").alias("url"))
+    monkeypatch.setattr(web, "MAP", 10)
+    start = web.published_sitemaps(urls, 35, str(tmp_path / "maps"), (tmp_path / "maps").as_uri())
+    assert len(list((tmp_path / "maps").glob("map-*.xml"))) == 4
+    with Staged(spark) as keep:
+        maps = web.fetched_sitemaps(spark, start, keep, retries=0, delay=0, partitions=2)
+        listed = web.sitemap_urls(maps, start)
+        assert sorted(r.url for r in listed.collect()) == sorted(r.url for r in urls.collect())
+        got = web.fetched(listed.select("url").unionByName(spark.createDataFrame([(f"{base}/none",)], "url string")), retries=0, delay=0, partitions=1)
+        rows = {r.url: (r.body, r.error) for r in got.collect()}
+    assert len(rows) == 36 and rows.pop(f"{base}/none")[1] and all(error is None and body == "é\n" + url.rsplit("p", 1)[1] for url, (body, error) in rows.items())
