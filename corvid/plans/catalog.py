@@ -12,7 +12,7 @@ from corvid.functions import text as T
 from corvid.functions.vectors import cosine
 from corvid.operators.cells import CellIndex
 from corvid.operators import chunks, embed, html, markdown, search, store
-from corvid.operators.ingest import chunked
+from corvid.operators.ingest import chunked, one_each
 from corvid.sources import web
 from corvid.streaming.incremental import run_available
 from corvid.tables import Staged, fresh
@@ -708,13 +708,13 @@ n as (select source_url url, count(*) chunks from page_chunks group by 1)
 select 'site' product, cast(count(chunks) as bigint) updated, cast(0 as bigint) skipped, cast(count(*) - count(chunks) as bigint) empty, cast(1 as bigint) errors, cast(coalesce(sum(chunks), 0) as bigint) chunks
 from (select distinct url from pages where html <> '') left join n using (url)""")
 def crawl_report(spark, sf):
-    """A site of all pages as files in the shared folder, crawled by its sitemaps, which also name a page that can't be read."""
+    """A site of all pages as files in the shared folder, one an address, crawled by its sitemaps, which also name a page that can't be read."""
     where = fresh(spark, "site")
     at = re.sub("^(file:)?/+", "/", where)
     if not at.startswith("/"):
         raise RuntimeError(f"pages are read as files, which {where} does not allow")
     base, name = f"file://{at}/pages", F.sha2("url", 256)
-    site = pages(spark, sf).select(F.concat(F.substring(name, 1, 2), F.lit("/"), name).alias("path"), F.col("html").alias("body"))
+    site = one_each(pages(spark, sf)).select(F.concat(F.substring(name, 1, 2), F.lit("/"), name).alias("path"), F.col("html").alias("body"))
     with Staged(spark) as keep:
         keep.paths.append(where)
         n = web.published(site, f"{at}/pages")

@@ -909,3 +909,20 @@ def test_a_site_as_files_with_sitemaps_of_bounded_size(spark, tmp_path, monkeypa
         got = web.fetched(listed.select("url").unionByName(spark.createDataFrame([(f"{base}/none",)], "url string")), retries=0, delay=0, partitions=1)
         rows = {r.url: (r.body, r.error) for r in got.collect()}
     assert len(rows) == 36 and rows.pop(f"{base}/none")[1] and all(error is None and body == "é\n" + url.rsplit("p", 1)[1] for url, (body, error) in rows.items())
+
+
+def test_crawl_report_of_a_repeated_address(spark, tmp_path):
+    """A site has one page at an address, the same however the rows lie."""
+    from hashlib import sha256
+
+    from corvid.plans import catalog
+
+    page = lambda n: f"<title>T</title><article><h1>T</h1><p>{'Some words of a sentence are here. ' * n}</article>"
+    pairs = [(page(5 + k), page(300 + k)) for k in range(6)]
+    want = sum({a: 1, b: 4}[max(a, b, key=lambda x: sha256(x.encode()).hexdigest())] for a, b in pairs)
+    got = []
+    for name, order in (("one", 1), ("two", -1)):
+        rows = [(0, f"https://h/en/{k}", x) for k, pair in enumerate(pairs) for x in pair[::order]]
+        spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / name / "pages.parquet"))
+        got.append(tuple(catalog.crawl_report(spark, str(tmp_path / name)).first()))
+    assert got == [("site", 6, 0, 0, 1, want)] * 2
