@@ -598,14 +598,15 @@ def products(spark, sf):
 
 @query(_PAGE_CHUNKS + " select url, sha256(html) page_hash from pages where html <> '' and url in (select source_url from page_chunks)")
 def stream_ingest(spark, sf):
-    """Pages through the engine's stream, and the state that it leaves, of the pages that have chunks."""
+    """Pages, a file or a folder of files, through the engine's stream, and the state that it leaves, of the pages that have chunks."""
     engine = page_engine(spark, sf)
 
     def as_pages(rows: DataFrame) -> DataFrame:
         rows = rows.where("html <> ''").select("url", "html", F.sha2("html", 256).alias("content_hash"))
         return rows.select("*", F.element_at(F.split("url", "/"), 4).alias("product"), F.lit(None).cast("string").alias("version"))
 
-    engine.follow(sf, "page_id long, url string, html string", f"{fresh(spark, 'stream')}/progress", only="pages.parquet", prepare=as_pages)
+    table = f"{sf}/{{pages.parquet}}"  # as a pattern, since a stream takes a plain path for a folder
+    engine.follow(table, "page_id long, url string, html string", f"{fresh(spark, 'stream')}/progress", prepare=as_pages)
     return engine.store.state().select("url", "page_hash")
 
 

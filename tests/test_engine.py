@@ -926,3 +926,12 @@ def test_crawl_report_of_a_repeated_address(spark, tmp_path):
         spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / name / "pages.parquet"))
         got.append(tuple(catalog.crawl_report(spark, str(tmp_path / name)).first()))
     assert got == [("site", 6, 0, 0, 1, want)] * 2
+
+
+def test_stream_ingest_of_a_folder_of_files(spark, sf, tmp_path):
+    """A table that is a folder of part files streams as one file does."""
+    from corvid.plans import catalog
+
+    spark.read.parquet(f"{sf}/pages.parquet").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(map(tuple, catalog.stream_ingest(spark, str(tmp_path)).collect()))
+    assert got and got == sorted(map(tuple, catalog.stream_ingest(spark, sf).collect()))
