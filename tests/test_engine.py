@@ -104,6 +104,11 @@ def test_html_fallback(n, kept):
         assert page["sections"][0]["heading"] == "u" and page["sections"][0]["level"] == 1
 
 
+def test_a_quotation_mark_that_was_cut():
+    page = html.parse_page(f"<title>A = &quot</title><article><h1>B = &quot</h1><p>{BODY} &quot;x&quot; &quot y &am</p></article>", "u")
+    assert page["title"] == "A = &quot" and page["sections"][0]["heading"] == "B = &quot" and page["sections"][0]["text"] == f'{BODY} "x" " y &'
+
+
 def test_an_ampersand_that_was_cut():
     page = html.parse_page("<title>A &amp;&am</title><h1>A &amp;&am</h1><p>R&amplifier &amp;amp; a &am that is in a text &amp</p>", "u")
     assert page["title"] == "A &&" and page["sections"][0]["heading"] == "A &&"
